@@ -54,3 +54,118 @@ def q_fct_order_summary(spark, sf):
          "FROM stg_orders WHERE total_amount < 0"))
 def q_assert_total_positive(spark, sf):
     return M.assert_total_positive(M.stg_orders(FX.raw_orders(spark, sf)))
+
+
+# ----------------------------------------------------------------- rules
+from covenant.operators import checks as C  # noqa: E402
+from covenant.sources.tables import TableSet  # noqa: E402
+
+RULE_OUT = ["check_type", "column", "status", "severity", "violations", "actual_value"]
+EMAIL_PATTERN = "^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+$"
+STATUS_VALUES = ["pending", "processing", "completed", "cancelled", "refunded"]
+
+RULES = {
+    # name: (table, rule, key columns for the violation rows)
+    "not_null": ("orders", {"rule_type": "not_null", "column": "order_id"},
+                 ["customer_id", "order_date", "version"]),
+    "unique": ("orders", {"rule_type": "unique", "column": "order_id"}, []),
+    "accepted_values": ("orders", {"rule_type": "accepted_values", "column": "status",
+                                   "parameters": {"values": STATUS_VALUES}}, ["order_id"]),
+    "min_value": ("orders", {"rule_type": "min_value", "column": "total_amount",
+                             "parameters": {"value": 0}}, ["order_id"]),
+    "max_value": ("orders", {"rule_type": "max_value", "column": "total_amount",
+                             "parameters": {"value": 400000}}, ["order_id"]),
+    "regex_match": ("customers", {"rule_type": "regex_match", "column": "email",
+                                  "parameters": {"pattern": EMAIL_PATTERN}, "severity": "warning"},
+                    ["customer_id"]),
+    "custom_sql": ("orders", {"rule_type": "custom_sql",
+                              "parameters": {"expression": "abs(total_amount) < 450000"}},
+                   ["order_id", "total_amount"]),
+    "row_count_min": ("customers", {"rule_type": "row_count_min",
+                                    "parameters": {"min_count": 1000}}, []),
+    "referential_integrity": ("orders", {"rule_type": "referential_integrity", "column": "customer_id",
+                                         "parameters": {"reference_table": "customers",
+                                                        "reference_column": "customer_id"}}, []),
+}
+
+
+def governed(spark, sf) -> TableSet:
+    return TableSet({"orders": FX.raw_orders(spark, sf), "customers": FX.raw_customers(spark, sf)})
+
+
+def _rule_query(rule_name):
+    def q(spark, sf):
+        tables = governed(spark, sf)
+        table, rule, _ = RULES[rule_name]
+        out = C.evaluate_rules(spark, tables.get(table), table, [rule], tables)
+        return out.select(*RULE_OUT)
+    return q
+
+
+def _violation_query(rule_name):
+    def q(spark, sf):
+        tables = governed(spark, sf)
+        table, rule, keys = RULES[rule_name]
+        out = C.violations(tables.get(table), rule, tables, keys)
+        if "total_amount" in out.columns:
+            out = out.withColumn("total_amount", out["total_amount"].cast("double"))
+        return out
+    return q
+
+
+_RAW = {"orders": ("raw_orders", O.RAW_ORDERS), "customers": ("raw_customers", O.RAW_CUSTOMERS)}
+
+_RULE_SQL = {
+    "not_null": ("SUM(CASE WHEN order_id IS NULL THEN 1 ELSE 0 END)", None, "error"),
+    "unique": ("(SELECT count(*) FROM (SELECT order_id FROM raw_orders WHERE order_id IS NOT NULL "
+               "GROUP BY order_id HAVING count(*) > 1))", None, "error"),
+    "accepted_values": ("SUM(CASE WHEN status IS NOT NULL AND status NOT IN "
+                        "('pending','processing','completed','cancelled','refunded') THEN 1 ELSE 0 END)",
+                        None, "error"),
+    "min_value": ("SUM(CASE WHEN total_amount < 0 THEN 1 ELSE 0 END)", "min(total_amount)", "error"),
+    "max_value": ("SUM(CASE WHEN total_amount > 400000 THEN 1 ELSE 0 END)", "max(total_amount)", "error"),
+    "regex_match": ("SUM(CASE WHEN email IS NOT NULL AND NOT regexp_matches(email, "
+                    "'^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+$') THEN 1 ELSE 0 END)",
+                    None, "warning"),
+    "custom_sql": ("SUM(CASE WHEN NOT (abs(total_amount) < 450000) THEN 1 ELSE 0 END)", None, "error"),
+    "row_count_min": ("GREATEST(1000 - count(*), 0)", "count(*)", "error"),
+    "referential_integrity": (
+        "(SELECT count(*) FROM raw_orders o WHERE o.customer_id IS NOT NULL AND NOT EXISTS "
+        "(SELECT 1 FROM raw_customers c WHERE c.customer_id = o.customer_id))",
+        "(SELECT count(DISTINCT o.customer_id) FROM raw_orders o WHERE o.customer_id IS NOT NULL AND NOT EXISTS "
+        "(SELECT 1 FROM raw_customers c WHERE c.customer_id = o.customer_id))", "error"),
+}
+
+_VIOLATION_SQL = {
+    "not_null": "SELECT customer_id, order_date, version, order_id FROM raw_orders WHERE order_id IS NULL",
+    "unique": "SELECT order_id, count(*) AS n_rows FROM raw_orders WHERE order_id IS NOT NULL "
+              "GROUP BY order_id HAVING count(*) > 1",
+    "accepted_values": "SELECT order_id, status FROM raw_orders WHERE status IS NOT NULL AND status NOT IN "
+                       "('pending','processing','completed','cancelled','refunded')",
+    "min_value": "SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount FROM raw_orders "
+                 "WHERE total_amount < 0",
+    "max_value": "SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount FROM raw_orders "
+                 "WHERE total_amount > 400000",
+    "regex_match": "SELECT customer_id, email FROM raw_customers WHERE email IS NOT NULL AND NOT "
+                   "regexp_matches(email, '^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+$')",
+    "custom_sql": "SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount FROM raw_orders "
+                  "WHERE NOT (abs(total_amount) < 450000)",
+    "row_count_min": "SELECT row_count, CAST(1000 AS BIGINT) AS min_count FROM "
+                     "(SELECT count(*) AS row_count FROM raw_customers) WHERE row_count < 1000",
+    "referential_integrity": "SELECT customer_id, count(*) AS n_rows FROM raw_orders o "
+                             "WHERE customer_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM raw_customers c "
+                             "WHERE c.customer_id = o.customer_id) GROUP BY customer_id",
+}
+
+for _name, (_table, _rule, _keys) in RULES.items():
+    _viol, _actual, _sev = _RULE_SQL[_name]
+    _view, _cte = _RAW[_table]
+    _src = "(SELECT 1 AS one) d" if _name in ("unique", "referential_integrity") else _view
+    _ctes = [O.RAW_ORDERS, O.RAW_CUSTOMERS] if _name == "referential_integrity" else [_cte]
+    _actual = _actual or "violations_placeholder"
+    _failed = "actual < 1000" if _name == "row_count_min" else None
+    _sql = O.rule_row(_name, _rule.get("column"), _viol,
+                      _actual if _actual != "violations_placeholder" else _viol, _src, _sev, _failed)
+    register(f"rule_{_name}", O.with_ctes(*_ctes, body=_sql))(_rule_query(_name))
+    register(f"rule_violations_{_name}", O.with_ctes(*_ctes, body=_VIOLATION_SQL[_name]))(
+        _violation_query(_name))

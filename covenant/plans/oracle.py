@@ -130,3 +130,16 @@ fct_order_summary AS (
 
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
+
+
+def rule_row(check_type: str, column: str | None, violations_sql: str, actual_sql: str,
+             table_cte: str, severity: str = "error", failed_sql: str | None = None) -> str:
+    """One check row: check_type, column, status, severity, violations,
+    actual_value."""
+    col = "NULL" if column is None else f"'{column}'"
+    bad = "'warning'" if severity == "warning" else "'failed'"
+    failed = failed_sql or "violations > 0"
+    return (f"SELECT '{check_type}' AS check_type, CAST({col} AS VARCHAR) AS \"column\", "
+            f"CASE WHEN {failed} THEN {bad} ELSE 'passed' END AS status, '{severity}' AS severity, "
+            f"CAST(violations AS BIGINT) AS violations, CAST(actual AS VARCHAR) AS actual_value "
+            f"FROM (SELECT {violations_sql} AS violations, {actual_sql} AS actual FROM {table_cte}) x")

@@ -31,11 +31,11 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("k"), "o_custkey", "o_totalprice",
         "o_orderstatus", "o_orderdate")
-    base = o.withColumn("version", F.lit(0))
-    again = (o.filter(F.col("k") % 50 == 0)
-             .withColumn("o_orderdate", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"))
-             .withColumn("version", F.lit(1)))
-    b = base.unionByName(again)
+    # one scan: every 50th key is emitted twice (version 0 and 1)
+    versions = F.when(F.col("k") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    b = (o.withColumn("version", F.explode(versions))
+          .withColumn("o_orderdate", F.col("o_orderdate")
+                      + F.make_dt_interval(days=F.col("version"))))
     k = F.col("k")
     status = (F.when(k % 211 == 0, "lost")
               .when(F.col("o_orderstatus") == "F", " Completed ")
@@ -64,7 +64,11 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     ck = F.col("c_custkey")
-    cust = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    # one scan: every 40th key is emitted twice (version 0 and 1)
+    versions = F.when(ck % 40 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    v = F.col("version")
+    cust = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")) \
+        .withColumn("version", F.explode(versions)).select(
         ck.alias("customer_id"),
         F.when(ck % 53 == 0, F.lit("bad"))
          .when(ck % 71 == 0, F.lit(None))
@@ -72,17 +76,13 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.lit("@Example.com "))).alias("email"),
         F.concat(F.lit(" "), F.lower("c_mktsegment")).alias("first_name"),
         F.when(ck % 2 == 0, F.lit("o'brien-smith")).otherwise(F.lit("mcDONALD jr")).alias("last_name"),
-        F.concat(F.lit(" "), F.lower("n_name")).alias("country"),
+        F.when(v == 1, F.lit(" unknown ")).otherwise(F.concat(F.lit(" "), F.lower("n_name"))).alias("country"),
         _plus_minutes(_ts("2023-01-01 00:00:00"), ck).alias("created_at"),
-        F.when(ck % 89 == 0, F.lit(None).cast("timestamp_ntz"))
+        F.when(v == 1, _plus_minutes(_ts("2024-01-20 00:00:00"), ck % 1000))
+         .when(ck % 89 == 0, F.lit(None).cast("timestamp_ntz"))
          .otherwise(_plus_minutes(_ts("2024-01-01 00:00:00"), ck % 1000)).alias("updated_at"),
-        F.lit(0).alias("version"),
+        v.alias("version"),
     )
-    again = (cust.filter(F.col("customer_id") % 40 == 0)
-             .withColumn("updated_at", _plus_minutes(_ts("2024-01-20 00:00:00"),
-                                                     F.col("customer_id") % 1000))
-             .withColumn("country", F.lit(" unknown "))
-             .withColumn("version", F.lit(1)))
     s = read_table(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
     prospects = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
@@ -96,7 +96,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         _plus_minutes(_ts("2024-01-15 00:00:00"), sk % 1000).alias("updated_at"),
         F.lit(0).alias("version"),
     )
-    return cust.unionByName(again).unionByName(prospects)
+    return cust.unionByName(prospects)
 
 
 def status_by_value():
