@@ -169,3 +169,160 @@ for _name, (_table, _rule, _keys) in RULES.items():
     register(f"rule_{_name}", O.with_ctes(*_ctes, body=_sql))(_rule_query(_name))
     register(f"rule_violations_{_name}", O.with_ctes(*_ctes, body=_VIOLATION_SQL[_name]))(
         _violation_query(_name))
+
+
+# ------------------------------------------------------------ full contract
+from covenant.plans.checkplan import plan_contract  # noqa: E402
+from covenant.plans.contracts import sample_contract  # noqa: E402
+
+AS_OF = "2024-02-01 00:00:00"
+CHECK_OUT = ["check_name", "check_type", "column", "status", "severity", "violations"]
+_TABLE_COLUMNS = {"orders": list(M.ORDER_COLUMNS) + ["version"],
+                  "customers": list(M.CUSTOMER_COLUMNS) + ["version"]}
+
+
+def _contract_query(table):
+    def q(spark, sf):
+        tables = governed(spark, sf)
+        out = C.evaluate_contract(spark, tables.get(table), sample_contract(table), tables, AS_OF)
+        return out.select(*CHECK_OUT)
+    return q
+
+
+for _t in ("orders", "customers"):
+    _c = sample_contract(_t)
+    register(f"fused_checks_{_t}", O.with_ctes(
+        O.RAW_ORDERS, O.RAW_CUSTOMERS,
+        body=O.contract_oracle(plan_contract(_c), _c, _RAW[_t][0],
+                               {"customers": "raw_customers", "orders": "raw_orders"},
+                               AS_OF, _TABLE_COLUMNS[_t])))(_contract_query(_t))
+
+
+# ------------------------------------------------------------- freshness
+from covenant.operators import freshness as FR  # noqa: E402
+from covenant.operators import results as R  # noqa: E402
+from covenant.sources.tables import read_table  # noqa: E402
+
+FRESH_OUT = ["table_name", "schema_name", "timestamp_column", "last_updated_at",
+             "max_delay_minutes", "actual_delay_minutes", "status", "is_within_sla"]
+
+
+def _freshness_items(spark, sf):
+    t = governed(spark, sf)
+    return [
+        (sample_contract("orders"), t.get("orders")),
+        (sample_contract("customers"), t.get("customers")),
+        ({"table_name": "events", "columns": [{"name": "ts"}],
+          "freshness": {"timestamp_column": "ts", "max_delay_minutes": 10080}},
+         read_table(spark, sf, "events")),
+        ({"table_name": "lineitem", "columns": [{"name": "l_shipdate"}],
+          "freshness": {"timestamp_column": "l_shipdate", "max_delay_minutes": 1440}},
+         read_table(spark, sf, "lineitem")),
+        ({"table_name": "shipments", "columns": [{"name": "shipped_at"}],
+          "freshness": {"timestamp_column": "shipped_at", "max_delay_minutes": 60}}, None),
+        ({"table_name": "nation", "columns": [{"name": "n_name"}]}, read_table(spark, sf, "nation")),
+    ]
+
+
+def _fresh_sql(view, col, mx, table):
+    delay = f"((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(m)) / 60000000.0)"
+    return (f"SELECT '{table}' AS table_name, 'public' AS schema_name, '{col}' AS timestamp_column, "
+            f"m AS last_updated_at, CAST({mx} AS BIGINT) AS max_delay_minutes, "
+            f"{delay} AS actual_delay_minutes, "
+            f"CASE WHEN m IS NOT NULL AND {delay} <= {mx} THEN 'passed' ELSE 'failed' END AS status, "
+            f"(m IS NOT NULL AND {delay} <= {mx}) AS is_within_sla "
+            f"FROM (SELECT max({col}) AS m FROM {view})")
+
+
+_FRESH_MANY_SQL = O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, body="\nUNION ALL\n".join([
+    _fresh_sql("raw_orders", "updated_at", 120, "orders"),
+    _fresh_sql("raw_customers", "updated_at", 1440, "customers"),
+    _fresh_sql("events", "ts", 10080, "events"),
+    _fresh_sql("lineitem", "l_shipdate", 1440, "lineitem"),
+    "SELECT 'shipments', 'public', 'shipped_at', NULL, 60, NULL, 'error', false",
+    "SELECT 'nation', 'public', '', NULL, 0, NULL, 'skipped', false",
+]))
+
+
+@register("freshness_check", O.with_ctes(O.RAW_ORDERS, body=_fresh_sql("raw_orders", "updated_at", 120, "orders")))
+def q_freshness_check(spark, sf):
+    return FR.freshness_result(spark, FX.raw_orders(spark, sf), sample_contract("orders"), AS_OF).select(*FRESH_OUT)
+
+
+@register("freshness_many", _FRESH_MANY_SQL)
+def q_freshness_many(spark, sf):
+    return FR.freshness_many(spark, _freshness_items(spark, sf), AS_OF).select(*FRESH_OUT)
+
+
+@register("stale_tables", f"SELECT * FROM ({_FRESH_MANY_SQL}) WHERE status = 'failed'")
+def q_stale_tables(spark, sf):
+    return FR.stale_tables(FR.freshness_many(spark, _freshness_items(spark, sf), AS_OF)).select(*FRESH_OUT)
+
+
+@register("freshness_alerts_many",
+          "SELECT 'freshness_sla_breach' AS alert_type, 'critical' AS severity, "
+          "concat_ws('.', schema_name, table_name) AS \"table\", timestamp_column, actual_delay_minutes, "
+          f"max_delay_minutes FROM ({_FRESH_MANY_SQL}) WHERE status = 'failed'")
+def q_freshness_alerts_many(spark, sf):
+    a = FR.freshness_alerts(FR.freshness_many(spark, _freshness_items(spark, sf), AS_OF))
+    return a.select("alert_type", "severity", "table", "timestamp_column", "actual_delay_minutes",
+                    "max_delay_minutes")
+
+
+# ------------------------------------------------------------ run roll-up
+
+def _both_contract_checks(spark, sf):
+    tables = governed(spark, sf)
+    parts = [C.evaluate_contract(spark, tables.get(t), sample_contract(t), tables, AS_OF)
+             for t in ("orders", "customers")]
+    return parts[0].unionByName(parts[1])
+
+
+def _oracle_checks_cte(with_seq=False):
+    parts = []
+    for t in ("orders", "customers"):
+        c = sample_contract(t)
+        body = O.contract_oracle(plan_contract(c), c, _RAW[t][0],
+                                 {"customers": "raw_customers", "orders": "raw_orders"},
+                                 AS_OF, _TABLE_COLUMNS[t], with_seq)
+        parts.append(f"SELECT '{t}' AS table_name, 'public' AS schema_name, * FROM ({body})")
+    return "all_checks AS (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+_ROLLUP_SQL = O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body="""
+SELECT table_name, schema_name, total_checks, passed_checks, failed_checks, warning_checks, error_checks,
+       CASE WHEN failed_checks > 0 THEN 'failed' WHEN warning_checks > 0 THEN 'warning'
+            ELSE 'passed' END AS overall_status
+FROM (SELECT table_name, schema_name, count(*) AS total_checks,
+             count(*) FILTER (WHERE status = 'passed') AS passed_checks,
+             count(*) FILTER (WHERE status = 'failed') AS failed_checks,
+             count(*) FILTER (WHERE status = 'warning' AND check_type <> 'freshness') AS warning_checks,
+             count(*) FILTER (WHERE status = 'error') AS error_checks
+      FROM all_checks GROUP BY table_name, schema_name)""")
+
+
+@register("run_rollup", _ROLLUP_SQL)
+def q_run_rollup(spark, sf):
+    return R.rollup_runs(_both_contract_checks(spark, sf))
+
+
+@register("run_alerts", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(True), body=f"""
+SELECT 'quality_check_failure' AS alert_type,
+       CASE WHEN r.failed_checks > 3 THEN 'critical' ELSE 'warning' END AS severity,
+       concat_ws('.', r.schema_name, r.table_name) AS "table", r.overall_status AS status,
+       r.total_checks, r.failed_checks,
+       array_to_string(list_slice(n.names, 1, 10), ',') AS failed_check_names
+FROM ({_ROLLUP_SQL.split('all_checks AS', 1)[0] and _ROLLUP_SQL[_ROLLUP_SQL.index(chr(10) + 'SELECT table_name, schema_name, total_checks'):]}) r
+LEFT JOIN (SELECT table_name, schema_name, list(check_name ORDER BY seq) AS names
+           FROM all_checks WHERE status = 'failed' GROUP BY table_name, schema_name) n
+  ON r.table_name = n.table_name AND r.schema_name = n.schema_name
+WHERE r.overall_status IN ('failed', 'error')"""))
+def q_run_alerts(spark, sf):
+    from covenant.operators import governance as G
+    checks = _both_contract_checks(spark, sf)
+    runs = R.rollup_runs(checks, ["table_name", "schema_name"])
+    names = R.failed_check_names(checks, ["table_name", "schema_name"])
+    a = G.quality_alerts(runs, names)
+    from pyspark.sql import functions as F
+    return a.select("alert_type", "severity", "table", "status", "total_checks", "failed_checks",
+                    F.array_join("failed_check_names", ",").alias("failed_check_names"))

@@ -143,3 +143,81 @@ def rule_row(check_type: str, column: str | None, violations_sql: str, actual_sq
             f"CASE WHEN {failed} THEN {bad} ELSE 'passed' END AS status, '{severity}' AS severity, "
             f"CAST(violations AS BIGINT) AS violations, CAST(actual AS VARCHAR) AS actual_value "
             f"FROM (SELECT {violations_sql} AS violations, {actual_sql} AS actual FROM {table_cte}) x")
+
+
+# DuckDB type names accepted for each contract type (typeof() spelling)
+_DUCK_TYPES = {
+    "string": "t = 'VARCHAR'", "text": "t = 'VARCHAR'", "uuid": "t = 'VARCHAR'",
+    "integer": "t IN ('TINYINT','SMALLINT','INTEGER','BIGINT')",
+    "float": "t IN ('FLOAT','DOUBLE')", "boolean": "t = 'BOOLEAN'", "date": "t = 'DATE'",
+    "timestamp": "t IN ('TIMESTAMP','TIMESTAMP WITH TIME ZONE')", "decimal": "t LIKE 'DECIMAL%'",
+}
+
+
+def contract_oracle(plan, contract: dict, view: str, ref_views: dict, as_of: str,
+                    table_columns: list[str], with_seq: bool = False) -> str:
+    """UNION ALL of one row per planned check, each computed by DuckDB.
+
+    Columns: check_name, check_type, column, status, severity, violations."""
+    from covenant.plans.checkplan import check_name
+    types = {c["name"]: c["type"] for c in contract["columns"]}
+    rows = []
+
+    def row(s, status_sql, viol_sql, src=view):
+        col = "NULL" if s.column is None else f"'{s.column}'"
+        rows.append(
+            f"SELECT '{check_name(s, plan)}' AS check_name, '{s.check_type}' AS check_type, "
+            f"CAST({col} AS VARCHAR) AS \"column\", {status_sql} AS status, '{s.severity}' AS severity, "
+            f"CAST({viol_sql} AS BIGINT) AS violations{seq(s)} FROM {src}")
+
+    seq = lambda s: f", {s.seq} AS seq" if with_seq else ""
+    bad = lambda s: "'warning'" if s.severity == "warning" else "'failed'"
+    for s in plan:
+        t = s.check_type
+        if t == "column_exists":
+            ok = s.column in table_columns
+            rows.append(f"SELECT '{check_name(s, plan)}' AS check_name, 'column_exists' AS check_type, "
+                        f"'{s.column}' AS \"column\", '{'passed' if ok else 'failed'}' AS status, "
+                        f"'error' AS severity, CAST({0 if ok else 1} AS BIGINT) AS violations{seq(s)}")
+            continue
+        if t == "column_type":
+            if s.column not in table_columns:
+                continue
+            cond = _DUCK_TYPES[types[s.column]]
+            rows.append(f"SELECT '{check_name(s, plan)}', 'column_type', '{s.column}', "
+                        f"CASE WHEN {cond} THEN 'passed' ELSE 'failed' END, 'error', "
+                        f"CAST(CASE WHEN {cond} THEN 0 ELSE 1 END AS BIGINT){seq(s)} "
+                        f"FROM (SELECT typeof(\"{s.column}\") AS t FROM {view} LIMIT 1)")
+            continue
+        c = f'"{s.column}"' if s.column else None
+        p = s.params
+        if t == "not_null":
+            v = f"(SELECT count(*) FROM {view} WHERE {c} IS NULL)"
+        elif t == "unique":
+            v = (f"(SELECT count(*) FROM (SELECT {c} FROM {view} WHERE {c} IS NOT NULL "
+                 f"GROUP BY {c} HAVING count(*) > 1))")
+        elif t == "accepted_values":
+            vals = ",".join("'" + str(x).replace("'", "''") + "'" for x in p["values"])
+            v = f"(SELECT count(*) FROM {view} WHERE {c} IS NOT NULL AND {c} NOT IN ({vals}))"
+        elif t == "min_value":
+            v = f"(SELECT count(*) FROM {view} WHERE {c} < {p['value']})"
+        elif t == "max_value":
+            v = f"(SELECT count(*) FROM {view} WHERE {c} > {p['value']})"
+        elif t == "regex_match":
+            v = (f"(SELECT count(*) FROM {view} WHERE {c} IS NOT NULL AND NOT "
+                 f"regexp_matches({c}, '{p['pattern']}'))")
+        elif t == "row_count_min":
+            v = f"(SELECT GREATEST({int(p.get('min_count', 1))} - count(*), 0) FROM {view})"
+        elif t == "referential_integrity":
+            rv = ref_views[p["reference_table"]]
+            v = (f"(SELECT count(*) FROM {view} o WHERE o.{c} IS NOT NULL AND NOT EXISTS "
+                 f"(SELECT 1 FROM {rv} r WHERE r.\"{p['reference_column']}\" = o.{c}))")
+        elif t == "freshness":
+            delay = (f"((epoch_us(TIMESTAMP '{as_of}') - epoch_us(max({c}))) / 60000000.0)")
+            f = f"(SELECT CASE WHEN max({c}) IS NULL OR {delay} > {p['max_delay_minutes']} THEN 1 ELSE 0 END FROM {view})"
+            row(s, f"CASE WHEN {f} = 1 THEN 'failed' ELSE 'passed' END", f, "(SELECT 1) d")
+            continue
+        else:
+            continue
+        row(s, f"CASE WHEN {v} > 0 THEN {bad(s)} ELSE 'passed' END", v, "(SELECT 1) d")
+    return "\nUNION ALL\n".join(rows)
