@@ -326,3 +326,140 @@ def q_run_alerts(spark, sf):
     from pyspark.sql import functions as F
     return a.select("alert_type", "severity", "table", "status", "total_checks", "failed_checks",
                     F.array_join("failed_check_names", ",").alias("failed_check_names"))
+
+
+# ------------------------------------------------------------ result log
+from covenant.operators import governance as G  # noqa: E402
+
+_LOG = O.RUN_LOG
+_SUMMARY = ("run_id, table_name, schema_name, contract_version, overall_status, total_checks, "
+            "passed_checks, failed_checks, warning_checks, duration_seconds, executed_at")
+_LATEST = ("SELECT * FROM run_log QUALIFY row_number() OVER (PARTITION BY table_name, schema_name "
+           "ORDER BY executed_at DESC, run_id DESC) = 1")
+HISTORY_TABLE = "click"
+DETAIL_RUN = 1
+
+
+def _log(spark, sf):
+    return FX.run_log(spark, sf)
+
+
+@register("latest_per_table", O.with_ctes(_LOG, body=f"SELECT {_SUMMARY} FROM ({_LATEST})"))
+def q_latest_per_table(spark, sf):
+    return G.latest_per_table(_log(spark, sf)).select(*G.SUMMARY_COLUMNS)
+
+
+@register("recent_results", O.with_ctes(_LOG, body=f"SELECT {_SUMMARY} FROM run_log "
+                                        "ORDER BY executed_at DESC, run_id DESC LIMIT 50"))
+def q_recent_results(spark, sf):
+    return G.recent_results(_log(spark, sf), 50)
+
+
+@register("recent_results_for_table", O.with_ctes(
+    _LOG, body=f"SELECT {_SUMMARY} FROM run_log WHERE table_name = '{HISTORY_TABLE}' "
+               "ORDER BY executed_at DESC, run_id DESC LIMIT 50"))
+def q_recent_results_for_table(spark, sf):
+    return G.recent_results(_log(spark, sf), 50, HISTORY_TABLE)
+
+
+@register("table_history", O.with_ctes(
+    _LOG, body="SELECT run_id, overall_status, total_checks, passed_checks, failed_checks, "
+               f"duration_seconds, executed_at FROM run_log WHERE table_name = '{HISTORY_TABLE}' "
+               "ORDER BY executed_at DESC, run_id DESC LIMIT 30"))
+def q_table_history(spark, sf):
+    return G.table_history(_log(spark, sf), HISTORY_TABLE, 30)
+
+
+@register("run_detail", O.with_ctes(
+    _LOG, body="SELECT run_id, table_name, schema_name, executed_at, "
+               "json_extract_string(result_data, '$.overall_status') AS overall_status, "
+               "CAST(json_extract_string(result_data, '$.total_checks') AS BIGINT) AS total_checks, "
+               "json_extract_string(result_data, '$.freshness_result.status') AS freshness_status, "
+               "CAST(json_extract_string(result_data, '$.freshness_result.actual_delay_minutes') AS DOUBLE) "
+               f"AS actual_delay_minutes FROM run_log WHERE run_id = {DETAIL_RUN}"))
+def q_run_detail(spark, sf):
+    return G.run_detail(_log(spark, sf), DETAIL_RUN)
+
+
+_FAIL_COLS = "run_id, table_name, schema_name, contract_version, overall_status, failed_checks, executed_at"
+
+
+@register("last_failure_per_table", O.with_ctes(
+    _LOG, body=f"SELECT {_FAIL_COLS} FROM run_log WHERE overall_status = 'failed' "
+               "QUALIFY row_number() OVER (PARTITION BY table_name, schema_name "
+               "ORDER BY executed_at DESC, run_id DESC) = 1"))
+def q_last_failure_per_table(spark, sf):
+    return G.last_failure_per_table(_log(spark, sf))
+
+
+@register("currently_failing", O.with_ctes(
+    _LOG, body=f"SELECT {_FAIL_COLS} FROM ({_LATEST}) WHERE overall_status = 'failed'"))
+def q_currently_failing(spark, sf):
+    return G.currently_failing(_log(spark, sf))
+
+
+@register("report_rollup", O.with_ctes(
+    _LOG, body="SELECT count(*) AS total_tables, count(*) FILTER (WHERE overall_status = 'passed') "
+               "AS tables_passed, count(*) FILTER (WHERE overall_status = 'failed') AS tables_failed "
+               f"FROM ({_LATEST})"))
+def q_report_rollup(spark, sf):
+    return G.summary_report(_log(spark, sf))
+
+
+@register("check_totals_latest", O.with_ctes(
+    _LOG, body="SELECT CAST(coalesce(sum(total_checks), 0) AS BIGINT) AS total_checks_run, "
+               "CAST(coalesce(sum(passed_checks), 0) AS BIGINT) AS total_checks_passed "
+               f"FROM ({_LATEST})"))
+def q_check_totals_latest(spark, sf):
+    return G.check_totals_latest(_log(spark, sf))
+
+
+@register("freshness_compliance", O.with_ctes(
+    _LOG, body="SELECT count(*) FILTER (WHERE overall_status = 'passed') AS tables_within_sla, "
+               "count(*) AS tables_with_freshness_sla FROM (SELECT * FROM run_log "
+               "WHERE result_data LIKE '%freshness%' QUALIFY row_number() OVER "
+               "(PARTITION BY table_name, schema_name ORDER BY executed_at DESC, run_id DESC) = 1)"))
+def q_freshness_compliance(spark, sf):
+    return G.freshness_compliance(_log(spark, sf))
+
+
+@register("sla_compliance_by_freshness", O.with_ctes(
+    _LOG, body="SELECT count(*) FILTER (WHERE fs = 'passed') AS tables_within_sla, "
+               "count(*) AS tables_with_freshness_sla FROM (SELECT *, "
+               "json_extract_string(result_data, '$.freshness_result.status') AS fs FROM run_log "
+               "WHERE json_extract_string(result_data, '$.freshness_result.status') IS NOT NULL "
+               "QUALIFY row_number() OVER (PARTITION BY table_name, schema_name "
+               "ORDER BY executed_at DESC, run_id DESC) = 1)"))
+def q_sla_compliance_by_freshness(spark, sf):
+    return G.sla_compliance_by_freshness(_log(spark, sf))
+
+
+@register("quality_alerts", O.with_ctes(
+    _LOG, body="SELECT 'quality_check_failure' AS alert_type, "
+               "CASE WHEN failed_checks > 3 THEN 'critical' ELSE 'warning' END AS severity, "
+               "concat_ws('.', schema_name, table_name) AS \"table\", overall_status AS status, "
+               "total_checks, failed_checks, run_id, contract_version, executed_at AS \"timestamp\" "
+               "FROM run_log WHERE overall_status IN ('failed', 'error')"))
+def q_quality_alerts(spark, sf):
+    return G.quality_alerts(_log(spark, sf))
+
+
+@register("freshness_alerts", O.with_ctes(
+    _LOG, body="SELECT 'freshness_sla_breach' AS alert_type, 'critical' AS severity, "
+               "concat_ws('.', schema_name, table_name) AS \"table\", run_id, "
+               "CAST(json_extract_string(result_data, '$.freshness_result.actual_delay_minutes') AS DOUBLE) "
+               "AS actual_delay_minutes, "
+               "CAST(json_extract_string(result_data, '$.freshness_result.max_delay_minutes') AS BIGINT) "
+               "AS max_delay_minutes, executed_at AS \"timestamp\" FROM run_log "
+               "WHERE json_extract_string(result_data, '$.freshness_result.status') = 'failed'"))
+def q_freshness_alerts(spark, sf):
+    return G.log_freshness_alerts(_log(spark, sf))
+
+
+@register("run_summaries", O.with_ctes(
+    _LOG, body="SELECT table_name, schema_name, overall_status, total_checks, passed_checks, "
+               "failed_checks, duration_seconds "
+               "FROM run_log"))
+def q_run_summaries(spark, sf):
+    # exact duration: 3-place rounding differs between engines at ...5 (Q14)
+    return G.run_summaries(_log(spark, sf), digits=None)

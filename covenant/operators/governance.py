@@ -244,8 +244,10 @@ def log_freshness_alerts(log: DataFrame) -> DataFrame:
         F.col("executed_at").alias("timestamp"))
 
 
-def run_summaries(log: DataFrame) -> DataFrame:
-    """GOV12 / PRJ2: run-all summary rows, duration rounded to 3 places."""
+def run_summaries(log: DataFrame, digits: int | None = 3) -> DataFrame:
+    """GOV12 / PRJ2: run-all summary rows, duration rounded to 3 places
+    (``digits=None`` keeps the exact value)."""
+    d = F.col("duration_seconds")
     return log.select("table_name", "schema_name", "overall_status", "total_checks",
                       "passed_checks", "failed_checks",
-                      F.round("duration_seconds", 3).alias("duration_seconds"))
+                      (d if digits is None else F.round(d, digits)).alias("duration_seconds"))

@@ -75,7 +75,9 @@ run_log AS (
          value / 100.0 AS duration_seconds,
          CAST(json_object(
            'run_id', run_id, 'table_name', table_name, 'schema_name', schema_name,
-           'overall_status', overall_status,
+           'overall_status', overall_status, 'total_checks', total_checks,
+           'passed_checks', passed_checks,
+           'failed_checks', CASE WHEN overall_status = 'failed' THEN total_checks - passed_checks ELSE 0 END,
            'freshness_result', CASE WHEN run_id % 4 = 0 THEN NULL ELSE json_object(
                'status', CASE WHEN value < 50 THEN 'passed' ELSE 'failed' END,
                'actual_delay_minutes', value, 'max_delay_minutes', 60) END) AS VARCHAR) AS result_data,
