@@ -463,3 +463,136 @@ def q_freshness_alerts(spark, sf):
 def q_run_summaries(spark, sf):
     # exact duration: 3-place rounding differs between engines at ...5 (Q14)
     return G.run_summaries(_log(spark, sf), digits=None)
+
+
+# ------------------------------------------------------------ registry
+from pyspark.sql import functions as F  # noqa: E402
+
+from covenant.plans import checkplan as P  # noqa: E402
+from covenant.plans.contracts import contracts_df  # noqa: E402
+from covenant.sources import registry as RG  # noqa: E402
+
+
+@register("contract_lint", O.with_ctes(O.REGISTRY, body=O.LINT_BODY))
+def q_contract_lint(spark, sf):
+    return RG.lint_contracts(RG.contracts_from_part(spark, sf))
+
+
+@register("check_plan", O.with_ctes(O.REGISTRY, body=O.PLAN_BODY))
+def q_check_plan(spark, sf):
+    return P.plan_many(RG.contracts_from_part(spark, sf)).select(
+        "table_name", "schema_name", "check_type", "column", "severity", "origin", "seq")
+
+
+@register("contract_summary", O.with_ctes(O.REGISTRY, body="""
+SELECT table_name, schema_name, owner, version, 4 AS column_count, 4 AS rule_count,
+       has_freshness AS has_freshness_sla, tags FROM reg_top"""))
+def q_contract_summary(spark, sf):
+    return RG.contract_summary(RG.contracts_from_part(spark, sf)).withColumn(
+        "column_count", F.col("column_count").cast("int")).withColumn("rule_count", F.col("rule_count").cast("int"))
+
+
+@register("required_columns", O.with_ctes(O.REGISTRY, body="""
+SELECT table_name, schema_name,
+       string_agg(name, ',' ORDER BY pos) FILTER (WHERE NOT nullable) AS required_columns,
+       string_agg(name, ',' ORDER BY pos) FILTER (WHERE primary_key) AS primary_key_columns
+FROM reg_cols GROUP BY table_name, schema_name"""))
+def q_required_columns(spark, sf):
+    r = RG.required_columns(RG.contracts_from_part(spark, sf))
+    return r.select("table_name", "schema_name",
+                    F.array_join("required_columns", ",").alias("required_columns"),
+                    F.array_join("primary_key_columns", ",").alias("primary_key_columns"))
+
+
+T0 = "2024-01-01 00:00:00"
+
+
+def _legacy(spark, sf):
+    n = read_table(spark, sf, "nation")
+    return n.select(F.concat(F.lit("n_"), F.lower("n_name")).alias("table_name"),
+                    F.lit("legacy").alias("schema_name"), F.lit("archive").alias("owner"),
+                    F.lit("0.9.0").alias("version"))
+
+
+def _new_from_supplier(spark, sf):
+    s = read_table(spark, sf, "supplier")
+    return s.select(F.concat(F.lit("s_"), F.col("s_suppkey").cast("string")).alias("table_name"),
+                    F.lit("staging").alias("schema_name"), F.col("s_name").alias("owner"),
+                    F.lit("1.0.0").alias("version"))
+
+
+_REG_SMALL = "table_name, schema_name, owner, version"
+
+
+@register("contract_upsert", O.with_ctes(O.REGISTRY, body=f"""
+, cur AS (SELECT {_REG_SMALL} FROM reg_top
+          UNION ALL SELECT concat('n_', lower(n_name)), 'legacy', 'archive', '0.9.0' FROM nation),
+inc AS (SELECT table_name, schema_name, owner, '2.0.0' AS version FROM reg_top
+        UNION ALL SELECT concat('s_', CAST(s_suppkey AS VARCHAR)), 'staging', s_name, '1.0.0' FROM supplier)
+SELECT coalesce(i.table_name, c.table_name) AS table_name, coalesce(i.schema_name, c.schema_name) AS schema_name,
+       CASE WHEN i.table_name IS NOT NULL THEN i.owner ELSE c.owner END AS owner,
+       CASE WHEN i.table_name IS NOT NULL THEN i.version ELSE c.version END AS version,
+       CASE WHEN c.table_name IS NOT NULL THEN TIMESTAMP '{T0}' ELSE TIMESTAMP '{AS_OF}' END AS created_at,
+       CASE WHEN i.table_name IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '{T0}' END AS updated_at,
+       CASE WHEN i.table_name IS NOT NULL AND c.table_name IS NOT NULL THEN 'updated'
+            WHEN i.table_name IS NOT NULL THEN 'inserted' ELSE 'kept' END AS action
+FROM cur c FULL OUTER JOIN inc i ON c.table_name = i.table_name AND c.schema_name = i.schema_name""".replace(
+    "\n, cur AS", ", cur AS", 1).replace("WITH", "WITH", 1)))
+def q_contract_upsert(spark, sf):
+    reg = RG.contracts_from_part(spark, sf).select("table_name", "schema_name", "owner", "version")
+    cur = reg.unionByName(_legacy(spark, sf)) \
+        .withColumn("created_at", F.to_timestamp_ntz(F.lit(T0))) \
+        .withColumn("updated_at", F.to_timestamp_ntz(F.lit(T0)))
+    inc = reg.withColumn("version", F.lit("2.0.0")).unionByName(_new_from_supplier(spark, sf))
+    return RG.upsert(cur, inc, AS_OF)
+
+
+@register("contract_delete", O.with_ctes(O.REGISTRY, body="""
+, cur AS (SELECT table_name, schema_name FROM reg_top
+          UNION ALL SELECT concat('n_', lower(n_name)), 'legacy' FROM nation),
+req AS (SELECT DISTINCT * FROM (SELECT concat('n_', lower(n_name)) AS table_name, 'legacy' AS schema_name FROM nation
+        UNION ALL SELECT concat('s_', CAST(s_suppkey AS VARCHAR)), 'staging' FROM supplier))
+SELECT r.table_name, r.schema_name,
+       EXISTS (SELECT 1 FROM cur c WHERE c.table_name = r.table_name AND c.schema_name = r.schema_name) AS deleted
+FROM req r"""))
+def q_contract_delete(spark, sf):
+    reg = RG.contracts_from_part(spark, sf).select("table_name", "schema_name")
+    cur = reg.unionByName(_legacy(spark, sf).select("table_name", "schema_name"))
+    req = _legacy(spark, sf).select("table_name", "schema_name").unionByName(
+        _new_from_supplier(spark, sf).select("table_name", "schema_name"))
+    _, report = RG.delete(cur, req)
+    return report
+
+
+@register("contract_registry_after_delete", O.with_ctes(O.REGISTRY, body="""
+SELECT table_name, schema_name FROM reg_top"""))
+def q_contract_registry_after_delete(spark, sf):
+    reg = RG.contracts_from_part(spark, sf).select("table_name", "schema_name")
+    cur = reg.unionByName(_legacy(spark, sf).select("table_name", "schema_name"))
+    remaining, _ = RG.delete(cur, _legacy(spark, sf).select("table_name", "schema_name"))
+    return remaining
+
+
+@register("insert_ignore", O.with_ctes(O.RAW_CUSTOMERS, O.STG_CUSTOMERS, body="""
+SELECT c_custkey AS customer_id,
+       concat(lower(replace(c_name, '#', '.')), CASE WHEN c_custkey % 2 = 0 THEN '@example.com' ELSE '@example.org' END) AS email
+FROM customer
+WHERE concat(lower(replace(c_name, '#', '.')), CASE WHEN c_custkey % 2 = 0 THEN '@example.com' ELSE '@example.org' END)
+      NOT IN (SELECT email FROM stg_customers WHERE email IS NOT NULL)"""))
+def q_insert_ignore(spark, sf):
+    target = M.stg_customers(FX.raw_customers(spark, sf))
+    c = read_table(spark, sf, "customer")
+    incoming = c.select(F.col("c_custkey").alias("customer_id"), F.concat(
+        F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("@example.com")).otherwise(F.lit("@example.org"))).alias("email"))
+    return RG.insert_ignore(target, incoming, "email", F.col("customer_id").asc())
+
+
+@register("insert_defaults", O.with_ctes(O.RAW_ORDERS, body=f"""
+SELECT order_id IS NULL AS order_id_generated, customer_id, coalesce(status, 'pending') AS status,
+       coalesce(updated_at, TIMESTAMP '{AS_OF}') AS updated_at, version FROM raw_orders"""))
+def q_insert_defaults(spark, sf):
+    raw = FX.raw_orders(spark, sf).withColumn("order_id_generated", F.col("order_id").isNull())
+    out = RG.insert_defaults(raw, {"order_id": F.expr("uuid()"), "status": F.lit("pending"),
+                                   "updated_at": F.to_timestamp_ntz(F.lit(AS_OF))})
+    return out.select("order_id_generated", "customer_id", "status", "updated_at", "version")

@@ -114,10 +114,14 @@ def sla_compliance_by_freshness(log: DataFrame) -> DataFrame:
 
 
 def _pct(n: Column, d: Column, empty: float) -> Column:
-    """AGG9 percentage: exact decimal division rounded half-up to 2 places,
-    the given default when the denominator is 0 (ANSI-safe)."""
-    v = F.round(n.cast("decimal(38,6)") * F.lit(100) / d.cast("decimal(38,6)"), 2)
-    return F.when(d > 0, v.cast("double")).otherwise(F.lit(empty))
+    """AGG9 percentage rounded half-up to 2 places in exact integer
+    arithmetic (hundredths = floor((2*n*10000 + d) / (2*d))), so the result
+    does not depend on binary rounding (Q14); the given default when the
+    denominator is 0 (ANSI-safe: the division only runs when d > 0)."""
+    n, d = n.cast("bigint"), d.cast("bigint")
+    hundredths = F.when(d > 0, (n * 20000 + d).cast("long")).otherwise(F.lit(None))
+    q = F.when(d > 0, F.floor((hundredths - (hundredths % (d * 2))) / (d * 2)))
+    return F.when(d > 0, q / F.lit(100.0)).otherwise(F.lit(empty))
 
 
 def metrics(counts: DataFrame) -> DataFrame:

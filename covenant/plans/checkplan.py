@@ -126,7 +126,7 @@ def plan_many(contracts: DataFrame) -> DataFrame:
     rc = contracts.select(
         *keys, F.lit(2).alias("grp"), F.lit(0).alias("pos"), F.lit(0).alias("sub"),
         F.lit("row_count_min").alias("check_type"), F.lit(None).cast("string").alias("column"),
-        F.lit('{"min_count": 1}').alias("params"), F.lit("error").alias("severity"),
+        F.lit('{"min_count":1}').alias("params"), F.lit("error").alias("severity"),
         F.lit("implicit").alias("origin"))
     rules = contracts.select(*keys, F.posexplode_outer("quality_rules").alias("pos", "r")).filter(
         F.col("r").isNotNull())

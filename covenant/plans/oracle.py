@@ -223,3 +223,82 @@ def contract_oracle(plan, contract: dict, view: str, ref_views: dict, as_of: str
             continue
         row(s, f"CASE WHEN {v} > 0 THEN {bad(s)} ELSE 'passed' END", v, "(SELECT 1) d")
     return "\nUNION ALL\n".join(rows)
+
+
+_TYPES = "['string','integer','float','boolean','date','timestamp','decimal','text','uuid']"
+_TNAME = "CASE WHEN p_partkey % 13 = 0 THEN concat('T-', p_partkey) ELSE concat('t_', p_partkey) END"
+_SNAME = "CASE WHEN p_size % 2 = 0 THEN 'public' ELSE 'sales' END"
+
+REGISTRY = f"""
+reg_top AS (
+  SELECT p_partkey AS pk, {_TNAME} AS table_name, {_SNAME} AS schema_name,
+         CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_brand END AS owner,
+         CASE WHEN p_partkey % 19 = 0 THEN '1.0' ELSE concat('1.', p_size, '.0') END AS version,
+         p_size % 3 <> 0 AS has_freshness,
+         CASE WHEN p_partkey % 41 = 0 THEN 0 ELSE p_size * 60 END AS max_delay_minutes,
+         60 AS check_interval_minutes, lower(p_type) AS tags,
+         string_split(p_name, ' ')[1] AS w0, string_split(p_name, ' ')[2] AS w1, p_size, p_type
+  FROM part),
+reg_cols AS (
+  SELECT table_name, schema_name, pk, 0 AS pos, 'id' AS name, 'integer' AS type, false AS nullable, true AS primary_key FROM reg_top
+  UNION ALL SELECT table_name, schema_name, pk, 1, w0, {_TYPES}[pk % 9 + 1], true, false FROM reg_top
+  UNION ALL SELECT table_name, schema_name, pk, 2, CASE WHEN pk % 29 = 0 THEN concat(w1, '-x') ELSE w1 END,
+                   CASE WHEN pk % 23 = 0 THEN 'varchar2' ELSE {_TYPES}[(pk + 1) % 9 + 1] END,
+                   pk % 2 = 0, false FROM reg_top
+  UNION ALL SELECT table_name, schema_name, pk, 3, 'updated_at', 'timestamp', false, false FROM reg_top),
+reg_rules AS (
+  SELECT table_name, schema_name, pk, 0 AS pos, 'not_null' AS rule_type, 'id' AS "column",
+         'error' AS severity, true AS has_value, '{{}}' AS params FROM reg_top
+  UNION ALL SELECT table_name, schema_name, pk, 1, 'min_value', w0, 'warning', pk % 43 <> 0,
+                   CASE WHEN pk % 43 = 0 THEN '{{}}' ELSE CAST(p_size AS VARCHAR) END FROM reg_top
+  UNION ALL SELECT table_name, schema_name, pk, 2, 'accepted_values', w1, 'error', true, lower(p_type) FROM reg_top
+  UNION ALL SELECT table_name, schema_name, pk, 3,
+                   CASE WHEN pk % 31 = 0 THEN 'not_a_rule' ELSE 'row_count_min' END, NULL,
+                   CASE WHEN pk % 37 = 0 THEN 'fatal' ELSE 'warning' END, true, 'min_count=1' FROM reg_top)"""
+
+_IDENT = "regexp_matches({x}, '^_*[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}_]*$')"
+
+LINT_BODY = f"""
+SELECT table_name, schema_name, 'table_name' AS path, 'invalid characters' AS error FROM reg_top
+  WHERE length(table_name) > 0 AND NOT {_IDENT.format(x='table_name')}
+UNION ALL SELECT table_name, schema_name, 'owner', 'required' FROM reg_top WHERE coalesce(length(owner), 0) = 0
+UNION ALL SELECT table_name, schema_name, 'version', 'invalid version' FROM reg_top
+  WHERE NOT regexp_matches(version, '^\\d+\\.\\d+\\.\\d+$')
+UNION ALL SELECT table_name, schema_name, 'freshness.max_delay_minutes', 'out of range' FROM reg_top
+  WHERE has_freshness AND NOT (max_delay_minutes BETWEEN 1 AND 10080)
+UNION ALL SELECT table_name, schema_name, concat('columns[', pos, '].name'), 'invalid characters' FROM reg_cols
+  WHERE NOT {_IDENT.format(x='name')}
+UNION ALL SELECT table_name, schema_name, concat('columns[', pos, '].type'), concat('invalid column type ', type)
+  FROM reg_cols WHERE type NOT IN ('string','integer','float','boolean','date','timestamp','decimal','text','uuid')
+UNION ALL SELECT table_name, schema_name, concat('quality_rules[', pos, '].rule_type'), concat('invalid rule type ', rule_type)
+  FROM reg_rules WHERE rule_type NOT IN ('not_null','unique','accepted_values','min_value','max_value',
+                                          'regex_match','custom_sql','row_count_min','referential_integrity')
+UNION ALL SELECT table_name, schema_name, concat('quality_rules[', pos, '].severity'), 'invalid severity'
+  FROM reg_rules WHERE severity NOT IN ('error', 'warning')
+UNION ALL SELECT table_name, schema_name, concat('quality_rules[', pos, '].parameters.value'), 'required'
+  FROM reg_rules WHERE rule_type IN ('min_value', 'max_value') AND NOT has_value"""
+
+PLAN_BODY = """
+SELECT * FROM (
+WITH plan_rows AS (
+  SELECT table_name, schema_name, 0 AS grp, pos, 0 AS sub, 'column_exists' AS check_type, name AS "column",
+         '' AS params, 'error' AS severity, 'schema' AS origin FROM reg_cols
+  UNION ALL SELECT table_name, schema_name, 0, pos, 1, 'column_type', name, type, 'error', 'schema' FROM reg_cols
+  UNION ALL SELECT table_name, schema_name, 1, pos, 0, 'not_null', name, '{}', 'error', 'implicit'
+    FROM reg_cols WHERE NOT nullable
+  UNION ALL SELECT table_name, schema_name, 1, pos, 1, 'unique', name, '{}', 'error', 'implicit'
+    FROM reg_cols WHERE primary_key
+  UNION ALL SELECT table_name, schema_name, 2, 0, 0, 'row_count_min', NULL, 'min_count=1', 'error', 'implicit'
+    FROM reg_top
+  UNION ALL SELECT table_name, schema_name, 3, pos, 0, rule_type, "column", params, severity, 'rule' FROM reg_rules
+  UNION ALL SELECT table_name, schema_name, 4, 0, 0, 'freshness', 'updated_at', CAST(max_delay_minutes AS VARCHAR),
+                   'error', 'freshness' FROM reg_top WHERE has_freshness),
+merged AS (
+  SELECT table_name, schema_name, check_type, "column",
+         min(grp * 1000000 + pos * 10 + sub) AS first_key,
+         CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'error' ELSE 'warning' END AS severity,
+         string_agg(origin, '+' ORDER BY grp, pos, sub) AS origin
+  FROM plan_rows GROUP BY table_name, schema_name, check_type, "column", params)
+SELECT table_name, schema_name, check_type, "column", severity, origin,
+       CAST(row_number() OVER (PARTITION BY table_name, schema_name ORDER BY first_key) AS INTEGER) AS seq
+FROM merged)"""
