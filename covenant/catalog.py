@@ -596,3 +596,140 @@ def q_insert_defaults(spark, sf):
     out = RG.insert_defaults(raw, {"order_id": F.expr("uuid()"), "status": F.lit("pending"),
                                    "updated_at": F.to_timestamp_ntz(F.lit(AS_OF))})
     return out.select("order_id_generated", "customer_id", "status", "updated_at", "version")
+
+
+# ------------------------------------------------------- schema conformance
+
+def _contracts_with_samples(spark, sf):
+    samples = contracts_df(spark, [sample_contract("orders"), sample_contract("customers")])
+    return RG.contracts_from_part(spark, sf).unionByName(samples)
+
+
+@register("schema_checks", O.with_ctes(O.REGISTRY, O.CATALOG, O.SAMPLE_CONTRACT_COLUMNS,
+                                       body=O.SCHEMA_MANY_BODY))
+def q_schema_checks(spark, sf):
+    return RG.schema_checks_many(spark, _contracts_with_samples(spark, sf),
+                                 RG.inventory_from_data(spark, sf), RG.catalog_columns_from_part(spark, sf))
+
+
+@register("schema_contract_missing", O.with_ctes(O.REGISTRY, O.CATALOG, body="""
+SELECT lower(r.table_name) AS table_name, r.schema_name, lower(r.name) AS missing_column FROM reg_cols r
+WHERE EXISTS (SELECT 1 FROM cat_cols c WHERE c.table_schema = r.schema_name AND c.table_name = lower(r.table_name))
+  AND NOT EXISTS (SELECT 1 FROM cat_cols c WHERE c.table_schema = r.schema_name
+                  AND c.table_name = lower(r.table_name) AND c.column_name = lower(r.name))"""))
+def q_schema_contract_missing(spark, sf):
+    return RG.missing_columns_many(RG.contracts_from_part(spark, sf), RG.catalog_columns_from_part(spark, sf))
+
+
+@register("freshness_sla_breach", O.with_ctes(O.RAW_ORDERS, O.STG_ORDERS, body=f"""
+SELECT last_updated, TIMESTAMP '{AS_OF}' AS check_time, delay_minutes, 120 AS max_allowed_minutes
+FROM (SELECT max(updated_at) AS last_updated,
+             (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(updated_at))) / 60000000.0 AS delay_minutes
+      FROM stg_orders)
+WHERE delay_minutes > 120 OR last_updated IS NULL"""))
+def q_freshness_sla_breach(spark, sf):
+    return M.freshness_sla_breach(M.stg_orders(FX.raw_orders(spark, sf)), "updated_at", 120, AS_OF)
+
+
+# ------------------------------------------------------------ governance
+
+def _total_tables_sql():
+    return ("(SELECT count(*) FROM inventory WHERE table_schema NOT IN ('pg_catalog', 'information_schema') "
+            "AND table_type = 'BASE TABLE')")
+
+
+def _pct_sql(n, d, empty):
+    return (f"CASE WHEN ({d}) > 0 THEN CAST(((({n}) * 20000 + ({d})) // (2 * ({d}))) AS DOUBLE) / 100.0 "
+            f"ELSE {empty} END")
+
+
+@register("governance_snapshot", O.with_ctes(O.REGISTRY, O.CATALOG, _LOG, body=f"""
+SELECT {_pct_sql('tables_with_contracts', 'total_tables', '0.0')} AS contract_coverage_pct,
+       {_pct_sql('total_checks_passed', 'total_checks_run', '0.0')} AS quality_pass_rate_pct,
+       {_pct_sql('tables_within_sla', 'tables_with_freshness_sla', '100.0')} AS sla_compliance_pct,
+       total_tables, tables_with_contracts, total_checks_run, total_checks_passed,
+       tables_within_sla, tables_with_freshness_sla, TIMESTAMP '{AS_OF}' AS captured_at
+FROM (SELECT {_total_tables_sql()} AS total_tables,
+             (SELECT count(*) FROM reg_top) AS tables_with_contracts,
+             (SELECT CAST(coalesce(sum(total_checks), 0) AS BIGINT) FROM ({_LATEST})) AS total_checks_run,
+             (SELECT CAST(coalesce(sum(passed_checks), 0) AS BIGINT) FROM ({_LATEST})) AS total_checks_passed,
+             (SELECT count(*) FILTER (WHERE overall_status = 'passed') FROM (SELECT * FROM run_log
+                WHERE result_data LIKE '%freshness%' QUALIFY row_number() OVER (PARTITION BY table_name,
+                schema_name ORDER BY executed_at DESC, run_id DESC) = 1)) AS tables_within_sla,
+             (SELECT count(*) FROM (SELECT * FROM run_log WHERE result_data LIKE '%freshness%'
+                QUALIFY row_number() OVER (PARTITION BY table_name, schema_name
+                ORDER BY executed_at DESC, run_id DESC) = 1)) AS tables_with_freshness_sla)"""))
+def q_governance_snapshot(spark, sf):
+    return G.governance_snapshot(RG.inventory_from_data(spark, sf), RG.contracts_from_part(spark, sf),
+                                 _log(spark, sf), AS_OF)
+
+
+_DAILY = f"""
+daily AS (
+  SELECT {_pct_sql('tables_with_contracts', 'total_tables', '0.0')} AS contract_coverage_pct,
+         {_pct_sql('total_checks_passed', 'total_checks_run', '0.0')} AS quality_pass_rate_pct,
+         {_pct_sql('tables_within_sla', 'tables_with_freshness_sla', '100.0')} AS sla_compliance_pct,
+         total_tables, tables_with_contracts, total_checks_run, total_checks_passed,
+         tables_within_sla, tables_with_freshness_sla, captured_at
+  FROM (SELECT CAST(executed_at AS DATE) + INTERVAL '23:59:59' AS captured_at,
+               {_total_tables_sql()} AS total_tables,
+               count(DISTINCT concat_ws('.', schema_name, table_name)) AS tables_with_contracts,
+               CAST(sum(total_checks) AS BIGINT) AS total_checks_run,
+               CAST(sum(passed_checks) AS BIGINT) AS total_checks_passed,
+               count(DISTINCT CASE WHEN json_extract_string(result_data, '$.freshness_result.status') IS NOT NULL
+                     THEN concat_ws('.', schema_name, table_name) END) AS tables_with_freshness_sla,
+               count(DISTINCT CASE WHEN json_extract_string(result_data, '$.freshness_result.status') = 'passed'
+                     THEN concat_ws('.', schema_name, table_name) END) AS tables_within_sla
+        FROM run_log GROUP BY CAST(executed_at AS DATE)))"""
+TREND_DAYS = 14
+
+
+def _daily(spark, sf):
+    total = G.count_user_tables(RG.inventory_from_data(spark, sf)).first()[0]  # one-row aggregate
+    return G.daily_snapshots(_log(spark, sf), total)
+
+
+@register("governance_trend", O.with_ctes(O.CATALOG, _LOG, _DAILY, body=f"""
+SELECT * FROM daily WHERE captured_at >= TIMESTAMP '{AS_OF}' - INTERVAL '{TREND_DAYS}' DAY"""))
+def q_governance_trend(spark, sf):
+    return G.trend(_daily(spark, sf), TREND_DAYS, AS_OF)
+
+
+@register("trend_bounds", O.with_ctes(O.CATALOG, _LOG, _DAILY, body=f"""
+SELECT min(captured_at) AS period_start, max(captured_at) AS period_end, count(*) AS snapshots
+FROM daily WHERE captured_at >= TIMESTAMP '{AS_OF}' - INTERVAL '{TREND_DAYS}' DAY"""))
+def q_trend_bounds(spark, sf):
+    return G.trend_bounds(_daily(spark, sf), TREND_DAYS, AS_OF)
+
+
+@register("latest_snapshot", O.with_ctes(O.CATALOG, _LOG, _DAILY, body="""
+SELECT * FROM daily ORDER BY captured_at DESC LIMIT 1"""))
+def q_latest_snapshot(spark, sf):
+    return G.latest_snapshot(_daily(spark, sf))
+
+
+# ------------------------------------------------------------ streaming
+from covenant.streaming import gate as SG  # noqa: E402
+
+EVENT_RULES = [
+    {"rule_type": "not_null", "column": "user_id"},
+    {"rule_type": "accepted_values", "column": "event_type",
+     "parameters": {"values": ["view", "click", "purchase", "signup"]}},
+    {"rule_type": "min_value", "column": "value", "parameters": {"value": 1}},
+    {"rule_type": "max_value", "column": "value", "parameters": {"value": 300}},
+    {"rule_type": "regex_match", "column": "props", "parameters": {"pattern": '^\\{"k": [0-9]+\\}$'}},
+]
+
+
+@register("stream_rule_gate", """
+SELECT 'not_null' AS check_type, 'user_id' AS "column", CAST(count(*) FILTER (WHERE user_id IS NULL) AS BIGINT) AS violations FROM events
+UNION ALL SELECT 'accepted_values', 'event_type', count(*) FILTER (WHERE event_type IS NOT NULL
+  AND event_type NOT IN ('view', 'click', 'purchase', 'signup')) FROM events
+UNION ALL SELECT 'min_value', 'value', count(*) FILTER (WHERE value < 1) FROM events
+UNION ALL SELECT 'max_value', 'value', count(*) FILTER (WHERE value > 300) FROM events
+UNION ALL SELECT 'regex_match', 'props', count(*) FILTER (WHERE props IS NOT NULL
+  AND NOT regexp_matches(props, '^\\{"k": [0-9]+\\}$')) FROM events
+UNION ALL SELECT 'rows_checked', NULL, count(*) FROM events""")
+def q_stream_rule_gate(spark, sf):
+    schema = read_table(spark, sf, "events").schema
+    return SG.run_rule_gate(spark, sf, schema, "events", EVENT_RULES, glob="events.parquet")

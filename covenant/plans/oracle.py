@@ -302,3 +302,64 @@ merged AS (
 SELECT table_name, schema_name, check_type, "column", severity, origin,
        CAST(row_number() OVER (PARTITION BY table_name, schema_name ORDER BY first_key) AS INTEGER) AS seq
 FROM merged)"""
+
+
+CATALOG = f"""
+inventory AS (
+  SELECT {_SNAME} AS table_schema, lower({_TNAME}) AS table_name,
+         CASE WHEN p_partkey % 5 = 0 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type FROM part
+  UNION ALL SELECT 'staging', concat('s_', CAST(s_suppkey AS VARCHAR)), 'BASE TABLE' FROM supplier
+  UNION ALL SELECT 'pg_catalog', concat('pg_', lower(n_name)), 'BASE TABLE' FROM nation),
+conform(contract_type, data_type) AS (VALUES ('string','string'), ('integer','bigint'), ('float','double'),
+  ('boolean','boolean'), ('date','date'), ('timestamp','timestamp'), ('decimal','decimal'),
+  ('text','string'), ('uuid','string')),
+cat_cols AS (
+  SELECT {_SNAME} AS table_schema, lower({_TNAME}) AS table_name, 1 AS ordinal_position,
+         'id' AS column_name, 'bigint' AS data_type FROM part
+  UNION ALL
+  SELECT {_SNAME}, lower({_TNAME}), 2, string_split(p_name, ' ')[1],
+         CASE WHEN p_partkey % 7 = 0 THEN
+                CASE WHEN {_TYPES}[p_partkey % 9 + 1] = 'integer' THEN 'string' ELSE 'int' END
+              ELSE (SELECT data_type FROM conform WHERE contract_type = {_TYPES}[p_partkey % 9 + 1]) END
+  FROM part
+  UNION ALL
+  SELECT {_SNAME}, lower({_TNAME}), 3, string_split(p_name, ' ')[2],
+         (SELECT data_type FROM conform WHERE contract_type = {_TYPES}[(p_partkey + 1) % 9 + 1])
+  FROM part WHERE p_partkey % 11 <> 0
+  UNION ALL
+  SELECT {_SNAME}, lower({_TNAME}), 4, 'updated_at', 'timestamp' FROM part),
+accepted(contract_type, data_type) AS (VALUES ('string','string'), ('string','varchar'), ('string','char'),
+  ('text','string'), ('text','varchar'), ('integer','tinyint'), ('integer','smallint'), ('integer','int'),
+  ('integer','bigint'), ('float','float'), ('float','double'), ('boolean','boolean'), ('date','date'),
+  ('timestamp','timestamp'), ('timestamp','timestamp_ntz'), ('decimal','decimal'), ('uuid','string'))"""
+
+SAMPLE_CONTRACT_COLUMNS = """
+sample_cols(table_name, schema_name, pos, name, type) AS (VALUES
+  ('orders','public',0,'order_id','uuid'), ('orders','public',1,'customer_id','uuid'),
+  ('orders','public',2,'order_date','date'), ('orders','public',3,'total_amount','decimal'),
+  ('orders','public',4,'status','string'), ('orders','public',5,'created_at','timestamp'),
+  ('orders','public',6,'updated_at','timestamp'),
+  ('customers','public',0,'customer_id','uuid'), ('customers','public',1,'email','string'),
+  ('customers','public',2,'first_name','string'), ('customers','public',3,'last_name','string'),
+  ('customers','public',4,'country','string'), ('customers','public',5,'created_at','timestamp'),
+  ('customers','public',6,'updated_at','timestamp'))"""
+
+SCHEMA_MANY_BODY = """
+SELECT * FROM (
+WITH exp AS (
+  SELECT lower(table_name) AS table_name, schema_name, lower(name) AS "column", type AS contract_type FROM reg_cols
+  UNION ALL SELECT table_name, schema_name, name, type FROM sample_cols),
+present AS (SELECT DISTINCT e.table_name, e.schema_name FROM exp e
+            WHERE EXISTS (SELECT 1 FROM inventory i WHERE i.table_schema = e.schema_name AND i.table_name = e.table_name)),
+j AS (SELECT e.*, c.data_type FROM exp e JOIN present p ON e.table_name = p.table_name AND e.schema_name = p.schema_name
+      LEFT JOIN cat_cols c ON c.table_schema = e.schema_name AND c.table_name = e.table_name AND c.column_name = e."column")
+SELECT DISTINCT table_name, schema_name, 'table_exists' AS check_type, CAST(NULL AS VARCHAR) AS "column",
+       'failed' AS status, CAST(NULL AS VARCHAR) AS expected_value, CAST(NULL AS VARCHAR) AS actual_value
+FROM exp e WHERE NOT EXISTS (SELECT 1 FROM inventory i WHERE i.table_schema = e.schema_name AND i.table_name = e.table_name)
+UNION ALL
+SELECT table_name, schema_name, 'column_exists', "column",
+       CASE WHEN data_type IS NOT NULL THEN 'passed' ELSE 'failed' END, NULL, NULL FROM j
+UNION ALL
+SELECT table_name, schema_name, 'column_type', "column",
+       CASE WHEN EXISTS (SELECT 1 FROM accepted a WHERE a.contract_type = j.contract_type AND a.data_type = j.data_type)
+            THEN 'passed' ELSE 'failed' END, contract_type, data_type FROM j WHERE data_type IS NOT NULL)"""
