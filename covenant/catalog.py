@@ -733,3 +733,19 @@ UNION ALL SELECT 'rows_checked', NULL, count(*) FROM events""")
 def q_stream_rule_gate(spark, sf):
     schema = read_table(spark, sf, "events").schema
     return SG.run_rule_gate(spark, sf, schema, "events", EVENT_RULES, glob="events.parquet")
+
+
+# ------------------------------------------------------------ pipeline
+from covenant.plans import pipeline as PL  # noqa: E402
+
+
+@register("governance_pipeline", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body=(
+    "SELECT table_name, schema_name, overall_status, total_checks, passed_checks, failed_checks, "
+    "warning_checks FROM (" + _ROLLUP_SQL[_ROLLUP_SQL.index("\nSELECT table_name, schema_name, total_checks"):]
+    + ")")))
+def q_governance_pipeline(spark, sf):
+    tables = governed(spark, sf)
+    out = PL.governance_run(spark, [sample_contract("orders"), sample_contract("customers")], tables,
+                            RG.inventory_from_data(spark, sf), RG.contracts_from_part(spark, sf), AS_OF)
+    return out["runs"].select("table_name", "schema_name", "overall_status", "total_checks",
+                              "passed_checks", "failed_checks", "warning_checks")
