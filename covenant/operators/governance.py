@@ -229,7 +229,7 @@ def quality_alerts(runs: DataFrame, failed_names: DataFrame | None = None) -> Da
         cols.append("contract_version")
     if "executed_at" in a.columns:
         cols.append(F.col("executed_at").alias("timestamp"))
-    if failed_names is not None:
+    if failed_names is not None or "failed_check_names" in a.columns:
         cols.append(F.coalesce("failed_check_names", F.array().cast("array<string>"))
                     .alias("failed_check_names"))
     return a.select(*cols)

@@ -28,17 +28,26 @@ def overall_status(failed: Column, warning: Column, errors: Column | None = None
     return s.otherwise("passed")
 
 
-def rollup_runs(checks: DataFrame, keys: Sequence[str] = RUN_KEYS, strict: bool = False) -> DataFrame:
-    """AGG7: one summary row per run from its check rows."""
+def rollup_runs(checks: DataFrame, keys: Sequence[str] = RUN_KEYS, strict: bool = False,
+                with_failed_names: int = 0) -> DataFrame:
+    """AGG7: one summary row per run from its check rows. With
+    ``with_failed_names=n`` the same aggregate also keeps the first n failed
+    check names in plan order (TOP5), so alerts need no second pass."""
     keys = [k for k in keys if k in checks.columns]
     st = F.col("status")
     fresh = F.col("check_type") == "freshness"
+    extra = []
+    if with_failed_names:
+        extra.append(F.slice(F.transform(
+            F.array_sort(F.collect_list(F.when(st == "failed", F.struct("seq", "check_name")))),
+            lambda x: x["check_name"]), 1, with_failed_names).alias("failed_check_names"))
     agg = checks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_checks"),
         F.count_if(st == "passed").alias("passed_checks"),
         F.count_if(st == "failed").alias("failed_checks"),
         F.count_if((st == "warning") & ~fresh).alias("warning_checks"),
         F.count_if(st == "error").alias("error_checks"),
+        *extra,
     )
     return agg.withColumn("overall_status", overall_status(
         F.col("failed_checks"), F.col("warning_checks"), F.col("error_checks"), strict))
