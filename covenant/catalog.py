@@ -748,3 +748,27 @@ def q_governance_pipeline(spark, sf):
                             RG.inventory_from_data(spark, sf), RG.contracts_from_part(spark, sf), AS_OF)
     return out["runs"].select("table_name", "schema_name", "overall_status", "total_checks",
                               "passed_checks", "failed_checks", "warning_checks")
+
+
+# ------------------------------------------------------------ more registry / rules
+
+@register("contract_resolve", O.with_ctes(O.REGISTRY, body="""
+SELECT table_name, schema_name, version, 'registry' AS source FROM reg_top
+UNION ALL SELECT 'orders', 'public', '1.0.0', 'file'
+UNION ALL SELECT 'customers', 'public', '1.0.0', 'file'"""))
+def q_contract_resolve(spark, sf):
+    files = contracts_df(spark, [sample_contract("orders"), sample_contract("customers"),
+                                 {**sample_contract("orders"), "table_name": "t_1", "schema_name": "public"}])
+    out = RG.resolve_contracts(RG.contracts_from_part(spark, sf), files)
+    return out.select("table_name", "schema_name", "version", "source")
+
+
+@register("rule_unique_composite", O.with_ctes(O.RAW_ORDERS, body="""
+SELECT 'unique' AS check_type, 'customer_id,order_date' AS "column",
+       CASE WHEN count(*) > 0 THEN 'failed' ELSE 'passed' END AS status, 'error' AS severity,
+       CAST(count(*) AS BIGINT) AS violations, CAST(count(*) AS VARCHAR) AS actual_value
+FROM (SELECT customer_id, order_date FROM raw_orders WHERE customer_id IS NOT NULL AND order_date IS NOT NULL
+      GROUP BY customer_id, order_date HAVING count(*) > 1)"""))
+def q_rule_unique_composite(spark, sf):
+    rule = {"rule_type": "unique", "parameters": {"columns": ["customer_id", "order_date"]}}
+    return C.evaluate_rules(spark, FX.raw_orders(spark, sf), "orders", [rule]).select(*RULE_OUT)

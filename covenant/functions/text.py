@@ -73,3 +73,11 @@ def stable_id(*cols) -> Column:
     """FN15: a deterministic id from key columns (tests and replays need
     stable ids; ``uuid()`` is used where a fresh id is wanted)."""
     return F.sha2(F.concat_ws("\u0001", *[_c(c).cast("string") for c in cols]), 256)
+
+
+def to_utc_timestamp_ntz(x) -> Column:
+    """FN7: ISO text or timestamp -> timestamp without zone, read as UTC
+    (naive values are UTC; zoned text is converted to UTC)."""
+    # text is parsed in the session zone, which ``configure`` pins to UTC,
+    # so naive text stays as written and zoned text is shifted to UTC
+    return F.to_timestamp(_c(x).cast("string")).cast("timestamp_ntz")

@@ -338,3 +338,45 @@ def missing_columns_many(contracts: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 __all__ = ["IDENTIFIER_PATTERN"]
+
+
+# ------------------------------------------------------------ SRC7 / SRC8
+
+def resolve_contracts(registry: DataFrame, files: DataFrame) -> DataFrame:
+    """SRC7 for a whole set of keys: the registered contract, or — when a
+    table has none — the contract from the definition files (which the
+    caller then registers with ``upsert``). Registry wins; the file side is
+    an anti-join against it. ``source`` tells which side answered."""
+    reg = registry.withColumn("source", F.lit("registry"))
+    fallback = files.join(registry.select(*KEYS), KEYS, "left_anti").withColumn("source", F.lit("file"))
+    return reg.unionByName(fallback, allowMissingColumns=True)
+
+
+def get_contract(contracts: DataFrame, table_name: str, schema_name: str = "public") -> DataFrame:
+    """FIL2 / SRC7: one contract by key (a pushed-down equality filter)."""
+    return contracts.filter((F.col("table_name") == table_name) & (F.col("schema_name") == schema_name))
+
+
+def list_contracts(contracts: DataFrame) -> DataFrame:
+    """SRC8: all contracts ordered by table name."""
+    return contracts.orderBy("table_name", "schema_name")
+
+
+def column_metadata(spark: SparkSession, df: DataFrame, table_name: str,
+                    schema_name: str = "public") -> DataFrame:
+    """SRC5: (ordinal, name, type, nullable) of a DataFrame, in the catalog's
+    column layout; metadata only."""
+    from covenant.operators.checks import spark_type_name
+    rows = [(schema_name, table_name, i + 1, f.name, spark_type_name(f.dataType), f.nullable)
+            for i, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(rows, "table_schema string, table_name string, ordinal_position int, "
+                                       "column_name string, data_type string, is_nullable boolean")
+
+
+def materialise(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """SINK5: write a model as a table (Parquet) and read it back, so later
+    jobs start from the files instead of re-running the model. Write to a
+    new path, then switch readers to it; never overwrite the path being
+    read."""
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -22,3 +22,12 @@ def test_minutes_between_and_slug(spark):
                    "'Row Count' AS s")
     r = df.select(minutes_between("a", "b"), check_slug("s")).first()
     assert r[0] == 90.0 and r[1] == "row_count"
+
+
+def test_to_utc_timestamp_ntz(spark):
+    from datetime import datetime
+
+    from covenant.functions.text import to_utc_timestamp_ntz
+    df = spark.createDataFrame([("2024-01-01T10:00:00",), ("2024-01-01T10:00:00+02:00",)], "s string")
+    got = [r[0] for r in df.select(to_utc_timestamp_ntz("s")).collect()]
+    assert got == [datetime(2024, 1, 1, 10), datetime(2024, 1, 1, 8)]
