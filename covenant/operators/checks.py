@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from covenant.functions.literals import local_rows
 from covenant.functions.text import IDENTIFIER_PATTERN, minutes_between
 from covenant.plans.checkplan import CheckSpec, check_name, plan_contract
 from covenant.plans.contracts import ACCEPTED_SPARK_TYPES, normalise
@@ -133,7 +134,7 @@ def _check_struct(meta: dict, table: str, schema: str, status: Column, expected:
 
 def _static_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     data = [tuple(r.get(c) for c in CHECK_COLUMNS) for r in rows]
-    return spark.createDataFrame(data, CHECK_SCHEMA)
+    return local_rows(spark, data, CHECK_SCHEMA)
 
 
 # --------------------------------------------------------- row-level rules

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from covenant.functions.literals import local_rows
 from covenant.functions.text import minutes_between
 from covenant.operators.checks import _field, _valid_ident, as_of_col
 from covenant.plans.contracts import normalise
@@ -34,8 +35,8 @@ FRESHNESS_COLUMNS = [f.name for f in FRESHNESS_SCHEMA.fields]
 
 
 def _static(spark, table, schema, column, max_delay, status, message, as_of) -> DataFrame:
-    df = spark.createDataFrame(
-        [(table, schema, column, None, max_delay, None, status, False, message)],
+    df = local_rows(
+        spark, [(table, schema, column, None, max_delay, None, status, False, message)],
         "table_name string, schema_name string, timestamp_column string, last_updated_at timestamp_ntz, "
         "max_delay_minutes bigint, actual_delay_minutes double, status string, is_within_sla boolean, "
         "message string")

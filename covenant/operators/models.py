@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covenant.functions.literals import local_rows
 from covenant.functions.text import initcap_trim, lower_trim, minutes_between, upper_trim
 from covenant.operators.latest import latest_per_key
 
@@ -119,7 +120,7 @@ def schema_contract_missing(spark: SparkSession, df: DataFrame,
 
     Both sides are column lists (bounded by the schema width), so the
     anti-join's broadcast is size-proven."""
-    expected = spark.createDataFrame([(c,) for c in expected_columns], "column_name string")
-    actual = spark.createDataFrame([(f.name,) for f in df.schema.fields], "column_name string")
+    expected = local_rows(spark, [(c,) for c in expected_columns], "column_name string")
+    actual = local_rows(spark, [(f.name,) for f in df.schema.fields], "column_name string")
     return (expected.join(F.broadcast(actual), "column_name", "left_anti")
             .select(F.col("column_name").alias("missing_column")))

@@ -158,7 +158,8 @@ def to_row(doc: dict) -> tuple:
 
 def contracts_df(spark: SparkSession, docs: Iterable[dict]) -> DataFrame:
     """Contract documents -> contracts DataFrame (driver-sized input)."""
-    return spark.createDataFrame([to_row(d) for d in docs], CONTRACT_SCHEMA)
+    from covenant.functions.literals import local_rows
+    return local_rows(spark, [to_row(d) for d in docs], CONTRACT_SCHEMA)
 
 
 def read_contract_dir(spark: SparkSession, path: str) -> DataFrame:

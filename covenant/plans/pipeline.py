@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covenant.functions.literals import local_rows
 from covenant.operators import governance as G
 from covenant.operators import results as R
 from covenant.operators.checks import CHECK_SCHEMA, evaluate_contract
@@ -54,7 +55,7 @@ def run_contracts(spark: SparkSession, contracts: Sequence[dict], tables: TableS
         try:
             checks = evaluate_contract(spark, tables.get(c["table_name"]), c, tables, as_of)
         except Exception as exc:  # noqa: BLE001 - planning errors become ERROR rows
-            checks = spark.createDataFrame(
+            checks = local_rows(spark, 
                 [(c["table_name"], c["schema_name"], 0, "contract_checks", "quality", None, "error",
                   None, None, "error", None, f"check planning failed: {exc}"[:500])], CHECK_SCHEMA)
         pending.append(checks.withColumn("contract_version", F.lit(c["version"])))

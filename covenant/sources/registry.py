@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covenant.functions.literals import local_rows
 from covenant.functions.text import IDENTIFIER_PATTERN, is_identifier
 from covenant.operators.checks import as_of_col
 from covenant.plans.contracts import (
@@ -290,8 +291,8 @@ def insert_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 def accepted_types(spark: SparkSession) -> DataFrame:
     """Contract type -> accepted Spark type names (fixed, 19 rows)."""
-    return spark.createDataFrame([(k, t) for k, ts in ACCEPTED_SPARK_TYPES.items() for t in ts],
-                                 "contract_type string, data_type string")
+    return local_rows(spark, [(k, t) for k, ts in ACCEPTED_SPARK_TYPES.items() for t in ts],
+                      "contract_type string, data_type string")
 
 
 def schema_checks_many(spark: SparkSession, contracts: DataFrame, inventory: DataFrame,
@@ -369,8 +370,8 @@ def column_metadata(spark: SparkSession, df: DataFrame, table_name: str,
     from covenant.operators.checks import spark_type_name
     rows = [(schema_name, table_name, i + 1, f.name, spark_type_name(f.dataType), f.nullable)
             for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "table_schema string, table_name string, ordinal_position int, "
-                                       "column_name string, data_type string, is_nullable boolean")
+    return local_rows(spark, rows, "table_schema string, table_name string, ordinal_position int, "
+                                   "column_name string, data_type string, is_nullable boolean")
 
 
 def materialise(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:

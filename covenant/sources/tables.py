@@ -22,9 +22,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """SRC1/SRC2: Parquet scan of one base table."""
-    return spark.read.parquet(table_path(sf_dir, name))
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, reuse: bool = True) -> DataFrame:
+    """SRC1/SRC2: Parquet scan of one base table.
+
+    The resolved relation (file listing + footer schema) is kept per session
+    and path, the way a catalog table is resolved once; the scan itself runs
+    anew in every query. ``reuse=False`` re-lists the files."""
+    path = table_path(sf_dir, name)
+    key = (id(spark), path)
+    if not reuse or key not in _RELATIONS:
+        _RELATIONS[key] = spark.read.parquet(path)
+    return _RELATIONS[key]
 
 
 def table_exists(spark: SparkSession, name: str, sf_dir: str | None = None) -> bool:
