@@ -234,11 +234,17 @@ def upsert(current: DataFrame, incoming: DataFrame, as_of=None) -> DataFrame:
     untouched rows stay as they were. A full outer join on the keys (both
     sides hash-partitioned on them). The caller writes the result as a new
     snapshot and switches to it (never overwrite the table being read)."""
+    from covenant.operators.latest import latest_per_key
     now = as_of_col(as_of).cast("timestamp_ntz")
     cur = current
     if "created_at" not in cur.columns:
         cur = cur.withColumn("created_at", now).withColumn("updated_at", now)
     inc = incoming.drop("created_at", "updated_at")
+    # one incoming contract per key (highest version wins): a key repeated in
+    # the batch neither multiplies rows nor piles up in one join task
+    order = [("version", "desc", "last")] if "version" in inc.columns else []
+    tie = [("owner", "asc", "last")] if "owner" in inc.columns else []
+    inc = latest_per_key(inc, KEYS, order or [F.lit(0)], tie)
     data_cols = [c for c in inc.columns if c not in KEYS]
     c = cur.select(*KEYS, *[F.col(x).alias(f"c_{x}") for x in data_cols + ["created_at", "updated_at"]],
                    F.lit(True).alias("_in_cur"))
@@ -349,7 +355,8 @@ def resolve_contracts(registry: DataFrame, files: DataFrame) -> DataFrame:
     caller then registers with ``upsert``). Registry wins; the file side is
     an anti-join against it. ``source`` tells which side answered."""
     reg = registry.withColumn("source", F.lit("registry"))
-    fallback = files.join(registry.select(*KEYS), KEYS, "left_anti").withColumn("source", F.lit("file"))
+    fallback = files.join(registry.select(*KEYS).distinct(), KEYS, "left_anti") \
+        .withColumn("source", F.lit("file"))
     return reg.unionByName(fallback, allowMissingColumns=True)
 
 
@@ -381,3 +388,43 @@ def materialise(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     read."""
     df.write.mode(mode).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+# ------------------------------------------------- versioned registry snapshots
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
+    """Committed snapshot versions under ``root`` (``v=<n>/_SUCCESS``)."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("v=") and name[2:].isdigit() and fs.exists(
+                spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[2:]))
+    return sorted(out)
+
+
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest committed registry snapshot (None when there is none)."""
+    v = snapshot_versions(spark, root)
+    return spark.read.parquet(f"{root.rstrip('/')}/v={v[-1]}") if v else None
+
+
+def commit_snapshot(df: DataFrame, root: str) -> int:
+    """Write the next registry version beside the current one. Readers keep
+    using the version they resolved; the new one becomes visible once its
+    ``_SUCCESS`` marker exists, so a registry is never overwritten while it
+    is read (SINK1's 'write to a new path, then switch')."""
+    spark = df.sparkSession
+    v = snapshot_versions(spark, root)
+    nxt = (v[-1] + 1) if v else 1
+    df.write.mode("error").parquet(f"{root.rstrip('/')}/v={nxt}")
+    return nxt

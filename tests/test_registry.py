@@ -66,3 +66,26 @@ def test_metric_percentages(spark):
         == (66.67, 0.0, 100.0)
     assert (rows[1]["contract_coverage_pct"], rows[1]["quality_pass_rate_pct"], rows[1]["sla_compliance_pct"]) \
         == (0.0, 66.67, 12.5)
+
+
+def test_upsert_collapses_duplicate_incoming_keys(spark):
+    cur = spark.createDataFrame([("a", "public", "1.0.0")], "table_name string, schema_name string, version string")
+    inc = spark.createDataFrame([("a", "public", "1.1.0"), ("a", "public", "1.2.0")],
+                                "table_name string, schema_name string, version string")
+    got = upsert(cur, inc, "2024-02-01 00:00:00").collect()
+    assert len(got) == 1 and got[0]["version"] == "1.2.0"
+
+
+def test_snapshots_are_versioned(spark):
+    import tempfile
+
+    from covenant.sources.registry import commit_snapshot, read_snapshot, snapshot_versions
+    root = tempfile.mkdtemp(prefix="registry-")
+    assert read_snapshot(spark, root) is None
+    one = spark.createDataFrame([("a", "public")], "table_name string, schema_name string")
+    assert commit_snapshot(one, root) == 1
+    cur = read_snapshot(spark, root)
+    nxt = cur.unionByName(spark.createDataFrame([("b", "public")], "table_name string, schema_name string"))
+    assert commit_snapshot(nxt, root) == 2   # reads v=1 while writing v=2
+    assert snapshot_versions(spark, root) == [1, 2]
+    assert sorted(r["table_name"] for r in read_snapshot(spark, root).collect()) == ["a", "b"]
