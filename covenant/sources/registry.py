@@ -304,33 +304,39 @@ def accepted_types(spark: SparkSession) -> DataFrame:
 def schema_checks_many(spark: SparkSession, contracts: DataFrame, inventory: DataFrame,
                        columns: DataFrame) -> DataFrame:
     """CHK1 + CHK2 + CHK5 for every contract at once (JOIN3 as a join, not a
-    loop): contract columns left-joined to the catalog's columns on
-    (schema, table, column); a missing table yields one failed
-    ``table_exists`` row. The accepted-type table is fixed-size, so its
-    broadcast is bounded."""
-    tables = inventory.select(F.col("table_schema").alias("schema_name"), "table_name").distinct()
-    c = contracts.select(F.lower("table_name").alias("table_name"), "schema_name", "columns")
-    present = c.join(tables, KEYS, "left_semi")
-    missing = c.join(tables, KEYS, "left_anti").select(
+    loop). Contract columns are flagged with table existence by one left
+    join against the inventory's distinct table keys, then left-joined to
+    the catalog's columns on (schema, table, column); a missing table yields
+    one failed ``table_exists`` row. The accepted-type table is fixed-size,
+    so its broadcast is bounded."""
+    tables = (inventory.select(F.col("table_schema").alias("schema_name"), "table_name").distinct()
+              .withColumn("_exists", F.lit(True)))
+    exp = contracts.select(F.lower("table_name").alias("table_name"), "schema_name",
+                           F.explode_outer("columns").alias("c")).select(
+        *KEYS, F.lower(F.col("c.name")).alias("column"), F.col("c.type").alias("contract_type"))
+    flagged = exp.join(tables, KEYS, "left")
+    missing = flagged.filter(F.col("_exists").isNull()).select(*KEYS).distinct().select(
         *KEYS, F.lit("table_exists").alias("check_type"), F.lit(None).cast("string").alias("column"),
         F.lit("failed").alias("status"), F.lit(None).cast("string").alias("expected_value"),
         F.lit(None).cast("string").alias("actual_value"))
-    exp = present.select(*KEYS, F.posexplode("columns").alias("pos", "c")).select(
-        *KEYS, "pos", F.lower(F.col("c.name")).alias("column"), F.col("c.type").alias("contract_type"))
     act = columns.select(F.col("table_schema").alias("schema_name"), "table_name",
                          F.col("column_name").alias("column"), "data_type")
-    j = exp.join(act, KEYS + ["column"], "left")
+    j = (flagged.filter(F.col("_exists") & F.col("column").isNotNull()).drop("_exists")
+         .join(act, KEYS + ["column"], "left"))
     ok_types = accepted_types(spark).withColumn("_ok", F.lit(True))
     j = j.join(F.broadcast(ok_types), ["contract_type", "data_type"], "left")
-    exists = j.select(*KEYS, F.lit("column_exists").alias("check_type"), "column",
-                      F.when(F.col("data_type").isNotNull(), "passed").otherwise("failed").alias("status"),
-                      F.lit(None).cast("string").alias("expected_value"),
-                      F.lit(None).cast("string").alias("actual_value"))
-    typed = j.filter(F.col("data_type").isNotNull()).select(
-        *KEYS, F.lit("column_type").alias("check_type"), "column",
-        F.when(F.col("_ok"), "passed").otherwise("failed").alias("status"),
-        F.col("contract_type").alias("expected_value"), F.col("data_type").alias("actual_value"))
-    return missing.unionByName(exists).unionByName(typed)
+    checks = j.select(*KEYS, "column", "contract_type", "data_type", F.explode(F.array(
+        F.struct(F.lit("column_exists").alias("check_type"),
+                 F.when(F.col("data_type").isNotNull(), "passed").otherwise("failed").alias("status"),
+                 F.lit(None).cast("string").alias("expected_value"),
+                 F.lit(None).cast("string").alias("actual_value")),
+        F.when(F.col("data_type").isNotNull(), F.struct(
+            F.lit("column_type").alias("check_type"),
+            F.when(F.col("_ok"), "passed").otherwise("failed").alias("status"),
+            F.col("contract_type").alias("expected_value"), F.col("data_type").alias("actual_value"))),
+    )).alias("k")).filter(F.col("k").isNotNull()).select(
+        *KEYS, "k.check_type", "column", "k.status", "k.expected_value", "k.actual_value")
+    return missing.unionByName(checks)
 
 
 def missing_columns_many(contracts: DataFrame, columns: DataFrame) -> DataFrame:
