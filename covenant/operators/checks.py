@@ -292,12 +292,17 @@ def _fk_check(df, s, plan, table, schema, tables: TableSet) -> DataFrame | dict:
                         v, F.col("orphan_keys"))).alias("c")).select("c.*")
 
 
+def run_rule_query(spark: SparkSession, df: DataFrame, sql: str) -> DataFrame:
+    """RUL7 query form: ``{table}`` in the query is the checked DataFrame,
+    passed as a query argument (no global temp view is created or
+    replaced); the query returns the failing rows."""
+    return spark.sql(sql, table=df)
+
+
 def _custom_query_check(spark, df, s, plan, table, schema) -> DataFrame:
-    """RUL7 query form: the query sees the table as the view named by the
-    contract and returns failing rows; any row is a failure."""
+    """RUL7: any row returned by the rule's query is a failure."""
     meta = _row(s, check_name(s, plan))
-    df.createOrReplaceTempView(table)
-    failing = spark.sql(s.params["sql"])
+    failing = run_rule_query(spark, df, s.params["sql"])
     v = F.col("n")
     return failing.agg(F.count(F.lit(1)).alias("n")).select(_check_struct(
         meta, table, schema, _status(v > 0, s.severity), F.lit(0), v, v,
@@ -429,8 +434,7 @@ def violations(df: DataFrame, rule: dict, tables: TableSet | None = None,
         return (df.agg(F.count(F.lit(1)).alias("row_count"))
                   .filter(F.col("row_count") < mc).withColumn("min_count", F.lit(mc).cast("bigint")))
     if t == "custom_sql" and "sql" in spec.params:
-        df.createOrReplaceTempView("__table__")
-        return df.sparkSession.sql(spec.params["sql"])
+        return run_rule_query(df.sparkSession, df, spec.params["sql"])
     pred = row_predicate_failures(df, spec)
     keep = list(dict.fromkeys(list(key_columns) + ([spec.column] if spec.column else [])))
     return df.filter(pred).select(*keep) if keep else df.filter(pred)

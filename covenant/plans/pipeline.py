@@ -39,15 +39,20 @@ def run_contracts(spark: SparkSession, contracts: Sequence[dict], tables: TableS
     whose checks cannot be planned becomes one ERROR check (GOV3) and the
     loop goes on. Returns the written checks table."""
     run_id = run_id or uuid.uuid4().hex
-    path = os.path.join(out_dir, "checks")
+    path = os.path.join(out_dir, "checks", f"run={run_id}")
     pending: list[DataFrame] = []
+    batch = [0]
 
     def flush():
+        # each batch of tables is its own folder written with overwrite: a
+        # batch re-run after a failure replaces its output, never doubles it
         if pending:
             df = pending[0]
             for p in pending[1:]:
                 df = df.unionByName(p)
-            df.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
+            (df.withColumn("run_id", F.lit(run_id))
+               .write.mode("overwrite").parquet(os.path.join(path, f"batch={batch[0]}")))
+            batch[0] += 1
             pending.clear()
 
     for doc in contracts:
@@ -62,7 +67,7 @@ def run_contracts(spark: SparkSession, contracts: Sequence[dict], tables: TableS
         if len(pending) >= tables_per_job:
             flush()
     flush()
-    return spark.read.parquet(path).filter(F.col("run_id") == run_id)
+    return spark.read.parquet(path).drop("batch")
 
 
 def governance_run(spark: SparkSession, contracts: Sequence[dict], tables: TableSet,

@@ -50,7 +50,7 @@ def test_rules_on_hand_made_rows(spark, orders):
         {"rule_type": "max_value", "column": "total_amount", "parameters": {"value": 4}, "severity": "warning"},
         {"rule_type": "regex_match", "column": "status", "parameters": {"pattern": "^[a-z]+$"}},
         {"rule_type": "custom_sql", "parameters": {"expression": "customer_id < 12"}},
-        {"rule_type": "custom_sql", "parameters": {"sql": "SELECT * FROM orders WHERE total_amount < 0"}},
+        {"rule_type": "custom_sql", "parameters": {"sql": "SELECT * FROM {table} WHERE total_amount < 0"}},
         {"rule_type": "row_count_min", "parameters": {"min_count": 5}},
         {"rule_type": "referential_integrity", "column": "customer_id",
          "parameters": {"reference_table": "customers", "reference_column": "customer_id"}},
