@@ -81,3 +81,8 @@ def to_utc_timestamp_ntz(x) -> Column:
     # text is parsed in the session zone, which ``configure`` pins to UTC,
     # so naive text stays as written and zoned text is shifted to UTC
     return F.to_timestamp(_c(x).cast("string")).cast("timestamp_ntz")
+
+
+def try_number(x, to: str = "bigint") -> Column:
+    """FN16: casts that must not fail under ANSI mode (bad text -> NULL)."""
+    return _c(x).try_cast(to)

@@ -13,7 +13,8 @@ Plan shape for one table:
   foreign key cannot skew the join);
 * schema checks come from the DataFrame's schema (metadata only).
 
-All of it is one DataFrame (``unionByName``) so a single action runs it.
+All of it is one DataFrame (SET2: ``unionByName`` of the check families) so a
+single action runs it.
 """
 
 from __future__ import annotations

@@ -47,7 +47,8 @@ def freshness_result(spark: SparkSession, df: DataFrame | None, contract: dict,
                      as_of=None) -> DataFrame:
     """CHK3 for one table: skipped (no SLA), error (bad column name, missing
     table or column), failed (no rows / null max, or delay > max), passed.
-    The status and ``is_within_sla`` both use the unrounded delay (Q6)."""
+    The status and ``is_within_sla`` both use the unrounded delay (Q6); the
+    message (FN10) shows it rounded to one place (FN8)."""
     c = normalise(contract)
     table, schema = c["table_name"], c["schema_name"]
     f = c.get("freshness")

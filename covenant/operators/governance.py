@@ -47,7 +47,7 @@ def table_history(log: DataFrame, table_name: str, limit: int = 30) -> DataFrame
 
 
 def run_detail(log: DataFrame, run_id) -> DataFrame:
-    """GOV8 / FIL2: the stored payload of one run, decoded."""
+    """GOV8 / FIL2 (FN9 JSON decode, FN16 casts): the stored payload of one run, decoded."""
     p = F.col("result_data")
     return log.filter(F.col("run_id") == F.lit(run_id)).select(
         "run_id", "table_name", "schema_name", "executed_at",
@@ -147,12 +147,17 @@ def count_user_tables(inventory: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_tables"))
 
 
+def count_contracts(contracts: DataFrame) -> DataFrame:
+    """AGG4: number of registered contracts (one-row aggregate)."""
+    return contracts.agg(F.count(F.lit(1)).alias("tables_with_contracts"))
+
+
 def governance_snapshot(inventory: DataFrame, contracts: DataFrame, log: DataFrame,
                         as_of=None) -> DataFrame:
     """GOV4: the four one-row aggregates joined into one snapshot row.
     Each side is a single row, so the joins are on one row each."""
     total = count_user_tables(inventory)
-    covered = contracts.agg(F.count(F.lit(1)).alias("tables_with_contracts"))
+    covered = count_contracts(contracts)
     checks = check_totals_latest(log)
     fresh = freshness_compliance(log)
     counts = merge_single_rows([total, covered, checks, fresh]) \
@@ -259,7 +264,7 @@ def log_freshness_alerts(log: DataFrame) -> DataFrame:
 
 
 def run_summaries(log: DataFrame, digits: int | None = 3) -> DataFrame:
-    """GOV12 / PRJ2: run-all summary rows, duration rounded to 3 places
+    """GOV12 / PRJ2 (FN8): run-all summary rows, duration rounded to 3 places
     (``digits=None`` keeps the exact value)."""
     d = F.col("duration_seconds")
     return log.select("table_name", "schema_name", "overall_status", "total_checks",

@@ -44,7 +44,7 @@ def stg_customers(raw: DataFrame, tie_break: Sequence = (("version", "desc", "la
 
 
 def order_aggregates(orders: DataFrame) -> DataFrame:
-    """AGG1 + AGG2: per-customer summary; partial aggregation runs before the
+    """AGG1 + AGG2 (FN5 conditional counts): per-customer summary; partial aggregation runs before the
     shuffle, so a customer with a third of all orders is one row per map
     task in the exchange. Money is summed as decimal (exact) and exposed as
     double; the average is that exact sum over the count."""

@@ -76,7 +76,7 @@ def failed_check_names(checks: DataFrame, keys: Sequence[str] = RUN_KEYS, limit:
 
 def log_rows(runs: DataFrame, checks: DataFrame, contract_version: str | Column = "1.0.0",
              executed_at=None, duration_seconds: float | None = None) -> DataFrame:
-    """SINK3 rows: the 11 scalar columns of a run plus its JSON payload with
+    """SINK3 rows (FN9 JSON encode): the 11 scalar columns of a run plus its JSON payload with
     every check (nulls serialised, as the reference stores them)."""
     keys = [k for k in RUN_KEYS if k in checks.columns]
     per_run = checks.groupBy(*keys).agg(

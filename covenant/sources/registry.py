@@ -152,7 +152,7 @@ def _err(cond: Column, path: Column | str, message: Column | str) -> Column:
 
 
 def lint_contracts(contracts: DataFrame) -> DataFrame:
-    """LINT1: every validation error of every contract, as rows
+    """LINT1 (FN11 identifiers, FN12 enums/patterns/ranges): every validation error of every contract, as rows
     (table_name, schema_name, path, error). The reference stops at the
     first error of a file; here all are reported in one pass."""
     tn, owner, ver = F.col("table_name"), F.col("owner"), F.col("version")
