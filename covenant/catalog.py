@@ -437,7 +437,8 @@ def q_sla_compliance_by_freshness(spark, sf):
     _LOG, body="SELECT 'quality_check_failure' AS alert_type, "
                "CASE WHEN failed_checks > 3 THEN 'critical' ELSE 'warning' END AS severity, "
                "concat_ws('.', schema_name, table_name) AS \"table\", overall_status AS status, "
-               "total_checks, failed_checks, run_id, contract_version, executed_at AS \"timestamp\" "
+               "total_checks, failed_checks, run_id, contract_version, duration_seconds, "
+               "executed_at AS \"timestamp\" "
                "FROM run_log WHERE overall_status IN ('failed', 'error')"))
 def q_quality_alerts(spark, sf):
     return G.quality_alerts(_log(spark, sf))

@@ -242,6 +242,8 @@ def quality_alerts(runs: DataFrame, failed_names: DataFrame | None = None) -> Da
         cols.append("run_id")
     if "contract_version" in a.columns:
         cols.append("contract_version")
+    if "duration_seconds" in a.columns:
+        cols.append("duration_seconds")
     if "executed_at" in a.columns:
         cols.append(F.col("executed_at").alias("timestamp"))
     if failed_names is not None or "failed_check_names" in a.columns:

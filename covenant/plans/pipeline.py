@@ -42,6 +42,7 @@ def run_contracts(spark: SparkSession, contracts: Sequence[dict], tables: TableS
     path = os.path.join(out_dir, "checks", f"run={run_id}")
     pending: list[DataFrame] = []
     batch = [0]
+    times: list[tuple[int, float]] = []
 
     def flush():
         # each batch of tables is its own folder written with overwrite: a
@@ -50,8 +51,11 @@ def run_contracts(spark: SparkSession, contracts: Sequence[dict], tables: TableS
             df = pending[0]
             for p in pending[1:]:
                 df = df.unionByName(p)
-            (df.withColumn("run_id", F.lit(run_id))
-               .write.mode("overwrite").parquet(os.path.join(path, f"batch={batch[0]}")))
+            clock = R.Stopwatch()
+            target = os.path.join(path, f"batch={batch[0]}")
+            df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(target)
+            # the tables of a batch run in one job: each gets the batch's time
+            times.append((batch[0], clock.seconds()))
             batch[0] += 1
             pending.clear()
 
@@ -67,7 +71,8 @@ def run_contracts(spark: SparkSession, contracts: Sequence[dict], tables: TableS
         if len(pending) >= tables_per_job:
             flush()
     flush()
-    return spark.read.parquet(path).drop("batch")
+    durations = local_rows(spark, times, "batch int, duration_seconds double")
+    return spark.read.parquet(path).join(F.broadcast(durations), "batch", "left").drop("batch")
 
 
 def governance_run(spark: SparkSession, contracts: Sequence[dict], tables: TableSet,
@@ -78,12 +83,11 @@ def governance_run(spark: SparkSession, contracts: Sequence[dict], tables: Table
     checks = run_contracts(spark, contracts, tables, out_dir, as_of)
     keys = ["run_id", "table_name", "schema_name"]
     runs = R.rollup_runs(checks, keys)
-    version = checks.groupBy(*keys).agg(F.max("contract_version").alias("contract_version"))
+    version = checks.groupBy(*keys).agg(F.max("contract_version").alias("contract_version"),
+                                        F.max("duration_seconds").alias("duration_seconds"))
     ts = F.to_timestamp_ntz(F.lit(str(as_of))) if as_of is not None else F.localtimestamp()
-    log = (runs.join(version, keys, "left")
-               .withColumn("executed_at", ts)
-               .withColumn("duration_seconds", F.lit(0.0)))
-    payload = R.log_rows(runs, checks.drop("contract_version"), F.lit("1.0.0"), as_of)
+    log = runs.join(version, keys, "left").withColumn("executed_at", ts)
+    payload = R.log_rows(runs, checks.drop("contract_version", "duration_seconds"), F.lit("1.0.0"), as_of)
     log = log.join(payload.select(*keys, "result_data"), keys, "left")
     log_path = os.path.join(out_dir, "quality_results")
     R.append_log(log, log_path)

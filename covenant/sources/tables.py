@@ -22,20 +22,30 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+_RELATIONS: dict[str, tuple[SparkSession, DataFrame]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, reuse: bool = True) -> DataFrame:
     """SRC1/SRC2: Parquet scan of one base table.
 
-    The resolved relation (file listing + footer schema) is kept per session
-    and path, the way a catalog table is resolved once; the scan itself runs
-    anew in every query. ``reuse=False`` re-lists the files."""
+    The resolved relation (file listing + footer schema) is kept per path
+    for the session that resolved it, the way a catalog table is resolved
+    once; the scan itself runs anew in every query. A different or
+    restarted session resolves again; ``reuse=False`` re-lists the files."""
     path = table_path(sf_dir, name)
-    key = (id(spark), path)
-    if not reuse or key not in _RELATIONS:
-        _RELATIONS[key] = spark.read.parquet(path)
-    return _RELATIONS[key]
+    hit = _RELATIONS.get(path)
+    if reuse and hit is not None and hit[0] is spark and not _stopped(spark):
+        return hit[1]
+    df = spark.read.parquet(path)
+    _RELATIONS[path] = (spark, df)
+    return df
+
+
+def _stopped(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped()
+    except Exception:  # noqa: BLE001
+        return True
 
 
 def table_exists(spark: SparkSession, name: str, sf_dir: str | None = None) -> bool:
