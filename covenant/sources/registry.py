@@ -151,55 +151,62 @@ def _err(cond: Column, path: Column | str, message: Column | str) -> Column:
         (F.lit(message) if isinstance(message, str) else message).alias("error")))
 
 
+def _errors(df: DataFrame, keys: list[str], errs: list[Column]) -> DataFrame:
+    return (df.select(*keys, F.explode(F.array(*errs)).alias("e"))
+              .filter(F.col("e").isNotNull()).select(*keys, "e.path", "e.error"))
+
+
 def lint_contracts(contracts: DataFrame) -> DataFrame:
-    """LINT1 (FN11 identifiers, FN12 enums/patterns/ranges): every validation error of every contract, as rows
-    (table_name, schema_name, path, error). The reference stops at the
-    first error of a file; here all are reported in one pass."""
+    """LINT1 (FN11 identifiers, FN12 enums/patterns/ranges): every
+    validation error of every contract, as rows (table_name, schema_name,
+    path, error). The reference stops at the first error of a file; here
+    all are reported in one pass. Top-level fields are plain column
+    predicates; columns and rules are ``posexplode``d so every predicate
+    stays in generated code (no interpreted lambdas)."""
     tn, owner, ver = F.col("table_name"), F.col("owner"), F.col("version")
-    top = F.array(
+    fr = F.col("freshness")
+    top = _errors(contracts, KEYS, [
         _err(F.coalesce(F.length(tn), F.lit(0)) == 0, "table_name", "required"),
         _err((F.length(tn) > 0) & ~is_identifier(tn), "table_name", "invalid characters"),
         _err(F.length(tn) > NAME_MAX_LENGTH, "table_name", "too long"),
         _err(F.coalesce(F.length(owner), F.lit(0)) == 0, "owner", "required"),
         _err(~F.coalesce(ver.rlike(VERSION_PATTERN), F.lit(False)), "version", "invalid version"),
         _err(F.coalesce(F.size("columns"), F.lit(0)) <= 0, "columns", "at least one column required"),
-        _err(F.col("freshness").isNotNull() & ~F.col("freshness.max_delay_minutes")
-             .between(*MAX_DELAY_RANGE), "freshness.max_delay_minutes", "out of range"),
-        _err(F.col("freshness").isNotNull() & ~F.col("freshness.check_interval_minutes")
-             .between(*CHECK_INTERVAL_RANGE), "freshness.check_interval_minutes", "out of range"),
-        _err(F.col("freshness").isNotNull() & ~is_identifier(F.col("freshness.timestamp_column")),
+        _err(fr.isNotNull() & ~F.col("freshness.max_delay_minutes").between(*MAX_DELAY_RANGE),
+             "freshness.max_delay_minutes", "out of range"),
+        _err(fr.isNotNull() & ~F.col("freshness.check_interval_minutes").between(*CHECK_INTERVAL_RANGE),
+             "freshness.check_interval_minutes", "out of range"),
+        _err(fr.isNotNull() & ~is_identifier(F.col("freshness.timestamp_column")),
              "freshness.timestamp_column", "invalid characters"),
-    )
-    types = F.array(*[F.lit(t) for t in COLUMN_TYPES])
-    col_errs = F.flatten(F.transform(F.coalesce("columns", F.array()), lambda c, i: F.array(
-        _err(~is_identifier(c["name"]), F.format_string("columns[%d].name", i), "invalid characters"),
-        _err(~F.array_contains(types, c["type"]), F.format_string("columns[%d].type", i),
-             F.concat(F.lit("invalid column type "), c["type"])))))
-    rtypes = F.array(*[F.lit(t) for t in RULE_TYPES])
-    sevs = F.array(*[F.lit(t) for t in SEVERITIES])
-
-    def needs(r, key):
-        return F.get_json_object(r["parameters"], f"$.{key}").isNull()
-
-    rule_errs = F.flatten(F.transform(F.coalesce("quality_rules", F.array()), lambda r, i: F.array(
-        _err(~F.array_contains(rtypes, r["rule_type"]), F.format_string("quality_rules[%d].rule_type", i),
-             F.concat(F.lit("invalid rule type "), r["rule_type"])),
-        _err(~F.array_contains(sevs, r["severity"]), F.format_string("quality_rules[%d].severity", i),
-             "invalid severity"),
-        _err(r["rule_type"].isin("min_value", "max_value") & needs(r, "value"),
-             F.format_string("quality_rules[%d].parameters.value", i), "required"),
-        _err((r["rule_type"] == "accepted_values") & needs(r, "values"),
-             F.format_string("quality_rules[%d].parameters.values", i), "required"),
-        _err((r["rule_type"] == "regex_match") & needs(r, "pattern"),
-             F.format_string("quality_rules[%d].parameters.pattern", i), "required"),
-        _err((r["rule_type"] == "referential_integrity")
-             & (needs(r, "reference_table") | needs(r, "reference_column")),
-             F.format_string("quality_rules[%d].parameters", i), "reference_table and reference_column required"),
-        _err((r["rule_type"] == "custom_sql") & needs(r, "expression") & needs(r, "sql"),
-             F.format_string("quality_rules[%d].parameters", i), "expression or sql required"),
-    )))
-    all_errs = F.filter(F.concat(top, col_errs, rule_errs), lambda e: e.isNotNull())
-    return contracts.select(*KEYS, F.explode(all_errs).alias("e")).select(*KEYS, "e.path", "e.error")
+    ])
+    cols = contracts.select(*KEYS, F.posexplode("columns").alias("i", "c"))
+    c = lambda f: F.col(f"c.{f}")
+    col_errs = _errors(cols, KEYS, [
+        _err(~is_identifier(c("name")), F.format_string("columns[%d].name", "i"), "invalid characters"),
+        _err(~F.coalesce(c("type").isin(*COLUMN_TYPES), F.lit(False)), F.format_string("columns[%d].type", "i"),
+             F.concat(F.lit("invalid column type "), F.coalesce(c("type"), F.lit("null")))),
+    ])
+    rules = contracts.select(*KEYS, F.posexplode("quality_rules").alias("i", "r"))
+    r = lambda f: F.col(f"r.{f}")
+    rt = r("rule_type")
+
+    def needs(key):
+        return F.get_json_object(r("parameters"), f"$.{key}").isNull()
+
+    path = lambda suffix: F.format_string(f"quality_rules[%d]{suffix}", "i")
+    rule_errs = _errors(rules, KEYS, [
+        _err(~F.coalesce(rt.isin(*RULE_TYPES), F.lit(False)), path(".rule_type"),
+             F.concat(F.lit("invalid rule type "), F.coalesce(rt, F.lit("null")))),
+        _err(~F.coalesce(r("severity").isin(*SEVERITIES), F.lit(False)), path(".severity"), "invalid severity"),
+        _err(rt.isin("min_value", "max_value") & needs("value"), path(".parameters.value"), "required"),
+        _err((rt == "accepted_values") & needs("values"), path(".parameters.values"), "required"),
+        _err((rt == "regex_match") & needs("pattern"), path(".parameters.pattern"), "required"),
+        _err((rt == "referential_integrity") & (needs("reference_table") | needs("reference_column")),
+             path(".parameters"), "reference_table and reference_column required"),
+        _err((rt == "custom_sql") & needs("expression") & needs("sql"),
+             path(".parameters"), "expression or sql required"),
+    ])
+    return top.unionByName(col_errs).unionByName(rule_errs)
 
 
 def valid_contracts(contracts: DataFrame) -> DataFrame:
