@@ -44,14 +44,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to shared storage; only when it is
-    unset (local runs, tests) a scratch folder is created here.
+    On a cluster the operator sets it to shared storage (an error is raised
+    when it is missing); only for a local master with no setting (tests) a
+    scratch folder is created here.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+            "(executors and driver must all see it); a machine-local folder would not survive "
+            "executor loss")
     path = tempfile.mkdtemp(prefix="covenant-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
