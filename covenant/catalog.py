@@ -773,3 +773,13 @@ FROM (SELECT customer_id, order_date FROM raw_orders WHERE customer_id IS NOT NU
 def q_rule_unique_composite(spark, sf):
     rule = {"rule_type": "unique", "parameters": {"columns": ["customer_id", "order_date"]}}
     return C.evaluate_rules(spark, FX.raw_orders(spark, sf), "orders", [rule]).select(*RULE_OUT)
+
+
+@register("run_payload_checks", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(True), body="""
+SELECT table_name, schema_name, check_name, check_type, "column", status, severity, violations, seq
+FROM all_checks"""))
+def q_run_payload_checks(spark, sf):
+    tables = governed(spark, sf)
+    out = PL.governance_run(spark, [sample_contract("orders"), sample_contract("customers")], tables,
+                            RG.inventory_from_data(spark, sf), RG.contracts_from_part(spark, sf), AS_OF)
+    return G.payload_checks(out["runs"]).drop("run_id")

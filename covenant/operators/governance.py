@@ -272,3 +272,17 @@ def run_summaries(log: DataFrame, digits: int | None = 3) -> DataFrame:
     return log.select("table_name", "schema_name", "overall_status", "total_checks",
                       "passed_checks", "failed_checks",
                       (d if digits is None else F.round(d, digits)).alias("duration_seconds"))
+
+
+def payload_checks(log: DataFrame) -> DataFrame:
+    """GOV8 over many runs: the check rows stored in each run's JSON payload
+    (SINK3 round trip), decoded with a declared schema, one row per check."""
+    from pyspark.sql import types as T
+    check = T.StructType([T.StructField(n, t) for n, t in (
+        ("seq", T.IntegerType()), ("check_name", T.StringType()), ("check_type", T.StringType()),
+        ("column", T.StringType()), ("status", T.StringType()), ("severity", T.StringType()),
+        ("violations", T.LongType()))])
+    payload = T.StructType([T.StructField("checks", T.ArrayType(check))])
+    return (log.select("run_id", "table_name", "schema_name",
+                       F.explode(F.from_json("result_data", payload)["checks"]).alias("c"))
+               .select("run_id", "table_name", "schema_name", "c.*"))
