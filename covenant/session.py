@@ -32,6 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("COVENANT_DRIVER_MEMORY", "12g"))
+        # no Python call-site capture per DataFrame call (an error-message aid
+        # that costs several JVM round trips for every function call)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
