@@ -104,50 +104,43 @@ def plan_many(contracts: DataFrame) -> DataFrame:
     origin, seq. Works per contract (grouped by table), so the registry may
     hold any number of contracts."""
     keys = ["table_name", "schema_name"]
-    cols = contracts.select(*keys, F.posexplode_outer("columns").alias("pos", "c"))
-    cols = cols.filter(F.col("c").isNotNull())
-    schema_rows = cols.select(
-        *keys, F.lit(0).alias("grp"), F.col("pos"), F.lit(0).alias("sub"),
-        F.lit("column_exists").alias("check_type"), F.col("c.name").alias("column"),
-        F.lit("{}").alias("params"), F.lit("error").alias("severity"), F.lit("schema").alias("origin"))
-    type_rows = cols.select(
-        *keys, F.lit(0).alias("grp"), F.col("pos"), F.lit(1).alias("sub"),
-        F.lit("column_type").alias("check_type"), F.col("c.name").alias("column"),
-        F.to_json(F.struct(F.col("c.type").alias("type"))).alias("params"),
-        F.lit("error").alias("severity"), F.lit("schema").alias("origin"))
-    nn = cols.filter(~F.col("c.nullable")).select(
-        *keys, F.lit(1).alias("grp"), F.col("pos"), F.lit(0).alias("sub"),
-        F.lit("not_null").alias("check_type"), F.col("c.name").alias("column"),
-        F.lit("{}").alias("params"), F.lit("error").alias("severity"), F.lit("implicit").alias("origin"))
-    pk = cols.filter(F.col("c.primary_key")).select(
-        *keys, F.lit(1).alias("grp"), F.col("pos"), F.lit(1).alias("sub"),
-        F.lit("unique").alias("check_type"), F.col("c.name").alias("column"),
-        F.lit("{}").alias("params"), F.lit("error").alias("severity"), F.lit("implicit").alias("origin"))
-    rc = contracts.select(
-        *keys, F.lit(2).alias("grp"), F.lit(0).alias("pos"), F.lit(0).alias("sub"),
-        F.lit("row_count_min").alias("check_type"), F.lit(None).cast("string").alias("column"),
-        F.lit('{"min_count":1}').alias("params"), F.lit("error").alias("severity"),
-        F.lit("implicit").alias("origin"))
-    rules = contracts.select(*keys, F.posexplode_outer("quality_rules").alias("pos", "r")).filter(
-        F.col("r").isNotNull())
+
+    def row(grp, pos, sub, check_type, column, params, severity, origin):
+        lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return F.struct(lit(grp).cast("int").alias("grp"), lit(pos).cast("int").alias("pos"),
+                        lit(sub).cast("int").alias("sub"), lit(check_type).cast("string").alias("check_type"),
+                        lit(column).cast("string").alias("column"), lit(params).cast("string").alias("params"),
+                        lit(severity).cast("string").alias("severity"), lit(origin).cast("string").alias("origin"))
+
+    # three passes over the registry (columns, rules, table level); each
+    # emits its plan rows with explode(array(...)), all in generated code
+    c = lambda f: F.col(f"c.{f}")
+    col_rows = contracts.select(*keys, F.posexplode("columns").alias("pos", "c")).select(
+        *keys, F.explode(F.array(
+            row(0, F.col("pos"), 0, "column_exists", c("name"), "{}", "error", "schema"),
+            row(0, F.col("pos"), 1, "column_type", c("name"), F.to_json(F.struct(c("type").alias("type"))),
+                "error", "schema"),
+            F.when(~c("nullable"), row(1, F.col("pos"), 0, "not_null", c("name"), "{}", "error", "implicit")),
+            F.when(c("primary_key"), row(1, F.col("pos"), 1, "unique", c("name"), "{}", "error", "implicit")),
+        )).alias("e"))
     p = F.col("r.parameters")
     rule_params = F.when(
         F.col("r.rule_type") == "row_count_min",
         F.to_json(F.struct(F.coalesce(F.get_json_object(p, "$.min_count").cast("bigint"),
                                       F.lit(1)).alias("min_count")))
     ).otherwise(F.to_json(F.from_json(p, "map<string,string>")))
-    rule_rows = rules.select(
-        *keys, F.lit(3).alias("grp"), F.col("pos"), F.lit(0).alias("sub"),
-        F.col("r.rule_type").alias("check_type"), F.col("r.column").alias("column"),
-        rule_params.alias("params"), F.coalesce("r.severity", F.lit("error")).alias("severity"),
-        F.lit("rule").alias("origin"))
-    fr = contracts.filter(F.col("freshness").isNotNull()).select(
-        *keys, F.lit(4).alias("grp"), F.lit(0).alias("pos"), F.lit(0).alias("sub"),
-        F.lit("freshness").alias("check_type"), F.col("freshness.timestamp_column").alias("column"),
-        F.to_json(F.struct(F.col("freshness.max_delay_minutes").alias("max_delay_minutes"))).alias("params"),
-        F.lit("error").alias("severity"), F.lit("freshness").alias("origin"))
-    allrows = (schema_rows.unionByName(type_rows).unionByName(nn).unionByName(pk)
-               .unionByName(rc).unionByName(rule_rows).unionByName(fr))
+    rule_rows = contracts.select(*keys, F.posexplode("quality_rules").alias("pos", "r")).select(
+        *keys, row(3, F.col("pos"), 0, F.col("r.rule_type"), F.col("r.column"), rule_params,
+                   F.coalesce("r.severity", F.lit("error")), "rule").alias("e"))
+    table_rows = contracts.select(*keys, F.explode(F.array(
+        row(2, 0, 0, "row_count_min", F.lit(None), '{"min_count":1}', "error", "implicit"),
+        F.when(F.col("freshness").isNotNull(), row(
+            4, 0, 0, "freshness", F.col("freshness.timestamp_column"),
+            F.to_json(F.struct(F.col("freshness.max_delay_minutes").alias("max_delay_minutes"))),
+            "error", "freshness")),
+    )).alias("e"))
+    allrows = (col_rows.unionByName(rule_rows).unionByName(table_rows)
+               .filter(F.col("e").isNotNull()).select(*keys, "e.*"))
     # canonical params so implicit and declared forms collapse
     allrows = allrows.withColumn(
         "params", F.when(F.col("check_type") == "row_count_min", F.col("params"))
