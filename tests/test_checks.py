@@ -114,3 +114,14 @@ def test_latest_per_key_nulls_first_and_tie_break(spark):
                                 (2, datetime(2024, 1, 1), 1)], "k int, ts timestamp_ntz, v int")
     out = latest_per_key(df, ["k"], [("ts", "desc", "first")], [("v", "desc", "last")])
     assert sorted((r["k"], r["v"]) for r in out.collect()) == [(1, 0), (2, 1)]
+
+
+def test_registry_plan_equals_single_contract_plan(spark):
+    from covenant.plans.checkplan import plan_many
+    from covenant.plans.contracts import contracts_df
+    docs = [sample_contract("orders"), sample_contract("customers")]
+    many = plan_many(contracts_df(spark, docs))
+    got = {(r["table_name"], r["seq"]): (r["check_type"], r["column"], r["severity"]) for r in many.collect()}
+    want = {(d["table_name"], s.seq): (s.check_type, s.column, s.severity)
+            for d in docs for s in plan_contract(d)}
+    assert got == want

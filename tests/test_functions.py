@@ -31,3 +31,31 @@ def test_to_utc_timestamp_ntz(spark):
     df = spark.createDataFrame([("2024-01-01T10:00:00",), ("2024-01-01T10:00:00+02:00",)], "s string")
     got = [r[0] for r in df.select(to_utc_timestamp_ntz("s")).collect()]
     assert got == [datetime(2024, 1, 1, 10), datetime(2024, 1, 1, 8)]
+
+
+def test_initcap_matches_word_rule_on_random_text(spark):
+    import re
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    def pg_initcap(s):
+        out, prev_alnum = [], False
+        for ch in s.lower():
+            out.append(ch.upper() if ch.isalnum() and not prev_alnum else ch)
+            prev_alnum = ch.isalnum()
+        return "".join(out)
+
+    samples = []
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.text(alphabet="abcXYZ019 '-_.\t", max_size=20))
+    def collect(s):
+        samples.append(s)
+
+    collect()
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    from covenant.functions.text import initcap_words
+    got = [r[0] for r in df.select(initcap_words("s")).collect()]
+    assert got == [pg_initcap(s) for s in samples]
+    assert all(re.fullmatch(r"[^a-z]?.*", g or "") for g in got)
