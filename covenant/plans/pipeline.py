@@ -77,10 +77,10 @@ def run_contracts(spark: SparkSession, contracts: Sequence[dict], tables: TableS
 
 def governance_run(spark: SparkSession, contracts: Sequence[dict], tables: TableSet,
                    inventory: DataFrame, registry: DataFrame, as_of=None,
-                   out_dir: str | None = None) -> dict[str, DataFrame]:
+                   out_dir: str | None = None, run_id: str | None = None) -> dict[str, DataFrame]:
     """GOV11: checks -> runs (logged) -> snapshot, report, alerts."""
     out_dir = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"governance-{uuid.uuid4().hex}")
-    checks = run_contracts(spark, contracts, tables, out_dir, as_of)
+    checks = run_contracts(spark, contracts, tables, out_dir, as_of, run_id=run_id)
     keys = ["run_id", "table_name", "schema_name"]
     runs = R.rollup_runs(checks, keys)
     version = checks.groupBy(*keys).agg(F.max("contract_version").alias("contract_version"),
