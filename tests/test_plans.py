@@ -80,3 +80,20 @@ def test_skewed_group_counts_are_exact(spark):
            df.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").collect()}
     summ = unique_summary(df, ["k"]).first()
     assert summ["duplicate_keys"] == len(got) and summ["duplicate_rows"] == sum(got.values())
+
+
+def test_bucketed_tables_check_foreign_keys_without_exchange(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from covenant.sources.tables import write_bucketed
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS covenant_test LOCATION '{tmp_path}'")
+        orders = write_bucketed(FX.raw_orders(spark, SF_SMALL), "covenant_test.orders_b", ["customer_id"], 8)
+        cust = write_bucketed(FX.raw_customers(spark, SF_SMALL), "covenant_test.customers_b", ["customer_id"], 8)
+        out = orphan_keys(orders, "customer_id", cust, "customer_id")
+        want = orphan_keys(FX.raw_orders(spark, SF_SMALL), "customer_id",
+                           FX.raw_customers(spark, SF_SMALL), "customer_id")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
