@@ -165,6 +165,22 @@ def row_predicate_failures(df: DataFrame, spec: CheckSpec) -> Column | None:
     return None
 
 
+def _custom_error(spark: SparkSession, df: DataFrame, spec: CheckSpec) -> str | None:
+    """GOV3 at rule level: analyse a custom expression or query on the
+    driver (no job runs); a rule that does not analyse becomes one ERROR
+    check instead of failing the table's whole aggregate."""
+    if spec.check_type != "custom_sql":
+        return None
+    try:
+        if "sql" in spec.params:
+            run_rule_query(spark, df, spec.params["sql"]).schema
+        elif "expression" in spec.params:
+            df.select(F.expr(spec.params["expression"]).cast("boolean")).schema
+    except Exception as exc:  # noqa: BLE001 - analysis errors become ERROR rows
+        return f"custom_sql does not analyse: {str(exc).splitlines()[0][:300]}"
+    return None
+
+
 def _missing_columns(df: DataFrame, spec: CheckSpec) -> list[str]:
     if not spec.column:
         return []
@@ -374,6 +390,10 @@ def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
             static.append({**_row(s, check_name(s, plan)), "status": "error",
                            "message": f"column(s) {', '.join(missing)} not found"})
             continue
+        bad = _custom_error(spark, df, s)
+        if bad:
+            static.append({**_row(s, check_name(s, plan)), "status": "error", "message": bad})
+            continue
         if s.check_type == "unique":
             parts.append(_unique_check(df, s, plan, table, schema))
         elif s.check_type == "referential_integrity":
@@ -462,9 +482,12 @@ def evaluate_rules(spark: SparkSession, df: DataFrame, table: str, rules: Sequen
     static, parts, fused_specs = [], [], []
     for s in plan:
         missing = _missing_columns(df, s)
+        bad = _custom_error(spark, df, s) if not missing else None
         if missing:
             static.append({**_row(s, check_name(s, plan)), "status": "error",
                            "message": f"column(s) {', '.join(missing)} not found"})
+        elif bad:
+            static.append({**_row(s, check_name(s, plan)), "status": "error", "message": bad})
         elif s.check_type == "unique":
             parts.append(_unique_check(df, s, plan, table, schema))
         elif s.check_type == "referential_integrity":

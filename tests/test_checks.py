@@ -125,3 +125,11 @@ def test_registry_plan_equals_single_contract_plan(spark):
     want = {(d["table_name"], s.seq): (s.check_type, s.column, s.severity)
             for d in docs for s in plan_contract(d)}
     assert got == want
+
+
+def test_bad_custom_rule_is_one_error_row(spark, orders):
+    rules = [{"rule_type": "not_null", "column": "order_id"},
+             {"rule_type": "custom_sql", "parameters": {"expression": "no_such_fn(status)"}},
+             {"rule_type": "custom_sql", "parameters": {"sql": "SELECT * FROM {table} WHERE nope > 1"}}]
+    got = {r["seq"]: r["status"] for r in evaluate_rules(spark, orders, "orders", rules).collect()}
+    assert got == {1: "failed", 2: "error", 3: "error"}
