@@ -256,9 +256,45 @@ def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
-def unique_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """RUL2 one-row summary: duplicate key values and the rows they cover."""
-    return duplicate_keys(df, columns).agg(
+_FIXED_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType,
+                T.TimestampType, T.TimestampNTZType, T.BooleanType, T.FloatType, T.DoubleType)
+
+
+def _wide_key(df: DataFrame, columns: Sequence[str]) -> bool:
+    return any(not isinstance(_field(df, c).dataType, _FIXED_WIDTH) for c in columns)
+
+
+def duplicate_keys_hashed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact duplicate keys for wide keys (text, decimals, several columns),
+    shuffling 8-byte hashes first:
+
+    1. count rows per 64-bit hash of the key (partial aggregation; the
+       exchange carries hashes, not keys);
+    2. keep the hashes seen more than once — every duplicated key is among
+       them, plus any hash collisions;
+    3. group only the rows with such a hash by their exact key.
+
+    Collisions only add candidates that step 3 resolves, so the result is
+    exact. The candidate join is a plain join: AQE broadcasts the candidate
+    hashes only when their measured size is small."""
+    keyed = df.select(*columns)
+    for c in columns:
+        keyed = keyed.filter(F.col(c).isNotNull())
+    keyed = keyed.withColumn("__h", F.xxhash64(*columns))
+    candidates = (keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+                       .filter(F.col("__n") > 1).select("__h"))
+    return (keyed.join(candidates, "__h", "left_semi").drop("__h")
+                 .groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows"))
+                 .filter(F.col("n_rows") > 1))
+
+
+def unique_summary(df: DataFrame, columns: Sequence[str], method: str = "auto") -> DataFrame:
+    """RUL2 one-row summary: duplicate key values and the rows they cover.
+    ``method``: 'direct' groups by the key, 'hashed' shuffles hashes first
+    (see ``duplicate_keys_hashed``), 'auto' picks hashed for wide keys."""
+    hashed = method == "hashed" or (method == "auto" and _wide_key(df, columns))
+    dups = duplicate_keys_hashed(df, columns) if hashed else duplicate_keys(df, columns)
+    return dups.agg(
         F.count(F.lit(1)).alias("duplicate_keys"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 

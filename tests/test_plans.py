@@ -97,3 +97,15 @@ def test_bucketed_tables_check_foreign_keys_without_exchange(spark, tmp_path):
         assert "Exchange" not in plan and "SortMergeJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hashed_uniqueness_is_exact_on_wide_keys(spark):
+    rows = [("hot@x.com" if i % 3 == 0 else f"user{i % 700}@x.com", i) for i in range(5000)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "email string, v long")
+    direct = unique_summary(df, ["email"], method="direct").first()
+    hashed = unique_summary(df, ["email"], method="hashed").first()
+    assert tuple(direct) == tuple(hashed)
+    both = unique_summary(df, ["email", "v"], method="hashed").first()
+    assert tuple(both) == tuple(unique_summary(df, ["email", "v"], method="direct").first())
+    plan = _plan(unique_summary(df, ["email"]))
+    assert "xxhash64" in plan
