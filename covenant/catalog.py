@@ -754,9 +754,12 @@ def q_governance_pipeline(spark, sf):
 # ------------------------------------------------------------ more registry / rules
 
 @register("contract_resolve", O.with_ctes(O.REGISTRY, body="""
+, files(table_name, schema_name, version) AS (VALUES ('orders', 'public', '1.0.0'),
+    ('customers', 'public', '1.0.0'), ('t_1', 'public', '1.0.0'))
 SELECT table_name, schema_name, version, 'registry' AS source FROM reg_top
-UNION ALL SELECT 'orders', 'public', '1.0.0', 'file'
-UNION ALL SELECT 'customers', 'public', '1.0.0', 'file'"""))
+UNION ALL
+SELECT f.table_name, f.schema_name, f.version, 'file' FROM files f
+WHERE NOT EXISTS (SELECT 1 FROM reg_top r WHERE r.table_name = f.table_name AND r.schema_name = f.schema_name)"""))
 def q_contract_resolve(spark, sf):
     files = contracts_df(spark, [sample_contract("orders"), sample_contract("customers"),
                                  {**sample_contract("orders"), "table_name": "t_1", "schema_name": "public"}])
