@@ -187,10 +187,27 @@ def _missing_columns(df: DataFrame, spec: CheckSpec) -> list[str]:
     return [c for c in spec.column.split(",") if _field(df, c) is None]
 
 
-def _fused(df: DataFrame, specs: list[CheckSpec], plan: list[CheckSpec], table: str,
-           schema: str, as_of) -> DataFrame | None:
-    """One aggregate for every row-level rule + freshness of a table."""
-    aggs: list[Column] = [F.count(F.lit(1)).alias("__n")]
+def _fused_aggs(df: DataFrame, specs: list[CheckSpec]) -> list[Column]:
+    """The aggregate expressions of the row-level rules and freshness:
+    ``__v<seq>`` violations, ``__a<seq>`` min/max actuals, ``__m<seq>``
+    freshness MAX."""
+    aggs: list[Column] = []
+    for s in specs:
+        i = s.seq
+        if s.check_type == "freshness":
+            aggs.append(F.max(F.col(s.column)).alias(f"__m{i}"))
+        elif s.check_type != "row_count_min":
+            aggs.append(F.count_if(row_predicate_failures(df, s)).alias(f"__v{i}"))
+            if s.check_type in ("min_value", "max_value"):
+                fn = F.min if s.check_type == "min_value" else F.max
+                aggs.append(fn(F.col(s.column)).alias(f"__a{i}"))
+    return aggs
+
+
+def _fused_outputs(specs: list[CheckSpec], plan: list[CheckSpec], table: str, schema: str,
+                   as_of) -> list[Column]:
+    """Check-row structs built from one aggregated row (``__n`` plus the
+    columns named by ``_fused_aggs``)."""
     outs: list[Column] = []
     n = F.col("__n")
     for s in specs:
@@ -205,7 +222,6 @@ def _fused(df: DataFrame, specs: list[CheckSpec], plan: list[CheckSpec], table:
             continue
         if s.check_type == "freshness":
             mx = s.params.get("max_delay_minutes")
-            aggs.append(F.max(F.col(s.column)).alias(f"__m{i}"))
             last = F.col(f"__m{i}")
             delay = minutes_between(as_of_col(as_of), last)
             failed = last.isNull() | (delay > F.lit(mx))
@@ -217,17 +233,9 @@ def _fused(df: DataFrame, specs: list[CheckSpec], plan: list[CheckSpec], table:
                 meta, table, schema, F.when(failed, "failed").otherwise("passed"), F.lit(mx),
                 F.round(delay, 2).cast("decimal(24,2)"), failed.cast("int"), msg))
             continue
-        pred = row_predicate_failures(df, s)
-        if pred is None:
-            continue
-        aggs.append(F.count_if(pred).alias(f"__v{i}"))
         v = F.col(f"__v{i}")
         expected, actual = F.lit(None), v
-        if s.check_type == "min_value":
-            aggs.append(F.min(F.col(s.column)).alias(f"__a{i}"))
-            expected, actual = F.lit(s.params["value"]), F.col(f"__a{i}")
-        elif s.check_type == "max_value":
-            aggs.append(F.max(F.col(s.column)).alias(f"__a{i}"))
+        if s.check_type in ("min_value", "max_value"):
             expected, actual = F.lit(s.params["value"]), F.col(f"__a{i}")
         elif s.check_type == "accepted_values":
             expected = F.lit(json.dumps(s.params.get("values", [])))
@@ -240,8 +248,16 @@ def _fused(df: DataFrame, specs: list[CheckSpec], plan: list[CheckSpec], table:
         outs.append(_check_struct(
             meta, table, schema, _status(v > 0, s.severity), expected, actual, v,
             F.format_string(f"{s.check_type} on {s.column}: %d violating rows", v)))
-    if not outs:
+    return outs
+
+
+def _fused(df: DataFrame, specs: list[CheckSpec], plan: list[CheckSpec], table: str,
+           schema: str, as_of) -> DataFrame | None:
+    """One aggregate for every row-level rule + freshness of a table."""
+    if not specs:
         return None
+    aggs = [F.count(F.lit(1)).alias("__n")] + _fused_aggs(df, specs)
+    outs = _fused_outputs(specs, plan, table, schema, as_of)
     return df.agg(*aggs).select(F.explode(F.array(*outs)).alias("c")).select("c.*")
 
 
@@ -332,10 +348,7 @@ def _fk_check(df, s, plan, table, schema, tables: TableSet) -> DataFrame | dict:
     meta = _row(s, check_name(s, plan))
     ref_name = s.params.get("reference_table")
     ref_col = s.params.get("reference_column")
-    ref = tables.get(ref_name) if tables is not None else None
-    if ref is None or ref_col is None or _field(ref, ref_col) is None:
-        return {**meta, "status": "error", "violations": None,
-                "message": f"reference {ref_name}.{ref_col} not available"}
+    ref = tables.get(ref_name)
     summ = orphan_summary(df, s.column, ref, ref_col)
     v = F.col("orphan_rows")
     return summ.select(_check_struct(
@@ -352,6 +365,38 @@ def run_rule_query(spark: SparkSession, df: DataFrame, sql: str) -> DataFrame:
     return spark.sql(sql, table=df)
 
 
+def _fk_unavailable(s: CheckSpec, plan: list[CheckSpec], tables: TableSet | None) -> dict | None:
+    ref_name = s.params.get("reference_table")
+    ref_col = s.params.get("reference_column")
+    ref = tables.get(ref_name) if tables is not None else None
+    if ref is None or ref_col is None or _field(ref, ref_col) is None:
+        return {**_row(s, check_name(s, plan)), "status": "error", "violations": None,
+                "message": f"reference {ref_name}.{ref_col} not available"}
+    return None
+
+
+def _assemble(df: DataFrame, fused_specs: list[CheckSpec], unique_specs: list[CheckSpec],
+              fk_specs: list[CheckSpec], plan: list[CheckSpec], table: str, schema: str, as_of,
+              tables: TableSet | None, single_pass: bool) -> list[DataFrame]:
+    """Data-touching parts of a table's checks. With ``single_pass`` the
+    row-level rules, narrow-key uniqueness and foreign keys share one scan
+    and one aggregate (``_single_pass``); wide unique keys keep their
+    hash-first job, whose shuffle is several times smaller."""
+    wide = [u for u in unique_specs if _wide_key(df, u.column.split(","))]
+    narrow = [u for u in unique_specs if u not in wide]
+    parts: list[DataFrame] = []
+    if single_pass and (narrow or fk_specs):
+        parts.append(_single_pass(df, fused_specs, narrow + fk_specs, plan, table, schema, as_of, tables))
+    else:
+        fused = _fused(df, fused_specs, plan, table, schema, as_of)
+        if fused is not None:
+            parts.append(fused)
+        parts += [_unique_check(df, u, plan, table, schema) for u in narrow]
+        parts += [_fk_check(df, f, plan, table, schema, tables) for f in fk_specs]
+    parts += [_unique_check(df, u, plan, table, schema) for u in wide]
+    return parts
+
+
 def _custom_query_check(spark, df, s, plan, table, schema) -> DataFrame:
     """RUL7: any row returned by the rule's query is a failure."""
     meta = _row(s, check_name(s, plan))
@@ -391,7 +436,7 @@ def schema_check_rows(df: DataFrame, contract: dict, plan: list[CheckSpec]) -> l
 # ---------------------------------------------------------------- entry point
 
 def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
-                      tables: TableSet | None = None, as_of=None) -> DataFrame:
+                      tables: TableSet | None = None, as_of=None, single_pass: bool = True) -> DataFrame:
     """All checks of one contract on one table as a checks DataFrame.
 
     ``df`` None means the table does not exist (CHK5): one failed
@@ -413,7 +458,9 @@ def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
         return _static_rows(spark, [{**r, "table_name": table, "schema_name": schema} for r in static])
 
     static.extend(schema_check_rows(df, c, plan))
-    fused_specs = []
+    fused_specs: list[CheckSpec] = []
+    unique_specs: list[CheckSpec] = []
+    fk_specs: list[CheckSpec] = []
     for s in plan:
         if s.check_type in ("column_exists", "column_type"):
             continue
@@ -431,13 +478,10 @@ def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
             static.append({**_row(s, check_name(s, plan)), "status": "error", "message": bad})
             continue
         if s.check_type == "unique":
-            parts.append(_unique_check(df, s, plan, table, schema))
+            unique_specs.append(s)
         elif s.check_type == "referential_integrity":
-            r = _fk_check(df, s, plan, table, schema, tables)
-            if isinstance(r, dict):
-                static.append(r)
-            else:
-                parts.append(r)
+            err = _fk_unavailable(s, plan, tables)
+            (static.append(err) if err else fk_specs.append(s))
         elif s.check_type == "custom_sql" and "sql" in s.params:
             parts.append(_custom_query_check(spark, df, s, plan, table, schema))
         elif s.check_type == "custom_sql" and "expression" not in s.params:
@@ -445,9 +489,8 @@ def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
                            "message": "custom_sql needs parameters.expression or parameters.sql"})
         else:
             fused_specs.append(s)
-    fused = _fused(df, fused_specs, plan, table, schema, as_of)
-    if fused is not None:
-        parts.insert(0, fused)
+    parts = _assemble(df, fused_specs, unique_specs, fk_specs, plan, table, schema, as_of,
+                      tables, single_pass) + parts
     if static:
         parts.insert(0, _static_rows(spark, [{**r, "table_name": table, "schema_name": schema}
                                              for r in static]))
@@ -505,7 +548,8 @@ def _rule_columns_of(rule: dict) -> list[str]:
 
 
 def evaluate_rules(spark: SparkSession, df: DataFrame, table: str, rules: Sequence[dict],
-                   tables: TableSet | None = None, schema: str = "public", as_of=None) -> DataFrame:
+                   tables: TableSet | None = None, schema: str = "public", as_of=None,
+                   single_pass: bool = True) -> DataFrame:
     """Only the given rules (no implicit or schema checks), fused the same
     way as a full contract run."""
     contract = normalise({"table_name": table, "schema_name": schema, "columns": [],
@@ -515,7 +559,7 @@ def evaluate_rules(spark: SparkSession, df: DataFrame, table: str, rules: Sequen
         cols = _rule_columns_of(r)
         plan.append(CheckSpec(i, r["rule_type"], ",".join(cols) if cols else None,
                               dict(r["parameters"]), r["severity"]))
-    static, parts, fused_specs = [], [], []
+    static, parts, fused_specs, unique_specs, fk_specs = [], [], [], [], []
     for s in plan:
         missing = _missing_columns(df, s)
         bad = _custom_error(spark, df, s) if not missing else None
@@ -525,18 +569,121 @@ def evaluate_rules(spark: SparkSession, df: DataFrame, table: str, rules: Sequen
         elif bad:
             static.append({**_row(s, check_name(s, plan)), "status": "error", "message": bad})
         elif s.check_type == "unique":
-            parts.append(_unique_check(df, s, plan, table, schema))
+            unique_specs.append(s)
         elif s.check_type == "referential_integrity":
-            r = _fk_check(df, s, plan, table, schema, tables)
-            (static.append(r) if isinstance(r, dict) else parts.append(r))
+            err = _fk_unavailable(s, plan, tables)
+            (static.append(err) if err else fk_specs.append(s))
         elif s.check_type == "custom_sql" and "sql" in s.params:
             parts.append(_custom_query_check(spark, df, s, plan, table, schema))
         else:
             fused_specs.append(s)
-    fused = _fused(df, fused_specs, plan, table, schema, as_of)
-    if fused is not None:
-        parts.insert(0, fused)
+    parts = _assemble(df, fused_specs, unique_specs, fk_specs, plan, table, schema, as_of,
+                      tables, single_pass) + parts
     if static:
         parts.insert(0, _static_rows(spark, [{**r, "table_name": table, "schema_name": schema}
                                              for r in static]))
     return reduce(DataFrame.unionByName, parts)
+
+
+# ------------------------------------------------- one-pass contract evaluation
+
+def _single_pass(df: DataFrame, fused_specs: list[CheckSpec], key_specs: list[CheckSpec],
+                 plan: list[CheckSpec], table: str, schema: str, as_of,
+                 tables: TableSet | None) -> DataFrame:
+    """Every row-level rule, the freshness MAX, narrow-key uniqueness and
+    referential integrity of one table in ONE aggregate over ONE scan.
+
+    The table's rows (tag 0) and each referenced key column (tag m+1) are
+    unioned and aggregated with GROUPING SETS: the empty set carries the
+    row-level counters, one set per unique key counts rows per key, one set
+    per foreign key counts referencing rows and records whether the key
+    occurs in its reference. A final global aggregate folds the sets into
+    one row. No join: orphans are keys seen from the table but not from the
+    reference. Partial aggregation runs before the only exchange, so a hot
+    key or a hot foreign key is one row per task there."""
+    proj: list[Column] = [F.lit(0).alias("__src")]
+    aggs: list[Column] = [F.count_if(F.col("__src") == 0).alias("__n")]
+    group_cols: list[str] = []
+    sets: list[list[str]] = [[]]
+    uniq: list[tuple[CheckSpec, list[str]]] = []
+    fks: list[tuple[CheckSpec, str]] = []
+    refs: list[DataFrame] = []
+    fused_names: list[str] = []
+    for s in fused_specs:
+        i = s.seq
+        if s.check_type == "freshness":
+            proj.append(F.col(s.column).alias(f"__t{i}"))
+            aggs.append(F.max(f"__t{i}").alias(f"__m{i}"))
+            fused_names.append(f"__m{i}")
+        elif s.check_type != "row_count_min":
+            proj.append(row_predicate_failures(df, s).alias(f"__p{i}"))
+            aggs.append(F.count_if(F.col(f"__p{i}")).alias(f"__v{i}"))
+            fused_names.append(f"__v{i}")
+            if s.check_type in ("min_value", "max_value"):
+                proj.append(F.col(s.column).alias(f"__x{i}"))
+                fn = F.min if s.check_type == "min_value" else F.max
+                aggs.append(fn(f"__x{i}").alias(f"__a{i}"))
+                fused_names.append(f"__a{i}")
+    for s in key_specs:
+        if s.check_type == "unique":
+            names = [f"__u{s.seq}_{k}" for k in range(len(s.column.split(",")))]
+            proj += [F.col(c).alias(n) for c, n in zip(s.column.split(","), names)]
+            group_cols += names
+            sets.append(names)
+            uniq.append((s, names))
+        else:  # referential_integrity
+            name = f"__f{s.seq}"
+            proj.append(F.col(s.column).alias(name))
+            group_cols.append(name)
+            sets.append([name])
+            fks.append((s, name))
+            ref = tables.get(s.params["reference_table"])
+            fk_type = _field(df, s.column).dataType
+            refs.append((len(fks), name,
+                         ref.select(F.col(s.params["reference_column"]).try_cast(fk_type).alias(name))))
+    data = df.select(*proj)
+    for tag, name, r in refs:
+        data = data.unionByName(r.withColumn("__src", F.lit(tag)), allowMissingColumns=True)
+    aggs += [F.count_if(F.col("__src") == 0).alias("__rows"),
+             F.max((F.col("__src") > 0).cast("int")).alias("__inref"),
+             F.grouping_id().alias("__gid")]
+    grouped = data.groupingSets(sets, *group_cols).agg(*aggs)
+
+    def gid(members: list[str]) -> int:
+        n = len(group_cols)
+        return sum(1 << (n - 1 - p) for p, c in enumerate(group_cols) if c not in members)
+
+    g0 = F.col("__gid") == gid([])
+    fin: list[Column] = [F.coalesce(F.max(F.when(g0, F.col("__n"))), F.lit(0)).alias("__n")]
+    for name in fused_names:
+        fin.append(F.max(F.when(g0, F.col(name))).alias(name))
+    for s, names in uniq:
+        hit = (F.col("__gid") == gid(names)) & (F.col("__rows") > 1)
+        for n in names:
+            hit = hit & F.col(n).isNotNull()
+        fin += [F.count_if(hit).alias(f"__dk{s.seq}"),
+                F.coalesce(F.sum(F.when(hit, F.col("__rows"))), F.lit(0)).alias(f"__dr{s.seq}")]
+    for s, name in fks:
+        orphan = ((F.col("__gid") == gid([name])) & F.col(name).isNotNull() & (F.col("__rows") > 0)
+                  & F.coalesce(F.col("__inref") == 0, F.lit(True)))
+        fin += [F.count_if(orphan).alias(f"__ok{s.seq}"),
+                F.coalesce(F.sum(F.when(orphan, F.col("__rows"))), F.lit(0)).alias(f"__or{s.seq}")]
+    one = grouped.agg(*fin)
+    outs = _fused_outputs(fused_specs, plan, table, schema, as_of)
+    for s, _ in uniq:
+        meta = _row(s, check_name(s, plan))
+        v = F.col(f"__dk{s.seq}")
+        outs.append(_check_struct(
+            meta, table, schema, _status(v > 0, s.severity), F.lit(0), v, v,
+            F.format_string(f"unique on {s.column}: %d duplicated values in %d rows",
+                            v, F.col(f"__dr{s.seq}"))))
+    for s, _ in fks:
+        meta = _row(s, check_name(s, plan))
+        ref_name, ref_col = s.params["reference_table"], s.params["reference_column"]
+        v = F.col(f"__or{s.seq}")
+        outs.append(_check_struct(
+            meta, table, schema, _status(v > 0, s.severity), F.lit(f"{ref_name}.{ref_col}"),
+            F.col(f"__ok{s.seq}"), v,
+            F.format_string(f"{s.column} -> {ref_name}.{ref_col}: %d orphan rows, %d keys",
+                            v, F.col(f"__ok{s.seq}"))))
+    return one.select(F.explode(F.array(*outs)).alias("c")).select("c.*")

@@ -109,3 +109,25 @@ def test_hashed_uniqueness_is_exact_on_wide_keys(spark):
     assert tuple(both) == tuple(unique_summary(df, ["email", "v"], method="direct").first())
     plan = _plan(unique_summary(df, ["email"]))
     assert "xxhash64" in plan
+
+
+def test_single_pass_scans_the_table_once_and_matches_separate_jobs(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    rules = [{"rule_type": "not_null", "column": "l_partkey"},
+             {"rule_type": "min_value", "column": "l_quantity", "parameters": {"value": 2}},
+             {"rule_type": "unique", "parameters": {"columns": ["l_orderkey", "l_linenumber"]}},
+             {"rule_type": "unique", "column": "l_orderkey"},
+             {"rule_type": "referential_integrity", "column": "l_orderkey",
+              "parameters": {"reference_table": "orders", "reference_column": "o_orderkey"}},
+             {"rule_type": "referential_integrity", "column": "l_partkey",
+              "parameters": {"reference_table": "orders", "reference_column": "o_custkey"}},
+             {"rule_type": "row_count_min", "parameters": {"min_count": 1}}]
+    t = TableSet({"orders": orders})
+    one = evaluate_rules(spark, li, "lineitem", rules, t)
+    sep = evaluate_rules(spark, li, "lineitem", rules, t, single_pass=False)
+    cols = ["seq", "status", "violations", "actual_value"]
+    assert sorted(map(tuple, one.select(*cols).collect())) == sorted(map(tuple, sep.select(*cols).collect()))
+    plan = _plan(one)
+    assert plan.count("lineitem.parquet") == 1          # every check from one scan of the table
+    assert "Expand" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
