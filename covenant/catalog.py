@@ -289,7 +289,8 @@ def _oracle_checks_cte(with_seq=False):
     return "all_checks AS (" + "\nUNION ALL\n".join(parts) + ")"
 
 
-_ROLLUP_SQL = O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body="""
+# run roll-up over the oracle's check rows (Q1-Q3 counting rules)
+_ROLLUP_BODY = """
 SELECT table_name, schema_name, total_checks, passed_checks, failed_checks, warning_checks, error_checks,
        CASE WHEN failed_checks > 0 THEN 'failed' WHEN warning_checks > 0 THEN 'warning'
             ELSE 'passed' END AS overall_status
@@ -298,7 +299,8 @@ FROM (SELECT table_name, schema_name, count(*) AS total_checks,
              count(*) FILTER (WHERE status = 'failed') AS failed_checks,
              count(*) FILTER (WHERE status = 'warning' AND check_type <> 'freshness') AS warning_checks,
              count(*) FILTER (WHERE status = 'error') AS error_checks
-      FROM all_checks GROUP BY table_name, schema_name)""")
+      FROM all_checks GROUP BY table_name, schema_name)"""
+_ROLLUP_SQL = O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body=_ROLLUP_BODY)
 
 
 @register("run_rollup", _ROLLUP_SQL)
@@ -312,7 +314,7 @@ SELECT 'quality_check_failure' AS alert_type,
        concat_ws('.', r.schema_name, r.table_name) AS "table", r.overall_status AS status,
        r.total_checks, r.failed_checks,
        array_to_string(list_slice(n.names, 1, 10), ',') AS failed_check_names
-FROM ({_ROLLUP_SQL.split('all_checks AS', 1)[0] and _ROLLUP_SQL[_ROLLUP_SQL.index(chr(10) + 'SELECT table_name, schema_name, total_checks'):]}) r
+FROM ({_ROLLUP_BODY}) r
 LEFT JOIN (SELECT table_name, schema_name, list(check_name ORDER BY seq) AS names
            FROM all_checks WHERE status = 'failed' GROUP BY table_name, schema_name) n
   ON r.table_name = n.table_name AND r.schema_name = n.schema_name
@@ -741,7 +743,7 @@ from covenant.plans import pipeline as PL  # noqa: E402
 
 @register("governance_pipeline", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body=(
     "SELECT table_name, schema_name, overall_status, total_checks, passed_checks, failed_checks, "
-    "warning_checks FROM (" + _ROLLUP_SQL[_ROLLUP_SQL.index("\nSELECT table_name, schema_name, total_checks"):]
+    "warning_checks FROM (" + _ROLLUP_BODY
     + ")")))
 def q_governance_pipeline(spark, sf):
     tables = governed(spark, sf)
