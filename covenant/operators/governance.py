@@ -206,9 +206,15 @@ def daily_snapshots(log: DataFrame, total_tables: int) -> DataFrame:
 
 
 def trend(snapshots: DataFrame, days: int = 30, as_of=None) -> DataFrame:
-    """GOV5 + FIL4 + TOP4: snapshots of the last ``days`` days, oldest first."""
+    """GOV5 + FIL4 + TOP4: snapshots of the last ``days`` days, oldest first.
+    When the snapshot table is partitioned by ``capture_date`` (as the
+    workspace writes it), the same bound is applied to the partition column
+    so older partitions are pruned, not read."""
     start = as_of_col(as_of) - F.make_dt_interval(days=F.lit(days))
-    return snapshots.filter(F.col("captured_at") >= start).orderBy("captured_at")
+    out = snapshots.filter(F.col("captured_at") >= start)
+    if "capture_date" in snapshots.columns:
+        out = out.filter(F.col("capture_date") >= F.to_date(start))
+    return out.orderBy("captured_at")
 
 
 def trend_bounds(snapshots: DataFrame, days: int = 30, as_of=None) -> DataFrame:

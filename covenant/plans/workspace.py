@@ -177,4 +177,4 @@ class Workspace:
         """GOV5: snapshots of the last ``days`` days, oldest first."""
         if not self._exists(self.metrics_path):
             return self.capture_snapshot(as_of).limit(0)
-        return G.trend(self.spark.read.parquet(self.metrics_path).drop("capture_date"), days, as_of)
+        return G.trend(self.spark.read.parquet(self.metrics_path), days, as_of).drop("capture_date")

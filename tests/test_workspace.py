@@ -42,3 +42,16 @@ def test_workspace_day_in_the_life(spark):
     assert gone["deleted"] is True
     assert [x["table_name"] for x in ws.contracts().collect()] == ["orders"]
     assert ws.delete("nope").first()["deleted"] is False
+
+
+def test_trend_prunes_snapshot_partitions(spark, tmp_path):
+    from covenant.operators.governance import trend
+    rows = [("2024-01-01 10:00:00", 1), ("2024-01-20 10:00:00", 2), ("2024-01-31 10:00:00", 3)]
+    df = spark.createDataFrame(rows, "t string, v int").selectExpr(
+        "to_timestamp_ntz(t) AS captured_at", "v", "to_date(t) AS capture_date")
+    df.write.partitionBy("capture_date").parquet(str(tmp_path / "m"))
+    snaps = spark.read.parquet(str(tmp_path / "m"))
+    out = trend(snaps, 14, "2024-02-01 00:00:00")
+    assert [r["v"] for r in out.collect()] == [2, 3]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(capture_date" in plan
