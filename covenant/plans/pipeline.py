@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,34 +41,48 @@ def run_contracts(spark: SparkSession, contracts: Sequence[dict], tables: TableS
     loop goes on. Returns the written checks table."""
     run_id = run_id or uuid.uuid4().hex
     path = os.path.join(out_dir, "checks", f"run={run_id}")
-    pending: list[DataFrame] = []
+    pending: list[tuple[dict, DataFrame]] = []
     batch = [0]
     times: list[tuple[int, float]] = []
 
+    def error_rows(c: dict, message: str) -> DataFrame:
+        return local_rows(spark, [(c["table_name"], c["schema_name"], 0, "contract_checks", "quality", None,
+                                   "error", None, None, "error", None, message[:500])], CHECK_SCHEMA) \
+            .withColumn("contract_version", F.lit(c["version"]))
+
+    def write(df: DataFrame) -> float:
+        clock = R.Stopwatch()
+        target = os.path.join(path, f"batch={batch[0]}")
+        df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(target)
+        times.append((batch[0], clock.seconds()))
+        batch[0] += 1
+        return times[-1][1]
+
     def flush():
         # each batch of tables is its own folder written with overwrite: a
         # batch re-run after a failure replaces its output, never doubles it
-        if pending:
-            df = pending[0]
-            for p in pending[1:]:
-                df = df.unionByName(p)
-            clock = R.Stopwatch()
-            target = os.path.join(path, f"batch={batch[0]}")
-            df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(target)
-            # the tables of a batch run in one job: each gets the batch's time
-            times.append((batch[0], clock.seconds()))
-            batch[0] += 1
-            pending.clear()
+        if not pending:
+            return
+        try:
+            write(reduce(DataFrame.unionByName, [d for _, d in pending]))
+        except Exception:  # noqa: BLE001 - a failing table must not sink its batch
+            # GOV2: retry table by table; a table whose job fails becomes one
+            # ERROR check and the run goes on
+            for c, d in pending:
+                try:
+                    write(d)
+                except Exception as exc:  # noqa: BLE001
+                    write(error_rows(c, f"check job failed: {str(exc).splitlines()[0]}"))
+        pending.clear()
 
     for doc in contracts:
         c = normalise(doc)
         try:
             checks = evaluate_contract(spark, tables.get(c["table_name"]), c, tables, as_of)
+            checks = checks.withColumn("contract_version", F.lit(c["version"]))
         except Exception as exc:  # noqa: BLE001 - planning errors become ERROR rows
-            checks = local_rows(spark, 
-                [(c["table_name"], c["schema_name"], 0, "contract_checks", "quality", None, "error",
-                  None, None, "error", None, f"check planning failed: {exc}"[:500])], CHECK_SCHEMA)
-        pending.append(checks.withColumn("contract_version", F.lit(c["version"])))
+            checks = error_rows(c, f"check planning failed: {exc}")
+        pending.append((c, checks))
         if len(pending) >= tables_per_job:
             flush()
     flush()

@@ -59,3 +59,23 @@ def test_stream_gate_matches_batch_and_replays_idempotently(spark):
     spark.read.parquet(copy).write.mode("overwrite").parquet(first)
     again = {r["check_type"]: r["violations"] for r in gate_totals(spark, sink).collect()}
     assert again == totals
+
+
+def test_runtime_failure_of_one_table_does_not_sink_the_batch(spark):
+    from covenant.plans.pipeline import run_contracts
+    t = TableSet({"orders": FX.raw_orders(spark, SF_SMALL), "customers": FX.raw_customers(spark, SF_SMALL)})
+    # analyses fine, fails at run time under ANSI ('PENDING' is not a number)
+    bad = {"table_name": "orders", "schema_name": "s9", "owner": "x", "columns": [{"name": "status"}],
+           "quality_rules": [{"rule_type": "custom_sql", "parameters": {"expression": "cast(status AS int) > 0"}}]}
+    prev = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        checks = run_contracts(spark, [bad, sample_contract("customers")], t, tempfile.mkdtemp(prefix="rt-"),
+                               "2024-02-01 00:00:00")
+        rows = checks.collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", prev)
+    bad_rows = [r for r in rows if r["schema_name"] == "s9"]
+    assert len(bad_rows) == 1 and bad_rows[0]["status"] == "error"
+    assert "check job failed" in bad_rows[0]["message"]
+    assert len([r for r in rows if r["table_name"] == "customers"]) == 25
