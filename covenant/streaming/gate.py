@@ -29,8 +29,13 @@ STREAMABLE = ("not_null", "accepted_values", "min_value", "max_value", "regex_ma
 
 def start_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType, table: str,
                     rules: Sequence[dict], glob: str = "*.parquet", base_dir: str | None = None,
-                    available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the gate; returns (query, sink_path)."""
+                    available_now: bool = True, max_files_per_trigger: int | None = None,
+                    check_interval_minutes: int | None = None):
+    """Start the gate; returns (query, sink_path).
+
+    ``available_now`` processes what has landed and stops; otherwise the
+    gate keeps running with one micro-batch every ``check_interval_minutes``
+    (the contract's freshness cadence, default 60)."""
     bad = [r["rule_type"] for r in rules if r["rule_type"] not in STREAMABLE
            or "sql" in (r.get("parameters") or {})]
     if bad:
@@ -53,7 +58,8 @@ def start_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType,
         rows.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    every = f"{int(check_interval_minutes or 60)} minutes"
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)
     return w.start(), sink
 
 
@@ -78,3 +84,16 @@ def run_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType, ta
         q.stop()
         raise TimeoutError("rule gate did not finish")
     return gate_totals(spark, sink)
+
+
+def start_contract_gate(spark: SparkSession, contract: dict, source_dir: str, schema: T.StructType,
+                        glob: str = "*.parquet", available_now: bool = True):
+    """STR1 from a contract: its row-level rules (the ones a single batch can
+    decide) gate the stream, at the contract's ``check_interval_minutes``."""
+    from covenant.plans.contracts import normalise
+    c = normalise(contract)
+    rules = [r for r in c["quality_rules"]
+             if r["rule_type"] in STREAMABLE and "sql" not in (r.get("parameters") or {})]
+    interval = (c.get("freshness") or {}).get("check_interval_minutes")
+    return start_rule_gate(spark, source_dir, schema, c["table_name"], rules, glob,
+                           available_now=available_now, check_interval_minutes=interval)
