@@ -323,7 +323,11 @@ def orphan_keys(df: DataFrame, column: str, ref: DataFrame, ref_column: str) ->
     broadcast only when the measured reference side is small."""
     fk = (df.select(F.col(column).alias("__fk")).filter(F.col("__fk").isNotNull())
           .groupBy("__fk").agg(F.count(F.lit(1)).alias("n_rows")))
-    rk = ref.select(F.col(ref_column).alias("__fk")).filter(F.col("__fk").isNotNull()).distinct()
+    # reference keys in the foreign key's type; a value that cannot convert
+    # matches nothing (no implicit cast that could fail the job under ANSI)
+    fk_type = _field(df, column).dataType
+    rk = (ref.select(F.col(ref_column).try_cast(fk_type).alias("__fk"))
+             .filter(F.col("__fk").isNotNull()).distinct())
     return fk.join(rk, "__fk", "left_anti").withColumnRenamed("__fk", column)
 
 

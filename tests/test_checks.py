@@ -133,3 +133,30 @@ def test_bad_custom_rule_is_one_error_row(spark, orders):
              {"rule_type": "custom_sql", "parameters": {"sql": "SELECT * FROM {table} WHERE nope > 1"}}]
     got = {r["seq"]: r["status"] for r in evaluate_rules(spark, orders, "orders", rules).collect()}
     assert got == {1: "failed", 2: "error", 3: "error"}
+
+
+def test_single_pass_equals_separate_jobs_on_random_tables(spark):
+    import random
+    rnd = random.Random(7)
+    for trial in range(4):
+        rows = [(rnd.choice([None, 1, 2, 3, 4, 5, 6]), rnd.choice([None, "a", "b", "c", "zz"]),
+                 rnd.choice([None, -1.0, 0.5, 3.0]), rnd.choice([None, 10, 11, 99]))
+                for _ in range(rnd.randint(0, 60))]
+        df = spark.createDataFrame(rows, "k long, s string, x double, fk long")
+        # reference keys as text, with NULLs and a malformed value that matches nothing
+        ref_vals = [None if v is None else str(v) for v in rnd.sample([None, 10, 11, 12], 3)] + ["x1"]
+        ref = spark.createDataFrame([(v,) for v in ref_vals], "rk string")
+        rules = [{"rule_type": "not_null", "column": "k"},
+                 {"rule_type": "unique", "column": "k"},
+                 {"rule_type": "unique", "parameters": {"columns": ["k", "fk"]}},
+                 {"rule_type": "accepted_values", "column": "s", "parameters": {"values": ["a", "b"]}},
+                 {"rule_type": "min_value", "column": "x", "parameters": {"value": 0}},
+                 {"rule_type": "referential_integrity", "column": "fk",
+                  "parameters": {"reference_table": "ref", "reference_column": "rk"}},
+                 {"rule_type": "row_count_min", "parameters": {"min_count": 5}}]
+        t = TableSet({"ref": ref})
+        cols = ["seq", "status", "violations", "actual_value"]
+        a = sorted(map(tuple, evaluate_rules(spark, df, "t", rules, t).select(*cols).collect()))
+        b = sorted(map(tuple, evaluate_rules(spark, df, "t", rules, t, single_pass=False)
+                       .select(*cols).collect()))
+        assert a == b, (trial, a, b)
