@@ -89,10 +89,12 @@ def _field(df: DataFrame, name: str) -> T.StructField | None:
 
 
 def _literal_for(dt: T.DataType, value) -> Column:
+    """The rule's bound in the column's type; a bound that does not convert
+    becomes NULL (no rows are judged) instead of failing the whole job."""
     if isinstance(dt, _NUMERIC):
-        return F.lit(value).cast(dt if not isinstance(dt, T.DecimalType) else "decimal(38,10)")
+        return F.lit(value).try_cast(dt if not isinstance(dt, T.DecimalType) else "decimal(38,10)")
     if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.lit(str(value)).cast(dt)
+        return F.lit(str(value)).try_cast(dt)
     return F.lit(value)
 
 
@@ -150,7 +152,14 @@ def row_predicate_failures(df: DataFrame, spec: CheckSpec) -> Column | None:
         return c.isNull()
     if t == "accepted_values":
         vals = [v for v in p.get("values", []) if v is not None]
-        return c.isNotNull() & ~c.isin(vals) if vals else c.isNotNull()
+        if not vals:
+            return c.isNotNull()
+        dt = _field(df, spec.column).dataType
+        numeric_vals = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in vals)
+        if isinstance(dt, _NUMERIC) and not numeric_vals:
+            # mixed types: compare as text rather than risk a failing cast
+            return c.isNotNull() & ~c.cast("string").isin([str(v) for v in vals])
+        return c.isNotNull() & ~c.isin(vals)
     if t == "min_value":
         col, bound = _comparable(df, spec.column, p["value"])
         return F.coalesce(col < bound, F.lit(False))

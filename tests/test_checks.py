@@ -160,3 +160,13 @@ def test_single_pass_equals_separate_jobs_on_random_tables(spark):
         b = sorted(map(tuple, evaluate_rules(spark, df, "t", rules, t, single_pass=False)
                        .select(*cols).collect()))
         assert a == b, (trial, a, b)
+
+
+def test_mismatched_rule_parameters_do_not_fail_the_job(spark, orders):
+    rules = [{"rule_type": "accepted_values", "column": "order_id", "parameters": {"values": ["1", "x"]}},
+             {"rule_type": "min_value", "column": "updated_at", "parameters": {"value": "not a date"}},
+             {"rule_type": "max_value", "column": "total_amount", "parameters": {"value": 4}}]
+    got = {r["seq"]: (r["status"], r["violations"]) for r in evaluate_rules(spark, orders, "orders", rules).collect()}
+    assert got[1] == ("failed", 2)      # order_id 2 twice is not in {'1', 'x'}; NULL is not judged
+    assert got[2] == ("passed", 0)      # unreadable bound judges no row
+    assert got[3] == ("failed", 1)
