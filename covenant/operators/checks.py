@@ -175,9 +175,16 @@ def row_predicate_failures(df: DataFrame, spec: CheckSpec) -> Column | None:
 
 
 def _custom_error(spark: SparkSession, df: DataFrame, spec: CheckSpec) -> str | None:
-    """GOV3 at rule level: analyse a custom expression or query on the
-    driver (no job runs); a rule that does not analyse becomes one ERROR
-    check instead of failing the table's whole aggregate."""
+    """GOV3 at rule level: compile a regex pattern / analyse a custom
+    expression or query on the driver (no job runs); a rule that does not
+    compile becomes one ERROR check instead of failing the table's whole
+    aggregate."""
+    if spec.check_type == "regex_match":
+        try:  # the JVM's own regex dialect, as rlike uses it
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(spec.params.get("pattern", ""))
+        except Exception as exc:  # noqa: BLE001
+            return f"regex_match pattern does not compile: {str(exc).splitlines()[0][:300]}"
+        return None
     if spec.check_type != "custom_sql":
         return None
     try:

@@ -170,3 +170,10 @@ def test_mismatched_rule_parameters_do_not_fail_the_job(spark, orders):
     assert got[1] == ("failed", 2)      # order_id 2 twice is not in {'1', 'x'}; NULL is not judged
     assert got[2] == ("passed", 0)      # unreadable bound judges no row
     assert got[3] == ("failed", 1)
+
+
+def test_bad_regex_is_one_error_row(spark, orders):
+    rules = [{"rule_type": "regex_match", "column": "status", "parameters": {"pattern": "([a-z"}},
+             {"rule_type": "regex_match", "column": "status", "parameters": {"pattern": "^[a-z]+$"}}]
+    got = {r["seq"]: r["status"] for r in evaluate_rules(spark, orders, "orders", rules).collect()}
+    assert got == {1: "error", 2: "passed"}
