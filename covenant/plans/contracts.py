@@ -211,3 +211,33 @@ def row_to_doc(row) -> dict:
     for r in d.get("quality_rules") or []:
         r["parameters"] = json.loads(r["parameters"]) if r.get("parameters") else {}
     return d
+
+
+def read_contract_files(spark: SparkSession, path: str) -> DataFrame:
+    """Contract documents as YAML (``*.yml``, ``*.yaml``) or JSON files, the
+    way contract folders are usually kept. Files are read through Spark
+    (any shared filesystem); each small document is decoded on the driver
+    (contract metadata only) and becomes one contract row with the load
+    defaults. Order: ``*.yml``, then ``*.yaml``, then ``*.json``, each by
+    file name. Invalid documents still load; ``lint_contracts`` reports them."""
+    try:
+        import yaml  # optional: only needed for YAML documents
+    except ImportError:  # pragma: no cover
+        yaml = None
+    from pyspark.sql.utils import AnalysisException
+    docs = []
+    for pattern in ("*.yml", "*.yaml", "*.json"):
+        try:
+            files = (spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
+                     .select(F.input_file_name().alias("f"), "value").orderBy("f"))
+            rows = files.collect()  # a folder of contract documents (metadata)
+        except AnalysisException:
+            continue
+        for r in rows:
+            if pattern == "*.json":
+                docs.append(json.loads(r["value"]))
+            elif yaml is None:
+                raise ImportError("PyYAML is needed to read YAML contracts")
+            else:
+                docs.append(yaml.safe_load(r["value"]) or {})
+    return contracts_df(spark, docs)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from covenant.functions.literals import local_rows
 from covenant.operators import governance as G
 from covenant.operators.freshness import freshness_many, stale_tables
-from covenant.plans.contracts import CONTRACT_SCHEMA, contracts_df, read_contract_dir, row_to_doc
+from covenant.plans.contracts import CONTRACT_SCHEMA, contracts_df, read_contract_files, row_to_doc
 from covenant.plans.pipeline import governance_run
 from covenant.session import ensure_checkpoint_dir
 from covenant.sources import registry as RG
@@ -78,8 +78,9 @@ class Workspace:
         return merged.select(*KEYS, "version", "action")
 
     def sync_directory(self, path: str, as_of=None) -> DataFrame:
-        """SRC9 + SINK1: register every valid contract document of a folder."""
-        return self.register(read_contract_dir(self.spark, path), as_of)
+        """SRC9 + SINK1: register every valid contract document (YAML or
+        JSON) of a folder."""
+        return self.register(read_contract_files(self.spark, path), as_of)
 
     def lint(self, contracts: DataFrame | Iterable[dict]) -> DataFrame:
         inc = contracts if isinstance(contracts, DataFrame) else contracts_df(self.spark, list(contracts))

@@ -93,3 +93,19 @@ def test_contract_gate_uses_streamable_rules(spark):
     totals = {r["check_type"]: r["violations"] for r in gate_totals(spark, sink).collect()}
     assert set(totals) == {"min_value", "rows_checked"}   # uniqueness spans batches: batch job only
     assert totals["min_value"] == events.filter("value < 1").count()
+
+
+def test_yaml_and_json_contract_files(spark):
+    import yaml
+
+    from covenant.plans.contracts import read_contract_files
+    d = tempfile.mkdtemp(prefix="yaml-contracts-")
+    orders = sample_contract("orders")
+    with open(os.path.join(d, "orders.yml"), "w") as fh:
+        yaml.safe_dump({k: v for k, v in orders.items() if k not in ("description",)}, fh)
+    with open(os.path.join(d, "extra.json"), "w") as fh:
+        json.dump({"table_name": "Extra", "owner": "x", "columns": [{"name": "A"}]}, fh)
+    rows = {r["table_name"]: r for r in read_contract_files(spark, d).collect()}
+    assert set(rows) == {"orders", "extra"}
+    assert len(rows["orders"]["quality_rules"]) == 7 and rows["orders"]["freshness"]["max_delay_minutes"] == 120
+    assert rows["extra"]["columns"][0]["name"] == "a" and rows["extra"]["schema_name"] == "public"
