@@ -322,7 +322,7 @@ WHERE r.overall_status IN ('failed', 'error')"""))
 def q_run_alerts(spark, sf):
     from covenant.operators import governance as G
     checks = _both_contract_checks(spark, sf)
-    runs = R.rollup_runs(checks, ["table_name", "schema_name"], with_failed_names=10)
+    runs = R.rollup_runs(checks, ["table_name", "schema_name"], with_failed_names=G.V.ALERT_FAILED_NAMES)
     a = G.quality_alerts(runs)
     from pyspark.sql import functions as F
     return a.select("alert_type", "severity", "table", "status", "total_checks", "failed_checks",

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from covenant.functions.literals import local_rows
 from covenant.functions.text import IDENTIFIER_PATTERN, minutes_between
 from covenant.plans.checkplan import CheckSpec, check_name, plan_contract
+from covenant.plans import vocabulary as V
 from covenant.plans.contracts import ACCEPTED_SPARK_TYPES, normalise
 from covenant.sources.tables import TableSet
 
@@ -241,8 +242,8 @@ def _fused_outputs(specs: list[CheckSpec], plan: list[CheckSpec], table: str, sc
             last = F.col(f"__m{i}")
             delay = minutes_between(as_of_col(as_of), last)
             failed = last.isNull() | (delay > F.lit(mx))
-            msg = F.when(last.isNull(), F.lit(f"Table {schema}.{table} has no data or null timestamps")) \
-                .otherwise(F.format_string(f"Data is %s min old (SLA: {mx} min) - %s SLA",
+            msg = F.when(last.isNull(), F.lit(V.MSG_NO_DATA.format(schema=schema, table=table))) \
+                .otherwise(F.format_string(V.MSG_FRESHNESS.format(max_delay=mx),
                                            F.round(delay, 1).cast("decimal(24,1)").cast("string"),
                                            F.when(failed, "OUTSIDE").otherwise("WITHIN")))
             outs.append(_check_struct(
@@ -440,16 +441,16 @@ def schema_check_rows(df: DataFrame, contract: dict, plan: list[CheckSpec]) -> l
         meta = _row(s, check_name(s, plan))
         if s.check_type == "column_exists":
             rows.append({**meta, "status": "passed" if f else "failed", "violations": 0 if f else 1,
-                         "message": f"Column '{s.column}' exists" if f else
-                         f"Column '{s.column}' defined in contract but not found in table"})
+                         "message": V.MSG_COLUMN_EXISTS.format(column=s.column) if f else
+                         V.MSG_COLUMN_MISSING.format(column=s.column)})
         elif f is not None:  # type check only when the column exists
             ok = type_matches(types[s.column], f.dataType)
             rows.append({**meta, "status": "passed" if ok else "failed",
                          "expected_value": types[s.column], "actual_value": spark_type_name(f.dataType),
                          "violations": 0 if ok else 1,
-                         "message": f"Column '{s.column}' type matches contract" if ok else
-                         f"Column '{s.column}' type mismatch: expected {types[s.column]}, "
-                         f"got {spark_type_name(f.dataType)}"})
+                         "message": V.MSG_TYPE_MATCHES.format(column=s.column) if ok else
+                         V.MSG_TYPE_MISMATCH.format(column=s.column, expected=types[s.column],
+                                                    actual=spark_type_name(f.dataType))})
     return rows
 
 
@@ -470,11 +471,11 @@ def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
     if df is None:
         static.append({"seq": 0, "check_name": "table_exists", "check_type": "schema",
                        "status": "failed", "severity": "error", "violations": 1,
-                       "message": f"Table {schema}.{table} does not exist"})
+                       "message": V.MSG_TABLE_MISSING.format(schema=schema, table=table)})
         for s in plan:
             if s.check_type == "freshness":
                 static.append({**_row(s, check_name(s, plan)), "status": "error",
-                               "message": f"Table {schema}.{table} does not exist"})
+                               "message": V.MSG_TABLE_MISSING.format(schema=schema, table=table)})
         return _static_rows(spark, [{**r, "table_name": table, "schema_name": schema} for r in static])
 
     static.extend(schema_check_rows(df, c, plan))
@@ -487,7 +488,7 @@ def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
         missing = _missing_columns(df, s)
         if s.check_type == "freshness" and (not s.column or not _valid_ident(s.column)):
             static.append({**_row(s, check_name(s, plan)), "status": "error",
-                           "message": f"Invalid timestamp column name: '{s.column}'"})
+                           "message": V.MSG_INVALID_TS_COLUMN.format(column=s.column)})
             continue
         if missing:
             static.append({**_row(s, check_name(s, plan)), "status": "error",

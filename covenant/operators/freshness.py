@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from covenant.functions.literals import local_rows
 from covenant.functions.text import minutes_between
 from covenant.operators.checks import _field, _valid_ident, as_of_col
+from covenant.plans import vocabulary as V
 from covenant.plans.contracts import normalise
 
 FRESHNESS_SCHEMA = T.StructType([
@@ -53,15 +54,15 @@ def freshness_result(spark: SparkSession, df: DataFrame | None, contract: dict,
     table, schema = c["table_name"], c["schema_name"]
     f = c.get("freshness")
     if not f:
-        return _static(spark, table, schema, "", 0, "skipped", "No freshness SLA defined in contract", as_of)
+        return _static(spark, table, schema, "", 0, "skipped", V.MSG_NO_FRESHNESS_SLA, as_of)
     col, mx = f.get("timestamp_column") or "", int(f["max_delay_minutes"])
     if not _valid_ident(col):
-        return _static(spark, table, schema, col, mx, "error", f"Invalid timestamp column name: '{col}'", as_of)
+        return _static(spark, table, schema, col, mx, "error", V.MSG_INVALID_TS_COLUMN.format(column=col), as_of)
     if df is None:
-        return _static(spark, table, schema, col, mx, "error", f"Table {schema}.{table} does not exist", as_of)
+        return _static(spark, table, schema, col, mx, "error", V.MSG_TABLE_MISSING.format(schema=schema, table=table), as_of)
     if _field(df, col) is None:
         return _static(spark, table, schema, col, mx, "error",
-                       f"Freshness query failed: column {col} not found", as_of)
+                       V.MSG_FRESHNESS_QUERY_FAILED.format(error=f"column {col} not found"), as_of)
     now = as_of_col(as_of)
     last = F.col("last_updated_at")
     delay = minutes_between(now, last)
@@ -74,9 +75,9 @@ def freshness_result(spark: SparkSession, df: DataFrame | None, contract: dict,
         delay.alias("actual_delay_minutes"),
         F.when(within, "passed").otherwise("failed").alias("status"),
         within.alias("is_within_sla"),
-        F.when(last.isNull(), F.lit(f"Table {schema}.{table} has no data or null timestamps"))
+        F.when(last.isNull(), F.lit(V.MSG_NO_DATA.format(schema=schema, table=table)))
          .otherwise(F.format_string(
-             f"Data is %s min old (SLA: {mx} min) - %s SLA",
+             V.MSG_FRESHNESS.format(max_delay=mx),
              F.round(delay, 1).cast("decimal(24,1)").cast("string"),
              F.when(within, "WITHIN").otherwise("OUTSIDE"))).alias("message"),
         now.cast("timestamp_ntz").alias("checked_at"),
@@ -98,8 +99,8 @@ def stale_tables(results: DataFrame) -> DataFrame:
 def freshness_alerts(results: DataFrame) -> DataFrame:
     """GOV10: one critical alert row per failed freshness result."""
     return stale_tables(results).select(
-        F.lit("freshness_sla_breach").alias("alert_type"),
-        F.lit("critical").alias("severity"),
+        F.lit(V.ALERT_FRESHNESS).alias("alert_type"),
+        F.lit(V.SEVERITY_CRITICAL).alias("severity"),
         F.concat_ws(".", "schema_name", "table_name").alias("table"),
         "timestamp_column", "actual_delay_minutes", "max_delay_minutes", "message",
         F.col("checked_at").alias("timestamp"))

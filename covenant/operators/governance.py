@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from covenant.operators.checks import as_of_col
 from covenant.operators.latest import latest_per_key
+from covenant.plans import vocabulary as V
 
 LOG_KEYS = ["table_name", "schema_name"]
 NEWEST = [("executed_at", "desc", "last")]
@@ -30,7 +31,7 @@ def latest_per_table(log: DataFrame) -> DataFrame:
     return latest_per_key(log, LOG_KEYS, NEWEST, TIE)
 
 
-def recent_results(log: DataFrame, limit: int = 50, table_name: str | None = None) -> DataFrame:
+def recent_results(log: DataFrame, limit: int = V.RECENT_RESULTS_LIMIT, table_name: str | None = None) -> DataFrame:
     """TOP1: newest runs first, optional table filter (pushed to the scan)."""
     if table_name is not None:
         log = log.filter(F.col("table_name") == table_name)
@@ -38,7 +39,7 @@ def recent_results(log: DataFrame, limit: int = 50, table_name: str | None = Non
                .orderBy(F.col("executed_at").desc(), F.col("run_id").desc()).limit(limit))
 
 
-def table_history(log: DataFrame, table_name: str, limit: int = 30) -> DataFrame:
+def table_history(log: DataFrame, table_name: str, limit: int = V.TABLE_HISTORY_LIMIT) -> DataFrame:
     """TOP2: one table's runs, newest first (schema not filtered, Q10)."""
     return (log.filter(F.col("table_name") == table_name)
                .select("run_id", "overall_status", "total_checks", "passed_checks",
@@ -129,7 +130,8 @@ def metrics(counts: DataFrame) -> DataFrame:
     return counts.select(
         _pct(F.col("tables_with_contracts"), F.col("total_tables"), 0.0).alias("contract_coverage_pct"),
         _pct(F.col("total_checks_passed"), F.col("total_checks_run"), 0.0).alias("quality_pass_rate_pct"),
-        _pct(F.col("tables_within_sla"), F.col("tables_with_freshness_sla"), 100.0).alias("sla_compliance_pct"),
+        _pct(F.col("tables_within_sla"), F.col("tables_with_freshness_sla"),
+             V.EMPTY_SLA_COMPLIANCE_PCT).alias("sla_compliance_pct"),
         *[F.col(c).cast("bigint").alias(c) for c in (
             "total_tables", "tables_with_contracts", "total_checks_run", "total_checks_passed",
             "tables_within_sla", "tables_with_freshness_sla")],
@@ -137,13 +139,13 @@ def metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-SYSTEM_SCHEMAS = ("pg_catalog", "information_schema")
+SYSTEM_SCHEMAS = V.SYSTEM_SCHEMAS
 
 
 def count_user_tables(inventory: DataFrame) -> DataFrame:
     """SRC6 + FIL8: base tables outside the system schemas."""
     return inventory.filter(~F.col("table_schema").isin(*SYSTEM_SCHEMAS)
-                            & (F.col("table_type") == "BASE TABLE")).agg(
+                            & (F.col("table_type") == V.BASE_TABLE)).agg(
         F.count(F.lit(1)).alias("total_tables"))
 
 
@@ -205,7 +207,7 @@ def daily_snapshots(log: DataFrame, total_tables: int) -> DataFrame:
     return metrics(per_day.withColumn("total_tables", F.lit(int(total_tables))).drop("__day"))
 
 
-def trend(snapshots: DataFrame, days: int = 30, as_of=None) -> DataFrame:
+def trend(snapshots: DataFrame, days: int = V.TREND_DAYS, as_of=None) -> DataFrame:
     """GOV5 + FIL4 + TOP4: snapshots of the last ``days`` days, oldest first.
     When the snapshot table is partitioned by ``capture_date`` (as the
     workspace writes it), the same bound is applied to the partition column
@@ -217,7 +219,7 @@ def trend(snapshots: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     return out.orderBy("captured_at")
 
 
-def trend_bounds(snapshots: DataFrame, days: int = 30, as_of=None) -> DataFrame:
+def trend_bounds(snapshots: DataFrame, days: int = V.TREND_DAYS, as_of=None) -> DataFrame:
     """AGG10: first and last capture time of the trend window."""
     t = trend(snapshots, days, as_of)
     return t.agg(F.min("captured_at").alias("period_start"),
@@ -233,13 +235,14 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
 def quality_alerts(runs: DataFrame, failed_names: DataFrame | None = None) -> DataFrame:
     """GOV9: alert rows for failed and error runs (Q22); critical when more
     than 3 checks failed, else warning."""
-    a = runs.filter(F.col("overall_status").isin("failed", "error"))
+    a = runs.filter(F.col("overall_status").isin(*V.ALERT_STATUSES))
     if failed_names is not None:
         a = a.join(failed_names, [k for k in ("run_id", "table_name", "schema_name")
                                   if k in failed_names.columns], "left")
     cols = [
-        F.lit("quality_check_failure").alias("alert_type"),
-        F.when(F.col("failed_checks") > 3, "critical").otherwise("warning").alias("severity"),
+        F.lit(V.ALERT_QUALITY).alias("alert_type"),
+        F.when(F.col("failed_checks") > V.CRITICAL_FAILED_CHECKS, V.SEVERITY_CRITICAL)
+         .otherwise(V.SEVERITY_WARNING).alias("severity"),
         F.concat_ws(".", "schema_name", "table_name").alias("table"),
         F.col("overall_status").alias("status"),
         "total_checks", "failed_checks",
@@ -262,7 +265,7 @@ def log_freshness_alerts(log: DataFrame) -> DataFrame:
     """GOV10 over the log: runs whose stored freshness result failed."""
     p = F.col("result_data")
     return log.filter(F.get_json_object(p, "$.freshness_result.status") == "failed").select(
-        F.lit("freshness_sla_breach").alias("alert_type"), F.lit("critical").alias("severity"),
+        F.lit(V.ALERT_FRESHNESS).alias("alert_type"), F.lit(V.SEVERITY_CRITICAL).alias("severity"),
         F.concat_ws(".", "schema_name", "table_name").alias("table"), "run_id",
         F.get_json_object(p, "$.freshness_result.actual_delay_minutes").cast("double")
          .alias("actual_delay_minutes"),

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covenant.plans import vocabulary as V
+
 RUN_KEYS = ("run_id", "table_name", "schema_name")
 
 
@@ -63,7 +65,8 @@ def report_rollup(runs: DataFrame) -> DataFrame:
     )
 
 
-def failed_check_names(checks: DataFrame, keys: Sequence[str] = RUN_KEYS, limit: int = 10) -> DataFrame:
+def failed_check_names(checks: DataFrame, keys: Sequence[str] = RUN_KEYS,
+                       limit: int = V.ALERT_FAILED_NAMES) -> DataFrame:
     """TOP5: the first ``limit`` failed check names of each run, in plan
     order. Collected per run only after filtering to failed checks; a run
     has at most as many checks as its contract declares."""

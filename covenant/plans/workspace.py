@@ -144,7 +144,7 @@ class Workspace:
     def log(self) -> DataFrame:
         return self.spark.read.parquet(self.log_path)
 
-    def recent_results(self, limit: int = 50, table_name: str | None = None) -> DataFrame:
+    def recent_results(self, limit: int = G.V.RECENT_RESULTS_LIMIT, table_name: str | None = None) -> DataFrame:
         return G.recent_results(self.log(), limit, table_name)
 
     def result_detail(self, run_id) -> DataFrame:
@@ -156,7 +156,7 @@ class Workspace:
     def failing_tables(self, current: bool = False) -> DataFrame:
         return G.currently_failing(self.log()) if current else G.last_failure_per_table(self.log())
 
-    def table_history(self, table_name: str, limit: int = 30) -> DataFrame:
+    def table_history(self, table_name: str, limit: int = G.V.TABLE_HISTORY_LIMIT) -> DataFrame:
         return G.table_history(self.log(), table_name, limit)
 
     # ------------------------------------------------------------ metrics
@@ -174,7 +174,7 @@ class Workspace:
             self.capture_snapshot(as_of)
         return G.latest_snapshot(self.spark.read.parquet(self.metrics_path).drop("capture_date"))
 
-    def trends(self, days: int = 30, as_of=None) -> DataFrame:
+    def trends(self, days: int = G.V.TREND_DAYS, as_of=None) -> DataFrame:
         """GOV5: snapshots of the last ``days`` days, oldest first."""
         if not self._exists(self.metrics_path):
             return self.capture_snapshot(as_of).limit(0)
