@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 from covenant.plans.contracts import normalise
 
-ROW_LEVEL = ("not_null", "accepted_values", "min_value", "max_value", "regex_match",
-             "custom_sql", "row_count_min")
-
-
 @dataclass
 class CheckSpec:
     seq: int
@@ -93,10 +89,6 @@ def check_name(spec: CheckSpec, plan: list[CheckSpec]) -> str:
 
 # ------------------------------------------------------------- many contracts
 
-def _params_of(rule: Column) -> Column:
-    return rule["parameters"]
-
-
 def plan_many(contracts: DataFrame) -> DataFrame:
     """PLAN1/PLAN2 as one DataFrame job over a contract registry.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covenant.functions.literals import local_rows
-from covenant.functions.text import IDENTIFIER_PATTERN, is_identifier
+from covenant.functions.text import is_identifier
 from covenant.operators.checks import as_of_col
 from covenant.plans.contracts import (
     CHECK_INTERVAL_RANGE, COLUMN_TYPES, CONTRACT_SCHEMA, MAX_DELAY_RANGE, NAME_MAX_LENGTH,
@@ -357,8 +357,6 @@ def missing_columns_many(contracts: DataFrame, columns: DataFrame) -> DataFrame:
                .withColumnRenamed("column_name", "missing_column"))
 
 
-__all__ = ["IDENTIFIER_PATTERN"]
-
 
 # ------------------------------------------------------------ SRC7 / SRC8
 
