@@ -354,10 +354,10 @@ def orphan_summary(df: DataFrame, column: str, ref: DataFrame, ref_column: str)
         F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("orphan_rows"))
 
 
-def _unique_check(df, s, plan, table, schema) -> DataFrame:
+def _unique_check(df, s, plan, table, schema, method: str = "direct") -> DataFrame:
     meta = _row(s, check_name(s, plan))
     cols = s.column.split(",")
-    summ = unique_summary(df, cols)
+    summ = unique_summary(df, cols, method)
     v = F.col("duplicate_keys")
     return summ.select(_check_struct(
         meta, table, schema, _status(v > 0, s.severity), F.lit(0), v, v,
@@ -396,17 +396,44 @@ def _fk_unavailable(s: CheckSpec, plan: list[CheckSpec], tables: TableSet | None
     return None
 
 
+LARGE_TABLE_CONF = "covenant.checks.largeTableBytes"
+LARGE_TABLE_DEFAULT = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes the DataFrame reads: the sum of Catalyst's size estimates of
+    the plan's leaf relations (file sizes for scans). Join and union
+    estimates above the leaves are not used: without column statistics
+    they are upper bounds, not sizes. Planning only, no job runs."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001 - no estimate: treat as large
+        return 1 << 62
+
+
+def is_large(df: DataFrame) -> bool:
+    limit = int(df.sparkSession.conf.get(LARGE_TABLE_CONF, str(LARGE_TABLE_DEFAULT)))
+    return estimated_bytes(df) >= limit
+
+
 def _assemble(df: DataFrame, fused_specs: list[CheckSpec], unique_specs: list[CheckSpec],
               fk_specs: list[CheckSpec], plan: list[CheckSpec], table: str, schema: str, as_of,
-              tables: TableSet | None, single_pass: bool) -> list[DataFrame]:
+              tables: TableSet | None, single_pass: bool | None) -> list[DataFrame]:
     """Data-touching parts of a table's checks. With ``single_pass`` the
     row-level rules, narrow-key uniqueness and foreign keys share one scan
     and one aggregate (``_single_pass``); wide unique keys keep their
-    hash-first job, whose shuffle is several times smaller."""
-    wide = [u for u in unique_specs if _wide_key(df, u.column.split(","))]
+    hash-first job, whose shuffle is several times smaller.
+
+    ``single_pass=None`` decides by size: tables Catalyst estimates at or
+    above ``covenant.checks.largeTableBytes`` (default 256 MB) get the one
+    scan and hash-first uniqueness, where I/O and shuffle bytes dominate;
+    smaller ones get plain separate jobs, whose fixed cost is lower."""
+    large = is_large(df) if single_pass is None else single_pass
+    wide = [u for u in unique_specs if large and _wide_key(df, u.column.split(","))]
     narrow = [u for u in unique_specs if u not in wide]
     parts: list[DataFrame] = []
-    if single_pass and (narrow or fk_specs):
+    if large and (narrow or fk_specs):
         parts.append(_single_pass(df, fused_specs, narrow + fk_specs, plan, table, schema, as_of, tables))
     else:
         fused = _fused(df, fused_specs, plan, table, schema, as_of)
@@ -414,7 +441,7 @@ def _assemble(df: DataFrame, fused_specs: list[CheckSpec], unique_specs: list[Ch
             parts.append(fused)
         parts += [_unique_check(df, u, plan, table, schema) for u in narrow]
         parts += [_fk_check(df, f, plan, table, schema, tables) for f in fk_specs]
-    parts += [_unique_check(df, u, plan, table, schema) for u in wide]
+    parts += [_unique_check(df, u, plan, table, schema, method="hashed") for u in wide]
     return parts
 
 
@@ -457,7 +484,8 @@ def schema_check_rows(df: DataFrame, contract: dict, plan: list[CheckSpec]) -> l
 # ---------------------------------------------------------------- entry point
 
 def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
-                      tables: TableSet | None = None, as_of=None, single_pass: bool = True) -> DataFrame:
+                      tables: TableSet | None = None, as_of=None,
+                      single_pass: bool | None = None) -> DataFrame:
     """All checks of one contract on one table as a checks DataFrame.
 
     ``df`` None means the table does not exist (CHK5): one failed
@@ -570,7 +598,7 @@ def _rule_columns_of(rule: dict) -> list[str]:
 
 def evaluate_rules(spark: SparkSession, df: DataFrame, table: str, rules: Sequence[dict],
                    tables: TableSet | None = None, schema: str = "public", as_of=None,
-                   single_pass: bool = True) -> DataFrame:
+                   single_pass: bool | None = None) -> DataFrame:
     """Only the given rules (no implicit or schema checks), fused the same
     way as a full contract run."""
     contract = normalise({"table_name": table, "schema_name": schema, "columns": [],

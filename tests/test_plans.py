@@ -124,7 +124,7 @@ def test_single_pass_scans_the_table_once_and_matches_separate_jobs(spark):
               "parameters": {"reference_table": "orders", "reference_column": "o_custkey"}},
              {"rule_type": "row_count_min", "parameters": {"min_count": 1}}]
     t = TableSet({"orders": orders})
-    one = evaluate_rules(spark, li, "lineitem", rules, t)
+    one = evaluate_rules(spark, li, "lineitem", rules, t, single_pass=True)
     sep = evaluate_rules(spark, li, "lineitem", rules, t, single_pass=False)
     cols = ["seq", "status", "violations", "actual_value"]
     assert sorted(map(tuple, one.select(*cols).collect())) == sorted(map(tuple, sep.select(*cols).collect()))
@@ -146,3 +146,20 @@ def test_hot_key_never_lands_in_one_task():
     res = json.loads(out.stdout.strip().splitlines()[-1])
     assert res["hot_key_rows"] > res["rows"] / 3
     assert res["max_shuffle_records_per_task"] < res["hot_key_rows"] / 4
+
+
+def test_path_is_chosen_by_estimated_size(spark):
+    from covenant.operators.checks import LARGE_TABLE_CONF, estimated_bytes, is_large
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    assert 0 < estimated_bytes(li) < 256 * 1024 * 1024 and not is_large(li)
+    spark.conf.set(LARGE_TABLE_CONF, "1")
+    try:
+        assert is_large(li)
+        out = evaluate_rules(spark, li, "lineitem", [{"rule_type": "unique", "column": "l_orderkey"},
+                                                     {"rule_type": "not_null", "column": "l_partkey"}])
+        assert "Expand" in _plan(out)          # large -> single pass
+    finally:
+        spark.conf.unset(LARGE_TABLE_CONF)
+    out = evaluate_rules(spark, li, "lineitem", [{"rule_type": "unique", "column": "l_orderkey"},
+                                                 {"rule_type": "not_null", "column": "l_partkey"}])
+    assert "Expand" not in _plan(out)          # small -> separate jobs
