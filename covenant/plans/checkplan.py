@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from covenant.plans.contracts import normalise
 
+# plan origins in plan order: schema checks, implicit checks, declared rules, freshness
+ORIGINS = ("schema", "implicit", "rule", "freshness")
+
+
 @dataclass
 class CheckSpec:
     seq: int
@@ -142,10 +146,13 @@ def plan_many(contracts: DataFrame) -> DataFrame:
     merged = allrows.groupBy(*keys, "check_type", "column", "params").agg(
         F.min(order_key).alias("first"),
         F.when(F.count_if(F.col("severity") == "error") > 0, "error").otherwise("warning").alias("severity"),
-        F.array_join(F.array_distinct(F.transform(
-            F.array_sort(F.collect_list(F.struct(order_key.alias("k"), F.col("origin").alias("o")))),
-            lambda x: x["o"])), "+").alias("origin"),
+        # origins come from a fixed, ordered set (their order follows the
+        # plan group), so presence flags joined in that order give the
+        # merged label without collecting lists
+        *[F.max((F.col("origin") == o).cast("int")).alias(f"__o_{o}") for o in ORIGINS],
     )
+    merged = merged.withColumn("origin", F.concat_ws("+", *[
+        F.when(F.col(f"__o_{o}") == 1, F.lit(o)) for o in ORIGINS])).drop(*[f"__o_{o}" for o in ORIGINS])
     from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy(F.col("first"))
     return merged.withColumn("seq", F.row_number().over(w)).drop("first")
