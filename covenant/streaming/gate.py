@@ -54,8 +54,8 @@ def start_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType,
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         checks = evaluate_rules(batch.sparkSession, batch, table, gated)
-        rows = checks.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        rows.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+        # the folder name carries the batch id (read back as a partition column)
+        checks.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     every = f"{int(check_interval_minutes or 60)} minutes"
