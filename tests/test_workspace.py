@@ -32,6 +32,11 @@ def test_workspace_day_in_the_life(spark):
 
     fresh = {x["table_name"]: x["status"] for x in ws.check_freshness(AS_OF).collect()}
     assert fresh == {"orders": "failed", "customers": "failed"}
+    assert ws.check_freshness(AS_OF, stale_only=True).count() == 2
+    rid = r[0]["run_id"]
+    detail = ws.result_detail(rid).collect()      # the orders-only run
+    assert len(detail) == 1 and detail[0]["table_name"] == "orders"
+    assert '"checks"' in detail[0]["result_data"]
 
     snap = ws.capture_snapshot(AS_OF).first()
     assert snap["tables_with_contracts"] == 2 and snap["total_tables"] == 2
