@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 Each language has a zstandard raw-content dictionary made of training text.
-A text is encoded with every dictionary, block by block, and gets the
-language with the fewest bytes. The prediction is rejected when the second
+The lower-cased words of a text are encoded with every dictionary, block by
+block, and the text gets the language with the fewest bytes. The prediction is rejected when the second
 best language is nearly as short.
 
 Fitting reads a bounded sample: per language at most ``SAMPLE_DOCS`` labelled
@@ -25,7 +25,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import on_workers, pylist, slices
 
 SAMPLE_DOCS, SAMPLE_BYTES = 64, 1600
-BLOCK, LEVEL, MARGIN = 8192, 1, 0.004
+BLOCK, LEVEL, MARGIN = 8192, 6, 0.002
+
+#: what is encoded: lower-case letters, with a blank for anything else in ASCII
+_LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def letters(text: str) -> bytes:
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
+
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -43,7 +51,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
             .orderBy("lang", "_r").collect())
     parts: dict[str, list[bytes]] = {}
     for r in rows:
-        parts.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "replace")[:sample_bytes])
+        parts.setdefault(r["lang"], []).append(letters(r["text"]))
     return {k: b"\n".join(v) for k, v in sorted(parts.items())}
 
 
@@ -62,7 +70,7 @@ def classify(text: str | None, compressors, block: int = BLOCK, margin: float =
     against the second best language."""
     if not compressors or not text or not any(map(str.isalpha, text)):
         return "und", 0.0, True
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = letters(text)
     parts = [raw[i:i + block] for i in range(0, len(raw), block)]
     sizes = [(sum(len(c.compress(p)) for p in parts), lang) for lang, c in compressors]
     if len(sizes) == 1:
