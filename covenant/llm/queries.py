@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, lang_id, mixing, packing, simhash
+from . import exact_dedup, lang_id, mixing, packing, simhash, suffix_dedup
 from .common import table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op5_source_mix": op5_source_mix,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
