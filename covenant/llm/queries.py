@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, lang_id, mixing, packing, simhash, suffix_dedup
+from . import exact_dedup, lang_id, mixing, packing, simhash, suffix_dedup, topk_search, warc
 from .common import table
 
 
@@ -12,10 +12,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk_search.usable(table(spark, sf_dir, "embeddings"))
+    return topk_search.search(rows, rows.filter("id % 20 = 0"), 20)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(table(spark, sf_dir, "documents"))
 
@@ -36,7 +45,9 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_topk_search": op3_topk_search,
     "op5_source_mix": op5_source_mix,
+    "op6_warc_segments": op6_warc_segments,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
