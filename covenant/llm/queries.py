@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, lang_id, mixing, packing, simhash, suffix_dedup, topk_search, warc
+from . import exact_dedup, lang_id, licenses, mixing, packing, simhash, suffix_dedup, topk_search, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(rows, rows.filter("id % 20 = 0"), 20)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_topk_search": op3_topk_search,
+    "op4_license_scan": op4_license_scan,
     "op5_source_mix": op5_source_mix,
     "op6_warc_segments": op6_warc_segments,
     "op7_exact_dedup": op7_exact_dedup,
