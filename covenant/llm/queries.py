@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, lang_id, licenses, mixing, packing, simhash, suffix_dedup, topk_search, warc
+from . import exact_dedup, lang_id, licenses, mixing, packing, pii, simhash, suffix_dedup, topk_search, warc
 from .common import table
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit(docs))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_spans": op1_pii_spans,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_topk_search": op3_topk_search,
     "op4_license_scan": op4_license_scan,
