@@ -243,6 +243,8 @@ def membership(docs: DataFrame, keep: str = "largest") -> DataFrame:
 def survivors(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The owning rows, with the columns of ``docs`` in their order. A text
     that was null comes back as the empty text it counts as."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = owners(docs, keep, payload=others, with_text=True).withColumn("doc_id", id_or_null("keep_id"))
-    return out.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    names = docs.columns
+    renamed = docs.select("doc_id", "text", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    out = owners(renamed, keep, payload=tuple(f"_c{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")), with_text=True)
+    back = {"doc_id": id_or_null("keep_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
+    return out.select(*[back.get(c, F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)])

@@ -14,7 +14,9 @@ and the program runs on the windows around such tokens.
 It is trained by conditional likelihood on a bounded sample: ``SAMPLE_DOCS``
 documents with a digit or at sign, by hash of the identifier, of which the
 first ``SAMPLE_CHARS`` characters; their labels are the base spans and keys
-that are assigned to a name such as token or password. Prediction covers
+that are assigned to a name such as token or password. What cannot be of a type
+(an address without four parts, a card that fails its checksum, a phone number
+of eight digits) has no weight for it. Prediction covers
 every character of every text.
 
 Nulls and ties: a null text counts as empty and has no spans; rows that repeat
@@ -55,6 +57,8 @@ _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"[0-9]+")
 _KEY = re.compile(r"""(?:token|secret|password|passwd|api[_ -]?key)\s*[=:]\s*["']?([A-Za-z0-9_+/=-]{16,})""", re.I)
 
+_NEVER = -1e9
+
 Span = tuple[str, int, int]
 
 
@@ -106,41 +110,34 @@ def _silver(text: str) -> list[Span]:
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _ANCHOR = re.compile(r"[0-9@]")
 _CONTEXT = 4
-#: a window of tokens; the next one starts inside it, beyond the longest segment
+#: beyond so many tokens a window ends where it may
 _WINDOW = 256
 
 
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token places around digits and at signs. Stretches between windows hold
-    no entity; a long stretch of anchors is cut at tokens without one."""
+    """Token places around digits and at signs; the stretches between hold no
+    entity. A window only ends at a blank beside a token with letters, which no
+    candidate crosses, some tokens after the last anchor; these tokens lead the
+    next window, as what stands before it."""
     if not _ANCHOR.search(text):
         return
     tokens: list[tuple[int, int]] = []
-    idle = 0
+    idle, some, wordy = 0, False, False
     for m in _TOKEN.finditer(text):
         here = bool(_ANCHOR.search(m[0]))
-        if not here and idle >= MAX_TOKENS:
-            if any_anchor(text, tokens):
+        was, wordy = wordy, m[0][0].isalpha()
+        if idle >= _CONTEXT and tokens and m.start() > tokens[-1][1] and (was or wordy):
+            if some and (len(tokens) >= _WINDOW or idle >= MAX_TOKENS):
                 yield tokens
-                tokens = []
-            else:
-                del tokens[:-MAX_TOKENS]
-        if len(tokens) >= _WINDOW and not here and idle >= _CONTEXT:
-            yield tokens
-            tokens = []
+                some = False
+            if not some:
+                tokens = tokens[-_CONTEXT:]
         tokens.append((m.start(), m.end()))
-        if len(tokens) >= 8 * _WINDOW:
-            yield tokens
-            tokens = []
-        idle = 0 if here else idle + 1
-    if any_anchor(text, tokens):
+        some, idle = some or here, 0 if here else idle + 1
+    if some:
         yield tokens
 
 
-def any_anchor(text: str, tokens: list[tuple[int, int]]) -> bool:
-    return bool(tokens) and bool(_ANCHOR.search(text, tokens[0][0], tokens[-1][1]))
-
-
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Segments (first token, token after the last) that may be an entity: not
     longer than the bound, whole at both ends, with a digit or at sign.
@@ -216,6 +213,22 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     return out
 
 
+def possible(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[bool]:
+    """For each type, whether the segment may be of it at all."""
+    span = text[tokens[i][0]:tokens[j - 1][1]]
+    shape = span.translate(_SHAPE)
+    n, letters = shape.count("9"), any(map(str.isalpha, span))
+    left, sign, right = span.partition("@")
+    parts = span.split(".")
+    return [
+        bool(left and sign and "." in right and "@" not in right),
+        len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts),
+        not letters and 13 <= n <= 19 and luhn(_digits(span)),
+        not letters and 9 <= n <= 15 and len(parts) < 4,
+        letters and n >= 3 and len(span) >= 16 and not sign,
+    ]
+
+
 class SemiMarkov:
     """Weights of whole-span features by type and of pairs of types; type 0 is
     a single plain token."""
@@ -230,7 +243,7 @@ class SemiMarkov:
             if i != last:
                 last, before = i, context(text, tokens, i)
             ids = [self.names[f] for f in (*features(text, tokens, i, j), *before) if f in self.names]
-            out[s] = self.weights[ids].sum(0)
+            out[s] = np.where(possible(text, tokens, i, j), self.weights[ids].sum(0), _NEVER)
         return out
 
     def best(self, text: str, tokens: list[tuple[int, int]]) -> list[Span]:
@@ -286,17 +299,18 @@ def train(texts: list[str], epochs: int = EPOCHS) -> SemiMarkov | None:
                 continue
             ids = [[names.setdefault(f, len(names)) for f in (*features(text, tokens, i, j), *context(text, tokens, i))] for i, j in segs]
             gold = [truth.get((tokens[i][0], tokens[j - 1][1]), -1) for i, j in segs]
-            # the lattice only needs the tokens where segments start or end
-            data.append((len(tokens), segs, ids, gold))
-    if not any(g >= 0 for *_, gold in data for g in gold):
+            never = np.array([[0 if x else _NEVER for x in possible(text, tokens, i, j)] for i, j in segs])
+            gold = [g if g >= 0 and not never[s, g] else -1 for s, g in enumerate(gold)]
+            data.append((len(tokens), segs, ids, gold, never))
+    if not any(g >= 0 for *_, gold, _ in data for g in gold):
         return None
     types = len(TYPES)
     weights, pairs = np.zeros((len(names), types)), np.zeros((types + 1, types + 1))
     seen_w, seen_p = np.full_like(weights, 1e-8), np.full_like(pairs, 1e-8)
     for _ in range(epochs):
         grad_w, grad_p = -DECAY * weights, -DECAY * pairs
-        for n, segs, ids, gold in data:
-            scores = np.array([weights[x].sum(0) for x in ids])
+        for n, segs, ids, gold, never in data:
+            scores = np.array([weights[x].sum(0) for x in ids]) + never
             cuts = sorted({0, n, *(i for i, _ in segs), *(j for _, j in segs)})
             at = {c: k for k, c in enumerate(cuts)}
             arcs = [(at[i], at[j], s) for s, (i, j) in enumerate(segs)]

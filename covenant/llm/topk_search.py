@@ -78,10 +78,12 @@ def distances(x: np.ndarray, lift: np.ndarray, centres: np.ndarray) -> np.ndarra
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products as whole numbers."""
+    """Inner products as whole numbers; one beyond a long is held at its end."""
     if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < _EXACT:
         return (q @ x.T).astype(np.int64)
-    return (q.astype(object) @ x.astype(object).T).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    exact = whole(q) @ whole(x).T if q.size and x.size else np.zeros((len(q), len(x)), object)
+    return np.clip(exact, np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
 def indexed(vectors: DataFrame, centres: np.ndarray, reach: float, kind: str, rows: int = ANNULUS_ROWS) -> DataFrame:
