@@ -60,9 +60,9 @@ def q_assert_total_positive(spark, sf):
 from covenant.operators import checks as C  # noqa: E402
 from covenant.sources.tables import TableSet  # noqa: E402
 
-RULE_OUT = ["check_type", "column", "status", "severity", "violations", "actual_value"]
-EMAIL_PATTERN = "^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+$"
-STATUS_VALUES = ["pending", "processing", "completed", "cancelled", "refunded"]
+RULE_OUT = ["check_type", "column", "status", "severity", "violations", "actual_value", "expected_value", "message"]
+EMAIL_PATTERN = "^[^@ ]+@[^@ ]+[.][a-z]+$"
+STATUS_VALUES = ["cancelled", "completed", "pending", "refunded"]
 
 RULES = {
     # name: (table, rule, key columns for the violation rows)
@@ -82,7 +82,7 @@ RULES = {
                               "parameters": {"expression": "abs(total_amount) < 450000"}},
                    ["order_id", "total_amount"]),
     "row_count_min": ("customers", {"rule_type": "row_count_min",
-                                    "parameters": {"min_count": 1000}}, []),
+                                    "parameters": {"min_count": 1000000}}, []),
     "referential_integrity": ("orders", {"rule_type": "referential_integrity", "column": "customer_id",
                                          "parameters": {"reference_table": "customers",
                                                         "reference_column": "customer_id"}}, []),
@@ -120,15 +120,15 @@ _RULE_SQL = {
     "unique": ("(SELECT count(*) FROM (SELECT order_id FROM raw_orders WHERE order_id IS NOT NULL "
                "GROUP BY order_id HAVING count(*) > 1))", None, "error"),
     "accepted_values": ("SUM(CASE WHEN status IS NOT NULL AND status NOT IN "
-                        "('pending','processing','completed','cancelled','refunded') THEN 1 ELSE 0 END)",
+                        "('cancelled','completed','pending','refunded') THEN 1 ELSE 0 END)",
                         None, "error"),
     "min_value": ("SUM(CASE WHEN total_amount < 0 THEN 1 ELSE 0 END)", "min(total_amount)", "error"),
     "max_value": ("SUM(CASE WHEN total_amount > 400000 THEN 1 ELSE 0 END)", "max(total_amount)", "error"),
     "regex_match": ("SUM(CASE WHEN email IS NOT NULL AND NOT regexp_matches(email, "
-                    "'^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+$') THEN 1 ELSE 0 END)",
+                    "'^[^@ ]+@[^@ ]+[.][a-z]+$') THEN 1 ELSE 0 END)",
                     None, "warning"),
     "custom_sql": ("SUM(CASE WHEN NOT (abs(total_amount) < 450000) THEN 1 ELSE 0 END)", None, "error"),
-    "row_count_min": ("GREATEST(1000 - count(*), 0)", "count(*)", "error"),
+    "row_count_min": ("GREATEST(1000000 - count(*), 0)", "count(*)", "error"),
     "referential_integrity": (
         "(SELECT count(*) FROM raw_orders o WHERE o.customer_id IS NOT NULL AND NOT EXISTS "
         "(SELECT 1 FROM raw_customers c WHERE c.customer_id = o.customer_id))",
@@ -136,22 +136,39 @@ _RULE_SQL = {
         "(SELECT 1 FROM raw_customers c WHERE c.customer_id = o.customer_id))", "error"),
 }
 
+# expected value and message of each rule's check (None: the plain message)
+_ORPHANS = ("FROM raw_orders o WHERE o.customer_id IS NOT NULL AND NOT EXISTS "
+            "(SELECT 1 FROM raw_customers c WHERE c.customer_id = o.customer_id)")
+_RULE_TEXT = {
+    "not_null": ("'0'", None),
+    "unique": ("'0'", "concat('unique on order_id: ', violations, ' duplicated values in ', (SELECT coalesce(sum(n), 0) FROM "
+               "(SELECT count(*) AS n FROM raw_orders WHERE order_id IS NOT NULL GROUP BY order_id HAVING count(*) > 1)), ' rows')"),
+    "accepted_values": ("'[\"cancelled\", \"completed\", \"pending\", \"refunded\"]'", None),
+    "min_value": ("'0'", None),
+    "max_value": ("'400000'", None),
+    "regex_match": ("'^[^@ ]+@[^@ ]+[.][a-z]+$'", None),
+    "custom_sql": ("'abs(total_amount) < 450000'", None),
+    "row_count_min": ("'1000000'", "concat('row count ', actual, ' (minimum 1000000)')"),
+    "referential_integrity": ("'customers.customer_id'", "concat('customer_id -> customers.customer_id: ', violations, ' orphan rows, ', "
+                              f"(SELECT count(DISTINCT o.customer_id) {_ORPHANS}), ' keys')"),
+}
+
 _VIOLATION_SQL = {
     "not_null": "SELECT customer_id, order_date, version, order_id FROM raw_orders WHERE order_id IS NULL",
     "unique": "SELECT order_id, count(*) AS n_rows FROM raw_orders WHERE order_id IS NOT NULL "
               "GROUP BY order_id HAVING count(*) > 1",
     "accepted_values": "SELECT order_id, status FROM raw_orders WHERE status IS NOT NULL AND status NOT IN "
-                       "('pending','processing','completed','cancelled','refunded')",
+                       "('cancelled','completed','pending','refunded')",
     "min_value": "SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount FROM raw_orders "
                  "WHERE total_amount < 0",
     "max_value": "SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount FROM raw_orders "
                  "WHERE total_amount > 400000",
     "regex_match": "SELECT customer_id, email FROM raw_customers WHERE email IS NOT NULL AND NOT "
-                   "regexp_matches(email, '^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+$')",
+                   "regexp_matches(email, '^[^@ ]+@[^@ ]+[.][a-z]+$')",
     "custom_sql": "SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount FROM raw_orders "
                   "WHERE NOT (abs(total_amount) < 450000)",
-    "row_count_min": "SELECT row_count, CAST(1000 AS BIGINT) AS min_count FROM "
-                     "(SELECT count(*) AS row_count FROM raw_customers) WHERE row_count < 1000",
+    "row_count_min": "SELECT row_count, CAST(1000000 AS BIGINT) AS min_count FROM "
+                     "(SELECT count(*) AS row_count FROM raw_customers) WHERE row_count < 1000000",
     "referential_integrity": "SELECT customer_id, count(*) AS n_rows FROM raw_orders o "
                              "WHERE customer_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM raw_customers c "
                              "WHERE c.customer_id = o.customer_id) GROUP BY customer_id",
@@ -163,22 +180,19 @@ for _name, (_table, _rule, _keys) in RULES.items():
     _src = "(SELECT 1 AS one) d" if _name in ("unique", "referential_integrity") else _view
     _ctes = [O.RAW_ORDERS, O.RAW_CUSTOMERS] if _name == "referential_integrity" else [_cte]
     _actual = _actual or "violations_placeholder"
-    _failed = "actual < 1000" if _name == "row_count_min" else None
+    _failed = "actual < 1000000" if _name == "row_count_min" else None
     _sql = O.rule_row(_name, _rule.get("column"), _viol,
-                      _actual if _actual != "violations_placeholder" else _viol, _src, _sev, _failed)
+                      _actual if _actual != "violations_placeholder" else _viol, _src, _sev, _failed, *_RULE_TEXT[_name])
     register(f"rule_{_name}", O.with_ctes(*_ctes, body=_sql))(_rule_query(_name))
     register(f"rule_violations_{_name}", O.with_ctes(*_ctes, body=_VIOLATION_SQL[_name]))(
         _violation_query(_name))
 
 
 # ------------------------------------------------------------ full contract
-from covenant.plans.checkplan import plan_contract  # noqa: E402
 from covenant.plans.contracts import sample_contract  # noqa: E402
 
 AS_OF = "2024-02-01 00:00:00"
-CHECK_OUT = ["check_name", "check_type", "column", "status", "severity", "violations"]
-_TABLE_COLUMNS = {"orders": list(M.ORDER_COLUMNS) + ["version"],
-                  "customers": list(M.CUSTOMER_COLUMNS) + ["version"]}
+CHECK_OUT = ["seq", "check_name", "check_type", "column", "status", "severity", "violations", "expected_value", "message"]
 
 
 def _contract_query(table):
@@ -190,21 +204,53 @@ def _contract_query(table):
 
 
 for _t in ("orders", "customers"):
-    _c = sample_contract(_t)
     register(f"fused_checks_{_t}", O.with_ctes(
-        O.RAW_ORDERS, O.RAW_CUSTOMERS,
-        body=O.contract_oracle(plan_contract(_c), _c, _RAW[_t][0],
-                               {"customers": "raw_customers", "orders": "raw_orders"},
-                               AS_OF, _TABLE_COLUMNS[_t])))(_contract_query(_t))
+        O.RAW_ORDERS, O.RAW_CUSTOMERS, body=O.contract_oracle(_t, AS_OF)))(_contract_query(_t))
+
+
+# rules whose parameters do not fit the column's type: bounds between whole
+# numbers, bounds that cannot be read, numbers for text, and the query form
+_ODD_RULES = [
+    {"rule_type": "min_value", "column": "version", "parameters": {"value": 0.5}},
+    {"rule_type": "max_value", "column": "order_id", "parameters": {"value": "100.5"}, "severity": "warning"},
+    {"rule_type": "min_value", "column": "order_id", "parameters": {"value": "abc"}},
+    {"rule_type": "max_value", "column": "order_date", "parameters": {"value": "2024-13-45"}},
+    {"rule_type": "max_value", "column": "order_date", "parameters": {"value": "1995-06-17"}},
+    {"rule_type": "min_value", "column": "status", "parameters": {"value": 3}},
+    {"rule_type": "accepted_values", "column": "status", "parameters": {"values": [1, 2]}},
+    {"rule_type": "accepted_values", "column": "order_id", "parameters": {"values": [1, 2.0, "3"]}},
+    {"rule_type": "custom_sql", "parameters": {"sql": "SELECT order_id FROM {table} WHERE total_amount < 0"}},
+    {"rule_type": "custom_sql", "parameters": {}},
+    {"rule_type": "min_value", "column": "order_id", "parameters": {}},
+]
+
+
+@register("rule_odd_parameters", O.with_ctes(O.RAW_ORDERS, body="""
+SELECT seq, check_type, status, CASE WHEN status = 'error' THEN NULL ELSE v END AS violations FROM (
+  SELECT seq, check_type, v, CASE WHEN v < 0 THEN 'error' WHEN v > 0 THEN bad ELSE 'passed' END AS status FROM (
+    SELECT 1 AS seq, 'min_value' AS check_type, (SELECT count(*) FROM raw_orders WHERE version < 0.5) AS v, 'failed' AS bad
+    UNION ALL SELECT 2, 'max_value', (SELECT count(*) FROM raw_orders WHERE order_id > 100.5), 'warning'
+    UNION ALL SELECT 3, 'min_value', -1, 'failed'
+    UNION ALL SELECT 4, 'max_value', -1, 'failed'
+    UNION ALL SELECT 5, 'max_value', (SELECT count(*) FROM raw_orders WHERE order_date > TIMESTAMP '1995-06-17'), 'failed'
+    UNION ALL SELECT 6, 'min_value', (SELECT count(*) FROM raw_orders WHERE status IS NOT NULL), 'failed'
+    UNION ALL SELECT 7, 'accepted_values', (SELECT count(*) FROM raw_orders WHERE status IS NOT NULL), 'failed'
+    UNION ALL SELECT 8, 'accepted_values', (SELECT count(*) FROM raw_orders WHERE order_id NOT IN (1, 2, 3)), 'failed'
+    UNION ALL SELECT 9, 'custom_sql', (SELECT count(*) FROM raw_orders WHERE total_amount < 0), 'failed'
+    UNION ALL SELECT 10, 'custom_sql', -1, 'failed'
+    UNION ALL SELECT 11, 'min_value', -1, 'failed'))"""))
+def q_rule_odd_parameters(spark, sf):
+    out = C.evaluate_rules(spark, FX.raw_orders(spark, sf), "orders", _ODD_RULES)
+    return out.select("seq", "check_type", "status", "violations")
 
 
 # ------------------------------------------------------------- freshness
 from covenant.operators import freshness as FR  # noqa: E402
 from covenant.operators import results as R  # noqa: E402
-from covenant.sources.tables import read_table  # noqa: E402
+from covenant.sources.tables import read_table, table_exists  # noqa: E402
 
 FRESH_OUT = ["table_name", "schema_name", "timestamp_column", "last_updated_at",
-             "max_delay_minutes", "actual_delay_minutes", "status", "is_within_sla"]
+             "max_delay_minutes", "actual_delay_minutes", "status", "is_within_sla", "message"]
 
 
 def _freshness_items(spark, sf):
@@ -221,6 +267,10 @@ def _freshness_items(spark, sf):
         ({"table_name": "shipments", "columns": [{"name": "shipped_at"}],
           "freshness": {"timestamp_column": "shipped_at", "max_delay_minutes": 60}}, None),
         ({"table_name": "nation", "columns": [{"name": "n_name"}]}, read_table(spark, sf, "nation")),
+        ({"table_name": "region", "columns": [{"name": "r_name"}],
+          "freshness": {"timestamp_column": "r_name", "max_delay_minutes": 30}}, read_table(spark, sf, "region")),
+        ({"table_name": "part", "columns": [{"name": "p_name"}],
+          "freshness": {"timestamp_column": "größe_am", "max_delay_minutes": 30}}, read_table(spark, sf, "part")),
     ]
 
 
@@ -230,21 +280,27 @@ def _fresh_sql(view, col, mx, table):
             f"m AS last_updated_at, CAST({mx} AS BIGINT) AS max_delay_minutes, "
             f"{delay} AS actual_delay_minutes, "
             f"CASE WHEN m IS NOT NULL AND {delay} <= {mx} THEN 'passed' ELSE 'failed' END AS status, "
-            f"(m IS NOT NULL AND {delay} <= {mx}) AS is_within_sla "
+            f"(m IS NOT NULL AND {delay} <= {mx}) AS is_within_sla, "
+            f"CASE WHEN m IS NULL THEN 'Table public.{table} has no data or null timestamps' ELSE "
+            f"concat('Data is ', CAST(round({delay}, 1) AS DECIMAL(24, 1)), ' min old (SLA: {mx} min) - ', "
+            f"CASE WHEN {delay} <= {mx} THEN 'WITHIN' ELSE 'OUTSIDE' END, ' SLA') END AS message "
             f"FROM (SELECT max({col}) AS m FROM {view})")
 
 
 _FRESH_MANY_SQL = O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, body="\nUNION ALL\n".join([
-    _fresh_sql("raw_orders", "updated_at", 120, "orders"),
-    _fresh_sql("raw_customers", "updated_at", 1440, "customers"),
+    _fresh_sql("raw_orders", "updated_at", 720, "orders"),
+    _fresh_sql("raw_customers", "updated_at", 10080, "customers"),
     _fresh_sql("events", "ts", 10080, "events"),
     _fresh_sql("lineitem", "l_shipdate", 1440, "lineitem"),
-    "SELECT 'shipments', 'public', 'shipped_at', NULL, 60, NULL, 'error', false",
-    "SELECT 'nation', 'public', '', NULL, 0, NULL, 'skipped', false",
+    "SELECT 'shipments', 'public', 'shipped_at', NULL, 60, NULL, 'error', false, 'Table public.shipments does not exist'",
+    "SELECT 'nation', 'public', '', NULL, 0, NULL, 'skipped', false, 'No freshness SLA defined in contract'",
+    "SELECT 'region', 'public', 'r_name', NULL, 30, NULL, 'error', false, "
+    "'Freshness query failed: column r_name is string, not a date or timestamp'",
+    "SELECT 'part', 'public', 'größe_am', NULL, 30, NULL, 'error', false, 'Freshness query failed: column größe_am not found'",
 ]))
 
 
-@register("freshness_check", O.with_ctes(O.RAW_ORDERS, body=_fresh_sql("raw_orders", "updated_at", 120, "orders")))
+@register("freshness_check", O.with_ctes(O.RAW_ORDERS, body=_fresh_sql("raw_orders", "updated_at", 720, "orders")))
 def q_freshness_check(spark, sf):
     return FR.freshness_result(spark, FX.raw_orders(spark, sf), sample_contract("orders"), AS_OF).select(*FRESH_OUT)
 
@@ -278,15 +334,9 @@ def _both_contract_checks(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-def _oracle_checks_cte(with_seq=False):
-    parts = []
-    for t in ("orders", "customers"):
-        c = sample_contract(t)
-        body = O.contract_oracle(plan_contract(c), c, _RAW[t][0],
-                                 {"customers": "raw_customers", "orders": "raw_orders"},
-                                 AS_OF, _TABLE_COLUMNS[t], with_seq)
-        parts.append(f"SELECT '{t}' AS table_name, 'public' AS schema_name, * FROM ({body})")
-    return "all_checks AS (" + "\nUNION ALL\n".join(parts) + ")"
+def _oracle_checks_cte():
+    return "all_checks AS (" + "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, 'public' AS schema_name, * FROM ({O.contract_oracle(t, AS_OF)})" for t in ("orders", "customers")) + ")"
 
 
 # run roll-up over the oracle's check rows (Q1-Q3 counting rules)
@@ -308,7 +358,7 @@ def q_run_rollup(spark, sf):
     return R.rollup_runs(_both_contract_checks(spark, sf))
 
 
-@register("run_alerts", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(True), body=f"""
+@register("run_alerts", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body=f"""
 SELECT 'quality_check_failure' AS alert_type,
        CASE WHEN r.failed_checks > 3 THEN 'critical' ELSE 'warning' END AS severity,
        concat_ws('.', r.schema_name, r.table_name) AS "table", r.overall_status AS status,
@@ -460,18 +510,19 @@ def q_freshness_alerts(spark, sf):
 
 @register("run_summaries", O.with_ctes(
     _LOG, body="SELECT table_name, schema_name, overall_status, total_checks, passed_checks, "
-               "failed_checks, duration_seconds "
+               "failed_checks, CAST(round(CAST(duration_seconds AS DECIMAL(18, 6)), 3) AS DOUBLE) AS duration_seconds "
                "FROM run_log"))
 def q_run_summaries(spark, sf):
-    # exact duration: 3-place rounding differs between engines at ...5 (Q14)
-    return G.run_summaries(_log(spark, sf), digits=None)
+    return G.run_summaries(_log(spark, sf))
 
 
 # ------------------------------------------------------------ registry
 from pyspark.sql import functions as F  # noqa: E402
 
+from covenant.functions.text import stable_id, to_utc_timestamp_ntz  # noqa: E402
 from covenant.plans import checkplan as P  # noqa: E402
-from covenant.plans.contracts import contracts_df  # noqa: E402
+from covenant.functions.literals import local_rows  # noqa: E402
+from covenant.plans.contracts import contracts_df, read_contract_dir  # noqa: E402
 from covenant.sources import registry as RG  # noqa: E402
 
 
@@ -483,7 +534,7 @@ def q_contract_lint(spark, sf):
 @register("check_plan", O.with_ctes(O.REGISTRY, body=O.PLAN_BODY))
 def q_check_plan(spark, sf):
     return P.plan_many(RG.contracts_from_part(spark, sf)).select(
-        "table_name", "schema_name", "check_type", "column", "severity", "origin", "seq")
+        "table_name", "schema_name", "check_type", "column", "params", "severity", "origin", "seq")
 
 
 @register("contract_summary", O.with_ctes(O.REGISTRY, body="""
@@ -529,7 +580,7 @@ _REG_SMALL = "table_name, schema_name, owner, version"
 @register("contract_upsert", O.with_ctes(O.REGISTRY, body=f"""
 , cur AS (SELECT {_REG_SMALL} FROM reg_top
           UNION ALL SELECT concat('n_', lower(n_name)), 'legacy', 'archive', '0.9.0' FROM nation),
-inc AS (SELECT table_name, schema_name, owner, '2.0.0' AS version FROM reg_top
+inc AS (SELECT table_name, schema_name, owner, '1.10.0' AS version FROM reg_top
         UNION ALL SELECT concat('s_', CAST(s_suppkey AS VARCHAR)), 'staging', s_name, '1.0.0' FROM supplier)
 SELECT coalesce(i.table_name, c.table_name) AS table_name, coalesce(i.schema_name, c.schema_name) AS schema_name,
        CASE WHEN i.table_name IS NOT NULL THEN i.owner ELSE c.owner END AS owner,
@@ -545,8 +596,9 @@ def q_contract_upsert(spark, sf):
     cur = reg.unionByName(_legacy(spark, sf)) \
         .withColumn("created_at", F.to_timestamp_ntz(F.lit(T0))) \
         .withColumn("updated_at", F.to_timestamp_ntz(F.lit(T0)))
-    inc = reg.withColumn("version", F.lit("2.0.0")).unionByName(_new_from_supplier(spark, sf))
-    return RG.upsert(cur, inc, AS_OF)
+    # each key twice in the batch: 1.10.0 is the later of the two
+    twice = reg.withColumn("version", F.lit("1.9.0")).unionByName(reg.withColumn("version", F.lit("1.10.0")))
+    return RG.upsert(cur, twice.unionByName(_new_from_supplier(spark, sf)), AS_OF)
 
 
 @register("contract_delete", O.with_ctes(O.REGISTRY, body="""
@@ -591,13 +643,24 @@ def q_insert_ignore(spark, sf):
 
 
 @register("insert_defaults", O.with_ctes(O.RAW_ORDERS, body=f"""
-SELECT order_id IS NULL AS order_id_generated, customer_id, coalesce(status, 'pending') AS status,
+SELECT coalesce(CAST(order_id AS VARCHAR), sha256(concat_ws(chr(1), CAST(customer_id AS VARCHAR), CAST(version AS VARCHAR)))) AS order_id,
+       order_id IS NULL AS order_id_generated, customer_id, coalesce(status, 'pending') AS status,
        coalesce(updated_at, TIMESTAMP '{AS_OF}') AS updated_at, version FROM raw_orders"""))
 def q_insert_defaults(spark, sf):
     raw = FX.raw_orders(spark, sf).withColumn("order_id_generated", F.col("order_id").isNull())
-    out = RG.insert_defaults(raw, {"order_id": F.expr("uuid()"), "status": F.lit("pending"),
+    out = RG.insert_defaults(raw, {"order_id": stable_id("customer_id", "version"), "status": F.lit("pending"),
                                    "updated_at": F.to_timestamp_ntz(F.lit(AS_OF))})
-    return out.select("order_id_generated", "customer_id", "status", "updated_at", "version")
+    return out.select("order_id", "order_id_generated", "customer_id", "status", "updated_at", "version")
+
+
+@register("insert_generated_ids", O.with_ctes(O.RAW_ORDERS, body="""
+SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) FILTER (WHERE order_id IS NULL) AS n_generated FROM raw_orders"""))
+def q_insert_generated_ids(spark, sf):
+    """A fresh id for each null key: none is null, and all are well formed."""
+    raw = FX.raw_orders(spark, sf)
+    out = RG.insert_defaults(raw, {"order_id": F.expr("uuid()")})
+    new = F.col("order_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return out.agg(F.count("*").alias("n_rows"), F.count("order_id").alias("n_ids"), F.count_if(new).alias("n_generated"))
 
 
 # ------------------------------------------------------- schema conformance
@@ -687,8 +750,7 @@ TREND_DAYS = 14
 
 
 def _daily(spark, sf):
-    total = G.count_user_tables(RG.inventory_from_data(spark, sf)).first()[0]  # one-row aggregate
-    return G.daily_snapshots(_log(spark, sf), total)
+    return G.daily_snapshots(_log(spark, sf), G.count_user_tables(RG.inventory_from_data(spark, sf)))
 
 
 @register("governance_trend", O.with_ctes(O.CATALOG, _LOG, _DAILY, body=f"""
@@ -741,23 +803,107 @@ def q_stream_rule_gate(spark, sf):
 from covenant.plans import pipeline as PL  # noqa: E402
 
 
+def _pipeline(spark, sf, extra=()):
+    """The governed tables under the sample contracts, and more contracts."""
+    tables = governed(spark, sf).add("good", read_table(spark, sf, "events"), "sales")
+    return PL.governance_run(spark, [sample_contract("orders"), sample_contract("customers"), *extra], tables,
+                             RG.inventory_from_data(spark, sf), RG.contracts_from_part(spark, sf), AS_OF)
+
+
+#: contracts with parts that cannot run: a table of another schema only, a
+#: freshness column of text, a query that fails on the data, and no SLA
+_EVENT_TYPES = ["view", "click", "purchase", "signup"]
+_ROUGH = [
+    {"table_name": "good", "schema_name": "public", "version": "0.1.0", "columns": [{"name": "ts", "type": "timestamp"}]},
+    {"table_name": "good", "schema_name": "sales", "version": "0.2.0", "columns": [{"name": "ts", "type": "timestamp"}],
+     "quality_rules": [{"rule_type": "accepted_values", "column": "event_type", "parameters": {"values": _EVENT_TYPES}},
+                       {"rule_type": "custom_sql", "parameters": {"expression": "cast(raise_error(event_type) AS boolean)"}},
+                       {"rule_type": "min_value", "column": "value", "parameters": {"value": 1}}],
+     "freshness": {"timestamp_column": "event_type", "max_delay_minutes": 5}},
+]
+
+
 @register("governance_pipeline", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body=(
-    "SELECT table_name, schema_name, overall_status, total_checks, passed_checks, failed_checks, "
+    "SELECT table_name, schema_name, CASE WHEN table_name = 'orders' THEN '3.2.1' ELSE '1.4.0' END AS contract_version, "
+    "overall_status, total_checks, passed_checks, failed_checks, "
     "warning_checks FROM (" + _ROLLUP_BODY
     + ")")))
 def q_governance_pipeline(spark, sf):
-    tables = governed(spark, sf)
-    out = PL.governance_run(spark, [sample_contract("orders"), sample_contract("customers")], tables,
-                            RG.inventory_from_data(spark, sf), RG.contracts_from_part(spark, sf), AS_OF)
-    return out["runs"].select("table_name", "schema_name", "overall_status", "total_checks",
+    out = _pipeline(spark, sf)
+    return out["runs"].select("table_name", "schema_name", "contract_version", "overall_status", "total_checks",
                               "passed_checks", "failed_checks", "warning_checks")
 
 
+@register("pipeline_error_run", """
+SELECT 'good' AS table_name, 'public' AS schema_name, 0 AS seq, 'table_exists' AS check_name, 'failed' AS status, CAST(1 AS BIGINT) AS violations
+UNION ALL SELECT 'good', 'sales', 1, 'column_exists_ts', 'passed', 0
+UNION ALL SELECT 'good', 'sales', 2, 'column_type_ts', 'passed', 0
+UNION ALL SELECT 'good', 'sales', 3, 'row_count_min', 'passed', 0
+UNION ALL SELECT 'good', 'sales', 4, 'accepted_values_event_type', CASE WHEN v > 0 THEN 'failed' ELSE 'passed' END, v FROM
+  (SELECT count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')) AS v FROM events)
+UNION ALL SELECT 'good', 'sales', 5, 'custom_sql', 'error', NULL
+UNION ALL SELECT 'good', 'sales', 6, 'min_value_value', CASE WHEN v > 0 THEN 'failed' ELSE 'passed' END, v FROM
+  (SELECT count(*) FILTER (WHERE value < 1) AS v FROM events)
+UNION ALL SELECT 'good', 'sales', 7, 'freshness_event_type', 'error', NULL""")
+def q_pipeline_error_run(spark, sf):
+    """GOV2/GOV3: what fails at run time is one ERROR check; the other checks of its table stay."""
+    out = PL.governance_run(spark, _ROUGH, governed(spark, sf).add("good", read_table(spark, sf, "events"), "sales"),
+                            RG.inventory_from_data(spark, sf), RG.contracts_from_part(spark, sf), AS_OF)
+    return out["checks"].select("table_name", "schema_name", "seq", "check_name", "status", "violations")
+
+
+@register("pipeline_sla_compliance", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body="""
+SELECT count(*) FILTER (WHERE status = 'passed') AS tables_within_sla, count(*) + 1 AS tables_with_freshness_sla
+FROM all_checks WHERE check_type = 'freshness'"""))
+def q_pipeline_sla_compliance(spark, sf):
+    """AGG6 over the log that the engine wrote; the table with an unreadable freshness column is one more."""
+    return G.sla_compliance_by_freshness(_pipeline(spark, sf, _ROUGH)["log"])
+
+
+@register("pipeline_freshness_alerts", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body=f"""
+SELECT concat_ws('.', schema_name, table_name) AS "table", CAST(expected_value AS BIGINT) AS max_delay_minutes,
+       CASE table_name WHEN 'orders' THEN round({O._delay('raw_orders', AS_OF)}, 2) ELSE round({O._delay('raw_customers', AS_OF)}, 2) END AS actual_delay_minutes
+FROM all_checks WHERE check_type = 'freshness' AND status = 'failed'"""))
+def q_pipeline_freshness_alerts(spark, sf):
+    return G.log_freshness_alerts(_pipeline(spark, sf)["log"]).select("table", "max_delay_minutes", "actual_delay_minutes")
+
+
+@register("pipeline_alerts", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body=f"""
+SELECT CASE WHEN r.failed_checks > 3 THEN 'critical' ELSE 'warning' END AS severity,
+       concat_ws('.', r.schema_name, r.table_name) AS "table", r.overall_status AS status, r.failed_checks,
+       array_to_string(list_slice(n.names, 1, 10), ',') AS failed_check_names
+FROM ({_ROLLUP_BODY}) r JOIN (SELECT table_name, list(check_name ORDER BY seq) AS names
+     FROM all_checks WHERE status = 'failed' GROUP BY table_name) n ON r.table_name = n.table_name
+WHERE r.overall_status IN ('failed', 'error')"""))
+def q_pipeline_alerts(spark, sf):
+    """GOV9/GOV11: a second run on the same log alerts for its own tables only."""
+    tables, registry = governed(spark, sf), RG.contracts_from_part(spark, sf)
+    root = PL.new_folder(spark)
+    for _ in range(2):
+        out = PL.governance_run(spark, [sample_contract("orders"), sample_contract("customers")], tables,
+                                RG.inventory_from_data(spark, sf), registry, AS_OF, out_dir=root)
+    return out["alerts"].select("severity", "table", "status", "failed_checks",
+                                F.array_join("failed_check_names", ",").alias("failed_check_names"))
+
+
+@register("pipeline_snapshot", O.with_ctes(O.REGISTRY, O.CATALOG, O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body=f"""
+SELECT {_pct_sql('c', 't', '0.0')} AS contract_coverage_pct, {_pct_sql('p', 'n', '0.0')} AS quality_pass_rate_pct,
+       {_pct_sql('w', '2', '100.0')} AS sla_compliance_pct, n AS total_checks_run, p AS total_checks_passed
+FROM (SELECT {_total_tables_sql()} AS t, (SELECT count(*) FROM reg_top) AS c, count(*) AS n,
+             count(*) FILTER (WHERE status = 'passed') AS p,
+             (SELECT count(*) FROM ({_ROLLUP_BODY}) WHERE overall_status = 'passed') AS w FROM all_checks)"""))
+def q_pipeline_snapshot(spark, sf):
+    """GOV4 over the engine's own log, captured and read back (SINK4)."""
+    out = _pipeline(spark, sf)
+    kept = RG.materialise(out["snapshot"], PL.new_folder(spark))
+    return kept.select("contract_coverage_pct", "quality_pass_rate_pct", "sla_compliance_pct", "total_checks_run", "total_checks_passed")
+
+
 # ------------------------------------------------------------ more registry / rules
 
 @register("contract_resolve", O.with_ctes(O.REGISTRY, body="""
-, files(table_name, schema_name, version) AS (VALUES ('orders', 'public', '1.0.0'),
-    ('customers', 'public', '1.0.0'), ('t_1', 'public', '1.0.0'))
+, files(table_name, schema_name, version) AS (VALUES ('orders', 'public', '3.2.1'),
+    ('customers', 'public', '1.4.0'), ('t_1', 'public', '3.2.1'))
 SELECT table_name, schema_name, version, 'registry' AS source FROM reg_top
 UNION ALL
 SELECT f.table_name, f.schema_name, f.version, 'file' FROM files f
@@ -769,22 +915,75 @@ def q_contract_resolve(spark, sf):
     return out.select("table_name", "schema_name", "version", "source")
 
 
+@register("contract_list", O.with_ctes(O.REGISTRY, body="SELECT table_name, schema_name, owner, version FROM reg_top"))
+def q_contract_list(spark, sf):
+    """SRC8 over a registry snapshot that was committed and read back."""
+    root = PL.new_folder(spark)
+    RG.commit_snapshot(RG.contracts_from_part(spark, sf), root)
+    return RG.list_contracts(RG.read_snapshot(spark, root)).select("table_name", "schema_name", "owner", "version")
+
+
+@register("contract_directory", O.with_ctes(O.REGISTRY, body="""
+SELECT lower(table_name) AS table_name, schema_name, version, 4 AS column_count, 4 AS rule_count FROM reg_top"""))
+def q_contract_directory(spark, sf):
+    """SRC9: the registry as a folder of JSON documents, read as definition files."""
+    folder = PL.new_folder(spark)
+    RG.contracts_from_part(spark, sf).write.json(folder)
+    return read_contract_dir(spark, folder, multi_line=False).select(
+        "table_name", "schema_name", "version", F.size("columns").alias("column_count"), F.size("quality_rules").alias("rule_count"))
+
+
+@register("table_probe", """
+SELECT * FROM (VALUES ('orders', true), ('lineitem', true), ('shipments', false)) AS t(table_name, found)""")
+def q_table_probe(spark, sf):
+    """SRC4/JOIN5: existence of Parquet tables, asked of their file system."""
+    return local_rows(spark, [(t, table_exists(spark, t, sf)) for t in ("orders", "lineitem", "shipments")], "table_name string, found boolean")
+
+
+@register("column_metadata", """
+SELECT * FROM (VALUES (1, 'order_id', 'bigint'), (2, 'customer_id', 'bigint'), (3, 'order_date', 'timestamp_ntz'),
+  (4, 'total_amount', 'decimal'), (5, 'status', 'string'), (6, 'created_at', 'timestamp_ntz'), (7, 'updated_at', 'timestamp_ntz'),
+  (8, 'version', 'int')) AS t(ordinal_position, column_name, data_type)""")
+def q_column_metadata(spark, sf):
+    """SRC5 from a table's own schema."""
+    return RG.column_metadata(spark, FX.raw_orders(spark, sf), "orders").select("ordinal_position", "column_name", "data_type")
+
+
+@register("materialised_summary", O.with_ctes(
+    O.RAW_ORDERS, O.RAW_CUSTOMERS, O.STG_ORDERS, O.STG_CUSTOMERS, O.FCT_ORDER_SUMMARY,
+    body="SELECT country, count(*) AS customers, CAST(sum(total_orders) AS BIGINT) AS orders FROM fct_order_summary GROUP BY country"))
+def q_materialised_summary(spark, sf):
+    """SINK5: the summary written as a table; SQL over the read-back."""
+    out = M.fct_order_summary(M.stg_orders(FX.raw_orders(spark, sf)), M.stg_customers(FX.raw_customers(spark, sf)))
+    kept = RG.materialise(out, PL.new_folder(spark))
+    return spark.sql("SELECT country, count(*) AS customers, sum(total_orders) AS orders FROM {t} GROUP BY country", t=kept)
+
+
+@register("utc_times", """
+SELECT event_id, ts AS naive, ts - INTERVAL '90' MINUTE AS zoned, CAST(NULL AS TIMESTAMP) AS unreadable FROM events""")
+def q_utc_times(spark, sf):
+    """FN7: text with and without a zone."""
+    e = read_table(spark, sf, "events")
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return e.select("event_id", to_utc_timestamp_ntz(text).alias("naive"),
+                    to_utc_timestamp_ntz(F.concat(text, F.lit("+01:30"))).alias("zoned"),
+                    to_utc_timestamp_ntz(F.lit("soon")).alias("unreadable"))
+
+
 @register("rule_unique_composite", O.with_ctes(O.RAW_ORDERS, body="""
 SELECT 'unique' AS check_type, 'customer_id,order_date' AS "column",
        CASE WHEN count(*) > 0 THEN 'failed' ELSE 'passed' END AS status, 'error' AS severity,
-       CAST(count(*) AS BIGINT) AS violations, CAST(count(*) AS VARCHAR) AS actual_value
-FROM (SELECT customer_id, order_date FROM raw_orders WHERE customer_id IS NOT NULL AND order_date IS NOT NULL
+       CAST(count(*) AS BIGINT) AS violations, CAST(count(*) AS VARCHAR) AS actual_value, '0' AS expected_value,
+       concat('unique on customer_id,order_date: ', count(*), ' duplicated values in ', coalesce(sum(n), 0), ' rows') AS message
+FROM (SELECT count(*) AS n FROM raw_orders WHERE customer_id IS NOT NULL AND order_date IS NOT NULL
       GROUP BY customer_id, order_date HAVING count(*) > 1)"""))
 def q_rule_unique_composite(spark, sf):
     rule = {"rule_type": "unique", "parameters": {"columns": ["customer_id", "order_date"]}}
     return C.evaluate_rules(spark, FX.raw_orders(spark, sf), "orders", [rule]).select(*RULE_OUT)
 
 
-@register("run_payload_checks", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(True), body="""
+@register("run_payload_checks", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _oracle_checks_cte(), body="""
 SELECT table_name, schema_name, check_name, check_type, "column", status, severity, violations, seq
 FROM all_checks"""))
 def q_run_payload_checks(spark, sf):
-    tables = governed(spark, sf)
-    out = PL.governance_run(spark, [sample_contract("orders"), sample_contract("customers")], tables,
-                            RG.inventory_from_data(spark, sf), RG.contracts_from_part(spark, sf), AS_OF)
-    return G.payload_checks(out["runs"]).drop("run_id")
+    return G.payload_checks(_pipeline(spark, sf)["runs"]).drop("run_id")

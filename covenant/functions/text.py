@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _WORD_OR_GAP = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
 # Identifier rule of the contract models: underscores allowed, the rest
 # alphanumeric, at least one non-underscore character.
-IDENTIFIER_PATTERN = r"^_*[\p{L}\p{N}][\p{L}\p{N}_]*$"
+IDENTIFIER_PATTERN = r"^_*[\p{L}\p{N}][\p{L}\p{N}_]*\z"
 
 
 def _c(x) -> Column:
@@ -45,13 +45,19 @@ def initcap_trim(x) -> Column:
     return initcap_words(F.trim(_c(x)))
 
 
+def _micros(x: Column) -> Column:
+    """Microseconds of a time without zone, whatever the session's zone."""
+    t = x.cast("timestamp_ntz")
+    seconds = F.unix_date(F.to_date(t)).cast("bigint") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+
+
 def minutes_between(later, earlier) -> Column:
     """FN6: EXTRACT(EPOCH FROM later - earlier) / 60.0 as double.
 
-    Works on TIMESTAMP and TIMESTAMP_NTZ (the latter read as UTC, which the
-    session time zone guarantees)."""
-    return (F.unix_micros(_c(later).cast("timestamp"))
-            - F.unix_micros(_c(earlier).cast("timestamp"))) / F.lit(60_000_000.0)
+    Works on TIMESTAMP (as the session's zone shows it) and TIMESTAMP_NTZ; a
+    change of summer time in that zone adds nothing."""
+    return (_micros(_c(later)) - _micros(_c(earlier))) / F.lit(60_000_000.0)
 
 
 def is_identifier(x) -> Column:
@@ -59,16 +65,6 @@ def is_identifier(x) -> Column:
     return F.coalesce(_c(x).rlike(IDENTIFIER_PATTERN), F.lit(False))
 
 
-def check_slug(x) -> Column:
-    """FN13: blanks to underscores, lower case."""
-    return F.lower(F.regexp_replace(_c(x), " ", "_"))
-
-
-def qualified_name(schema, table) -> Column:
-    """FN14: ``schema.table``."""
-    return F.concat_ws(".", _c(schema), _c(table))
-
-
 def stable_id(*cols) -> Column:
     """FN15: a deterministic id from key columns (tests and replays need
     stable ids; ``uuid()`` is used where a fresh id is wanted)."""
@@ -78,11 +74,7 @@ def stable_id(*cols) -> Column:
 def to_utc_timestamp_ntz(x) -> Column:
     """FN7: ISO text or timestamp -> timestamp without zone, read as UTC
     (naive values are UTC; zoned text is converted to UTC)."""
-    # text is parsed in the session zone, which ``configure`` pins to UTC,
-    # so naive text stays as written and zoned text is shifted to UTC
-    return F.to_timestamp(_c(x).cast("string")).cast("timestamp_ntz")
-
-
-def try_number(x, to: str = "bigint") -> Column:
-    """FN16: casts that must not fail under ANSI mode (bad text -> NULL)."""
-    return _c(x).try_cast(to)
+    text = F.trim(_c(x).cast("string"))
+    zoned = text.rlike(r"([Zz]|[+-][0-9]{2}:?[0-9]{2}|[A-Za-z]{3,})$") & text.rlike(r"[0-9][T ][0-9]")
+    shifted = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    return F.when(zoned, shifted).otherwise(text.try_cast("timestamp_ntz"))

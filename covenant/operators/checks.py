@@ -20,9 +20,11 @@ single action runs it.
 from __future__ import annotations
 
 import json
-import uuid
+import re
 from collections.abc import Sequence
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from covenant.functions.literals import local_rows
-from covenant.functions.text import IDENTIFIER_PATTERN, minutes_between
-from covenant.plans.checkplan import CheckSpec, check_name, plan_contract
+from covenant.functions.text import minutes_between
+from covenant.plans.checkplan import CheckSpec, check_name, name_plan, plan_contract
 from covenant.plans import vocabulary as V
 from covenant.plans.contracts import ACCEPTED_SPARK_TYPES, normalise
 from covenant.sources.tables import TableSet
@@ -80,6 +82,10 @@ def type_matches(contract_type: str, dt: T.DataType) -> bool:
     return spark_type_name(dt) in ACCEPTED_SPARK_TYPES.get(contract_type, ())
 
 
+#: the check that stands for a contract whose checks could not run at all
+CONTRACT_ERROR = "contract_checks"
+
+
 # ------------------------------------------------------------------ helpers
 
 def _field(df: DataFrame, name: str) -> T.StructField | None:
@@ -89,24 +95,80 @@ def _field(df: DataFrame, name: str) -> T.StructField | None:
     return None
 
 
-def _literal_for(dt: T.DataType, value) -> Column:
-    """The rule's bound in the column's type; a bound that does not convert
-    becomes NULL (no rows are judged) instead of failing the whole job."""
-    if isinstance(dt, _NUMERIC):
-        return F.lit(value).try_cast(dt if not isinstance(dt, T.DecimalType) else "decimal(38,10)")
-    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.lit(str(value)).try_cast(dt)
-    return F.lit(value)
+class RuleError(ValueError):
+    """A rule that cannot be judged on this table: one ERROR check."""
+
+
+def _number(value) -> Decimal | None:
+    """The bound as an exact number, or None."""
+    if isinstance(value, bool) or value is None:
+        return None
+    try:
+        d = Decimal(str(value).strip())
+    except InvalidOperation:
+        return None
+    return d if d.is_finite() else None
+
+
+def _instant(value) -> datetime | None:
+    if isinstance(value, datetime):
+        return value
+    if isinstance(value, date):
+        return datetime(value.year, value.month, value.day)
+    try:
+        return datetime.fromisoformat(str(value).strip())
+    except ValueError:
+        return None
 
 
-def _comparable(df: DataFrame, column: str, value) -> tuple[Column, Column]:
-    """Column and bound in a common type; a numeric bound on a text column
-    compares the text's numeric reading (unreadable text -> NULL)."""
-    f = _field(df, column)
-    c = F.col(column)
-    if isinstance(value, (int, float)) and not isinstance(value, bool) and not isinstance(f.dataType, _NUMERIC):
-        return c.try_cast("double"), F.lit(float(value))
-    return c, _literal_for(f.dataType, value)
+def _out_of_range(df: DataFrame, spec: CheckSpec) -> Column:
+    """RUL4/RUL5: TRUE where the value lies beyond the bound, compared in a
+    type that holds both: a fractional bound stays fractional on a whole-number
+    column. Text under a numeric bound is read as a number; text that is
+    none is beyond any bound. A bound that does not convert is a RuleError."""
+    if spec.params.get("value") is None:
+        raise RuleError(f"{spec.check_type} needs parameters.value")
+    value, dt, c = spec.params["value"], _field(df, spec.column).dataType, F.col(spec.column)
+    beyond = (lambda x, b: x < b) if spec.check_type == "min_value" else (lambda x, b: x > b)
+    number = _number(value)
+    if isinstance(dt, _NUMERIC):
+        if number is None:
+            raise RuleError(f"{spec.check_type} bound {value!r} is not a number")
+        digits = max(len(number.as_tuple().digits), abs(number.as_tuple().exponent))
+        if isinstance(dt, (T.FloatType, T.DoubleType)) or digits > 18:
+            return F.coalesce(beyond(c.cast("double"), F.lit(float(number))), F.lit(False))
+        return F.coalesce(beyond(c, F.lit(number)), F.lit(False))
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        at = _instant(value) if not isinstance(value, (int, float)) else None
+        if at is None:
+            raise RuleError(f"{spec.check_type} bound {value!r} is not a date or time")
+        kind = "timestamp" if isinstance(dt, T.TimestampType) or at.tzinfo else "timestamp_ntz"
+        return F.coalesce(beyond(c.cast(kind), F.lit(at.isoformat(sep=" ")).cast(kind)), F.lit(False))
+    if isinstance(dt, (T.StringType, T.VarcharType, T.CharType)):
+        if number is None:
+            return F.coalesce(beyond(c, F.lit(str(value))), F.lit(False))
+        read = c.try_cast("double")
+        return c.isNotNull() & (read.isNull() | beyond(read, F.lit(float(number))))
+    raise RuleError(f"{spec.check_type} cannot order {dt.simpleString()} values")
+
+
+def _as_text(value) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def _not_listed(df: DataFrame, spec: CheckSpec) -> Column:
+    """RUL3: TRUE where a value is not in the list. Numbers are compared as
+    numbers where column and list hold them; everything else as text."""
+    c, dt = F.col(spec.column), _field(df, spec.column).dataType
+    vals = [v for v in spec.params.get("values") or [] if v is not None]
+    if not vals:
+        return c.isNotNull()
+    if isinstance(dt, _NUMERIC) and all(_number(v) is not None for v in vals):
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            return c.isNotNull() & ~c.cast("double").isin([float(_number(v)) for v in vals])
+        same = [c == F.lit(_number(v)) for v in vals]
+        return c.isNotNull() & ~reduce(lambda x, y: x | y, same)
+    return c.isNotNull() & ~c.cast("string").isin([_as_text(v) for v in vals])
 
 
 def _row(spec: CheckSpec, name: str, severity: str | None = None) -> dict:
@@ -152,21 +214,9 @@ def row_predicate_failures(df: DataFrame, spec: CheckSpec) -> Column | None:
     if t == "not_null":
         return c.isNull()
     if t == "accepted_values":
-        vals = [v for v in p.get("values", []) if v is not None]
-        if not vals:
-            return c.isNotNull()
-        dt = _field(df, spec.column).dataType
-        numeric_vals = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in vals)
-        if isinstance(dt, _NUMERIC) and not numeric_vals:
-            # mixed types: compare as text rather than risk a failing cast
-            return c.isNotNull() & ~c.cast("string").isin([str(v) for v in vals])
-        return c.isNotNull() & ~c.isin(vals)
-    if t == "min_value":
-        col, bound = _comparable(df, spec.column, p["value"])
-        return F.coalesce(col < bound, F.lit(False))
-    if t == "max_value":
-        col, bound = _comparable(df, spec.column, p["value"])
-        return F.coalesce(col > bound, F.lit(False))
+        return _not_listed(df, spec)
+    if t in ("min_value", "max_value"):
+        return _out_of_range(df, spec)
     if t == "regex_match":
         return c.isNotNull() & ~c.cast("string").rlike(p.get("pattern", ""))
     if t == "custom_sql" and "expression" in p:
@@ -175,17 +225,24 @@ def row_predicate_failures(df: DataFrame, spec: CheckSpec) -> Column | None:
     return None
 
 
-def _custom_error(spark: SparkSession, df: DataFrame, spec: CheckSpec) -> str | None:
-    """GOV3 at rule level: compile a regex pattern / analyse a custom
-    expression or query on the driver (no job runs); a rule that does not
-    compile becomes one ERROR check instead of failing the table's whole
-    aggregate."""
+def _rule_error(spark: SparkSession, df: DataFrame, spec: CheckSpec) -> str | None:
+    """GOV3 at rule level: compile a regex pattern, convert a bound, look at the
+    type of a freshness column, analyse a custom expression or query, all
+    on the driver (no job runs); a rule that does not pass becomes one
+    ERROR check instead of failing the table's whole aggregate."""
     if spec.check_type == "regex_match":
         try:  # the JVM's own regex dialect, as rlike uses it
             spark.sparkContext._jvm.java.util.regex.Pattern.compile(spec.params.get("pattern", ""))
         except Exception as exc:  # noqa: BLE001
-            return f"regex_match pattern does not compile: {str(exc).splitlines()[0][:300]}"
+            return f"regex_match pattern does not compile: {str(exc).splitlines()[0]}"
         return None
+    if spec.check_type in ("min_value", "max_value"):
+        try:
+            _out_of_range(df, spec)
+        except RuleError as exc:
+            return str(exc)
+    if spec.check_type == "freshness":
+        return time_column_error(df, spec.column)
     if spec.check_type != "custom_sql":
         return None
     try:
@@ -194,10 +251,18 @@ def _custom_error(spark: SparkSession, df: DataFrame, spec: CheckSpec) -> str |
         elif "expression" in spec.params:
             df.select(F.expr(spec.params["expression"]).cast("boolean")).schema
     except Exception as exc:  # noqa: BLE001 - analysis errors become ERROR rows
-        return f"custom_sql does not analyse: {str(exc).splitlines()[0][:300]}"
+        return f"custom_sql does not analyse: {str(exc).splitlines()[0]}"
     return None
 
 
+def time_column_error(df: DataFrame, column: str) -> str | None:
+    """Freshness needs a date or timestamp."""
+    dt = _field(df, column).dataType
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return None
+    return V.MSG_FRESHNESS_QUERY_FAILED.format(error=f"column {column} is {dt.simpleString()}, not a date or timestamp")
+
+
 def _missing_columns(df: DataFrame, spec: CheckSpec) -> list[str]:
     if not spec.column:
         return []
@@ -217,7 +282,7 @@ def _fused_aggs(df: DataFrame, specs: list[CheckSpec]) -> list[Column]:
             aggs.append(F.count_if(row_predicate_failures(df, s)).alias(f"__v{i}"))
             if s.check_type in ("min_value", "max_value"):
                 fn = F.min if s.check_type == "min_value" else F.max
-                aggs.append(fn(F.col(s.column)).alias(f"__a{i}"))
+                aggs.append(fn(F.col(s.column)).cast("string").alias(f"__a{i}"))
     return aggs
 
 
@@ -264,7 +329,7 @@ def _fused_outputs(specs: list[CheckSpec], plan: list[CheckSpec], table: str, sc
             expected = F.lit(0)
         outs.append(_check_struct(
             meta, table, schema, _status(v > 0, s.severity), expected, actual, v,
-            F.format_string(f"{s.check_type} on {s.column}: %d violating rows", v)))
+            F.concat(F.lit(f"{s.check_type} on {s.column}: " if s.column else f"{s.check_type}: "), v.cast("string"), F.lit(" violating rows"))))
     return outs
 
 
@@ -289,45 +354,9 @@ def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
-_FIXED_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType,
-                T.TimestampType, T.TimestampNTZType, T.BooleanType, T.FloatType, T.DoubleType)
-
-
-def _wide_key(df: DataFrame, columns: Sequence[str]) -> bool:
-    return any(not isinstance(_field(df, c).dataType, _FIXED_WIDTH) for c in columns)
-
-
-def duplicate_keys_hashed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact duplicate keys for wide keys (text, decimals, several columns),
-    shuffling 8-byte hashes first:
-
-    1. count rows per 64-bit hash of the key (partial aggregation; the
-       exchange carries hashes, not keys);
-    2. keep the hashes seen more than once — every duplicated key is among
-       them, plus any hash collisions;
-    3. group only the rows with such a hash by their exact key.
-
-    Collisions only add candidates that step 3 resolves, so the result is
-    exact. The candidate join is a plain join: AQE broadcasts the candidate
-    hashes only when their measured size is small."""
-    keyed = df.select(*columns)
-    for c in columns:
-        keyed = keyed.filter(F.col(c).isNotNull())
-    keyed = keyed.withColumn("__h", F.xxhash64(*columns))
-    candidates = (keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
-                       .filter(F.col("__n") > 1).select("__h"))
-    return (keyed.join(candidates, "__h", "left_semi").drop("__h")
-                 .groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows"))
-                 .filter(F.col("n_rows") > 1))
-
-
-def unique_summary(df: DataFrame, columns: Sequence[str], method: str = "auto") -> DataFrame:
-    """RUL2 one-row summary: duplicate key values and the rows they cover.
-    ``method``: 'direct' groups by the key, 'hashed' shuffles hashes first
-    (see ``duplicate_keys_hashed``), 'auto' picks hashed for wide keys."""
-    hashed = method == "hashed" or (method == "auto" and _wide_key(df, columns))
-    dups = duplicate_keys_hashed(df, columns) if hashed else duplicate_keys(df, columns)
-    return dups.agg(
+def unique_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """RUL2 one-row summary: duplicate key values and the rows they cover."""
+    return duplicate_keys(df, columns).agg(
         F.count(F.lit(1)).alias("duplicate_keys"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
@@ -354,10 +383,10 @@ def orphan_summary(df: DataFrame, column: str, ref: DataFrame, ref_column: str)
         F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("orphan_rows"))
 
 
-def _unique_check(df, s, plan, table, schema, method: str = "direct") -> DataFrame:
+def _unique_check(df, s, plan, table, schema) -> DataFrame:
     meta = _row(s, check_name(s, plan))
     cols = s.column.split(",")
-    summ = unique_summary(df, cols, method)
+    summ = unique_summary(df, cols)
     v = F.col("duplicate_keys")
     return summ.select(_check_struct(
         meta, table, schema, _status(v > 0, s.severity), F.lit(0), v, v,
@@ -365,11 +394,11 @@ def _unique_check(df, s, plan, table, schema, method: str = "direct") -> DataFra
                         v, F.col("duplicate_rows"))).alias("c")).select("c.*")
 
 
-def _fk_check(df, s, plan, table, schema, tables: TableSet) -> DataFrame | dict:
+def _fk_check(df, s, plan, table, schema, tables: TableSet) -> DataFrame:
     meta = _row(s, check_name(s, plan))
     ref_name = s.params.get("reference_table")
     ref_col = s.params.get("reference_column")
-    ref = tables.get(ref_name)
+    ref = tables.reference(ref_name, schema)
     summ = orphan_summary(df, s.column, ref, ref_col)
     v = F.col("orphan_rows")
     return summ.select(_check_struct(
@@ -386,65 +415,16 @@ def run_rule_query(spark: SparkSession, df: DataFrame, sql: str) -> DataFrame:
     return spark.sql(sql, table=df)
 
 
-def _fk_unavailable(s: CheckSpec, plan: list[CheckSpec], tables: TableSet | None) -> dict | None:
+def _fk_unavailable(s: CheckSpec, plan: list[CheckSpec], tables: TableSet | None, schema: str) -> dict | None:
     ref_name = s.params.get("reference_table")
     ref_col = s.params.get("reference_column")
-    ref = tables.get(ref_name) if tables is not None else None
+    ref = tables.reference(ref_name, schema) if tables is not None and ref_name else None
     if ref is None or ref_col is None or _field(ref, ref_col) is None:
         return {**_row(s, check_name(s, plan)), "status": "error", "violations": None,
                 "message": f"reference {ref_name}.{ref_col} not available"}
     return None
 
 
-LARGE_TABLE_CONF = "covenant.checks.largeTableBytes"
-LARGE_TABLE_DEFAULT = 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Bytes the DataFrame reads: the sum of Catalyst's size estimates of
-    the plan's leaf relations (file sizes for scans). Join and union
-    estimates above the leaves are not used: without column statistics
-    they are upper bounds, not sizes. Planning only, no job runs."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # noqa: BLE001 - no estimate: treat as large
-        return 1 << 62
-
-
-def is_large(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(LARGE_TABLE_CONF, str(LARGE_TABLE_DEFAULT)))
-    return estimated_bytes(df) >= limit
-
-
-def _assemble(df: DataFrame, fused_specs: list[CheckSpec], unique_specs: list[CheckSpec],
-              fk_specs: list[CheckSpec], plan: list[CheckSpec], table: str, schema: str, as_of,
-              tables: TableSet | None, single_pass: bool | None) -> list[DataFrame]:
-    """Data-touching parts of a table's checks. With ``single_pass`` the
-    row-level rules, narrow-key uniqueness and foreign keys share one scan
-    and one aggregate (``_single_pass``); wide unique keys keep their
-    hash-first job, whose shuffle is several times smaller.
-
-    ``single_pass=None`` decides by size: tables Catalyst estimates at or
-    above ``covenant.checks.largeTableBytes`` (default 256 MB) get the one
-    scan and hash-first uniqueness, where I/O and shuffle bytes dominate;
-    smaller ones get plain separate jobs, whose fixed cost is lower."""
-    large = is_large(df) if single_pass is None else single_pass
-    wide = [u for u in unique_specs if large and _wide_key(df, u.column.split(","))]
-    narrow = [u for u in unique_specs if u not in wide]
-    parts: list[DataFrame] = []
-    if large and (narrow or fk_specs):
-        parts.append(_single_pass(df, fused_specs, narrow + fk_specs, plan, table, schema, as_of, tables))
-    else:
-        fused = _fused(df, fused_specs, plan, table, schema, as_of)
-        if fused is not None:
-            parts.append(fused)
-        parts += [_unique_check(df, u, plan, table, schema) for u in narrow]
-        parts += [_fk_check(df, f, plan, table, schema, tables) for f in fk_specs]
-    parts += [_unique_check(df, u, plan, table, schema, method="hashed") for u in wide]
-    return parts
-
-
 def _custom_query_check(spark, df, s, plan, table, schema) -> DataFrame:
     """RUL7: any row returned by the rule's query is a failure."""
     meta = _row(s, check_name(s, plan))
@@ -481,78 +461,112 @@ def schema_check_rows(df: DataFrame, contract: dict, plan: list[CheckSpec]) -> l
     return rows
 
 
-# ---------------------------------------------------------------- entry point
+# ---------------------------------------------------------------- entry points
 
-def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
-                      tables: TableSet | None = None, as_of=None,
-                      single_pass: bool | None = None) -> DataFrame:
-    """All checks of one contract on one table as a checks DataFrame.
+@dataclass
+class Part:
+    """Checks that run as one piece: their specs and the rows they give."""
 
-    ``df`` None means the table does not exist (CHK5): one failed
-    ``table_exists`` check, and the freshness check reports an error.
-    """
-    c = normalise(contract)
-    table, schema = c["table_name"], c["schema_name"]
-    plan = plan_contract(c)
-    static: list[dict] = []
-    parts: list[DataFrame] = []
-    if df is None:
-        static.append({"seq": 0, "check_name": "table_exists", "check_type": "schema",
-                       "status": "failed", "severity": "error", "violations": 1,
-                       "message": V.MSG_TABLE_MISSING.format(schema=schema, table=table)})
-        for s in plan:
-            if s.check_type == "freshness":
-                static.append({**_row(s, check_name(s, plan)), "status": "error",
-                               "message": V.MSG_TABLE_MISSING.format(schema=schema, table=table)})
-        return _static_rows(spark, [{**r, "table_name": table, "schema_name": schema} for r in static])
-
-    static.extend(schema_check_rows(df, c, plan))
-    fused_specs: list[CheckSpec] = []
-    unique_specs: list[CheckSpec] = []
-    fk_specs: list[CheckSpec] = []
+    specs: list[CheckSpec]
+    rows: DataFrame
+
+
+def _parts(spark: SparkSession, df: DataFrame, plan: list[CheckSpec], static: list[dict], table: str,
+           schema: str, tables: TableSet | None, as_of) -> list[Part]:
+    """The data checks of a plan: one aggregate for the row-level rules and
+    freshness, one grouped count per key, one anti-join per foreign key, one
+    job per query. What cannot be judged joins ``static`` as an ERROR row.
+    The plan is the same at every size."""
+    fused: list[CheckSpec] = []
+    parts: list[Part] = []
     for s in plan:
-        if s.check_type in ("column_exists", "column_type"):
-            continue
-        missing = _missing_columns(df, s)
+        name = check_name(s, plan)
+        error = None
         if s.check_type == "freshness" and (not s.column or not _valid_ident(s.column)):
-            static.append({**_row(s, check_name(s, plan)), "status": "error",
-                           "message": V.MSG_INVALID_TS_COLUMN.format(column=s.column)})
-            continue
-        if missing:
-            static.append({**_row(s, check_name(s, plan)), "status": "error",
-                           "message": f"column(s) {', '.join(missing)} not found"})
-            continue
-        bad = _custom_error(spark, df, s)
-        if bad:
-            static.append({**_row(s, check_name(s, plan)), "status": "error", "message": bad})
-            continue
-        if s.check_type == "unique":
-            unique_specs.append(s)
+            error = V.MSG_INVALID_TS_COLUMN.format(column=s.column)
+        elif missing := _missing_columns(df, s):
+            error = f"column(s) {', '.join(missing)} not found"
+        elif s.check_type == "custom_sql" and not {"sql", "expression"} & set(s.params):
+            error = "custom_sql needs parameters.expression or parameters.sql"
+        else:
+            error = _rule_error(spark, df, s)
+        if error:
+            static.append({**_row(s, name), "status": "error", "message": error})
+        elif s.check_type == "unique":
+            parts.append(Part([s], _unique_check(df, s, plan, table, schema)))
         elif s.check_type == "referential_integrity":
-            err = _fk_unavailable(s, plan, tables)
-            (static.append(err) if err else fk_specs.append(s))
+            if gone := _fk_unavailable(s, plan, tables, schema):
+                static.append(gone)
+            else:
+                parts.append(Part([s], _fk_check(df, s, plan, table, schema, tables)))
         elif s.check_type == "custom_sql" and "sql" in s.params:
-            parts.append(_custom_query_check(spark, df, s, plan, table, schema))
-        elif s.check_type == "custom_sql" and "expression" not in s.params:
-            static.append({**_row(s, check_name(s, plan)), "status": "error",
-                           "message": "custom_sql needs parameters.expression or parameters.sql"})
+            parts.append(Part([s], _custom_query_check(spark, df, s, plan, table, schema)))
         else:
-            fused_specs.append(s)
-    parts = _assemble(df, fused_specs, unique_specs, fk_specs, plan, table, schema, as_of,
-                      tables, single_pass) + parts
+            fused.append(s)
+    if fused:
+        parts.insert(0, Part(fused, _fused(df, fused, plan, table, schema, as_of)))
     if static:
-        parts.insert(0, _static_rows(spark, [{**r, "table_name": table, "schema_name": schema}
-                                             for r in static]))
-    return reduce(DataFrame.unionByName, parts)
+        parts.insert(0, Part([], _static_rows(spark, [{**r, "table_name": table, "schema_name": schema} for r in static])))
+    return parts
 
 
-def _valid_ident(name: str) -> bool:
-    import re
-    return bool(re.match(IDENTIFIER_PATTERN.replace(r"\p{L}\p{N}", "A-Za-z0-9"), name))
+def contract_parts(spark: SparkSession, df: DataFrame | None, contract: dict,
+                   tables: TableSet | None = None, as_of=None) -> list[Part]:
+    """All checks of one contract on one table, in parts that can run and
+    fail on their own.
+
+    ``df`` None means the table does not exist (CHK5): one failed
+    ``table_exists`` check, and the freshness check reports an error."""
+    c = normalise(contract)
+    table, schema = c["table_name"], c["schema_name"]
+    plan = plan_contract(c)
+    if df is None:
+        missing = V.MSG_TABLE_MISSING.format(schema=schema, table=table)
+        static = [{"seq": 0, "check_name": "table_exists", "check_type": "schema", "status": "failed",
+                   "severity": "error", "violations": 1, "message": missing}]
+        static += [{**_row(s, check_name(s, plan)), "status": "error", "message": missing}
+                   for s in plan if s.check_type == "freshness"]
+        return [Part([], _static_rows(spark, [{**r, "table_name": table, "schema_name": schema} for r in static]))]
+    data = [s for s in plan if s.check_type not in ("column_exists", "column_type")]
+    return _parts(spark, df, data, schema_check_rows(df, c, plan), table, schema, tables, as_of)
+
+
+def single_parts(spark: SparkSession, df: DataFrame, contract: dict, part: Part, as_of=None) -> list[Part]:
+    """The checks of a fused part one by one."""
+    c = normalise(contract)
+    return [Part([s], _fused(df, [s], [s], c["table_name"], c["schema_name"], as_of)) for s in part.specs]
+
+
+def error_rows(spark: SparkSession, contract: dict, specs: Sequence[CheckSpec], message: str) -> DataFrame:
+    """GOV3: one ERROR row per check that could not run; for a whole
+    contract (no specs) one ``contract_checks`` row."""
+    c = normalise(contract)
+    rows = [{**_row(s, check_name(s, list(specs))), "status": "error", "message": message} for s in specs] or [
+        {"seq": 0, "check_name": CONTRACT_ERROR, "check_type": "quality", "status": "error", "severity": "error", "message": message}]
+    return _static_rows(spark, [{**r, "table_name": c["table_name"], "schema_name": c["schema_name"]} for r in rows])
+
+
+def evaluate_contract(spark: SparkSession, df: DataFrame | None, contract: dict,
+                      tables: TableSet | None = None, as_of=None) -> DataFrame:
+    """All checks of one contract on one table as a checks DataFrame."""
+    return reduce(DataFrame.unionByName, [p.rows for p in contract_parts(spark, df, contract, tables, as_of)])
+
+
+def evaluate_rules(spark: SparkSession, df: DataFrame, table: str, rules: Sequence[dict],
+                   tables: TableSet | None = None, schema: str = "public", as_of=None) -> DataFrame:
+    """Only the given rules (no implicit or schema checks), fused the same
+    way as a full contract run."""
+    contract = normalise({"table_name": table, "schema_name": schema, "columns": [], "quality_rules": list(rules)})
+    plan = []
+    for i, r in enumerate(contract["quality_rules"], start=1):
+        cols = _rule_columns_of(r)
+        plan.append(CheckSpec(i, r["rule_type"], ",".join(cols) if cols else None, dict(r["parameters"]), r["severity"]))
+    return reduce(DataFrame.unionByName, [p.rows for p in _parts(spark, df, name_plan(plan), [], table, schema, tables, as_of)])
 
 
-def new_run_id() -> str:
-    return str(uuid.uuid4())
+def _valid_ident(name: str) -> bool:
+    """FN11 on the driver, the same rule as ``text.is_identifier``."""
+    return bool(re.fullmatch(r"_*[^\W_]\w*", name))
 
 
 # --------------------------------------------------------------- violations
@@ -576,7 +590,7 @@ def violations(df: DataFrame, rule: dict, tables: TableSet | None = None,
     if t == "unique":
         return duplicate_keys(df, cols)
     if t == "referential_integrity":
-        ref = tables.get(spec.params["reference_table"])
+        ref = tables.reference(spec.params["reference_table"])
         return orphan_keys(df, spec.column, ref, spec.params["reference_column"])
     if t == "row_count_min":
         mc = int(spec.params.get("min_count", 1))
@@ -594,145 +608,3 @@ def _rule_columns_of(rule: dict) -> list[str]:
     if cols:
         return list(cols)
     return [rule["column"]] if rule.get("column") else []
-
-
-def evaluate_rules(spark: SparkSession, df: DataFrame, table: str, rules: Sequence[dict],
-                   tables: TableSet | None = None, schema: str = "public", as_of=None,
-                   single_pass: bool | None = None) -> DataFrame:
-    """Only the given rules (no implicit or schema checks), fused the same
-    way as a full contract run."""
-    contract = normalise({"table_name": table, "schema_name": schema, "columns": [],
-                          "quality_rules": list(rules)})
-    plan = []
-    for i, r in enumerate(contract["quality_rules"], start=1):
-        cols = _rule_columns_of(r)
-        plan.append(CheckSpec(i, r["rule_type"], ",".join(cols) if cols else None,
-                              dict(r["parameters"]), r["severity"]))
-    static, parts, fused_specs, unique_specs, fk_specs = [], [], [], [], []
-    for s in plan:
-        missing = _missing_columns(df, s)
-        bad = _custom_error(spark, df, s) if not missing else None
-        if missing:
-            static.append({**_row(s, check_name(s, plan)), "status": "error",
-                           "message": f"column(s) {', '.join(missing)} not found"})
-        elif bad:
-            static.append({**_row(s, check_name(s, plan)), "status": "error", "message": bad})
-        elif s.check_type == "unique":
-            unique_specs.append(s)
-        elif s.check_type == "referential_integrity":
-            err = _fk_unavailable(s, plan, tables)
-            (static.append(err) if err else fk_specs.append(s))
-        elif s.check_type == "custom_sql" and "sql" in s.params:
-            parts.append(_custom_query_check(spark, df, s, plan, table, schema))
-        else:
-            fused_specs.append(s)
-    parts = _assemble(df, fused_specs, unique_specs, fk_specs, plan, table, schema, as_of,
-                      tables, single_pass) + parts
-    if static:
-        parts.insert(0, _static_rows(spark, [{**r, "table_name": table, "schema_name": schema}
-                                             for r in static]))
-    return reduce(DataFrame.unionByName, parts)
-
-
-# ------------------------------------------------- one-pass contract evaluation
-
-def _single_pass(df: DataFrame, fused_specs: list[CheckSpec], key_specs: list[CheckSpec],
-                 plan: list[CheckSpec], table: str, schema: str, as_of,
-                 tables: TableSet | None) -> DataFrame:
-    """Every row-level rule, the freshness MAX, narrow-key uniqueness and
-    referential integrity of one table in ONE aggregate over ONE scan.
-
-    The table's rows (tag 0) and each referenced key column (tag m+1) are
-    unioned and aggregated with GROUPING SETS: the empty set carries the
-    row-level counters, one set per unique key counts rows per key, one set
-    per foreign key counts referencing rows and records whether the key
-    occurs in its reference. A final global aggregate folds the sets into
-    one row. No join: orphans are keys seen from the table but not from the
-    reference. Partial aggregation runs before the only exchange, so a hot
-    key or a hot foreign key is one row per task there."""
-    proj: list[Column] = [F.lit(0).alias("__src")]
-    aggs: list[Column] = [F.count_if(F.col("__src") == 0).alias("__n")]
-    group_cols: list[str] = []
-    sets: list[list[str]] = [[]]
-    uniq: list[tuple[CheckSpec, list[str]]] = []
-    fks: list[tuple[CheckSpec, str]] = []
-    refs: list[DataFrame] = []
-    fused_names: list[str] = []
-    for s in fused_specs:
-        i = s.seq
-        if s.check_type == "freshness":
-            proj.append(F.col(s.column).alias(f"__t{i}"))
-            aggs.append(F.max(f"__t{i}").alias(f"__m{i}"))
-            fused_names.append(f"__m{i}")
-        elif s.check_type != "row_count_min":
-            proj.append(row_predicate_failures(df, s).alias(f"__p{i}"))
-            aggs.append(F.count_if(F.col(f"__p{i}")).alias(f"__v{i}"))
-            fused_names.append(f"__v{i}")
-            if s.check_type in ("min_value", "max_value"):
-                proj.append(F.col(s.column).alias(f"__x{i}"))
-                fn = F.min if s.check_type == "min_value" else F.max
-                aggs.append(fn(f"__x{i}").alias(f"__a{i}"))
-                fused_names.append(f"__a{i}")
-    for s in key_specs:
-        if s.check_type == "unique":
-            names = [f"__u{s.seq}_{k}" for k in range(len(s.column.split(",")))]
-            proj += [F.col(c).alias(n) for c, n in zip(s.column.split(","), names)]
-            group_cols += names
-            sets.append(names)
-            uniq.append((s, names))
-        else:  # referential_integrity
-            name = f"__f{s.seq}"
-            proj.append(F.col(s.column).alias(name))
-            group_cols.append(name)
-            sets.append([name])
-            fks.append((s, name))
-            ref = tables.get(s.params["reference_table"])
-            fk_type = _field(df, s.column).dataType
-            refs.append((len(fks), name,
-                         ref.select(F.col(s.params["reference_column"]).try_cast(fk_type).alias(name))))
-    data = df.select(*proj)
-    for tag, name, r in refs:
-        data = data.unionByName(r.withColumn("__src", F.lit(tag)), allowMissingColumns=True)
-    aggs += [F.count_if(F.col("__src") == 0).alias("__rows"),
-             F.max((F.col("__src") > 0).cast("int")).alias("__inref"),
-             F.grouping_id().alias("__gid")]
-    grouped = data.groupingSets(sets, *group_cols).agg(*aggs)
-
-    def gid(members: list[str]) -> int:
-        n = len(group_cols)
-        return sum(1 << (n - 1 - p) for p, c in enumerate(group_cols) if c not in members)
-
-    g0 = F.col("__gid") == gid([])
-    fin: list[Column] = [F.coalesce(F.max(F.when(g0, F.col("__n"))), F.lit(0)).alias("__n")]
-    for name in fused_names:
-        fin.append(F.max(F.when(g0, F.col(name))).alias(name))
-    for s, names in uniq:
-        hit = (F.col("__gid") == gid(names)) & (F.col("__rows") > 1)
-        for n in names:
-            hit = hit & F.col(n).isNotNull()
-        fin += [F.count_if(hit).alias(f"__dk{s.seq}"),
-                F.coalesce(F.sum(F.when(hit, F.col("__rows"))), F.lit(0)).alias(f"__dr{s.seq}")]
-    for s, name in fks:
-        orphan = ((F.col("__gid") == gid([name])) & F.col(name).isNotNull() & (F.col("__rows") > 0)
-                  & F.coalesce(F.col("__inref") == 0, F.lit(True)))
-        fin += [F.count_if(orphan).alias(f"__ok{s.seq}"),
-                F.coalesce(F.sum(F.when(orphan, F.col("__rows"))), F.lit(0)).alias(f"__or{s.seq}")]
-    one = grouped.agg(*fin)
-    outs = _fused_outputs(fused_specs, plan, table, schema, as_of)
-    for s, _ in uniq:
-        meta = _row(s, check_name(s, plan))
-        v = F.col(f"__dk{s.seq}")
-        outs.append(_check_struct(
-            meta, table, schema, _status(v > 0, s.severity), F.lit(0), v, v,
-            F.format_string(f"unique on {s.column}: %d duplicated values in %d rows",
-                            v, F.col(f"__dr{s.seq}"))))
-    for s, _ in fks:
-        meta = _row(s, check_name(s, plan))
-        ref_name, ref_col = s.params["reference_table"], s.params["reference_column"]
-        v = F.col(f"__or{s.seq}")
-        outs.append(_check_struct(
-            meta, table, schema, _status(v > 0, s.severity), F.lit(f"{ref_name}.{ref_col}"),
-            F.col(f"__ok{s.seq}"), v,
-            F.format_string(f"{s.column} -> {ref_name}.{ref_col}: %d orphan rows, %d keys",
-                            v, F.col(f"__ok{s.seq}"))))
-    return one.select(F.explode(F.array(*outs)).alias("c")).select("c.*")

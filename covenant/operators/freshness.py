@@ -7,7 +7,8 @@ aggregates are unioned, so a single action checks them all.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,10 @@ from pyspark.sql import types as T
 
 from covenant.functions.literals import local_rows
 from covenant.functions.text import minutes_between
-from covenant.operators.checks import _field, _valid_ident, as_of_col
+from covenant.operators.checks import _field, _valid_ident, as_of_col, time_column_error
 from covenant.plans import vocabulary as V
 from covenant.plans.contracts import normalise
+from covenant.session import ensure_checkpoint_dir
 
 FRESHNESS_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
@@ -63,6 +65,8 @@ def freshness_result(spark: SparkSession, df: DataFrame | None, contract: dict,
     if _field(df, col) is None:
         return _static(spark, table, schema, col, mx, "error",
                        V.MSG_FRESHNESS_QUERY_FAILED.format(error=f"column {col} not found"), as_of)
+    if error := time_column_error(df, col):
+        return _static(spark, table, schema, col, mx, "error", error, as_of)
     now = as_of_col(as_of)
     last = F.col("last_updated_at")
     delay = minutes_between(now, last)
@@ -84,11 +88,28 @@ def freshness_result(spark: SparkSession, df: DataFrame | None, contract: dict,
     )
 
 
-def freshness_many(spark: SparkSession, items: Sequence[tuple[dict, DataFrame | None]],
+#: tables in one plan; more are checked group by group
+TABLES_PER_PLAN = 50
+
+
+def freshness_many(spark: SparkSession, items: Iterable[tuple[dict, DataFrame | None]],
                    as_of=None) -> DataFrame:
-    """CHK4: every table's freshness in one DataFrame (one action)."""
-    parts = [freshness_result(spark, df, c, as_of) for c, df in items]
-    return reduce(DataFrame.unionByName, parts)
+    """CHK4: every table's freshness in one DataFrame. Groups of tables are one
+    plan each; beyond one group the results are written to the shared
+    folder and read back, so a registry of any size can be planned."""
+    path, group, n = f"{ensure_checkpoint_dir(spark).rstrip('/')}/freshness-{uuid.uuid4().hex}", [], 0
+    for c, df in items:
+        if len(group) == TABLES_PER_PLAN:
+            reduce(DataFrame.unionByName, group).write.parquet(f"{path}/part={n}")
+            group, n = [], n + 1
+        group.append(freshness_result(spark, df, c, as_of))
+    if not group:
+        return local_rows(spark, [], FRESHNESS_SCHEMA)
+    last = reduce(DataFrame.unionByName, group)
+    if not n:
+        return last
+    last.write.parquet(f"{path}/part={n}")
+    return spark.read.parquet(path).drop("part")
 
 
 def stale_tables(results: DataFrame) -> DataFrame:

@@ -181,14 +181,15 @@ def merge_single_rows(parts: list[DataFrame]) -> DataFrame:
     return wide.agg(*[F.max(c).alias(c) for c in names])
 
 
-def daily_snapshots(log: DataFrame, total_tables: int) -> DataFrame:
+def daily_snapshots(log: DataFrame, total_tables: DataFrame) -> DataFrame:
     """Metric history (the snapshot table) derived from the log: one
     snapshot per day at the end of that day, over that day's runs.
 
     Two-stage aggregate instead of COUNT(DISTINCT): first per (day, table)
     — partial aggregation collapses every table's runs map-side, so a table
     with a third of all runs is one row per task — then per day over those
-    few rows. No Expand, no row multiplication before the shuffle."""
+    few rows. No Expand, no row multiplication before the shuffle.
+    ``total_tables`` is the one-row count of the inventory."""
     fs = F.get_json_object("result_data", "$.freshness_result.status")
     per_table = (log.withColumn("__day", F.to_date("executed_at"))
                  .groupBy("__day", "schema_name", "table_name").agg(
@@ -204,7 +205,8 @@ def daily_snapshots(log: DataFrame, total_tables: int) -> DataFrame:
         F.count_if(F.col("fresh_ok") == 1).alias("tables_within_sla"))
     per_day = per_day.withColumn(
         "captured_at", (F.col("__day").cast("timestamp_ntz") + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")))
-    return metrics(per_day.withColumn("total_tables", F.lit(int(total_tables))).drop("__day"))
+    one = total_tables.select("total_tables", F.lit(1).alias("__one"))
+    return metrics(per_day.withColumn("__one", F.lit(1)).join(one, "__one").drop("__day", "__one"))
 
 
 def trend(snapshots: DataFrame, days: int = V.TREND_DAYS, as_of=None) -> DataFrame:
@@ -275,12 +277,13 @@ def log_freshness_alerts(log: DataFrame) -> DataFrame:
 
 
 def run_summaries(log: DataFrame, digits: int | None = 3) -> DataFrame:
-    """GOV12 / PRJ2 (FN8): run-all summary rows, duration rounded to 3 places
-    (``digits=None`` keeps the exact value)."""
+    """GOV12 / PRJ2 (FN8): run-all summary rows, duration rounded half up to 3
+    places in decimal arithmetic, so that ...5 does not depend on binary
+    rounding (``digits=None`` keeps the exact value)."""
     d = F.col("duration_seconds")
     return log.select("table_name", "schema_name", "overall_status", "total_checks",
                       "passed_checks", "failed_checks",
-                      (d if digits is None else F.round(d, digits)).alias("duration_seconds"))
+                      (d if digits is None else F.round(d.cast("decimal(18,6)"), digits).cast("double")).alias("duration_seconds"))
 
 
 def payload_checks(log: DataFrame) -> DataFrame:

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.functions.literals import local_rows
 from covenant.functions.text import initcap_trim, lower_trim, minutes_between, upper_trim
 from covenant.operators.latest import latest_per_key
 
@@ -24,12 +23,20 @@ CUSTOMER_COLUMNS = ("customer_id", "email", "first_name", "last_name", "country"
 _NEWEST = [("updated_at", "desc", "first")]
 
 
+def _required(df: DataFrame, tie_break: Sequence) -> Sequence:
+    """The tie-break, all of whose columns have to be there: without them,
+    which of two equally new versions stays would be left to chance."""
+    missing = [n for t in tie_break if (n := t if isinstance(t, str) else t[0]) not in df.columns]
+    if missing:
+        raise ValueError(f"tie-break column(s) {', '.join(missing)} not found; name others, or () for none")
+    return tie_break
+
+
 def stg_orders(raw: DataFrame, tie_break: Sequence = (("version", "desc", "last"),)) -> DataFrame:
     """FIL1 + FN1 + WIN1: drop null keys, normalise status, newest per key."""
     src = (raw.filter(F.col("order_id").isNotNull())
               .withColumn("status", lower_trim("status")))
-    tb = [t for t in tie_break if (t if isinstance(t, str) else t[0]) in src.columns]
-    return latest_per_key(src, ["order_id"], _NEWEST, tb).select(*ORDER_COLUMNS)
+    return latest_per_key(src, ["order_id"], _NEWEST, _required(src, tie_break)).select(*ORDER_COLUMNS)
 
 
 def stg_customers(raw: DataFrame, tie_break: Sequence = (("version", "desc", "last"),)) -> DataFrame:
@@ -39,8 +46,7 @@ def stg_customers(raw: DataFrame, tie_break: Sequence = (("version", "desc", "la
               .withColumn("first_name", initcap_trim("first_name"))
               .withColumn("last_name", initcap_trim("last_name"))
               .withColumn("country", upper_trim("country")))
-    tb = [t for t in tie_break if (t if isinstance(t, str) else t[0]) in src.columns]
-    return latest_per_key(src, ["customer_id"], _NEWEST, tb).select(*CUSTOMER_COLUMNS)
+    return latest_per_key(src, ["customer_id"], _NEWEST, _required(src, tie_break)).select(*CUSTOMER_COLUMNS)
 
 
 def order_aggregates(orders: DataFrame) -> DataFrame:
@@ -112,15 +118,3 @@ def freshness_sla_breach(df: DataFrame, column: str = "updated_at",
         F.lit(max_delay_minutes).alias("max_allowed_minutes"),
     )
     return out.filter((F.col("delay_minutes") > max_delay_minutes) | F.col("last_updated").isNull())
-
-
-def schema_contract_missing(spark: SparkSession, df: DataFrame,
-                            expected_columns: Sequence[str]) -> DataFrame:
-    """CHK8 (SET1 + JOIN2): expected columns absent from the model.
-
-    Both sides are column lists (bounded by the schema width), so the
-    anti-join's broadcast is size-proven."""
-    expected = local_rows(spark, [(c,) for c in expected_columns], "column_name string")
-    actual = local_rows(spark, [(f.name,) for f in df.schema.fields], "column_name string")
-    return (expected.join(F.broadcast(actual), "column_name", "left_anti")
-            .select(F.col("column_name").alias("missing_column")))

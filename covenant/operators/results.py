@@ -5,8 +5,9 @@ Counting rules kept from the reference (Q1-Q3):
 * passed / failed / warning count their status; ERROR and SKIPPED add to
   the total only;
 * a freshness check never counts as a warning;
-* overall: failed if any failed, else warning if any warned, else passed
-  (ERROR checks do not fail a run unless ``strict``).
+* overall: error if the contract's checks could not run at all, failed if any
+  failed, else warning if any warned, else passed (single ERROR checks do
+  not fail a run unless ``strict``).
 """
 
 from __future__ import annotations
@@ -17,52 +18,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covenant.operators.checks import CONTRACT_ERROR
 from covenant.plans import vocabulary as V
 
 RUN_KEYS = ("run_id", "table_name", "schema_name")
 
 
 def overall_status(failed: Column, warning: Column, errors: Column | None = None,
-                   strict: bool = False) -> Column:
-    s = F.when(failed > 0, "failed").when(warning > 0, "warning")
+                   strict: bool = False, crashed: Column | None = None) -> Column:
+    s = F.when(F.coalesce(crashed, F.lit(False)), "error") if crashed is not None else F
+    s = s.when(failed > 0, "failed").when(warning > 0, "warning")
     if strict and errors is not None:
         s = s.when(errors > 0, "error")
     return s.otherwise("passed")
 
 
 def rollup_runs(checks: DataFrame, keys: Sequence[str] = RUN_KEYS, strict: bool = False,
-                with_failed_names: int = 0) -> DataFrame:
+                with_failed_names: int = 0, extra: Sequence[Column] = ()) -> DataFrame:
     """AGG7: one summary row per run from its check rows. With
     ``with_failed_names=n`` the same aggregate also keeps the first n failed
-    check names in plan order (TOP5), so alerts need no second pass."""
+    check names in plan order (TOP5), so alerts need no second pass;
+    ``extra`` aggregates join the same grouping."""
     keys = [k for k in keys if k in checks.columns]
     st = F.col("status")
     fresh = F.col("check_type") == "freshness"
-    extra = []
+    more = list(extra)
     if with_failed_names:
-        extra.append(F.slice(F.transform(
+        more.append(F.slice(F.transform(
             F.array_sort(F.collect_list(F.when(st == "failed", F.struct("seq", "check_name")))),
             lambda x: x["check_name"]), 1, with_failed_names).alias("failed_check_names"))
+    crashed = (F.col("check_name") == CONTRACT_ERROR) & (st == "error") if "check_name" in checks.columns else F.lit(False)
     agg = checks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_checks"),
         F.count_if(st == "passed").alias("passed_checks"),
         F.count_if(st == "failed").alias("failed_checks"),
         F.count_if((st == "warning") & ~fresh).alias("warning_checks"),
         F.count_if(st == "error").alias("error_checks"),
-        *extra,
+        F.max(crashed).alias("_crashed"),
+        *more,
     )
     return agg.withColumn("overall_status", overall_status(
-        F.col("failed_checks"), F.col("warning_checks"), F.col("error_checks"), strict))
-
-
-def report_rollup(runs: DataFrame) -> DataFrame:
-    """AGG8: tables, passed, failed over a set of (latest) runs."""
-    st = F.col("overall_status")
-    return runs.agg(
-        F.count(F.lit(1)).alias("total_tables"),
-        F.count_if(st == "passed").alias("tables_passed"),
-        F.count_if(st == "failed").alias("tables_failed"),
-    )
+        F.col("failed_checks"), F.col("warning_checks"), F.col("error_checks"), strict, F.col("_crashed"))).drop("_crashed")
 
 
 def failed_check_names(checks: DataFrame, keys: Sequence[str] = RUN_KEYS,
@@ -77,31 +73,42 @@ def failed_check_names(checks: DataFrame, keys: Sequence[str] = RUN_KEYS,
                             lambda x: x["check_name"]), 1, limit).alias("failed_check_names"))
 
 
-def log_rows(runs: DataFrame, checks: DataFrame, contract_version: str | Column = "1.0.0",
-             executed_at=None, duration_seconds: float | None = None) -> DataFrame:
-    """SINK3 rows (FN9 JSON encode): the 11 scalar columns of a run plus its JSON payload with
-    every check (nulls serialised, as the reference stores them)."""
+def log_rows(checks: DataFrame, executed_at=None) -> DataFrame:
+    """SINK3 rows (FN9 JSON encode): the scalar columns of each run, its JSON
+    payload with every check and the freshness result (null keys are
+    serialised), and the failed names for alerts. ``checks`` has
+    contract_version and duration_seconds beside the check columns. One
+    grouping on the run keys gives all of it."""
     keys = [k for k in RUN_KEYS if k in checks.columns]
-    per_run = checks.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*[c for c in checks.columns if c not in keys])))
-        .alias("checks"))
+    body = [c for c in checks.columns if c not in (*keys, "contract_version", "duration_seconds")]
+    fresh = F.struct(
+        "status", F.col("column").alias("timestamp_column"),
+        F.col("expected_value").try_cast("bigint").alias("max_delay_minutes"),
+        F.col("actual_value").try_cast("double").alias("actual_delay_minutes"),
+        (F.col("status") == "passed").alias("is_within_sla"), "message")
+    runs = rollup_runs(checks, keys, with_failed_names=V.ALERT_FAILED_NAMES, extra=[
+        F.array_sort(F.collect_list(F.struct(*body))).alias("checks"),
+        F.max(F.when(F.col("check_type") == "freshness", fresh)).alias("freshness_result"),
+        F.max("contract_version").alias("contract_version"),
+        F.max("duration_seconds").alias("duration_seconds")])
     ts = F.localtimestamp() if executed_at is None else F.to_timestamp_ntz(F.lit(str(executed_at)))
-    r = runs.join(per_run, keys, "left").select(
-        *keys,
-        (contract_version if isinstance(contract_version, Column) else F.lit(contract_version))
-        .alias("contract_version"),
-        "overall_status", "total_checks", "passed_checks", "failed_checks", "warning_checks",
-        F.lit(duration_seconds if duration_seconds is not None else 0.0).alias("duration_seconds"),
-        "checks", ts.alias("executed_at"))
-    payload = F.to_json(F.struct(*[c for c in r.columns]), {"ignoreNullFields": "false"})
-    return r.withColumn("result_data", payload).drop("checks")
+    r = runs.select(*keys, "contract_version", "overall_status", "total_checks", "passed_checks", "failed_checks",
+                    "warning_checks", "duration_seconds", "checks", "freshness_result", ts.alias("executed_at"), "failed_check_names")
+    stored = [c for c in r.columns if c != "failed_check_names"]
+    payload = F.to_json(F.struct(*stored), {"ignoreNullFields": "false"})
+    return r.withColumn("result_data", payload).drop("checks", "freshness_result")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """SINK3/SINK4: append to the log, partitioned by run date so time-range
-    reads prune partitions."""
-    (rows.withColumn("run_date", F.to_date("executed_at"))
-         .write.mode("append").partitionBy("run_date").parquet(path))
+    """SINK3/SINK4: add to the log, one folder per run date and run: reads of
+    a time range prune folders, and a run written again replaces its own rows."""
+    (rows.drop("failed_check_names").withColumn("run_date", F.to_date("executed_at"))
+         .withColumn("run", F.concat(F.lit("run-"), F.col("run_id").cast("string")))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "run").parquet(path))
+
+
+def read_log(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("run")
 
 
 class Stopwatch:

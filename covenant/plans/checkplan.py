@@ -11,6 +11,7 @@ a DataFrame job (``plan_many``).
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -30,10 +31,11 @@ class CheckSpec:
     params: dict = field(default_factory=dict)
     severity: str = "error"
     origin: str = "rule"
+    name: str | None = None
 
     @property
     def params_json(self) -> str:
-        return json.dumps(self.params, sort_keys=True)
+        return json.dumps(self.params, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 def _rule_columns(rule: dict) -> list[str]:
@@ -82,13 +84,25 @@ def plan_contract(contract: dict) -> list[CheckSpec]:
     out = list(merged.values())
     for i, s in enumerate(out, start=1):
         s.seq = i
-    return out
+    return name_plan(out)
+
+
+def _base_name(spec: CheckSpec) -> str:
+    return spec.check_type if not spec.column else f"{spec.check_type}_{spec.column.replace(',', '_')}"
+
+
+def name_plan(plan: list[CheckSpec]) -> list[CheckSpec]:
+    """Names for the checks of a plan; checks that would share one get their place."""
+    count = Counter((s.check_type, s.column) for s in plan)
+    for s in plan:
+        s.name = _base_name(s) if count[(s.check_type, s.column)] == 1 else f"{_base_name(s)}_{s.seq}"
+    return plan
 
 
 def check_name(spec: CheckSpec, plan: list[CheckSpec]) -> str:
-    base = spec.check_type if not spec.column else f"{spec.check_type}_{spec.column.replace(',', '_')}"
-    same = [s for s in plan if s.check_type == spec.check_type and s.column == spec.column]
-    return base if len(same) == 1 else f"{base}_{spec.seq}"
+    if spec.name is None:
+        name_plan(plan)
+    return spec.name or _base_name(spec)
 
 
 # ------------------------------------------------------------- many contracts
@@ -97,8 +111,8 @@ def plan_many(contracts: DataFrame) -> DataFrame:
     """PLAN1/PLAN2 as one DataFrame job over a contract registry.
 
     Output: table_name, schema_name, check_type, column, params, severity,
-    origin, seq. Works per contract (grouped by table), so the registry may
-    hold any number of contracts."""
+    origin, seq; the same plan as ``plan_contract`` gives. Works per contract
+    (grouped by table), so the registry may hold any number of contracts."""
     keys = ["table_name", "schema_name"]
 
     def row(grp, pos, sub, check_type, column, params, severity, origin):
@@ -108,40 +122,34 @@ def plan_many(contracts: DataFrame) -> DataFrame:
                         lit(column).cast("string").alias("column"), lit(params).cast("string").alias("params"),
                         lit(severity).cast("string").alias("severity"), lit(origin).cast("string").alias("origin"))
 
-    # three passes over the registry (columns, rules, table level); each
-    # emits its plan rows with explode(array(...)), all in generated code
-    c = lambda f: F.col(f"c.{f}")
-    col_rows = contracts.select(*keys, F.posexplode("columns").alias("pos", "c")).select(
-        *keys, F.explode(F.array(
-            row(0, F.col("pos"), 0, "column_exists", c("name"), "{}", "error", "schema"),
-            row(0, F.col("pos"), 1, "column_type", c("name"), F.to_json(F.struct(c("type").alias("type"))),
-                "error", "schema"),
-            F.when(~c("nullable"), row(1, F.col("pos"), 0, "not_null", c("name"), "{}", "error", "implicit")),
-            F.when(c("primary_key"), row(1, F.col("pos"), 1, "unique", c("name"), "{}", "error", "implicit")),
-        )).alias("e"))
-    p = F.col("r.parameters")
-    rule_params = F.when(
-        F.col("r.rule_type") == "row_count_min",
-        F.to_json(F.struct(F.coalesce(F.get_json_object(p, "$.min_count").cast("bigint"),
-                                      F.lit(1)).alias("min_count")))
-    ).otherwise(F.to_json(F.from_json(p, "map<string,string>")))
-    rule_rows = contracts.select(*keys, F.posexplode("quality_rules").alias("pos", "r")).select(
-        *keys, row(3, F.col("pos"), 0, F.col("r.rule_type"), F.col("r.column"), rule_params,
-                   F.coalesce("r.severity", F.lit("error")), "rule").alias("e"))
-    table_rows = contracts.select(*keys, F.explode(F.array(
+    # one row per contract, dealt once by its keys: the later grouping and
+    # the numbering keep this partitioning
+    dealt = contracts.repartition(*keys)
+    none = F.array().cast("array<struct<grp:int,pos:int,sub:int,check_type:string,column:string,params:string,severity:string,origin:string>>")
+
+    def of_column(c, i):
+        return F.array(
+            row(0, i, 0, "column_exists", c["name"], "{}", "error", "schema"),
+            row(0, i, 1, "column_type", c["name"], F.to_json(F.struct(c["type"].alias("type"))), "error", "schema"),
+            F.when(~c["nullable"], row(1, i, 0, "not_null", c["name"], "{}", "error", "implicit")),
+            F.when(c["primary_key"], row(1, i, 1, "unique", c["name"], "{}", "error", "implicit")))
+
+    def of_rule(r, i):
+        p = F.coalesce(r["parameters"], F.lit("{}"))
+        least = F.coalesce(F.get_json_object(p, "$.min_count").cast("bigint"), F.lit(1))
+        # a parsed document has its keys in order and keeps the types of its values
+        params = F.when(r["rule_type"] == "row_count_min", F.to_json(F.struct(least.alias("min_count")))).otherwise(
+            F.to_json(F.parse_json(p)))
+        several = F.array_join(F.from_json(F.get_json_object(p, "$.columns"), "array<string>"), ",")
+        return row(3, i, 0, r["rule_type"], F.coalesce(F.nullif(several, F.lit("")), r["column"]), params, F.coalesce(r["severity"], F.lit("error")), "rule")
+
+    of_table = F.array(
         row(2, 0, 0, "row_count_min", F.lit(None), '{"min_count":1}', "error", "implicit"),
         F.when(F.col("freshness").isNotNull(), row(
             4, 0, 0, "freshness", F.col("freshness.timestamp_column"),
-            F.to_json(F.struct(F.col("freshness.max_delay_minutes").alias("max_delay_minutes"))),
-            "error", "freshness")),
-    )).alias("e"))
-    allrows = (col_rows.unionByName(rule_rows).unionByName(table_rows)
-               .filter(F.col("e").isNotNull()).select(*keys, "e.*"))
-    # canonical params so implicit and declared forms collapse
-    allrows = allrows.withColumn(
-        "params", F.when(F.col("check_type") == "row_count_min", F.col("params"))
-        .when(F.col("params").isNull() | (F.col("params") == "{}"), F.lit("{}"))
-        .otherwise(F.col("params")))
+            F.to_json(F.struct(F.col("freshness.max_delay_minutes").alias("max_delay_minutes"))), "error", "freshness")))
+    rows = F.concat(F.coalesce(F.flatten(F.transform("columns", of_column)), none), F.coalesce(F.transform("quality_rules", of_rule), none), of_table)
+    allrows = dealt.select(*keys, F.explode(rows).alias("e")).filter(F.col("e").isNotNull()).select(*keys, "e.*")
     order_key = F.struct("grp", "pos", "sub")
     merged = allrows.groupBy(*keys, "check_type", "column", "params").agg(
         F.min(order_key).alias("first"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,15 +163,15 @@ def contracts_df(spark: SparkSession, docs: Iterable[dict]) -> DataFrame:
     return local_rows(spark, [to_row(d) for d in docs], CONTRACT_SCHEMA)
 
 
-def read_contract_dir(spark: SparkSession, path: str) -> DataFrame:
+def read_contract_dir(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """SRC9 (re-aimed): a folder of JSON contract documents, read by Spark
     with the declared schema (no inference); ``parameters`` objects decode
-    into their JSON text."""
+    into their JSON text. ``multi_line=False`` for files of one document a line."""
     raw_schema = T.StructType([
         f if f.name != "columns" else T.StructField("columns", T.ArrayType(COLUMN_STRUCT))
         for f in CONTRACT_SCHEMA.fields
     ])
-    df = (spark.read.schema(raw_schema).option("multiLine", "true")
+    df = (spark.read.schema(raw_schema).option("multiLine", str(multi_line).lower())
           .option("pathGlobFilter", "*.json").json(path))
     return apply_defaults(df)
 
@@ -214,30 +215,24 @@ def row_to_doc(row) -> dict:
 
 
 def read_contract_files(spark: SparkSession, path: str) -> DataFrame:
-    """Contract documents as YAML (``*.yml``, ``*.yaml``) or JSON files, the
-    way contract folders are usually kept. Files are read through Spark
-    (any shared filesystem); each small document is decoded on the driver
-    (contract metadata only) and becomes one contract row with the load
-    defaults. Order: ``*.yml``, then ``*.yaml``, then ``*.json``, each by
-    file name. Invalid documents still load; ``lint_contracts`` reports them."""
-    try:
-        import yaml  # optional: only needed for YAML documents
-    except ImportError:  # pragma: no cover
-        yaml = None
-    from pyspark.sql.utils import AnalysisException
-    docs = []
-    for pattern in ("*.yml", "*.yaml", "*.json"):
-        try:
-            files = (spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
-                     .select(F.input_file_name().alias("f"), "value").orderBy("f"))
-            rows = files.collect()  # a folder of contract documents (metadata)
-        except AnalysisException:
-            continue
-        for r in rows:
-            if pattern == "*.json":
-                docs.append(json.loads(r["value"]))
-            elif yaml is None:
-                raise ImportError("PyYAML is needed to read YAML contracts")
-            else:
-                docs.append(yaml.safe_load(r["value"]) or {})
-    return contracts_df(spark, docs)
+    """SRC9: contract documents as YAML (``*.yml``, ``*.yaml``) or JSON files, the
+    way contract folders are usually kept. Files are read and decoded by
+    Spark's tasks (YAML becomes JSON text there) and get the load defaults.
+    Invalid documents still load; ``lint_contracts`` reports them."""
+    def decoded(frames):
+        import json
+
+        import pandas
+        import yaml
+
+        for frame in frames:
+            yield pandas.DataFrame({"doc": [json.dumps(yaml.safe_load(text) or {}, default=str) for text in frame["value"]]})
+
+    # parameters stay JSON text: read as such from an object by the JSON reader
+    parts = [spark.read.schema(CONTRACT_SCHEMA).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)]
+    for pattern in ("*.yml", "*.yaml"):
+        files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
+        if not files.isEmpty():
+            text = files.mapInPandas(decoded, "doc string")
+            parts.append(text.select(F.from_json("doc", CONTRACT_SCHEMA).alias("d")).select("d.*"))
+    return apply_defaults(reduce(DataFrame.unionByName, parts))

@@ -135,94 +135,137 @@ def with_ctes(*ctes: str, body: str) -> str:
 
 
 def rule_row(check_type: str, column: str | None, violations_sql: str, actual_sql: str,
-             table_cte: str, severity: str = "error", failed_sql: str | None = None) -> str:
+             table_cte: str, severity: str = "error", failed_sql: str | None = None,
+             expected_sql: str = "NULL", message_sql: str | None = None) -> str:
     """One check row: check_type, column, status, severity, violations,
-    actual_value."""
+    actual_value, expected_value, message."""
     col = "NULL" if column is None else f"'{column}'"
     bad = "'warning'" if severity == "warning" else "'failed'"
     failed = failed_sql or "violations > 0"
+    on = f"{check_type} on {column}" if column else check_type
+    message = message_sql or f"concat('{on}: ', violations, ' violating rows')"
     return (f"SELECT '{check_type}' AS check_type, CAST({col} AS VARCHAR) AS \"column\", "
             f"CASE WHEN {failed} THEN {bad} ELSE 'passed' END AS status, '{severity}' AS severity, "
-            f"CAST(violations AS BIGINT) AS violations, CAST(actual AS VARCHAR) AS actual_value "
+            f"CAST(violations AS BIGINT) AS violations, CAST(actual AS VARCHAR) AS actual_value, "
+            f"CAST({expected_sql} AS VARCHAR) AS expected_value, {message} AS message "
             f"FROM (SELECT {violations_sql} AS violations, {actual_sql} AS actual FROM {table_cte}) x")
 
 
-# DuckDB type names accepted for each contract type (typeof() spelling)
-_DUCK_TYPES = {
-    "string": "t = 'VARCHAR'", "text": "t = 'VARCHAR'", "uuid": "t = 'VARCHAR'",
-    "integer": "t IN ('TINYINT','SMALLINT','INTEGER','BIGINT')",
-    "float": "t IN ('FLOAT','DOUBLE')", "boolean": "t = 'BOOLEAN'", "date": "t = 'DATE'",
-    "timestamp": "t IN ('TIMESTAMP','TIMESTAMP WITH TIME ZONE')", "decimal": "t LIKE 'DECIMAL%'",
-}
-
-
-def contract_oracle(plan, contract: dict, view: str, ref_views: dict, as_of: str,
-                    table_columns: list[str], with_seq: bool = False) -> str:
-    """UNION ALL of one row per planned check, each computed by DuckDB.
-
-    Columns: check_name, check_type, column, status, severity, violations."""
-    from covenant.plans.checkplan import check_name
-    types = {c["name"]: c["type"] for c in contract["columns"]}
-    rows = []
-
-    def row(s, status_sql, viol_sql, src=view):
-        col = "NULL" if s.column is None else f"'{s.column}'"
-        rows.append(
-            f"SELECT '{check_name(s, plan)}' AS check_name, '{s.check_type}' AS check_type, "
-            f"CAST({col} AS VARCHAR) AS \"column\", {status_sql} AS status, '{s.severity}' AS severity, "
-            f"CAST({viol_sql} AS BIGINT) AS violations{seq(s)} FROM {src}")
-
-    seq = lambda s: f", {s.seq} AS seq" if with_seq else ""
-    bad = lambda s: "'warning'" if s.severity == "warning" else "'failed'"
-    for s in plan:
-        t = s.check_type
-        if t == "column_exists":
-            ok = s.column in table_columns
-            rows.append(f"SELECT '{check_name(s, plan)}' AS check_name, 'column_exists' AS check_type, "
-                        f"'{s.column}' AS \"column\", '{'passed' if ok else 'failed'}' AS status, "
-                        f"'error' AS severity, CAST({0 if ok else 1} AS BIGINT) AS violations{seq(s)}")
-            continue
-        if t == "column_type":
-            if s.column not in table_columns:
-                continue
-            cond = _DUCK_TYPES[types[s.column]]
-            rows.append(f"SELECT '{check_name(s, plan)}', 'column_type', '{s.column}', "
-                        f"CASE WHEN {cond} THEN 'passed' ELSE 'failed' END, 'error', "
-                        f"CAST(CASE WHEN {cond} THEN 0 ELSE 1 END AS BIGINT){seq(s)} "
-                        f"FROM (SELECT typeof(\"{s.column}\") AS t FROM {view} LIMIT 1)")
-            continue
-        c = f'"{s.column}"' if s.column else None
-        p = s.params
-        if t == "not_null":
-            v = f"(SELECT count(*) FROM {view} WHERE {c} IS NULL)"
-        elif t == "unique":
-            v = (f"(SELECT count(*) FROM (SELECT {c} FROM {view} WHERE {c} IS NOT NULL "
-                 f"GROUP BY {c} HAVING count(*) > 1))")
-        elif t == "accepted_values":
-            vals = ",".join("'" + str(x).replace("'", "''") + "'" for x in p["values"])
-            v = f"(SELECT count(*) FROM {view} WHERE {c} IS NOT NULL AND {c} NOT IN ({vals}))"
-        elif t == "min_value":
-            v = f"(SELECT count(*) FROM {view} WHERE {c} < {p['value']})"
-        elif t == "max_value":
-            v = f"(SELECT count(*) FROM {view} WHERE {c} > {p['value']})"
-        elif t == "regex_match":
-            v = (f"(SELECT count(*) FROM {view} WHERE {c} IS NOT NULL AND NOT "
-                 f"regexp_matches({c}, '{p['pattern']}'))")
-        elif t == "row_count_min":
-            v = f"(SELECT GREATEST({int(p.get('min_count', 1))} - count(*), 0) FROM {view})"
-        elif t == "referential_integrity":
-            rv = ref_views[p["reference_table"]]
-            v = (f"(SELECT count(*) FROM {view} o WHERE o.{c} IS NOT NULL AND NOT EXISTS "
-                 f"(SELECT 1 FROM {rv} r WHERE r.\"{p['reference_column']}\" = o.{c}))")
-        elif t == "freshness":
-            delay = (f"((epoch_us(TIMESTAMP '{as_of}') - epoch_us(max({c}))) / 60000000.0)")
-            f = f"(SELECT CASE WHEN max({c}) IS NULL OR {delay} > {p['max_delay_minutes']} THEN 1 ELSE 0 END FROM {view})"
-            row(s, f"CASE WHEN {f} = 1 THEN 'failed' ELSE 'passed' END", f, "(SELECT 1) d")
-            continue
-        else:
-            continue
-        row(s, f"CASE WHEN {v} > 0 THEN {bad(s)} ELSE 'passed' END", v, "(SELECT 1) d")
-    return "\nUNION ALL\n".join(rows)
+# ---- what the sample contracts ask for, check by check -----------------------
+# (seq, name, type, column, severity, violations, expected value, message);
+# written out, not taken from the planner. v is the violations.
+
+def _schema(seq, column, kind, got=None):
+    """A column that is there: its existence, and its type (``got`` where it differs)."""
+    ok = got is None
+    return [
+        (seq, f"column_exists_{column}", "column_exists", column, "error", "0", None, f"'Column ''{column}'' exists'"),
+        (seq + 1, f"column_type_{column}", "column_type", column, "error", "0" if ok else "1", f"'{kind}'",
+         f"'Column ''{column}'' type matches contract'" if ok else f"'Column ''{column}'' type mismatch: expected {kind}, got {got}'"),
+    ]
+
+
+def _null_count(view, column):
+    return f"(SELECT count(*) FROM {view} WHERE {column} IS NULL)"
+
+
+def _repeated(view, columns, what="count(*)"):
+    some = " AND ".join(f"{c} IS NOT NULL" for c in columns.split(", "))
+    return f"(SELECT {what} FROM (SELECT count(*) AS n FROM {view} WHERE {some} GROUP BY {columns} HAVING count(*) > 1))"
+
+
+def _unique_message(view, columns):
+    return (f"concat('unique on {columns.replace(', ', ',')}: ', v, ' duplicated values in ', "
+            f"{_repeated(view, columns, 'coalesce(sum(n), 0)')}, ' rows')")
+
+
+def _delay(view, as_of):
+    return f"((epoch_us(TIMESTAMP '{as_of}') - epoch_us((SELECT max(updated_at) FROM {view}))) / 60000000.0)"
+
+
+def _freshness(view, seq, as_of, limit):
+    delay = _delay(view, as_of)
+    late = f"(CASE WHEN {delay} IS NULL OR {delay} > {limit} THEN 1 ELSE 0 END)"
+    return (seq, "freshness_updated_at", "freshness", "updated_at", "error", late, f"'{limit}'",
+            f"concat('Data is ', CAST(round({delay}, 1) AS DECIMAL(24, 1)), ' min old (SLA: {limit} min) - ', "
+            f"CASE WHEN v = 1 THEN 'OUTSIDE' ELSE 'WITHIN' END, ' SLA')")
+
+
+def _plain(check, column):
+    on = f"{check} on {column}" if column else check
+    return f"concat('{on}: ', v, ' violating rows')"
+
+
+def orders_checks(as_of):
+    t = "raw_orders"
+    rows = f"(SELECT count(*) FROM {t})"
+    orphans = f"FROM {t} o WHERE o.customer_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM raw_customers r WHERE r.customer_id = o.customer_id)"
+    return [
+        *_schema(1, "order_id", "integer"), *_schema(3, "customer_id", "integer"),
+        *_schema(5, "order_date", "date", "timestamp_ntz"), *_schema(7, "total_amount", "decimal"),
+        *_schema(9, "status", "string"), *_schema(11, "created_at", "timestamp"), *_schema(13, "updated_at", "timestamp"),
+        (15, "column_exists_channel", "column_exists", "channel", "error", "1", None, "'Column ''channel'' defined in contract but not found in table'"),
+        (17, "not_null_order_id", "not_null", "order_id", "error", _null_count(t, "order_id"), "'0'", _plain("not_null", "order_id")),
+        (18, "unique_order_id", "unique", "order_id", "error", _repeated(t, "order_id"), "'0'", _unique_message(t, "order_id")),
+        (19, "not_null_customer_id", "not_null", "customer_id", "error", _null_count(t, "customer_id"), "'0'", _plain("not_null", "customer_id")),
+        (20, "not_null_total_amount", "not_null", "total_amount", "error", _null_count(t, "total_amount"), "'0'", _plain("not_null", "total_amount")),
+        (21, "not_null_updated_at", "not_null", "updated_at", "error", _null_count(t, "updated_at"), "'0'", _plain("not_null", "updated_at")),
+        (22, "row_count_min_22", "row_count_min", None, "error", f"greatest(1 - {rows}, 0)", "'1'", f"concat('row count ', {rows}, ' (minimum 1)')"),
+        (23, "accepted_values_status", "accepted_values", "status", "warning",
+         f"(SELECT count(*) FROM {t} WHERE status NOT IN ('cancelled', 'completed', 'pending', 'refunded'))",
+         "'[\"cancelled\", \"completed\", \"pending\", \"refunded\"]'", _plain("accepted_values", "status")),
+        (24, "max_value_total_amount", "max_value", "total_amount", "warning", f"(SELECT count(*) FROM {t} WHERE total_amount > 250000.5)", "'250000.5'", _plain("max_value", "total_amount")),
+        (25, "min_value_total_amount", "min_value", "total_amount", "error", f"(SELECT count(*) FROM {t} WHERE total_amount < 0)", "'0'", _plain("min_value", "total_amount")),
+        (26, "unique_order_id_version", "unique", "order_id,version", "error", _repeated(t, "order_id, version"), "'0'", _unique_message(t, "order_id, version")),
+        (27, "referential_integrity_customer_id", "referential_integrity", "customer_id", "error", f"(SELECT count(*) {orphans})", "'customers.customer_id'",
+         f"concat('customer_id -> customers.customer_id: ', v, ' orphan rows, ', (SELECT count(DISTINCT o.customer_id) {orphans}), ' keys')"),
+        (28, "custom_sql", "custom_sql", None, "warning", f"(SELECT count(*) FROM {t} WHERE NOT (created_at <= updated_at))", "'created_at <= updated_at'", _plain("custom_sql", None)),
+        (29, "row_count_min_29", "row_count_min", None, "warning", f"greatest(25 - {rows}, 0)", "'25'", f"concat('row count ', {rows}, ' (minimum 25)')"),
+        _freshness(t, 30, as_of, 720),
+    ]
+
+
+def customers_checks(as_of):
+    t = "raw_customers"
+    rows = f"(SELECT count(*) FROM {t})"
+    return [
+        *_schema(1, "customer_id", "integer"), *_schema(3, "email", "string"), *_schema(5, "first_name", "string"), *_schema(7, "last_name", "string"),
+        *_schema(9, "country", "string"), *_schema(11, "created_at", "timestamp"), *_schema(13, "updated_at", "timestamp"),
+        *_schema(15, "version", "float", "int"),
+        (17, "not_null_customer_id", "not_null", "customer_id", "error", _null_count(t, "customer_id"), "'0'", _plain("not_null", "customer_id")),
+        (18, "unique_customer_id", "unique", "customer_id", "error", _repeated(t, "customer_id"), "'0'", _unique_message(t, "customer_id")),
+        (19, "not_null_email", "not_null", "email", "error", _null_count(t, "email"), "'0'", _plain("not_null", "email")),
+        (20, "not_null_country", "not_null", "country", "error", _null_count(t, "country"), "'0'", _plain("not_null", "country")),
+        (21, "not_null_updated_at", "not_null", "updated_at", "error", _null_count(t, "updated_at"), "'0'", _plain("not_null", "updated_at")),
+        (22, "row_count_min_22", "row_count_min", None, "error", f"greatest(1 - {rows}, 0)", "'1'", f"concat('row count ', {rows}, ' (minimum 1)')"),
+        (23, "regex_match_email", "regex_match", "email", "warning", f"(SELECT count(*) FROM {t} WHERE email IS NOT NULL AND NOT regexp_matches(email, '^[^@ ]+@[^@ ]+[.][a-z]+$'))",
+         "'^[^@ ]+@[^@ ]+[.][a-z]+$'", _plain("regex_match", "email")),
+        (24, "unique_email", "unique", "email", "error", _repeated(t, "email"), "'0'", _unique_message(t, "email")),
+        (25, "custom_sql", "custom_sql", None, "error", f"(SELECT count(*) FROM {t} WHERE created_at > updated_at)", "'0'", "concat('custom query returned ', v, ' failing rows')"),
+        (26, "accepted_values_version", "accepted_values", "version", "error", f"(SELECT count(*) FROM {t} WHERE version NOT IN (0, 1))", "'[0, 1]'", _plain("accepted_values", "version")),
+        (27, "min_value_version", "min_value", "version", "warning", f"(SELECT count(*) FROM {t} WHERE version < 0.5)", "'0.5'", _plain("min_value", "version")),
+        (28, "max_value_created_at", "max_value", "created_at", "error", f"(SELECT count(*) FROM {t} WHERE created_at > TIMESTAMP '2023-12-31')", "'2023-12-31'", _plain("max_value", "created_at")),
+        (29, "row_count_min_29", "row_count_min", None, "error", f"greatest(10 - {rows}, 0)", "'10'", f"concat('row count ', {rows}, ' (minimum 10)')"),
+        _freshness(t, 30, as_of, 10080),
+    ]
+
+
+SAMPLE_CHECKS = {"orders": orders_checks, "customers": customers_checks}
+
+
+def contract_oracle(table: str, as_of: str) -> str:
+    """UNION ALL of one row per check of a sample contract, each computed by
+    DuckDB: seq, check_name, check_type, column, status, severity, violations,
+    expected_value, message."""
+    out = []
+    for seq, name, kind, column, severity, violations, expected, message in SAMPLE_CHECKS[table](as_of):
+        col = "NULL" if column is None else f"'{column}'"
+        bad = "'warning'" if severity == "warning" else "'failed'"
+        out.append(f"SELECT {seq} AS seq, '{name}' AS check_name, '{kind}' AS check_type, CAST({col} AS VARCHAR) AS \"column\", "
+                   f"CASE WHEN v > 0 THEN {bad} ELSE 'passed' END AS status, '{severity}' AS severity, v AS violations, "
+                   f"CAST({expected or 'NULL'} AS VARCHAR) AS expected_value, {message} AS message "
+                   f"FROM (SELECT CAST({violations} AS BIGINT) AS v) x")
+    return "\nUNION ALL\n".join(out)
 
 
 _TYPES = "['string','integer','float','boolean','date','timestamp','decimal','text','uuid']"
@@ -250,11 +293,11 @@ reg_rules AS (
   SELECT table_name, schema_name, pk, 0 AS pos, 'not_null' AS rule_type, 'id' AS "column",
          'error' AS severity, true AS has_value, '{{}}' AS params FROM reg_top
   UNION ALL SELECT table_name, schema_name, pk, 1, 'min_value', w0, 'warning', pk % 43 <> 0,
-                   CASE WHEN pk % 43 = 0 THEN '{{}}' ELSE CAST(p_size AS VARCHAR) END FROM reg_top
-  UNION ALL SELECT table_name, schema_name, pk, 2, 'accepted_values', w1, 'error', true, lower(p_type) FROM reg_top
+                   CASE WHEN pk % 43 = 0 THEN '{{}}' ELSE concat('{{"value":', p_size, '}}') END FROM reg_top
+  UNION ALL SELECT table_name, schema_name, pk, 2, 'accepted_values', w1, 'error', true, concat('{{"values":["', lower(p_type), '","other"]}}') FROM reg_top
   UNION ALL SELECT table_name, schema_name, pk, 3,
                    CASE WHEN pk % 31 = 0 THEN 'not_a_rule' ELSE 'row_count_min' END, NULL,
-                   CASE WHEN pk % 37 = 0 THEN 'fatal' ELSE 'warning' END, true, 'min_count=1' FROM reg_top)"""
+                   CASE WHEN pk % 37 = 0 THEN 'fatal' ELSE 'warning' END, true, '{{"min_count":1}}' FROM reg_top)"""
 
 _IDENT = "regexp_matches({x}, '^_*[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}_]*$')"
 
@@ -282,24 +325,24 @@ PLAN_BODY = """
 SELECT * FROM (
 WITH plan_rows AS (
   SELECT table_name, schema_name, 0 AS grp, pos, 0 AS sub, 'column_exists' AS check_type, name AS "column",
-         '' AS params, 'error' AS severity, 'schema' AS origin FROM reg_cols
-  UNION ALL SELECT table_name, schema_name, 0, pos, 1, 'column_type', name, type, 'error', 'schema' FROM reg_cols
+         '{}' AS params, 'error' AS severity, 'schema' AS origin FROM reg_cols
+  UNION ALL SELECT table_name, schema_name, 0, pos, 1, 'column_type', name, concat('{"type":"', type, '"}'), 'error', 'schema' FROM reg_cols
   UNION ALL SELECT table_name, schema_name, 1, pos, 0, 'not_null', name, '{}', 'error', 'implicit'
     FROM reg_cols WHERE NOT nullable
   UNION ALL SELECT table_name, schema_name, 1, pos, 1, 'unique', name, '{}', 'error', 'implicit'
     FROM reg_cols WHERE primary_key
-  UNION ALL SELECT table_name, schema_name, 2, 0, 0, 'row_count_min', NULL, 'min_count=1', 'error', 'implicit'
+  UNION ALL SELECT table_name, schema_name, 2, 0, 0, 'row_count_min', NULL, '{"min_count":1}', 'error', 'implicit'
     FROM reg_top
   UNION ALL SELECT table_name, schema_name, 3, pos, 0, rule_type, "column", params, severity, 'rule' FROM reg_rules
-  UNION ALL SELECT table_name, schema_name, 4, 0, 0, 'freshness', 'updated_at', CAST(max_delay_minutes AS VARCHAR),
+  UNION ALL SELECT table_name, schema_name, 4, 0, 0, 'freshness', 'updated_at', concat('{"max_delay_minutes":', max_delay_minutes, '}'),
                    'error', 'freshness' FROM reg_top WHERE has_freshness),
 merged AS (
-  SELECT table_name, schema_name, check_type, "column",
+  SELECT table_name, schema_name, check_type, "column", params,
          min(grp * 1000000 + pos * 10 + sub) AS first_key,
          CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'error' ELSE 'warning' END AS severity,
          string_agg(origin, '+' ORDER BY grp, pos, sub) AS origin
   FROM plan_rows GROUP BY table_name, schema_name, check_type, "column", params)
-SELECT table_name, schema_name, check_type, "column", severity, origin,
+SELECT table_name, schema_name, check_type, "column", params, severity, origin,
        CAST(row_number() OVER (PARTITION BY table_name, schema_name ORDER BY first_key) AS INTEGER) AS seq
 FROM merged)"""
 
@@ -335,14 +378,14 @@ accepted(contract_type, data_type) AS (VALUES ('string','string'), ('string','va
 
 SAMPLE_CONTRACT_COLUMNS = """
 sample_cols(table_name, schema_name, pos, name, type) AS (VALUES
-  ('orders','public',0,'order_id','uuid'), ('orders','public',1,'customer_id','uuid'),
+  ('orders','public',0,'order_id','integer'), ('orders','public',1,'customer_id','integer'),
   ('orders','public',2,'order_date','date'), ('orders','public',3,'total_amount','decimal'),
   ('orders','public',4,'status','string'), ('orders','public',5,'created_at','timestamp'),
-  ('orders','public',6,'updated_at','timestamp'),
-  ('customers','public',0,'customer_id','uuid'), ('customers','public',1,'email','string'),
+  ('orders','public',6,'updated_at','timestamp'), ('orders','public',7,'channel','string'),
+  ('customers','public',0,'customer_id','integer'), ('customers','public',1,'email','string'),
   ('customers','public',2,'first_name','string'), ('customers','public',3,'last_name','string'),
   ('customers','public',4,'country','string'), ('customers','public',5,'created_at','timestamp'),
-  ('customers','public',6,'updated_at','timestamp'))"""
+  ('customers','public',6,'updated_at','timestamp'), ('customers','public',7,'version','float'))"""
 
 SCHEMA_MANY_BODY = """
 SELECT * FROM (

@@ -1,24 +1,23 @@
 """GOV1-GOV3 and GOV11: run the contracts of a warehouse and publish the
 results.
 
-    contracts --lint--> valid contracts
-              --per table: evaluate_contract (one Spark plan per table)-->
-              checks, written in batches of tables to the log folder
-              --> runs (roll-up) appended to the run log
+    contracts --per table: contract_parts (a few Spark plans per table)-->
+              checks, one folder per table in the run's checks folder
+              --> runs (roll-up) added to the run log
               --> {governance snapshot, summary report, alerts}
 
 Checks are written before anything reads them twice: the written table
 cuts the lineage (an executor lost later recomputes from the written
 files, not from the source tables), and the metrics and the report both
-read it. Contract metadata is small and planned on the driver; all data
-work is Spark jobs.
+read it. Contract metadata is planned on the driver, some contracts at a
+time; all data work is Spark jobs, several tables at once.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,91 +26,110 @@ from pyspark.sql import functions as F
 from covenant.functions.literals import local_rows
 from covenant.operators import governance as G
 from covenant.operators import results as R
-from covenant.operators.checks import CHECK_SCHEMA, evaluate_contract
+from covenant.operators.checks import Part, contract_parts, error_rows, single_parts
 from covenant.plans.contracts import normalise
 from covenant.session import ensure_checkpoint_dir
 from covenant.sources.tables import TableSet
 
+#: tables checked at the same time
+CONCURRENT_TABLES = 5
 
-def run_contracts(spark: SparkSession, contracts: Sequence[dict], tables: TableSet,
-                  out_dir: str, as_of=None, tables_per_job: int = 25,
-                  run_id: str | None = None) -> DataFrame:
-    """GOV1/GOV2: evaluate every contract against its table; a contract
-    whose checks cannot be planned becomes one ERROR check (GOV3) and the
-    loop goes on. Returns the written checks table."""
+
+def new_folder(spark: SparkSession) -> str:
+    """A fresh folder name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/governance-{uuid.uuid4().hex}"
+
+
+def _reason(exc: Exception) -> str:
+    return str(exc).split("\n\nJVM stacktrace")[0].strip()
+
+
+def _check_table(spark: SparkSession, doc: dict, tables: TableSet, target: str, as_of) -> float:
+    """Write one table's checks to ``target``; seconds that it took. If the
+    checks fail at run time together, the parts run one by one, and the rules
+    of a failing part each on their own; only what fails becomes an ERROR
+    check (GOV3). A contract that cannot be planned becomes one."""
+    clock = R.Stopwatch()
+    c = normalise(doc)
+
+    def write(rows: DataFrame, mode: str) -> None:
+        rows.withColumn("contract_version", F.lit(c["version"])).write.mode(mode).parquet(target)
+
+    def alone(part: Part, df: DataFrame | None) -> None:
+        try:
+            write(part.rows, "append")
+            return
+        except Exception as exc:  # noqa: BLE001 - becomes an ERROR check below
+            reason = _reason(exc)
+        if len(part.specs) > 1:
+            for one in single_parts(spark, df, c, part, as_of):
+                alone(one, df)
+        else:
+            write(error_rows(spark, c, part.specs, f"check failed: {reason}"), "append")
+
+    try:
+        df = tables.get(c["table_name"], c["schema_name"])
+        parts = contract_parts(spark, df, c, tables, as_of)
+    except Exception as exc:  # noqa: BLE001
+        write(error_rows(spark, c, [], f"checks cannot be planned: {_reason(exc)}"), "overwrite")
+        return clock.seconds()
+    try:
+        write(reduce(DataFrame.unionByName, [p.rows for p in parts]), "overwrite")
+    except Exception:  # noqa: BLE001 - a failing check must not sink the table's others
+        write(parts[0].rows.limit(0), "overwrite")  # nothing of the failed write stays
+        for part in parts:
+            alone(part, df)
+    return clock.seconds()
+
+
+def run_contracts(spark: SparkSession, contracts: Iterable[dict], tables: TableSet, out_dir: str, as_of=None,
+                  run_id: str | None = None, concurrent: int = CONCURRENT_TABLES) -> DataFrame:
+    """GOV1/GOV2: evaluate every contract against its table, ``concurrent``
+    tables at a time. Each table's checks are a folder of their own, written
+    with overwrite: a repeat replaces them. Returns the written checks with
+    run_id, contract_version and each table's own duration_seconds; no
+    contracts give no rows."""
     run_id = run_id or uuid.uuid4().hex
-    path = os.path.join(out_dir, "checks", f"run={run_id}")
-    pending: list[tuple[dict, DataFrame]] = []
-    batch = [0]
+    path = f"{out_dir.rstrip('/')}/checks/run={run_id}"
     times: list[tuple[int, float]] = []
+    pending: dict[Future, int] = {}
 
-    def error_rows(c: dict, message: str) -> DataFrame:
-        return local_rows(spark, [(c["table_name"], c["schema_name"], 0, "contract_checks", "quality", None,
-                                   "error", None, None, "error", None, message[:500])], CHECK_SCHEMA) \
-            .withColumn("contract_version", F.lit(c["version"]))
-
-    def write(df: DataFrame) -> float:
-        clock = R.Stopwatch()
-        target = os.path.join(path, f"batch={batch[0]}")
-        df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(target)
-        times.append((batch[0], clock.seconds()))
-        batch[0] += 1
-        return times[-1][1]
-
-    def flush():
-        # each batch of tables is its own folder written with overwrite: a
-        # batch re-run after a failure replaces its output, never doubles it
-        if not pending:
-            return
-        try:
-            write(reduce(DataFrame.unionByName, [d for _, d in pending]))
-        except Exception:  # noqa: BLE001 - a failing table must not sink its batch
-            # GOV2: retry table by table; a table whose job fails becomes one
-            # ERROR check and the run goes on
-            for c, d in pending:
-                try:
-                    write(d)
-                except Exception as exc:  # noqa: BLE001
-                    write(error_rows(c, f"check job failed: {str(exc).splitlines()[0]}"))
-        pending.clear()
-
-    for doc in contracts:
-        c = normalise(doc)
-        try:
-            checks = evaluate_contract(spark, tables.get(c["table_name"]), c, tables, as_of)
-            checks = checks.withColumn("contract_version", F.lit(c["version"]))
-        except Exception as exc:  # noqa: BLE001 - planning errors become ERROR rows
-            checks = error_rows(c, f"check planning failed: {exc}")
-        pending.append((c, checks))
-        if len(pending) >= tables_per_job:
-            flush()
-    flush()
-    durations = local_rows(spark, times, "batch int, duration_seconds double")
-    return spark.read.parquet(path).join(F.broadcast(durations), "batch", "left").drop("batch")
-
-
-def governance_run(spark: SparkSession, contracts: Sequence[dict], tables: TableSet,
+    def collect(done: Iterable[Future]) -> None:
+        times.extend((pending.pop(f), f.result()) for f in list(done))
+
+    with ThreadPoolExecutor(max_workers=concurrent) as pool:
+        for i, doc in enumerate(contracts):
+            if len(pending) >= concurrent:
+                collect(wait(pending, return_when=FIRST_COMPLETED).done)
+            pending[pool.submit(_check_table, spark, doc, tables, f"{path}/part={i}", as_of)] = i
+        collect(wait(pending).done)
+    if not times:
+        empty = error_rows(spark, {"table_name": "", "columns": []}, [], "").limit(0)
+        return empty.withColumn("contract_version", F.lit("")).withColumn("run_id", F.lit(run_id)).withColumn("duration_seconds", F.lit(0.0))
+    durations = local_rows(spark, times, "part int, duration_seconds double")
+    checks = spark.read.parquet(path).withColumn("run_id", F.lit(run_id))
+    return checks.join(durations, "part", "left").drop("part")
+
+
+def governance_run(spark: SparkSession, contracts: Iterable[dict], tables: TableSet,
                    inventory: DataFrame, registry: DataFrame, as_of=None,
                    out_dir: str | None = None, run_id: str | None = None) -> dict[str, DataFrame]:
-    """GOV11: checks -> runs (logged) -> snapshot, report, alerts."""
-    out_dir = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"governance-{uuid.uuid4().hex}")
-    checks = run_contracts(spark, contracts, tables, out_dir, as_of, run_id=run_id)
-    keys = ["run_id", "table_name", "schema_name"]
-    runs = R.rollup_runs(checks, keys)
-    version = checks.groupBy(*keys).agg(F.max("contract_version").alias("contract_version"),
-                                        F.max("duration_seconds").alias("duration_seconds"))
-    ts = F.to_timestamp_ntz(F.lit(str(as_of))) if as_of is not None else F.localtimestamp()
-    log = runs.join(version, keys, "left").withColumn("executed_at", ts)
-    payload = R.log_rows(runs, checks.drop("contract_version", "duration_seconds"), F.lit("1.0.0"), as_of)
-    log = log.join(payload.select(*keys, "result_data"), keys, "left")
-    log_path = os.path.join(out_dir, "quality_results")
-    R.append_log(log, log_path)
-    log = spark.read.parquet(log_path)
-    names = R.failed_check_names(checks, keys)
+    """GOV11: checks -> runs (logged) -> snapshot, report, alerts. ``runs`` and
+    ``alerts`` are this run's; ``log``, ``report`` and ``snapshot`` cover the
+    whole log."""
+    out_dir = out_dir or new_folder(spark)
+    run_id = run_id or uuid.uuid4().hex
+    checks = run_contracts(spark, contracts, tables, out_dir, as_of, run_id)
+    rows = R.log_rows(checks, as_of)
+    log_path = f"{out_dir.rstrip('/')}/quality_results"
+    R.append_log(rows, log_path)
+    log = R.read_log(spark, log_path)
+    mine = log.filter(F.col("run_id") == run_id)
     return {
         "checks": checks,
-        "runs": log,
+        "runs": mine,
+        "log": log,
         "snapshot": G.governance_snapshot(inventory, registry, log, as_of),
         "report": G.summary_report(log),
-        "alerts": G.quality_alerts(log, names),
+        "alerts": G.quality_alerts(mine, R.failed_check_names(checks)),
     }

@@ -11,15 +11,14 @@ mapping) and otherwise through the session catalog (``schema.table``).
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covenant.functions.literals import local_rows
 from covenant.operators import governance as G
+from covenant.operators.results import read_log
 from covenant.operators.freshness import freshness_many, stale_tables
 from covenant.plans.contracts import CONTRACT_SCHEMA, contracts_df, read_contract_files, row_to_doc
 from covenant.plans.pipeline import governance_run
@@ -33,10 +32,13 @@ KEYS = ["table_name", "schema_name"]
 class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None,
                  tables: TableSet | Mapping[str, DataFrame] | None = None,
-                 inventory: DataFrame | None = None):
+                 inventory: DataFrame | None = None, definitions: str | None = None):
+        self.definitions = definitions
         self.spark = spark
-        self.root = (root or os.path.join(ensure_checkpoint_dir(spark), "covenant-workspace")).rstrip("/")
-        self.tables = tables if isinstance(tables, TableSet) else TableSet(dict(tables or {}))
+        self.root = root.rstrip("/") if root else f"{ensure_checkpoint_dir(spark).rstrip('/')}/covenant-workspace"
+        held = tables if isinstance(tables, TableSet) else TableSet(dict(tables or {}))
+        self.tables = TableSet(find=lambda schema, name: self._lookup(held, schema, name))
+        self._held = held
         self.inventory = inventory
 
     # ------------------------------------------------------------- paths
@@ -98,51 +100,54 @@ class Workspace:
         return report
 
     # ------------------------------------------------------------- checks
-    def _table(self, name: str, schema: str) -> DataFrame | None:
-        df = self.tables.get(name)
+    def _lookup(self, held: TableSet, schema: str, name: str) -> DataFrame | None:
+        df = held.get(name, schema)
         if df is not None:
             return df
         qualified = f"{schema}.{name}"
         return self.spark.table(qualified) if self.spark.catalog.tableExists(qualified) else None
 
-    def _docs(self, contracts: DataFrame) -> list[dict]:
-        # contract metadata only, streamed from the registry
-        return [row_to_doc(r) for r in contracts.drop("created_at", "updated_at").toLocalIterator()]
+    def _docs(self, contracts: DataFrame) -> Iterator[dict]:
+        """Contract documents one by one, as the checks ask for them."""
+        return map(row_to_doc, contracts.drop("created_at", "updated_at").toLocalIterator())
 
     def run_checks(self, contracts: DataFrame | None = None, as_of=None) -> dict[str, DataFrame]:
         """GOV1/GOV2/GOV11 for the given (default: all registered)
-        contracts. The runs are appended to the workspace log; ``runs`` is
-        this call's runs, ``report``/``snapshot`` cover the whole log."""
-        docs = self._docs(contracts if contracts is not None else self.contracts())
-        tables = TableSet({d["table_name"]: t for d in docs
-                           if (t := self._table(d["table_name"], d["schema_name"])) is not None})
-        for name in self.tables.names():
-            if name not in tables:
-                tables.add(name, self.tables.get(name))
-        inventory = self.inventory if self.inventory is not None else self._inventory_of(tables)
-        run_id = uuid.uuid4().hex
-        out = governance_run(self.spark, docs, tables, inventory, self.contracts(), as_of,
-                             out_dir=self.root, run_id=run_id)
-        out["runs"] = out["runs"].filter(F.col("run_id") == run_id)
-        return out
+        contracts. The runs are added to the workspace log; ``runs`` and
+        ``alerts`` are this call's, ``report``/``snapshot`` cover the whole log."""
+        inventory = self.inventory if self.inventory is not None else self._inventory_of()
+        return governance_run(self.spark, self._docs(contracts if contracts is not None else self.contracts()),
+                              self.tables, inventory, self.contracts(), as_of, out_dir=self.root)
+
+    def resolve(self, table_name: str, schema_name: str = "public", as_of=None) -> DataFrame:
+        """SRC7: the registered contract, else the one in the ``definitions``
+        folder, which is registered then."""
+        found = self.get(table_name, schema_name)
+        if not found.isEmpty():
+            return found
+        if self.definitions is not None:
+            files = RG.get_contract(read_contract_files(self.spark, self.definitions), table_name, schema_name)
+            if not files.isEmpty():
+                self.register(files, as_of)
+                return self.get(table_name, schema_name)
+        raise LookupError(f"no contract for {schema_name}.{table_name}")
 
     def run_checks_for_table(self, table_name: str, schema_name: str = "public", as_of=None):
-        return self.run_checks(self.get(table_name, schema_name), as_of)
+        return self.run_checks(self.resolve(table_name, schema_name, as_of), as_of)
 
-    def _inventory_of(self, tables: TableSet) -> DataFrame:
-        return local_rows(self.spark, [("public", n, "BASE TABLE") for n in tables.names()],
+    def _inventory_of(self) -> DataFrame:
+        return local_rows(self.spark, [(s, t, "BASE TABLE") for s, t in self._held.keys()],
                           "table_schema string, table_name string, table_type string")
 
     def check_freshness(self, as_of=None, stale_only: bool = False) -> DataFrame:
         """CHK4 / FIL9 over every registered contract."""
-        docs = self._docs(self.contracts())
-        res = freshness_many(self.spark, [(d, self._table(d["table_name"], d["schema_name"])) for d in docs],
-                             as_of)
+        res = freshness_many(self.spark, ((d, self.tables.get(d["table_name"], d["schema_name"]))
+                                          for d in self._docs(self.contracts())), as_of)
         return stale_tables(res) if stale_only else res
 
     # ------------------------------------------------------------ reports
     def log(self) -> DataFrame:
-        return self.spark.read.parquet(self.log_path)
+        return read_log(self.spark, self.log_path)
 
     def recent_results(self, limit: int = G.V.RECENT_RESULTS_LIMIT, table_name: str | None = None) -> DataFrame:
         return G.recent_results(self.log(), limit, table_name)
@@ -162,7 +167,7 @@ class Workspace:
     # ------------------------------------------------------------ metrics
     def capture_snapshot(self, as_of=None) -> DataFrame:
         """GOV4 + SINK4: compute and append a metrics snapshot."""
-        inventory = self.inventory if self.inventory is not None else self._inventory_of(self.tables)
+        inventory = self.inventory if self.inventory is not None else self._inventory_of()
         snap = G.governance_snapshot(inventory, self.contracts(), self.log(), as_of)
         snap.withColumn("capture_date", F.to_date("captured_at")) \
             .write.mode("append").partitionBy("capture_date").parquet(self.metrics_path)

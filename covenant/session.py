@@ -75,6 +75,4 @@ def configure(spark: SparkSession) -> SparkSession:
             continue  # static; cannot change on a running session
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
-    # the freshness arithmetic relies on UTC for timestamp_ntz -> instant
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark

@@ -152,10 +152,3 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "total_checks", "passed_checks", "failed_checks", "warning_checks",
         "duration_seconds", payload.alias("result_data"), "executed_at",
     )
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Expose the governed tables to SQL (SINK5: staging as views)."""
-    raw_orders(spark, sf_dir).createOrReplaceTempView("raw_orders")
-    raw_customers(spark, sf_dir).createOrReplaceTempView("raw_customers")
-    run_log(spark, sf_dir).createOrReplaceTempView("run_log")

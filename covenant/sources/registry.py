@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from covenant.functions.literals import local_rows
 from covenant.functions.text import is_identifier
@@ -247,11 +248,16 @@ def upsert(current: DataFrame, incoming: DataFrame, as_of=None) -> DataFrame:
     if "created_at" not in cur.columns:
         cur = cur.withColumn("created_at", now).withColumn("updated_at", now)
     inc = incoming.drop("created_at", "updated_at")
-    # one incoming contract per key (highest version wins): a key repeated in
-    # the batch neither multiplies rows nor piles up in one join task
-    order = [("version", "desc", "last")] if "version" in inc.columns else []
+    # one incoming contract per key: a key repeated in the batch neither
+    # multiplies rows nor piles up in one join task. The highest version wins,
+    # its three numbers compared as numbers; versions that are none come last
+    if "version" in inc.columns:
+        numbers = F.split("version", r"\.")
+        order = [F.get(numbers, F.lit(i)).try_cast("bigint").desc_nulls_last() for i in range(3)] + [F.col("version").desc_nulls_last()]
+    else:
+        order = [F.lit(0)]
     tie = [("owner", "asc", "last")] if "owner" in inc.columns else []
-    inc = latest_per_key(inc, KEYS, order or [F.lit(0)], tie)
+    inc = latest_per_key(inc, KEYS, order, tie)
     data_cols = [c for c in inc.columns if c not in KEYS]
     c = cur.select(*KEYS, *[F.col(x).alias(f"c_{x}") for x in data_cols + ["created_at", "updated_at"]],
                    F.lit(True).alias("_in_cur"))
@@ -293,10 +299,16 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, key: str,
 
 def insert_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """SINK7: column defaults for NULL values (generated id, 'pending',
-    current time)."""
+    current time). Where the default is text and the column is not (a
+    generated id for a numeric key), the column becomes text."""
     out = df
     for c, expr in defaults.items():
-        out = out.withColumn(c, F.coalesce(F.col(c), expr)) if c in df.columns else out.withColumn(c, expr)
+        if c not in df.columns:
+            out = out.withColumn(c, expr)
+            continue
+        text = isinstance(df.select(expr.alias("d")).schema["d"].dataType, StringType)
+        own = F.col(c).cast("string") if text and not isinstance(df.schema[c].dataType, StringType) else F.col(c)
+        out = out.withColumn(c, F.coalesce(own, expr))
     return out
 
 

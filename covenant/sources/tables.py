@@ -7,7 +7,7 @@ columns or an action.
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,61 +19,71 @@ BASE_TABLES = (
 
 
 def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-_RELATIONS: dict[str, tuple[SparkSession, DataFrame]] = {}
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """SRC1/SRC2: Parquet scan of one base table, listed anew on each call."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, reuse: bool = True) -> DataFrame:
-    """SRC1/SRC2: Parquet scan of one base table.
-
-    The resolved relation (file listing + footer schema) is kept per path
-    for the session that resolved it, the way a catalog table is resolved
-    once; the scan itself runs anew in every query. A different or
-    restarted session resolves again; ``reuse=False`` re-lists the files."""
-    path = table_path(sf_dir, name)
-    hit = _RELATIONS.get(path)
-    if reuse and hit is not None and hit[0] is spark and not _stopped(spark):
-        return hit[1]
-    df = spark.read.parquet(path)
-    _RELATIONS[path] = (spark, df)
-    return df
-
-
-def _stopped(spark: SparkSession) -> bool:
-    try:
-        return spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped()
-    except Exception:  # noqa: BLE001
-        return True
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked of the file system that it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def table_exists(spark: SparkSession, name: str, sf_dir: str | None = None) -> bool:
     """SRC4/JOIN5: existence probe by catalog name or Parquet path."""
-    if sf_dir is not None:
-        return os.path.exists(table_path(sf_dir, name))
-    return spark.catalog.tableExists(name)
+    return path_exists(spark, table_path(sf_dir, name)) if sf_dir is not None else spark.catalog.tableExists(name)
 
 
-class TableSet:
-    """Named DataFrames a contract run may reference (its own table and
-    the targets of referential-integrity rules). Lookups are by the
-    contract's table name."""
+DEFAULT_SCHEMA = "public"
 
-    def __init__(self, tables: dict[str, DataFrame] | None = None):
-        self._tables = dict(tables or {})
 
-    def add(self, name: str, df: DataFrame) -> "TableSet":
-        self._tables[name] = df
+class TableSet:
+    """Named DataFrames a contract run may reference (its own table and
+    the targets of referential-integrity rules), by schema and table. A name
+    without a schema is in ``public``. ``find(schema, table)`` is asked for
+    tables that are not held."""
+
+    def __init__(self, tables: dict[str, DataFrame] | None = None,
+                 find: Callable[[str, str], DataFrame | None] | None = None):
+        self._find = find
+        self._tables: dict[tuple[str, str], DataFrame] = {}
+        for name, df in (tables or {}).items():
+            self.add(name, df)
+
+    @staticmethod
+    def _key(name: str, schema: str | None) -> tuple[str, str]:
+        head, dot, tail = name.rpartition(".")
+        return (schema or (head if dot else DEFAULT_SCHEMA), tail if dot else name)
+
+    def add(self, name: str, df: DataFrame, schema: str | None = None) -> "TableSet":
+        self._tables[self._key(name, schema)] = df
         return self
 
-    def get(self, name: str) -> DataFrame | None:
-        return self._tables.get(name)
+    def get(self, name: str, schema: str | None = None) -> DataFrame | None:
+        key = self._key(name, schema)
+        df = self._tables.get(key)
+        return self._find(*key) if df is None and self._find is not None else df
+
+    def reference(self, name: str, schema: str = DEFAULT_SCHEMA) -> DataFrame | None:
+        """The table that a rule of a contract in ``schema`` names: with its
+        schema, or in the contract's own schema, or in ``public``."""
+        if "." in name:
+            return self.get(name)
+        own = self.get(name, schema)
+        return own if own is not None else self.get(name)
 
     def __contains__(self, name: str) -> bool:
-        return name in self._tables
+        return self._key(name, None) in self._tables
 
     def names(self) -> list[str]:
+        return sorted(t if s == DEFAULT_SCHEMA else f"{s}.{t}" for s, t in self._tables)
+
+    def keys(self) -> list[tuple[str, str]]:
+        """(schema, table) of each."""
         return sorted(self._tables)
 
 

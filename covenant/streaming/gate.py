@@ -1,16 +1,19 @@
 """STR1: row-level contract rules as a gate on a file stream.
 
 ``readStream`` over the landing folder -> ``foreachBatch`` running the
-fused row-level rules on each micro-batch -> one run-log row set per batch,
-written to ``<sink>/batch_id=<id>`` with overwrite, so a replayed batch
-(same id after a failure) replaces its own output instead of duplicating
-it. Uniqueness and foreign keys look across batches and stay batch jobs.
-Checkpoint and sink live under the shared ``spark.checkpoint.dir``.
+fused row-level rules on each micro-batch -> check rows and a run-log row
+per batch, written to ``<sink>/batch_id=<id>`` and ``<runs>/batch_id=<id>``
+with overwrite, so a replayed batch (same id after a failure) replaces its
+own output instead of duplicating it. Uniqueness and foreign keys look
+across batches and stay batch jobs.
+
+A gate's folder, ``<base_dir>/gate-<table>``, holds its checkpoint, checks and
+runs: a gate started again on it goes on after the last batch. The default
+base folder is the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Sequence
 
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from covenant.operators.checks import evaluate_rules
+from covenant.operators.results import rollup_runs
 from covenant.session import ensure_checkpoint_dir
 
 _ROW_COUNTER = {"rule_type": "row_count_min", "parameters": {"min_count": 0},
@@ -40,10 +44,8 @@ def start_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType,
            or "sql" in (r.get("parameters") or {})]
     if bad:
         raise ValueError(f"rules that span batches cannot run on a stream: {bad}")
-    root = base_dir or ensure_checkpoint_dir(spark)
-    run = uuid.uuid4().hex
-    sink = os.path.join(root, f"gate-{table}-{run}", "log")
-    ckpt = os.path.join(root, f"gate-{table}-{run}", "checkpoint")
+    root = f"{(base_dir or ensure_checkpoint_dir(spark)).rstrip('/')}/gate-{table}"
+    sink, runs, ckpt = f"{root}/log", f"{root}/runs", f"{root}/checkpoint"
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -55,7 +57,10 @@ def start_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType,
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         checks = evaluate_rules(batch.sparkSession, batch, table, gated)
         # the folder name carries the batch id (read back as a partition column)
-        checks.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+        checks.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        written = batch.sparkSession.read.parquet(f"{sink}/batch_id={batch_id}")
+        (rollup_runs(written, ["table_name", "schema_name"]).withColumn("run_id", F.lit(f"{table}-{batch_id}"))
+         .withColumn("executed_at", F.localtimestamp()).write.mode("overwrite").parquet(f"{runs}/batch_id={batch_id}"))
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     every = f"{int(check_interval_minutes or 60)} minutes"
@@ -75,19 +80,23 @@ def gate_totals(spark: SparkSession, sink: str) -> DataFrame:
         F.col("rows_checked").cast("bigint").alias("violations")))
 
 
+def gate_runs(spark: SparkSession, sink: str) -> DataFrame:
+    """The run-log rows of a gate, one per micro-batch."""
+    return spark.read.parquet(f"{sink.rpartition('/')[0]}/runs")
+
+
 def run_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType, table: str,
-                  rules: Sequence[dict], glob: str = "*.parquet", timeout_s: int = 600) -> DataFrame:
-    """Run the gate to the end of the available files and return totals."""
-    q, sink = start_rule_gate(spark, source_dir, schema, table, rules, glob)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("rule gate did not finish")
+                  rules: Sequence[dict], glob: str = "*.parquet", base_dir: str | None = None) -> DataFrame:
+    """Run the gate to the end of the available files and return totals; on a
+    folder of its own unless ``base_dir`` names one to go on with."""
+    base = base_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/gates-{uuid.uuid4().hex}"
+    q, sink = start_rule_gate(spark, source_dir, schema, table, rules, glob, base)
+    q.awaitTermination()
     return gate_totals(spark, sink)
 
 
 def start_contract_gate(spark: SparkSession, contract: dict, source_dir: str, schema: T.StructType,
-                        glob: str = "*.parquet", available_now: bool = True):
+                        glob: str = "*.parquet", available_now: bool = True, base_dir: str | None = None):
     """STR1 from a contract: its row-level rules (the ones a single batch can
     decide) gate the stream, at the contract's ``check_interval_minutes``."""
     from covenant.plans.contracts import normalise
@@ -95,5 +104,5 @@ def start_contract_gate(spark: SparkSession, contract: dict, source_dir: str, sc
     rules = [r for r in c["quality_rules"]
              if r["rule_type"] in STREAMABLE and "sql" not in (r.get("parameters") or {})]
     interval = (c.get("freshness") or {}).get("check_interval_minutes")
-    return start_rule_gate(spark, source_dir, schema, c["table_name"], rules, glob,
+    return start_rule_gate(spark, source_dir, schema, c["table_name"], rules, glob, base_dir,
                            available_now=available_now, check_interval_minutes=interval)

@@ -28,8 +28,8 @@ def _by_name(df):
 
 
 def test_plan_goldens():
-    assert len(plan_contract(sample_contract("orders"))) == 27
-    assert len(plan_contract(sample_contract("customers"))) == 25
+    assert len(plan_contract(sample_contract("orders"))) == 30
+    assert len(plan_contract(sample_contract("customers"))) == 30
 
 
 def test_missing_table_short_circuits(spark):
@@ -119,12 +119,24 @@ def test_latest_per_key_nulls_first_and_tie_break(spark):
 def test_registry_plan_equals_single_contract_plan(spark):
     from covenant.plans.checkplan import plan_many
     from covenant.plans.contracts import contracts_df
-    docs = [sample_contract("orders"), sample_contract("customers")]
+    odd = {"table_name": "odd", "columns": [{"name": "a"}], "quality_rules": [
+        {"rule_type": "unique", "parameters": {"columns": ["a", "b"]}},
+        {"rule_type": "min_value", "column": "a", "parameters": {"value": 0}},
+        {"rule_type": "min_value", "column": "a", "parameters": {"value": 0.5}, "severity": "warning"},
+        {"rule_type": "min_value", "column": "a", "parameters": {"value": "0"}},
+        {"rule_type": "referential_integrity", "column": "a", "parameters": {"reference_table": "t", "reference_column": "größe"}},
+        {"rule_type": "referential_integrity", "column": "a", "parameters": {"reference_column": "größe", "reference_table": "t"}, "severity": "warning"},
+        {"rule_type": "accepted_values", "column": "a", "parameters": {"values": [1, "x", None, True]}},
+        {"rule_type": "row_count_min"}]}
+    docs = [sample_contract("orders"), sample_contract("customers"), odd]
     many = plan_many(contracts_df(spark, docs))
-    got = {(r["table_name"], r["seq"]): (r["check_type"], r["column"], r["severity"]) for r in many.collect()}
-    want = {(d["table_name"], s.seq): (s.check_type, s.column, s.severity)
+    got = {(r["table_name"], r["seq"]): (r["check_type"], r["column"], r["params"], r["severity"], r["origin"]) for r in many.collect()}
+    want = {(d["table_name"], s.seq): (s.check_type, s.column, s.params_json, s.severity, s.origin)
             for d in docs for s in plan_contract(d)}
     assert got == want
+    # the grouping and the numbering run on the one exchange of the registry
+    plan = plan_many(contracts_df(spark, docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_bad_custom_rule_is_one_error_row(spark, orders):
@@ -135,17 +147,17 @@ def test_bad_custom_rule_is_one_error_row(spark, orders):
     assert got == {1: "failed", 2: "error", 3: "error"}
 
 
-def test_single_pass_equals_separate_jobs_on_random_tables(spark):
+def test_checks_on_random_tables(spark):
+    """Against plain Python; some of the tables are empty."""
     import random
+    from collections import Counter
     rnd = random.Random(7)
-    for trial in range(4):
+    for n in (0, 1, 30, 60):
         rows = [(rnd.choice([None, 1, 2, 3, 4, 5, 6]), rnd.choice([None, "a", "b", "c", "zz"]),
-                 rnd.choice([None, -1.0, 0.5, 3.0]), rnd.choice([None, 10, 11, 99]))
-                for _ in range(rnd.randint(0, 60))]
+                 rnd.choice([None, -1.0, 0.5, 3.0]), rnd.choice([None, 10, 11, 99])) for _ in range(n)]
         df = spark.createDataFrame(rows, "k long, s string, x double, fk long")
         # reference keys as text, with NULLs and a malformed value that matches nothing
-        ref_vals = [None if v is None else str(v) for v in rnd.sample([None, 10, 11, 12], 3)] + ["x1"]
-        ref = spark.createDataFrame([(v,) for v in ref_vals], "rk string")
+        ref = spark.createDataFrame([("10",), (None,), ("x1",)], "rk string")
         rules = [{"rule_type": "not_null", "column": "k"},
                  {"rule_type": "unique", "column": "k"},
                  {"rule_type": "unique", "parameters": {"columns": ["k", "fk"]}},
@@ -154,23 +166,64 @@ def test_single_pass_equals_separate_jobs_on_random_tables(spark):
                  {"rule_type": "referential_integrity", "column": "fk",
                   "parameters": {"reference_table": "ref", "reference_column": "rk"}},
                  {"rule_type": "row_count_min", "parameters": {"min_count": 5}}]
-        t = TableSet({"ref": ref})
-        cols = ["seq", "status", "violations", "actual_value"]
-        a = sorted(map(tuple, evaluate_rules(spark, df, "t", rules, t, single_pass=True)
-                       .select(*cols).collect()))
-        b = sorted(map(tuple, evaluate_rules(spark, df, "t", rules, t, single_pass=False)
-                       .select(*cols).collect()))
-        assert a == b, (trial, a, b)
+        repeated = lambda keys: sum(c > 1 for c in Counter(x for x in keys if None not in x).values())
+        want = [sum(r[0] is None for r in rows), repeated((r[0],) for r in rows), repeated((r[0], r[3]) for r in rows),
+                sum(r[1] not in (None, "a", "b") for r in rows), sum(r[2] is not None and r[2] < 0 for r in rows),
+                sum(r[3] not in (None, 10) for r in rows), max(0, 5 - n)]
+        got = {r["seq"]: (r["violations"], r["status"], r["message"]) for r in evaluate_rules(spark, df, "t", rules, TableSet({"ref": ref})).collect()}
+        assert [got[i][0] for i in range(1, 8)] == want
+        assert all((s == "failed") == (v > 0) for v, s, _ in got.values())
+        assert got[1][2] == f"not_null on k: {want[0]} violating rows"
 
 
-def test_mismatched_rule_parameters_do_not_fail_the_job(spark, orders):
+def test_parameters_that_do_not_fit_the_column(spark, orders):
     rules = [{"rule_type": "accepted_values", "column": "order_id", "parameters": {"values": ["1", "x"]}},
-             {"rule_type": "min_value", "column": "updated_at", "parameters": {"value": "not a date"}},
-             {"rule_type": "max_value", "column": "total_amount", "parameters": {"value": 4}}]
+             {"rule_type": "min_value", "column": "updated_at", "parameters": {"value": "2024-13-45"}},
+             {"rule_type": "max_value", "column": "total_amount", "parameters": {"value": 4}},
+             {"rule_type": "min_value", "column": "order_id", "parameters": {"value": 1.5}},
+             {"rule_type": "max_value", "column": "order_id", "parameters": {"value": "abc"}},
+             {"rule_type": "accepted_values", "column": "status", "parameters": {"values": [1, 2]}},
+             {"rule_type": "min_value", "column": "status", "parameters": {"value": 1}},
+             {"rule_type": "min_value", "column": "order_id"},
+             {"rule_type": "max_value", "column": "updated_at", "parameters": {"value": "2024-01-31 23:15:00"}}]
     got = {r["seq"]: (r["status"], r["violations"]) for r in evaluate_rules(spark, orders, "orders", rules).collect()}
     assert got[1] == ("failed", 2)      # order_id 2 twice is not in {'1', 'x'}; NULL is not judged
-    assert got[2] == ("passed", 0)      # unreadable bound judges no row
+    assert got[2] == ("error", None)    # a bound that is no time
     assert got[3] == ("failed", 1)
+    assert got[4] == ("failed", 1)      # 1 lies below 1.5
+    assert got[5] == ("error", None)
+    assert got[6] == ("failed", 3)      # no text is 1 or 2
+    assert got[7] == ("failed", 3)      # text that is no number
+    assert got[8] == ("error", None)    # no bound at all
+    assert got[9] == ("failed", 1)
+
+
+def test_freshness_column_has_to_be_a_time(spark, orders):
+    c = {"table_name": "orders", "columns": [], "freshness": {"timestamp_column": "status", "max_delay_minutes": 5}}
+    assert freshness_result(spark, orders, c, AS_OF).first()["status"] == "error"
+    out = _by_name(evaluate_contract(spark, orders, c, TableSet(), AS_OF))
+    assert out["freshness_status"]["status"] == "error" and out["row_count_min"]["status"] == "passed"
+    named = orders.withColumnRenamed("updated_at", "größe_am")
+    c["freshness"]["timestamp_column"] = "größe_am"
+    assert freshness_result(spark, named, c, AS_OF).first()["status"] == "failed"
+
+
+def test_many_freshness_results_in_groups(spark, orders, monkeypatch):
+    from covenant.operators import freshness as FR
+    monkeypatch.setattr(FR, "TABLES_PER_PLAN", 3)
+    c = {"table_name": "orders", "columns": [], "freshness": {"timestamp_column": "updated_at", "max_delay_minutes": 60}}
+    items = [({**c, "table_name": f"t{i}"}, orders if i % 2 else None) for i in range(8)]
+    out = {r["table_name"]: r["status"] for r in FR.freshness_many(spark, iter(items), AS_OF).collect()}
+    assert out == {f"t{i}": "passed" if i % 2 else "error" for i in range(8)}
+    assert FR.freshness_many(spark, [], AS_OF).count() == 0
+
+
+def test_tables_are_found_by_schema(spark, orders):
+    t = TableSet({"orders": orders, "sales.orders": orders.limit(1)})
+    assert t.get("orders").count() == 4 and t.get("orders", "sales").count() == 1
+    assert t.get("orders", "other") is None and t.reference("orders", "other").count() == 4
+    assert t.reference("orders", "sales").count() == 1 and t.reference("sales.orders").count() == 1
+    assert TableSet(find=lambda s, n: orders if s == "x" else None).get("any", "x") is orders
 
 
 def test_bad_regex_is_one_error_row(spark, orders):

@@ -70,10 +70,10 @@ def test_metric_percentages(spark):
 
 def test_upsert_collapses_duplicate_incoming_keys(spark):
     cur = spark.createDataFrame([("a", "public", "1.0.0")], "table_name string, schema_name string, version string")
-    inc = spark.createDataFrame([("a", "public", "1.1.0"), ("a", "public", "1.2.0")],
+    inc = spark.createDataFrame([("a", "public", "1.10.0"), ("a", "public", "1.9.0"), ("a", "public", "next")],
                                 "table_name string, schema_name string, version string")
     got = upsert(cur, inc, "2024-02-01 00:00:00").collect()
-    assert len(got) == 1 and got[0]["version"] == "1.2.0"
+    assert len(got) == 1 and got[0]["version"] == "1.10.0"
 
 
 def test_snapshots_are_versioned(spark):
@@ -89,3 +89,29 @@ def test_snapshots_are_versioned(spark):
     assert commit_snapshot(nxt, root) == 2   # reads v=1 while writing v=2
     assert snapshot_versions(spark, root) == [1, 2]
     assert sorted(r["table_name"] for r in read_snapshot(spark, root).collect()) == ["a", "b"]
+
+
+def test_generated_ids_fill_a_numeric_key(spark):
+    from covenant.sources.registry import insert_defaults
+    df = spark.createDataFrame([(1, None), (None, "x")], "id long, s string")
+    rows = insert_defaults(df, {"id": F.expr("uuid()"), "s": F.lit("new"), "n": F.lit(0)}).collect()
+    assert rows[0]["id"] == "1" and len(rows[1]["id"]) == 36 and rows[0]["s"] == "new" and rows[1]["n"] == 0
+
+
+def test_staging_refuses_a_missing_tie_break(spark):
+    import pytest
+
+    from covenant.operators.models import ORDER_COLUMNS, stg_orders
+    df = spark.createDataFrame([], ", ".join(f"{c} string" for c in ORDER_COLUMNS))
+    with pytest.raises(ValueError, match="version"):
+        stg_orders(df)
+    assert stg_orders(df, tie_break=()).count() == 0
+
+
+def test_tables_are_listed_anew(spark, tmp_path):
+    from covenant.sources.tables import read_table, table_exists
+    assert not table_exists(spark, "t", str(tmp_path))
+    spark.range(10).write.parquet(str(tmp_path / "t.parquet"))
+    assert table_exists(spark, "t", str(tmp_path)) and read_table(spark, str(tmp_path), "t").count() == 10
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    assert read_table(spark, str(tmp_path), "t").count() == 15

@@ -57,10 +57,11 @@ def test_plan_entries_per_column_and_rule():
     names = [check_name(s, plan) for s in plan]
     assert names[:2] == ["column_exists_order_id", "column_type_order_id"]
     assert "unique_order_id" in names and "referential_integrity_customer_id" in names
-    merged = [s for s in plan if s.check_type == "not_null" and s.column == "order_id"][0]
+    merged = [s for s in plan if s.check_type == "not_null" and s.column == "customer_id"][0]
     assert merged.origin == "implicit+rule"
     rc = [s for s in plan if s.check_type == "row_count_min"][0]
-    assert rc.severity == "error" and rc.origin == "implicit+rule"
+    assert rc.severity == "error" and rc.origin == "implicit"
+    assert [s.params["min_count"] for s in plan if s.check_type == "row_count_min"] == [1, 25]
     assert [s.check_type for s in plan][-1] == "freshness"
 
 
@@ -69,8 +70,7 @@ def test_lookups_that_find_nothing_and_required_columns(spark):
     assert get_contract(reg, "orders").count() == 1
     assert get_contract(reg, "orders", "other").count() == 0
     rc = {r["table_name"]: r for r in required_columns(reg).collect()}
-    assert rc["customers"]["required_columns"] == ["customer_id", "email", "first_name", "last_name",
-                                                   "created_at", "updated_at"]
+    assert rc["customers"]["required_columns"] == ["customer_id", "email", "country", "updated_at"]
     assert rc["orders"]["primary_key_columns"] == ["order_id"]
 
 

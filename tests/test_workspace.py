@@ -34,6 +34,14 @@ def test_workspace_day_in_the_life(spark):
     assert fresh == {"orders": "failed", "customers": "failed"}
     assert ws.check_freshness(AS_OF, stale_only=True).count() == 2
     rid = r[0]["run_id"]
+    fresh_start = Workspace(spark, tempfile.mkdtemp(prefix="ws-"), tables, definitions=CONTRACTS_DIR)
+    first = fresh_start.run_checks_for_table("orders", as_of=AS_OF)   # the definition file is used and registered
+    assert first["runs"].count() == 1 and fresh_start.contracts().count() == 1
+    try:
+        fresh_start.run_checks_for_table("nothing")
+        raise AssertionError("a table without a contract was checked")
+    except LookupError:
+        pass
     detail = ws.result_detail(rid).collect()      # the orders-only run
     assert len(detail) == 1 and detail[0]["table_name"] == "orders"
     assert '"checks"' in detail[0]["result_data"]
