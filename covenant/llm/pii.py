@@ -28,7 +28,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 

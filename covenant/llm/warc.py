@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import NULL_ID, long_id, on_workers, pylist, salted_left_join, scratch, staged, whole_text
+from .common import NULL_ID, long_id, on_workers, salted_left_join, scratch, staged, whole_text
 
 SEGMENT_CHARS, CHUNK_CHARS = 8192, 2048
 #: a file holds at most so many records (or segments, of at most SEGMENT_CHARS)
