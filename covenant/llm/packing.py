@@ -11,7 +11,7 @@ The tokens are written to the shared folder once (the range sampling then
 does not tokenize again) as 16-bit integers where the vocabulary allows.
 
 Nulls and ties: a null text counts as empty and yields the end id alone; equal
-keys are ordered by identifier, then by hash of the tokens; rows that repeat
+keys are ordered by identifier, place and a hash of the tokens; rows that repeat
 an identifier are packed one by one. Other columns are ignored. An empty table
 gives an empty result.
 """
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import on_workers, pylist, slices, staged, whole_text
 
 SEQUENCE, END_ID = 1024, 0
+#: tokens in a row between the steps: a long document is several rows, so that ranges of rows are ranges of tokens
+BLOCK = 8192
 DIMS, BITS = 4, 6
 
 
@@ -86,46 +88,49 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, dims: int = DIMS, bits: int = BITS) -> DataFrame:
-    """doc_id, n tokens (the end id included), ids (16-bit little-endian), curve key."""
+    """Blocks of documents: doc_id, start, the document's tokens n (the end id
+    included), ids (16-bit little-endian), curve key."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
     def run(batches):
         enc = _encoder(tokenizer)
         signs = _directions(enc.n_vocab + 1, dims)
         end = np.array([end_id], "<u2")
+        names = ["doc_id", "start", "n", "ids", "curve"]
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                ids, points, counts = [], [], []
-                for text in pylist(part, "text"):
+                points, blocks = [], []
+                for k, (doc, text) in enumerate(zip(pylist(part, "doc_id"), pylist(part, "text"))):
                     own = np.array(enc.encode_ordinary(text), "<u2")
                     points.append(signs[own].mean(0) if len(own) else np.zeros(dims, np.float32))
-                    ids.append(np.concatenate([own, end]).tobytes())
-                    counts.append(len(own) + 1)
+                    own = np.concatenate([own, end])
+                    blocks += [(doc, a, len(own), own[a:a + BLOCK].tobytes(), k) for a in range(0, len(own), BLOCK)]
                 # short texts lie far out: tanh keeps them on the grid
                 cells = np.clip((np.tanh(np.array(points) * 4) + 1) / 2 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(hilbert_key(cells, bits), pa.int64())],
-                                                 names=["doc_id", "n", "ids", "curve"])
+                curve = hilbert_key(cells, bits)
+                doc, start, n, ids, k = zip(*blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(curve[list(k)])], names=names)
 
-    return on_workers(rows, run, "doc_id long, n long, ids binary, curve long")
+    return on_workers(rows, run, "doc_id long, start long, n long, ids binary, curve long")
 
 
 def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. ``sequence_id`` is unique, not gapless."""
     tokens = staged(tokenized(docs, tokenizer, end_id), "tokens")
-    order = ["curve", "doc_id", F.xxhash64("ids")]
+    order = ["curve", "doc_id", "start", F.xxhash64("ids")]
     dealt = tokens.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
         number, fill = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
             out: list[tuple] = []
-            for doc, n, raw in zip(pylist(batch, "doc_id"), pylist(batch, "n"), pylist(batch, "ids")):
-                ids, start = np.frombuffer(raw, "<u2").astype("<u4"), 0
-                while start < n:
-                    length = min(sequence - fill, n - start)
-                    out.append((doc, start, length, zlib.crc32(ids[start:start + length]), n, number, fill))
-                    start, fill = start + length, fill + length
+            for doc, start, n, raw in zip(*(pylist(batch, c) for c in ("doc_id", "start", "n", "ids"))):
+                ids, at = np.frombuffer(raw, "<u2").astype("<u4"), 0
+                while at < len(ids):
+                    length = min(sequence - fill, len(ids) - at)
+                    out.append((doc, start + at, length, zlib.crc32(ids[at:at + length]), n, number, fill))
+                    at, fill = at + length, fill + length
                     if fill == sequence:
                         number, fill = number + 1, 0
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
