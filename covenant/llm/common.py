@@ -14,7 +14,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from covenant.session import ensure_checkpoint_dir
 
@@ -82,6 +82,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, order: list[str], k: int, group: str | None = None) -> DataFrame:
+    """At most ``k`` rows (of each ``group``), those least by a hash of the
+    ``order`` columns, with their ``_rank``. Rows are counted first and only
+    hashes below a bound that some 4k rows keep are ranked, so what is ranked
+    does not grow with the table."""
+    top = 1 << 40
+    if group is None:
+        share = F.lit(min(1.0, 4 * k / max(1, df.count())))
+    else:
+        counts = df.groupBy(group).count().collect()
+        if not counts:
+            return df.withColumn("_rank", F.lit(0)).limit(0)
+        share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, 4 * k / r[1])))])[F.col(group)]
+    some = df.withColumn("_u", F.pmod(F.xxhash64(*order), F.lit(top))).filter(F.col("_u") < share * F.lit(float(top)))
+    ranked = Window.partitionBy(group if group else F.lit(0)).orderBy("_u", *order)
+    return some.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k).drop("_u")
+
+
 def whole_text(name: str = "text") -> Column:
     """The text of a row; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

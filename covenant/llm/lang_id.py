@@ -20,9 +20,9 @@ import functools
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import on_workers, pylist, slices
+from .common import hash_sample, on_workers, pylist, slices
 
 SAMPLE_DOCS, SAMPLE_BYTES = 64, 1600
 BLOCK, LEVEL, MARGIN = 8192, 6, 0.002
@@ -45,10 +45,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     """language -> dictionary content, learned from the rows that are not held out."""
     train = docs.select("doc_id", "text", "lang").filter(
         ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 200))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = (train.select("lang", "doc_id", F.substring("text", 1, sample_bytes).alias("text"))
-            .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_docs)
-            .orderBy("lang", "_r").collect())
+    some = train.select("lang", "doc_id", F.substring("text", 1, sample_bytes).alias("text"))
+    rows = hash_sample(some, ["doc_id", "text"], sample_docs, "lang").orderBy("lang", "_rank").collect()
     parts: dict[str, list[bytes]] = {}
     for r in rows:
         parts.setdefault(r["lang"], []).append(letters(r["text"]))

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import on_workers, pylist, slices, whole_text
+from .common import hash_sample, on_workers, pylist, slices, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: what the field knows beside the base kinds
@@ -368,8 +368,8 @@ def train(texts: list[str], epochs: int = EPOCHS) -> SemiMarkov | None:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> SemiMarkov | None:
-    rows = (docs.select("doc_id", F.substring(whole_text(), 1, sample_chars).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).collect())
+    some = docs.select("doc_id", F.substring(whole_text(), 1, sample_chars).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    rows = hash_sample(some, ["doc_id", "text"], sample_docs).orderBy("_rank").collect()
     return train([r["text"] for r in rows])
 
 

@@ -29,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import on_workers, pylist, staged
+from .common import hash_sample, on_workers, pylist, staged
 
 PIVOTS, SAMPLE = 64, 2048
 ANNULUS_ROWS, QUERY_ROWS = 2048, 256
 SHARDS = 16
 #: scores are whole numbers; beyond this product of lengths floats may round
 _EXACT = float(2 ** 52)
+#: no score; its negative is a long too
+_NONE = -(2 ** 63) + 1
 
 
 def usable(rows: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -60,7 +62,7 @@ def matrix(lists: list, dim: int) -> np.ndarray:
 
 def fit(vectors: DataFrame, dim: int, pivots: int = PIVOTS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pivots, sample identifiers, sample vectors): pivots far from each other."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id", "x").limit(sample).collect()
+    rows = hash_sample(vectors, ["id", "x"], sample).orderBy("_rank").collect()
     ids, x = np.array([r["id"] for r in rows], np.int64), matrix([r["x"] for r in rows], dim)
     chosen = [0]
     near = ((x - x[0]) ** 2).sum(1)
@@ -71,9 +73,10 @@ def fit(vectors: DataFrame, dim: int, pivots: int = PIVOTS, sample: int = SAMPLE
 
 
 def distances(x: np.ndarray, lift: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Distances of lifted vectors (the extra component in ``lift``) to the
-    pivots, which have none."""
-    d = (x * x).sum(1)[:, None] + (lift * lift)[:, None] + (centres * centres).sum(1)[None, :] - 2 * (x @ centres.T)
+    """Distances of lifted vectors (the square of the extra component in
+    ``lift``) to the pivots, which have none. The squares are whole numbers,
+    so that only the root is rounded."""
+    d = (x * x).sum(1)[:, None] + lift[:, None] + (centres * centres).sum(1)[None, :] - 2 * (x @ centres.T)
     return np.sqrt(np.maximum(d, 0))
 
 
@@ -83,10 +86,10 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         return (q @ x.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
     exact = whole(q) @ whole(x).T if q.size and x.size else np.zeros((len(q), len(x)), object)
-    return np.clip(exact, np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max).astype(np.int64)
+    return np.clip(exact, _NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
-def indexed(vectors: DataFrame, centres: np.ndarray, reach: float, kind: str, rows: int = ANNULUS_ROWS) -> DataFrame:
+def indexed(vectors: DataFrame, centres: np.ndarray, square: float, kind: str, rows: int = ANNULUS_ROWS) -> DataFrame:
     """Annuli (pivot, lo, hi, ids, xs): vectors keyed by pivot and distance, in
     that order, at most ``rows`` of one pivot in each."""
     dim = centres.shape[1]
@@ -94,8 +97,7 @@ def indexed(vectors: DataFrame, centres: np.ndarray, reach: float, kind: str, ro
     def key(batches):
         for batch in batches:
             x = matrix(pylist(batch, "x"), dim)
-            lift = np.sqrt(np.maximum(reach * reach - (x * x).sum(1), 0))
-            d = distances(x, lift, centres)
+            d = distances(x, np.maximum(square - (x * x).sum(1), 0), centres)
             pivot = d.argmin(1) if len(x) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), pa.array(d[np.arange(len(x)), pivot]), batch.column("id"), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], names=["pivot", "far", "id", "x"])
 
@@ -131,8 +133,7 @@ class Best:
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores`` (rows, candidates)."""
         own = self.query_ids[rows][:, None] == ids[None, :]
-        low = np.iinfo(np.int64).min
-        scores = np.where(own, low, scores)
+        scores = np.where(own, _NONE, scores)
         if scores.shape[1] > 4 * self.k:  # keep every score that may still count, ties included
             least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
             cols = np.flatnonzero((scores >= least[:, None]).any(0))
@@ -140,10 +141,10 @@ class Best:
         width = self.scores.shape[1]
         all_scores = np.concatenate([self.scores[rows], scores], 1)
         all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], 1)
-        order = np.lexsort((all_ids, -np.maximum(all_scores, low + 1)), axis=1)[:, :self.k]
+        order = np.lexsort((all_ids, -all_scores), axis=1)[:, :self.k]
         new = order.shape[1]
         if new > width:
-            pad = np.full((len(self.query_ids), new - width), low, np.int64)
+            pad = np.full((len(self.query_ids), new - width), _NONE, np.int64)
             self.scores, self.ids = np.concatenate([self.scores, pad], 1), np.concatenate([self.ids, pad], 1)
         self.scores[rows, :new] = np.take_along_axis(all_scores, order, 1)
         self.ids[rows, :new] = np.take_along_axis(all_ids, order, 1)
@@ -151,7 +152,7 @@ class Best:
     def floor(self) -> np.ndarray:
         """The k-th best score, or the lowest number where there are fewer."""
         if self.scores.shape[1] < self.k:
-            return np.full(len(self.query_ids), np.iinfo(np.int64).min)
+            return np.full(len(self.query_ids), _NONE)
         return self.scores[:, -1]
 
 
@@ -167,7 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
     dim = max(dim, queries.agg(F.max(F.size("x"))).first()[0] or 0)
     reach, kind = float(np.sqrt(square)), stored(most)
     centres, sample_ids, sample_x = fit(vectors, dim, pivots, sample)
-    annuli = staged(indexed(vectors, centres, reach, kind).withColumn("annulus", F.monotonically_increasing_id()), "annuli")
+    annuli = staged(indexed(vectors, centres, square, kind).withColumn("annulus", F.monotonically_increasing_id()), "annuli")
 
     def first(batches):
         """Distances of a query to the pivots, and a floor of its k-th score from the sample."""
@@ -192,8 +193,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
                 q = np.frombuffer(raw).reshape(part.num_rows, dim)
                 floor = part.column("floor").to_numpy()
                 d = distances(q, np.zeros(len(q)), centres)
-                room = (q * q).sum(1) + reach * reach - 2 * floor.astype(float)
-                radius = np.where(floor == np.iinfo(np.int64).min, np.inf, np.sqrt(np.maximum(room, 0)) + 1e-6 * (1 + reach))
+                room = (q * q).sum(1) + square - 2 * floor.astype(float)
+                radius = np.where(floor == _NONE, np.inf, np.sqrt(np.maximum(room, 0)) + 1e-6 * (1 + reach))
                 spans = [{"pivot": p, "from": float((d[:, p] - radius).min()), "to": float((d[:, p] + radius).max()), "mid": float(d[:, p].mean())} for p in range(len(centres))]
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([raw], pa.binary()), pa.array([floor.tobytes()], pa.binary()),
                                                   pa.array([spans], pa.list_(pa.struct([("pivot", pa.int32()), ("from", pa.float64()), ("to", pa.float64()), ("mid", pa.float64())])))], names=["qids", "qs", "floors", "spans"])
@@ -208,11 +209,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
 
     def expand(batches) -> Iterator[pa.RecordBatch]:
         """Annuli of a block from the nearest outwards."""
-        own, best, q, d = None, None, None, None
-        floor = None
+        own = best = q = d = floor = both = None
 
         def done():
-            rows = [(int(best.query_ids[i]), int(v), int(s)) for i in range(len(best.query_ids)) for v, s in zip(best.ids[i], best.scores[i]) if s != np.iinfo(np.int64).min and s >= floor[i]]
+            rows = [(int(best.query_ids[i]), int(v), int(s)) for i in range(len(best.query_ids)) for v, s in zip(best.ids[i], best.scores[i]) if s != _NONE and s >= floor[i]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "vec_id", "score"]) if rows else None
 
         for batch in batches:
@@ -226,11 +226,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
                     q = np.frombuffer(batch.column("qs")[i].as_py()).reshape(len(ids), dim)
                     floor = np.frombuffer(batch.column("floors")[i].as_py(), np.int64)
                     d, best = distances(q, np.zeros(len(q)), centres), Best(ids, k)
-                    square = (q * q).sum(1) + reach * reach
+                    both = (q * q).sum(1) + square
                 # triangle inequality: |q - x| is at least the gap between the distances to the pivot
                 at = d[:, row["pivot"]]
                 gap = np.maximum(np.maximum(row["lo"] - at, at - row["hi"]) - 1e-6 * (1 + reach), 0)
-                bound = (square - gap * gap) / 2
+                bound = (both - gap * gap) / 2
                 rows = np.flatnonzero(bound >= np.maximum(best.floor(), floor) - 0.5)
                 if len(rows):
                     vec = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
