@@ -78,11 +78,11 @@ def classify(text: str | None, compressors, block: int = BLOCK, margin: float =
     return lang, score, score < margin
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], keep: tuple[str, ...] = (), level: int = LEVEL,
-            margin: float = MARGIN) -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, bytes], keep: tuple[str, ...] = (), text: str = "text",
+            level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
     """The ``keep`` columns with lang_pred, score and rejected for every row."""
     frozen = tuple(sorted(model.items()))
-    rows = docs.select(F.col("text").alias("_text"), *keep)
+    rows = docs.select(*({text: 0} | dict.fromkeys(keep)))
     schema = rows.select(*keep).schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
         schema = schema.add(name, kind)
@@ -90,8 +90,8 @@ def predict(docs: DataFrame, model: dict[str, bytes], keep: tuple[str, ...] = ()
     def run(batches):
         compressors = _compressors(frozen, level)
         for batch in batches:
-            for part in slices(batch, "_text", 4 << 20):
-                done = [classify(t, compressors, margin=margin) for t in pylist(part, "_text")]
+            for part in slices(batch, text, 4 << 20):
+                done = [classify(t, compressors, margin=margin) for t in pylist(part, text)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in keep] + [pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))],
                     names=[*keep, "lang_pred", "score", "rejected"])
@@ -102,6 +102,6 @@ def predict(docs: DataFrame, model: dict[str, bytes], keep: tuple[str, ...] = ()
 def identified(docs: DataFrame) -> DataFrame:
     """The rows whose language is found, with the columns of ``docs``."""
     cols = tuple(docs.columns)
-    renamed = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)], F.col("text").alias("text"))
-    out = predict(renamed, fit(docs), tuple(f"_c{i}" for i in range(len(cols))))
+    renamed = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)])
+    out = predict(renamed, fit(docs), tuple(renamed.columns), f"_c{cols.index('text')}")
     return out.filter(~F.col("rejected")).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])

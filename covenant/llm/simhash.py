@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_or_null, long_id, on_workers, pylist, salted_left_join, slices, staged, utf8, whole_text
+from .common import id_or_null, long_id, on_workers, pylist, salted_left_join, slices, staged, utf8
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 FANOUT = 16
@@ -57,15 +57,15 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     return int(sum(1 << b for b in np.flatnonzero(counts * 2 > len(h)).tolist()))
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """_id, _fp (the 64 bits as a signed long) and the ``keep`` columns."""
-    rows = docs.select(long_id().alias("_id"), whole_text().alias("_text"), *keep)
-    schema = rows.drop("_text").schema.add("_fp", "long")
+    rows = docs.select(long_id().alias("_id"), *({text: 0} | dict.fromkeys(keep)))
+    schema = rows.select("_id", *keep).schema.add("_fp", "long")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text", 4 << 20):
-                fps = np.array([fingerprint(t, words) for t in utf8(part, "_text")], np.uint64).view(np.int64)
+            for part in slices(batch, text, 4 << 20):
+                fps = np.array([fingerprint(t, words) for t in utf8(part, text)], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("_id"), *[part.column(c) for c in keep], pa.array(fps)], names=["_id", *keep, "_fp"])
 
     return on_workers(rows, run, schema)
@@ -238,8 +238,8 @@ def representatives(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_B
     """The row of each component whose identifier names it, with the columns
     of ``docs``. Of rows that repeat this identifier one stays."""
     others = tuple(docs.columns)
-    renamed = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)], F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    rows = staged(fingerprints(renamed, words, tuple(f"_c{i}" for i in range(len(others)))), "fingerprints")
+    renamed = docs.select("doc_id", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)])
+    rows = staged(fingerprints(renamed, words, f"_c{others.index('text')}", tuple(f"_c{i}" for i in range(len(others)))), "fingerprints")
     kept = labelled(rows.select("_id", "_fp"), max_bits).filter("_id = _component").select("_id").distinct()
     out = rows.join(kept, "_id", "left_semi").dropDuplicates(["_id"])
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(others)])
