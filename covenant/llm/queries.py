@@ -65,4 +65,31 @@ QUERIES = {
     "op10_curve_packing": op10_curve_packing,
 }
 
-ORACLE_SQL = {}
+#: for the queries that SQL can express; tests hold the others against brute force
+ORACLE_SQL = {
+    "op3_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op6_warc_segments": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+         ((strpos('0123456789abcdef', substr(h, 1 + (5 * i) // 4, 1)) - 1) * 16
+          + greatest(strpos('0123456789abcdef', substr(h, 2 + (5 * i) // 4, 1)) - 1, 0)) // CAST(2 ** (3 - (5 * i) % 4) AS BIGINT)) % 32, 1)), '') AS payload_digest,
+       CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN best <> page_id THEN best END AS refers_to, true AS complete
+FROM d""",
+    "op7_exact_dedup": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY text)""",
+}

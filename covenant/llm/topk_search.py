@@ -200,9 +200,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
                                                   pa.array([spans], pa.list_(pa.struct([("pivot", pa.int32()), ("from", pa.float64()), ("to", pa.float64()), ("mid", pa.float64())])))], names=["qids", "qs", "floors", "spans"])
 
     blocks = staged(on_workers(dealt, block, "qids binary, qs binary, floors binary, spans array<struct<pivot:int,from:double,to:double,mid:double>>").withColumn("block", F.monotonically_increasing_id()), "blocks")
-    spans = blocks.select("block", F.explode("spans").alias("s")).select("block", F.col("s.pivot").alias("pivot"), F.col("s.from").alias("from"), F.col("s.to").alias("to"), F.col("s.mid").alias("mid"))
-    rings = annuli.select("annulus", "pivot", "lo", "hi")
-    open_ = rings.join(spans, "pivot").filter("hi >= `from` and lo <= `to`").select(
+    # a pivot may hold any share of the vectors: its annuli are dealt over several tasks
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SHARDS)]))
+    spans = blocks.select("block", F.explode("spans").alias("s")).select("block", salts.alias("salt"), F.col("s.pivot").alias("pivot"), F.col("s.from").alias("from"), F.col("s.to").alias("to"), F.col("s.mid").alias("mid"))
+    rings = annuli.select("annulus", "pivot", "lo", "hi", F.pmod(F.xxhash64("annulus"), F.lit(SHARDS)).cast("int").alias("salt"))
+    open_ = rings.join(spans, ["pivot", "salt"]).filter("hi >= `from` and lo <= `to`").select(
         "annulus", "block", F.greatest(F.col("lo") - F.col("mid"), F.col("mid") - F.col("hi"), F.lit(0.0)).alias("gap"))
     pairs = open_.join(annuli, "annulus").join(blocks.drop("spans"), "block").withColumn("shard", F.pmod(F.xxhash64("annulus"), F.lit(SHARDS)))
     work = pairs.repartition("block", "shard").sortWithinPartitions("block", "shard", "gap", "annulus")
