@@ -26,6 +26,8 @@ from .common import hash_sample, on_workers, pylist, slices
 
 SAMPLE_DOCS, SAMPLE_BYTES = 64, 1600
 BLOCK, LEVEL, MARGIN = 8192, 6, 0.002
+#: texts of fewer bytes get the longer match search of a higher level
+SHORT, SHORT_LEVEL = 1024, 12
 
 #: what is encoded: lower-case letters, with a blank for anything else in ASCII
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -54,23 +56,28 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
 
 
 @functools.lru_cache(maxsize=4)
-def _compressors(model: tuple[tuple[str, bytes], ...], level: int):
-    out = []
-    for lang, content in model:
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=level)
-        out.append((lang, zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)))
+def _compressors(model: tuple[tuple[str, bytes], ...], level: int, short_level: int = SHORT_LEVEL):
+    """(language, compressor) for each language, for long and for short texts."""
+    out: tuple[list, list] = [], []
+    for kept, wanted, size in zip(out, (level, short_level), (BLOCK, SHORT)):
+        for lang, content in model:
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(
+                wanted, dict_size=len(content), source_size=size, write_content_size=False, write_checksum=False, write_dict_id=False)
+            held.precompute_compress(compression_params=how)
+            kept.append((lang, zstandard.ZstdCompressor(dict_data=held, compression_params=how)))
     return out
 
 
 def classify(text: str | None, compressors, block: int = BLOCK, margin: float = MARGIN) -> tuple[str, float, bool]:
     """(language, score, rejected). The score is the share of bytes saved
     against the second best language."""
-    if not compressors or not text or not any(map(str.isalpha, text)):
+    long, short = compressors
+    if not long or not text or not any(map(str.isalpha, text)):
         return "und", 0.0, True
     raw = letters(text)
     parts = [raw[i:i + block] for i in range(0, len(raw), block)]
-    sizes = [(sum(len(c.compress(p)) for p in parts), lang) for lang, c in compressors]
+    sizes = [(sum(len(c.compress(p)) for p in parts), lang) for lang, c in (short if len(raw) < SHORT else long)]
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     (best, lang), (second, _) = sorted(sizes)[:2]
