@@ -43,9 +43,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[context.applicationId] = folder
 
 
+_BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 16 << 20
+
+
 def on_workers(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand."""
-    ship(df.sparkSession)
+    """``mapInArrow`` with this package at hand. Record batches of long texts
+    are held several times over in a task; unless the session says otherwise
+    they are a quarter of Spark's default."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH, None) in (f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT)):
+        spark.conf.set(_BATCH, f"{_BATCH_BYTES}b")
     return df.mapInArrow(function, schema)
 
 
