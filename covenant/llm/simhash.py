@@ -15,8 +15,9 @@ is missed, and a partition only emits a spanning forest of its links.
 Components are then found by star contractions over the forests.
 
 Nulls and ties: a null text counts as empty; a text without words has the
-fingerprint zero, linked like any other. A null identifier sorts below all
-others. Rows that repeat an identifier count as one document in a component.
+fingerprint zero, linked like any other. A component is one of fingerprints
+and bears its smallest identifier, where null sorts below all others; so a null
+or repeated identifier links nothing, and components may share such a label.
 An empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import id_or_null, long_id, on_workers, pylist, salted_left_join, slices, staged, utf8
 
@@ -226,20 +227,30 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_B
                       id_or_null("_component").alias("component_id"))
 
 
+def grouped(rows: DataFrame, value: Column, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, component, least): each fingerprint of ``rows`` once, its
+    component's smallest fingerprint, and the least ``value`` of its own rows."""
+    distinct = staged(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(value).alias("least")), "distinct")
+    found = components(links(distinct.select("fp", F.col("fp").alias("node")), max_bits)).withColumnRenamed("node", "fp")
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+
+
 def labelled(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``rows`` (_id, _fp, ...) with _component."""
-    distinct = staged(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("node")), "distinct")
-    found = components(links(distinct, max_bits))
-    named = distinct.join(found, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("_component"))
+    own = staged(grouped(rows, F.col("_id"), max_bits), "components")
+    least = own.groupBy("component").agg(F.min("least").alias("_component"))
+    named = salted_left_join(own.select("component", F.col("fp").alias("_fp")), least, ["component"], F.col("_fp")).drop("component")
     return salted_left_join(rows, named, ["_fp"], F.col("_id"))
 
 
 def representatives(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The row of each component whose identifier names it, with the columns
-    of ``docs``. Of rows that repeat this identifier one stays."""
+    """One row of each component, with the columns of ``docs``: the one with
+    the smallest identifier. Of rows that repeat it, the least by a hash of
+    the text stays; of rows equal in both, any one."""
     others = tuple(docs.columns)
-    renamed = docs.select("doc_id", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)])
-    rows = staged(fingerprints(renamed, words, f"_c{others.index('text')}", tuple(f"_c{i}" for i in range(len(others)))), "fingerprints")
-    kept = labelled(rows.select("_id", "_fp"), max_bits).filter("_id = _component").select("_id").distinct()
-    out = rows.join(kept, "_id", "left_semi").dropDuplicates(["_id"])
+    renamed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"),
+                          *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)])
+    rows = staged(fingerprints(renamed, words, f"_c{others.index('text')}", ("_hash", "_row", *[f"_c{i}" for i in range(len(others))])), "fingerprints")
+    kept = grouped(rows, F.struct("_id", "_hash", "_row"), max_bits).groupBy("component").agg(F.min("least").alias("least"))
+    out = rows.join(kept.select(F.col("least._row").alias("_row")), "_row", "left_semi")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(others)])

@@ -92,3 +92,18 @@ def test_long_chains(spark):
 def test_gray_ranks_count_through_the_gray_sequence():
     n = np.arange(64, dtype=np.uint64)
     assert (H.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
+
+
+def test_null_and_repeated_identifiers_link_nothing(spark):
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(random.Random(seed).choices(words, k=120)) for seed in range(6)]
+    fps = [reference_fingerprint(t) for t in texts]
+    assert all((x ^ y).bit_count() > 4 for i, x in enumerate(fps) for y in fps[:i])
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5]),
+            (10, texts[0]), (11, texts[4]), (8, texts[5]), (8, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    label = dict(zip(texts, (None, None, None, 7, 7, 8)))
+    exp = sorted(((d, f"{reference_fingerprint(t):016x}", label[t]) for d, t in rows), key=str)
+    assert got(H.near_duplicates(docs)) == exp
+    kept = [(label[t], t) for t in texts]
+    assert got(H.representatives(docs)) == sorted(kept, key=str)
