@@ -7,6 +7,8 @@ best language is nearly as short.
 
 Fitting reads a bounded sample: per language at most ``SAMPLE_DOCS`` labelled
 documents in the order of a hash of the identifier, ``SAMPLE_BYTES`` of each.
+Texts of ``LONG`` characters come first and shorter ones fill up the sample, so
+a language that has short texts only is learned too.
 Predicting reads every byte of every text.
 
 Nulls and ties: a null text, and a text without a letter, is ``und`` with
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import hash_sample, on_workers, pylist, slices
 
 SAMPLE_DOCS, SAMPLE_BYTES = 64, 1600
+#: characters of a text that is learned from first; shorter ones fill up a language's sample
+LONG = 200
 BLOCK, LEVEL, MARGIN = 8192, 6, 0.002
 #: texts of fewer bytes get the longer match search of a higher level
 SHORT, SHORT_LEVEL = 1024, 12
@@ -45,13 +49,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """language -> dictionary content, learned from the rows that are not held out."""
-    train = docs.select("doc_id", "text", "lang").filter(
-        ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 200))
-    some = train.select("lang", "doc_id", F.substring("text", 1, sample_bytes).alias("text"))
-    rows = hash_sample(some, ["doc_id", "text"], sample_docs, "lang").orderBy("lang", "_rank").collect()
+    head = F.substring("text", 1, sample_bytes)
+    # a text that starts with that much else counts from its first letter
+    lettered = F.when(head.rlike(r"\p{L}"), head).otherwise(F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, sample_bytes))
+    train = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    kind = F.concat(F.when(F.length("text") >= LONG, "+").otherwise("-"), F.col("lang"))
+    some = train.select("lang", "doc_id", kind.alias("kind"), lettered.alias("text")).filter("text <> ''")
+    # of each language the long texts come first
+    rows = sorted(hash_sample(some, ["doc_id", "text"], sample_docs, "kind").collect(), key=lambda r: (r["lang"], r["kind"], r["_rank"]))
     parts: dict[str, list[bytes]] = {}
     for r in rows:
-        parts.setdefault(r["lang"], []).append(letters(r["text"]))
+        own = parts.setdefault(r["lang"], [])
+        if len(own) < sample_docs:
+            own.append(letters(r["text"]))
     return {k: b"\n".join(v) for k, v in sorted(parts.items())}
 
 

@@ -46,3 +46,22 @@ def test_every_block_counts(documents):
     rows = {r["lang"]: r["text"] for r in documents.filter("length(text) > 3000").collect()}
     short, long = L.letters(rows["en"])[:3000].decode(), L.letters(rows["de"])[:3000].decode(errors="ignore")
     assert L.classify(short + " " + (long + " ") * 20, compressors)[0] == "de"
+
+
+def test_languages_with_short_texts_only_are_learned(spark, documents):
+    """Latin titles, unsegmented lines, and one text that starts with figures."""
+    latin = ["arma virumque cano troiae qui primus ab oris", "italiam fato profugus laviniaque venit litora",
+             "multum ille et terris iactatus et alto", "vi superum saevae memorem iunonis ob iram"]
+    chinese = ["学而时习之不亦说乎", "有朋自远方来不亦乐乎", "人不知而不愠不亦君子乎"]
+    late = "7 " * 1000 + "ovo je kratka poruka o vremenu i moru"
+    rows = [(10_000_000 + i, t, k) for k, own in (("la", latin), ("zh", chinese), ("hr", [late])) for i, t in enumerate(own * 30)]
+    short = spark.createDataFrame([*rows, (1, "", "xx"), (2, "123 --", "xx")], "doc_id long, text string, lang string")
+    assert {len(t) >= 200 for _, t, k in rows if k != "hr"} == {False}
+    for docs in (short, short.unionByName(documents.select("doc_id", "text", "lang"))):
+        model = L.fit(docs)
+        assert {"la", "zh", "hr"} <= set(model) and "xx" not in model
+        compressors = L._compressors(tuple(model.items()), L.LEVEL)
+        for lang, text in (("la", latin[1]), ("zh", chinese[1]), ("hr", late)):
+            assert L.classify(text, compressors)[0::2] == (lang, False)
+    kept = L.identified(short)
+    assert kept.count() == len(rows)
