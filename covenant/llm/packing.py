@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -47,6 +48,29 @@ def _encoder(path: str | None):
     return tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: the regex engine of tiktoken gives up in a run of some 1,000,000 blanks
+LONG_BLANKS = 100_000
+_BLANKS = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # its \s; that of re has \x1c-\x1f too
+
+
+@functools.lru_cache(maxsize=2)
+def _long_run(blanks: int) -> re.Pattern:
+    return re.compile(f"(?<!{_BLANKS}){_BLANKS}{{{blanks}}}{_BLANKS}*")
+
+
+def encode(enc, text: str, blanks: int = LONG_BLANKS) -> list[int]:
+    """The ids of ``text``. A run of ``blanks`` or more is one piece of the
+    pattern, but for its last character where other text follows."""
+    ids, at = [], 0
+    if len(text) >= blanks:
+        for run in _long_run(blanks).finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += enc.encode_ordinary(text[at:run.start()])
+            ids += enc._encode_single_piece(text[run.start():end].encode())
+            at = end
+    return ids + enc.encode_ordinary(text[at:])
+
+
 @functools.lru_cache(maxsize=2)
 def _directions(n_vocab: int, dims: int) -> np.ndarray:
     """For each token id a vector of signs, from a hash of the id."""
@@ -101,7 +125,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
             for part in slices(batch, "text", 1 << 20):
                 points, blocks = [], []
                 for k, (doc, text) in enumerate(zip(pylist(part, "doc_id"), pylist(part, "text"))):
-                    own = np.array(enc.encode_ordinary(text), "<u2")
+                    own = np.array(encode(enc, text), "<u2")
                     points.append(signs[own].mean(0) if len(own) else np.zeros(dims, np.float32))
                     own = np.concatenate([own, end])
                     blocks += [(doc, a, len(own), own[a:a + BLOCK].tobytes(), k) for a in range(0, len(own), BLOCK)]

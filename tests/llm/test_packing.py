@@ -76,3 +76,17 @@ def test_neighbours_on_the_curve_are_alike(documents):
     same = np.mean([lang[a[1]] == lang[b[1]] for a, b in zip(rows, rows[1:])])
     share = np.mean([[x == y for x in lang.values()] for y in lang.values()])
     assert same > share + 0.1
+
+
+def test_long_runs_of_blanks(spark, encode):
+    """Runs that the regex engine of tiktoken fails on."""
+    rows = [(1, " " * 2_000_000, "x"), (2, "a b" + "\n" * 2_000_000 + "c", "x"), (3, " \u3000\t\n" * 300_000 + " \x1c d", "x")]
+    check(spark.createDataFrame(rows, "doc_id long, text string, lang string"), encode)
+
+
+def test_runs_of_blanks_are_cut_as_the_pattern_does(encode):
+    enc = P._encoder(None)
+    runs = [" " * 9, "\n" * 9, " \n" * 5, "\u3000" * 9, "\x1c" * 9, " " * 8 + "\x1c" + " " * 9, "\t" * 4]
+    for run in runs:
+        for text in (run, f"a{run}", f"{run}b", f"a {run}b", f"a{run}. {run}'s{run}漢{run}1", f"{run}<|endoftext|>{run} x"):
+            assert P.encode(enc, text, 5) + [0] == P.encode(enc, text, 1 << 30) + [0] == encode(text)
