@@ -7,7 +7,8 @@ shingles have it. Documents link when their fingerprints differ in at most
 Search: equal fingerprints fold into one first, so groups of copies cost one
 row. Fingerprints that differ in at most d bits agree on one of d + 1 bit
 blocks at least, so each distinct fingerprint goes to one partition per block
-value. There, fingerprints are sorted by Gray rank and grouped
+value. A bucket with too many is dealt again by the bits that vary in it.
+There, fingerprints are sorted by Gray rank and grouped
 level by level; a node keeps the bits that all its members share, a child only
 those that its parent does not have. A search adds up differences on the way
 down and drops a whole group once they exceed ``max_bits``. No pair that links
@@ -33,7 +34,10 @@ from .common import id_or_null, long_id, on_workers, pylist, salted_left_join, s
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 FANOUT = 16
-QUERY_ROWS = 1024
+#: queries of one search step, and about the pairs that it compares
+QUERY_ROWS, PAIRS = 1024, 1 << 20
+#: fingerprints of a bucket that one task searches at once; a larger one is dealt again
+HOT = 1 << 14
 
 
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
@@ -140,53 +144,93 @@ class _Forest:
         return True
 
 
-def forest(codes: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
-    """Places of linked codes, one link per join of two groups."""
+def forest(codes: np.ndarray, max_bits: int, pairs: int = PAIRS) -> Iterator[tuple[int, int]]:
+    """Places of linked codes, one link per join of two groups. A step of the
+    search compares about ``pairs`` pairs at most."""
     if len(codes) < 2:
         return
     index, groups = GrayIndex(codes), _Forest(len(codes))
-    for a in range(0, len(codes), QUERY_ROWS):
-        q, hit = index.search(index.codes[a:a + QUERY_ROWS], max_bits)
+    step = max(1, min(QUERY_ROWS, pairs // len(codes)))
+    for a in range(0, len(codes), step):
+        q, hit = index.search(index.codes[a:a + step], max_bits)
         q = q + a
         later = hit > q
         if not later.any():
             continue
         q, hit = q[later], hit[later]
         # of a row's links into one group, the first joins them all
-        group = np.fromiter(map(groups.find, range(len(codes))), np.int64, len(codes))
-        _, first = np.unique(q * len(codes) + group[hit], return_index=True)
+        seen, at = np.unique(hit, return_inverse=True)
+        group = np.fromiter(map(groups.find, seen.tolist()), np.int64, len(seen))
+        _, first = np.unique(q * len(codes) + group[at], return_index=True)
         for i, j in zip(q[first].tolist(), hit[first].tolist()):
             if groups.join(i, j):
                 yield int(index.order[i]), int(index.order[j])
 
 
-def block_masks(max_bits: int) -> list[int]:
-    cuts = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+def block_masks(max_bits: int, fixed: int = 0) -> list[int]:
+    """The bits outside ``fixed`` in ``max_bits`` + 1 blocks, each with ``fixed``."""
+    free = [1 << b for b in range(64) if not fixed >> b & 1]
+    cuts = [len(free) * i // (max_bits + 1) for i in range(max_bits + 2)]
+    return [fixed | sum(free[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (u, v), u < v, between the ``node`` values of rows (fp, node)
-    that hold each fingerprint once: a spanning forest of each partition."""
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(max_bits)]
-    keyed = distinct.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("block", "value"))
-    dealt = keyed.repartition("block", "value").sortWithinPartitions("block", "value")
+def _signed(masks: list[int]) -> list[int]:
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def buckets(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+    """(fp, mask, value): fingerprints that agree in the bits of ``mask``.
+    Any two within ``max_bits`` share a bucket. A bucket of over ``hot`` is
+    dealt again, by blocks of the bits that vary in it: what links in it
+    agrees on one of these blocks too. One that varies in ``max_bits`` bits
+    or fewer stays, and has 2 ** ``max_bits`` fingerprints at most."""
+    rows = fps.select("fp", F.explode(F.array(*map(F.lit, _signed(block_masks(max_bits))))).alias("mask"))
+    done = None
+
+    def split(batches):
+        for batch in batches:
+            blocks = [_signed(block_masks(max_bits, ~v & (1 << 64) - 1)) for v in pylist(batch, "varying")]
+            yield pa.RecordBatch.from_arrays([batch.column("mask"), batch.column("value"), pa.array(blocks, pa.list_(pa.int64()))], names=["mask", "value", "blocks"])
+
+    while True:
+        level = staged(rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))), "buckets")
+        large = level.groupBy("mask", "value").agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying"))
+        large = large.filter((F.col("n") > hot) & (F.bit_count("varying") > max_bits)).select("mask", "value", "varying")
+        large = staged(on_workers(large, split, "mask long, value long, blocks array<long>"), "large")
+        if large.isEmpty():
+            return level if done is None else done.unionAll(level)
+        dealt = staged(salted_left_join(level, large, ["mask", "value"], F.col("fp")), "dealt")
+        small = dealt.filter("blocks IS NULL").select("fp", "mask", "value")
+        done = small if done is None else done.unionAll(small)
+        rows = dealt.filter("blocks IS NOT NULL").select("fp", F.explode("blocks").alias("mask")).distinct()
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+    """Links (u, v), u < v, between the fingerprints ``fp``, each there once:
+    a spanning forest of each bucket."""
+    dealt = buckets(fps, max_bits, hot).repartition("mask", "value").sortWithinPartitions("mask", "value")
 
     def run(batches):
-        key, fps, nodes = None, [], []
+        key, held = None, []
 
         def flush():
-            out = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in forest(np.array(fps, np.int64).view(np.uint64), max_bits)]
-            return [x for x in out if x[0] != x[1]]
+            codes = np.concatenate(held) if held else np.array([], np.int64)
+            if len(codes) < 2:
+                return []
+            codes = np.unique(codes)
+            return [tuple(sorted((int(codes[i]), int(codes[j])))) for i, j in forest(codes.view(np.uint64), max_bits)]
 
         for batch in batches:
             found = []
-            for b, v, fp, node in zip(*(pylist(batch, c) for c in ("block", "value", "fp", "node"))):
-                if key != (b, v):
+            mask, value, fp = (batch.column(c).to_numpy() for c in ("mask", "value", "fp"))
+            cuts = [0, *(np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1).tolist(), len(fp)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if key != (mask[a], value[a]):
                     found += flush()
-                    key, fps, nodes = (b, v), [], []
-                fps.append(fp)
-                nodes.append(node)
+                    key, held = (mask[a], value[a]), []
+                held.append(fp[a:b].copy())
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
         if found := flush():
@@ -231,7 +275,7 @@ def grouped(rows: DataFrame, value: Column, max_bits: int = MAX_BITS) -> DataFra
     """(fp, component, least): each fingerprint of ``rows`` once, its
     component's smallest fingerprint, and the least ``value`` of its own rows."""
     distinct = staged(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(value).alias("least")), "distinct")
-    found = components(links(distinct.select("fp", F.col("fp").alias("node")), max_bits)).withColumnRenamed("node", "fp")
+    found = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
 
 

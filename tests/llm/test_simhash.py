@@ -107,3 +107,50 @@ def test_null_and_repeated_identifiers_link_nothing(spark):
     assert got(H.near_duplicates(docs)) == exp
     kept = [(label[t], t) for t in texts]
     assert got(H.representatives(docs)) == sorted(kept, key=str)
+
+
+def template_codes(n):
+    """Distinct codes of one template: 26 bits vary, some of them seldom."""
+    rng = np.random.default_rng(4)
+    at, odds = rng.permutation(64)[:26], np.r_[np.full(16, 0.5), np.full(10, 0.03)]
+    flips = (rng.random((n, 26)) < odds) @ (np.uint64(1) << at.astype(np.uint64)).astype(object)
+    return np.unique(np.array([0x5A5A_1234_DEAD_BEEF ^ int(x) for x in flips], np.uint64))
+
+
+def test_hot_buckets_are_dealt_again(spark):
+    codes = template_codes(3000)
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 4
+    fps = spark.createDataFrame([(x,) for x in codes.view(np.int64).tolist()], "fp long")
+    for hot in (H.HOT, 200):
+        rows = H.buckets(fps, 4, hot).toPandas()
+        assert rows.groupby(["mask", "value"]).size().max() <= hot
+        place = {int(x): i for i, x in enumerate(codes.view(np.int64).tolist())}
+        met = np.zeros_like(near)
+        for _, own in rows.groupby(["mask", "value"])["fp"]:
+            i = [place[x] for x in own]
+            met[np.ix_(i, i)] = True
+        assert (met | ~near).all()
+    found = [{r["node"]: r["component"] for r in H.components(H.links(fps, 4, hot)).collect()} for hot in (H.HOT, 200)]
+    assert found[0] == found[1]
+    group = np.arange(len(codes))
+    while (group != (least := np.array([group[row].min() for row in near]))).any():
+        group = least
+    own = codes.view(np.int64).tolist()
+    pairs = [(found[1].get(own[i], own[i]), g) for i, g in enumerate(group.tolist())]
+    assert len(set(pairs)) == len(set(a for a, _ in pairs)) == len(set(b for _, b in pairs))
+
+
+def test_search_steps_are_bounded():
+    codes = template_codes(3000)
+
+    class Watched(H.GrayIndex):
+        def search(self, queries, max_bits):
+            assert len(queries) * len(self.codes) <= 1 << 16
+            return super().search(queries, max_bits)
+
+    plain, H.GrayIndex = H.GrayIndex, Watched
+    try:
+        steps = list(H.forest(codes, 4, 1 << 16))
+    finally:
+        H.GrayIndex = plain
+    assert len(steps) == len(list(H.forest(codes, 4)))
