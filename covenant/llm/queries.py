@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lang_id, licenses, mixing, packing, pii, simhash, suffix_dedup, topk_search, warc
+from . import ann_search, exact_dedup, lang_id, licenses, mixing, packing, pii, simhash, suffix_dedup, topk_search, warc
 from .common import table
 
 
@@ -52,6 +52,11 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op13_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann_search.usable(table(spark, sf_dir, "embeddings"))
+    return ann_search.search(rows, rows.filter("id % 50 = 0"), 5)
+
+
 QUERIES = {
     "op1_pii_spans": op1_pii_spans,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -63,6 +68,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_curve_packing": op10_curve_packing,
+    "op13_learned_ann": op13_learned_ann,
 }
 
 #: for the queries that SQL can express; tests hold the others against brute force
