@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, exact_dedup, lang_id, licenses, mixing, packing, pii, simhash, suffix_dedup, topk_search, warc
+from . import ann_search, exact_dedup, lang_id, licenses, mixing, packing, pii, prefix_trie, simhash, suffix_dedup, topk_search, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ann_search.usable(table(spark, sf_dir, "embeddings"))
     return ann_search.search(rows, rows.filter("id % 50 = 0"), 5)
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_curve_packing": op10_curve_packing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_learned_ann": op13_learned_ann,
 }
 
