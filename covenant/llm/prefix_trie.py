@@ -205,6 +205,7 @@ def prefix_trie(conversations: DataFrame, seed: int = 0) -> DataFrame:
     children = nodes.filter("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("f1"), F.col("p2").alias("f2")).agg(F.count(F.lit(1)).alias("n_children"))
     known = nodes.join(children, _KEY, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))) \
                  .withColumn("worth", (F.col("n_convs") - 1) * F.col("len")).drop("torn", "shared", "h1", "h2", "len")
+    known = staged(known, "trie-known")
     # along the nodes that a conversation owns, from the lowest up
     summed = running(known, "conv", [-F.col("depth")], lambda row: (row["worth"],), (0,), lambda x, y: (x[0] + y[0],), ("below",), ("worth",), "trie-sums")
     owners = summed.groupBy("conv").agg(F.min("depth").alias("top"), F.sum("worth").alias("all"), F.max((F.col("n_children") == 0).cast("long")).alias("leaf"))

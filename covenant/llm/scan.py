@@ -27,11 +27,12 @@ def running(rows: DataFrame, group: str, order: Sequence, element: Callable[[dic
     given ``order`` (column expressions over ``rows``; ties are in any order that
     a retry keeps). ``element`` is given the columns ``reads`` of a row; ``times``
     has to be associative with ``unit`` as its neutral element. ``group`` is a
-    non-null column. The result is a written table."""
+    non-null column. ``rows`` is read twice (its range is sampled first). The
+    result is a written table."""
     keep = rows.columns
     keyed = rows.select("*", *[c.alias(f"_scan_k{i}") for i, c in enumerate(order)])
     by = [group, *[f"_scan_k{i}" for i in range(len(order))]]
-    dealt = staged(keyed, f"{name}-keyed").repartitionByRange(*by).sortWithinPartitions(*by).select(*keep)
+    dealt = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select(*keep)
     local = T.StructType([*dealt.schema.fields, *[T.StructField(n, T.LongType()) for n in names],
                           T.StructField(_PART, T.IntegerType()), T.StructField(_OPEN, T.BooleanType()), T.StructField(_LAST, T.BooleanType())])
 
