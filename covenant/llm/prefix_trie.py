@@ -15,8 +15,8 @@ suffix's product follows from two stored ones: ``(P(k) - P(h)) / B**h``.
 
 Prefixes are grouped by depth and fingerprint (two hashes of 61 bits). A group is
 one node if its members agree in their parent's fingerprint and in the hash of
-their last turn, and if the turns that their stored references name are equal as
-texts; by induction over the depth the prefixes are equal then. If any group
+their last turn, and if the turns that stored references of that hash name are
+equal as texts; by induction over the depth the prefixes are equal then. If any group
 fails, all is done again with other hashes, so the result is exact.
 
 Sums over subtrees take no rounds: a node's smallest member owns it, the nodes
@@ -127,22 +127,37 @@ def rebuilt_paths(conversations: DataFrame, seed: int) -> DataFrame:
 
 def grouped(paths: DataFrame) -> DataFrame:
     """The nodes: members, smallest member, parent, and whether the members'
-    parents, hashes and references agree."""
+    parents and hashes agree; with them the least turn referred to."""
     told, ref = F.struct("p1", "p2", "h1", "h2", "len"), F.struct("ref_conv", "ref_turn")
     out = paths.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv").alias("conv"), F.min(told).alias("told"), F.max(told).alias("most"),
-                                   F.min(ref).alias("ref"), F.max(ref).alias("last_ref"))
-    return staged(out.select(*_KEY, "n_convs", "conv", "told.*", "ref.*", (F.col("told") != F.col("most")).alias("torn"), (F.col("ref") != F.col("last_ref")).alias("shared")), "trie-nodes")
+                                   F.min(ref).alias("ref"))
+    return staged(out.select(*_KEY, "n_convs", "conv", "told.*", "ref.*", (F.col("told") != F.col("most")).alias("torn")), "trie-nodes")
 
 
 def disproved(nodes: DataFrame, conversations: DataFrame, seed: int) -> bool:
     """Whether some node holds unequal prefixes: its members differ in parent
-    or hash, or the turns that its references name differ as texts."""
+    or hash, or turns of equal hash, to which its references may lead, differ
+    as texts. Turns are sorted by hash and compared with their neighbours; a hash
+    that many turns share spans tasks, whose first and last turns are compared
+    in the end."""
     if not nodes.filter("torn").isEmpty():
         return True
-    same = nodes.filter("shared and depth > 0").select("h1", "h2").distinct()
+    said = turns(conversations, seed).select("h1", "h2", F.xxhash64("conv", "turn").alias("x"), "role", "text")
+    dealt = said.repartitionByRange("h1", "h2", "x").sortWithinPartitions("h1", "h2").drop("x")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        differ = False
+        for batch in batches:
+            for row in zip(*(pylist(batch, c) for c in ("h1", "h2", "role", "text"))):
+                differ |= last is not None and last[:2] == row[:2] and last != row
+                first, last = first or row, row
+        if first:
+            yield pa.RecordBatch.from_pylist([dict(zip(("h1", "h2", "role", "text", "differ"), (*row, differ))) for row in (first, last)])
+
+    ends = staged(on_workers(dealt, compared, "h1 long, h2 long, role string, text string, differ boolean"), "trie-compared")
     text = F.struct("role", "text")
-    unequal = turns(conversations, seed).join(same, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg((F.min(text) != F.max(text)).alias("differ"))
-    return not unequal.filter("differ").isEmpty()
+    return not ends.groupBy("h1", "h2").agg((F.max("differ") | (F.min(text) != F.max(text))).alias("differ")).filter("differ").isEmpty()
 
 
 def ends_hashes(paths: DataFrame) -> DataFrame:
@@ -204,7 +219,7 @@ def prefix_trie(conversations: DataFrame, seed: int = 0) -> DataFrame:
         return prefix_trie(conversations, seed + 1)
     children = nodes.filter("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("f1"), F.col("p2").alias("f2")).agg(F.count(F.lit(1)).alias("n_children"))
     known = nodes.join(children, _KEY, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))) \
-                 .withColumn("worth", (F.col("n_convs") - 1) * F.col("len")).drop("torn", "shared", "h1", "h2", "len")
+                 .withColumn("worth", (F.col("n_convs") - 1) * F.col("len")).drop("torn", "h1", "h2", "len")
     known = staged(known, "trie-known")
     # along the nodes that a conversation owns, from the lowest up
     summed = running(known, "conv", [-F.col("depth")], lambda row: (row["worth"],), (0,), lambda x, y: (x[0] + y[0],), ("below",), ("worth",), "trie-sums")
