@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, exact_dedup, lang_id, licenses, mixing, packing, pii, prefix_trie, simhash, suffix_dedup, topk_search, warc
+from . import ann_search, exact_dedup, lang_id, licenses, mixing, packing, pii, prefix_trie, role_repair, simhash, suffix_dedup, topk_search, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op11_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_curve_packing": op10_curve_packing,
+    "op11_role_repair": op11_role_repair,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_learned_ann": op13_learned_ann,
 }
