@@ -225,7 +225,8 @@ def row_predicate_failures(df: DataFrame, spec: CheckSpec) -> Column | None:
     return None
 
 
-def _rule_error(spark: SparkSession, df: DataFrame, spec: CheckSpec) -> str | None:
+def _rule_error(spark: SparkSession, df: DataFrame, spec: CheckSpec, tables: TableSet | None = None,
+                schema: str = "public") -> str | None:
     """GOV3 at rule level: compile a regex pattern, convert a bound, look at the
     type of a freshness column, analyse a custom expression or query, all
     on the driver (no job runs); a rule that does not pass becomes one
@@ -247,9 +248,11 @@ def _rule_error(spark: SparkSession, df: DataFrame, spec: CheckSpec) -> str | No
         return None
     try:
         if "sql" in spec.params:
-            run_rule_query(spark, df, spec.params["sql"]).schema
+            run_rule_query(spark, df, spec.params["sql"], tables, schema).schema
         elif "expression" in spec.params:
             df.select(F.expr(spec.params["expression"]).cast("boolean")).schema
+    except RuleError as exc:
+        return str(exc)
     except Exception as exc:  # noqa: BLE001 - analysis errors become ERROR rows
         return f"custom_sql does not analyse: {str(exc).splitlines()[0]}"
     return None
@@ -348,71 +351,142 @@ def _fused(df: DataFrame, specs: list[CheckSpec], plan: list[CheckSpec], table:
 def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Key values occurring more than once (rows with a NULL key part are
     left out) with their row counts."""
-    keyed = df.select(*columns)
-    for c in columns:
-        keyed = keyed.filter(F.col(c).isNotNull())
-    return keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
+    return key_counts(df, columns).filter(F.col("n_rows") > 1)
 
 
-def unique_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """RUL2 one-row summary: duplicate key values and the rows they cover."""
-    return duplicate_keys(df, columns).agg(
+def duplicates_of(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One-row summary of key counts: duplicate key values and the rows they cover."""
+    return counts.filter(F.col("n_rows") > 1).agg(
         F.count(F.lit(1)).alias("duplicate_keys"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
+def unique_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """RUL2 one-row summary: duplicate key values and the rows they cover."""
+    return duplicates_of(key_counts(df, columns), columns)
+
+
 def orphan_keys(df: DataFrame, column: str, ref: DataFrame, ref_column: str) -> DataFrame:
     """JOIN4: non-null foreign keys absent from the reference, with the number
     of referencing rows. Foreign keys are pre-aggregated (partial aggregation
     collapses hot keys before the shuffle) and reference keys de-duplicated,
     so the anti-join sees each key at most once per side; AQE picks a
-    broadcast only when the measured reference side is small."""
-    fk = (df.select(F.col(column).alias("__fk")).filter(F.col("__fk").isNotNull())
-          .groupBy("__fk").agg(F.count(F.lit(1)).alias("n_rows")))
-    # reference keys in the foreign key's type; a value that cannot convert
-    # matches nothing (no implicit cast that could fail the job under ANSI)
-    fk_type = _field(df, column).dataType
-    rk = (ref.select(F.col(ref_column).try_cast(fk_type).alias("__fk"))
-             .filter(F.col("__fk").isNotNull()).distinct())
-    return fk.join(rk, "__fk", "left_anti").withColumnRenamed("__fk", column)
-
-
-def orphan_summary(df: DataFrame, column: str, ref: DataFrame, ref_column: str) -> DataFrame:
-    return orphan_keys(df, column, ref, ref_column).agg(
+    broadcast only when the measured reference side is small. Keys of different
+    types are compared in one that holds both (``comparable``)."""
+    return orphans_of(key_counts(df, [column]), column, ref, ref_column)
+
+
+def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Non-null key values with their number of rows; hot keys collapse before the shuffle."""
+    return df.select(*columns).dropna("any").groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def orphans_of(counts: DataFrame, column: str, ref: DataFrame, ref_column: str) -> DataFrame:
+    """Keys of ``counts`` (key, n_rows) that the reference lacks."""
+    of_key, of_ref = comparable(_field(counts, column).dataType, _field(ref, ref_column).dataType)
+    fk = counts.select(column, "n_rows", of_key(F.col(column)).alias("__k"))
+    rk = ref.select(of_ref(F.col(ref_column)).alias("__k")).filter(F.col("__k").isNotNull()).distinct()
+    return fk.join(rk, "__k", "left_anti").select(column, "n_rows")
+
+
+_EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
+_BINARY = (T.FloatType, T.DoubleType)
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+_TEXTS = (T.StringType, T.VarcharType, T.CharType)
+
+
+def comparable(key: T.DataType, ref: T.DataType):
+    """Expressions that bring a foreign and a reference key to one type without
+    changing a value: no fraction is cut off, no time of day, no digit of a
+    large number. A value that the type cannot hold becomes null, which matches
+    nothing; nothing fails under ANSI."""
+    def cast(kind):
+        return lambda c: c.try_cast(kind)
+
+    def same(c):
+        return c
+
+    if key == ref:
+        return same, same
+    if isinstance(key, _NUMERIC) and isinstance(ref, _NUMERIC):
+        if isinstance(key, _BINARY) and isinstance(ref, _BINARY):
+            return cast("double"), cast("double")
+        scale = max((t.scale for t in (key, ref) if isinstance(t, T.DecimalType)), default=0)
+        kind = f"decimal(38,{scale})"
+
+        def exact(c):  # a binary fraction that the decimal does not hold is no key of the other side
+            return F.when(c.try_cast(kind).try_cast("double") == c.cast("double"), c.try_cast(kind))
+
+        return tuple(exact if isinstance(t, _BINARY) else cast(kind) for t in (key, ref))
+    if isinstance(key, _TIMES) and isinstance(ref, _TIMES):
+        kind = "timestamp" if T.TimestampType() in (key, ref) else "timestamp_ntz"
+        return cast(kind), cast(kind)
+    if isinstance(key, _NUMERIC) and isinstance(ref, _TEXTS):  # text is read as a number
+        kind = "double" if isinstance(key, _BINARY) else "decimal(38,18)"
+        return cast(kind), cast(kind)
+    if isinstance(key, _TIMES) and isinstance(ref, _TEXTS):
+        kind = "timestamp" if isinstance(key, T.TimestampType) else "timestamp_ntz"
+        return cast(kind), cast(kind)
+    return same, cast(key)
+
+
+def orphan_summary(orphans: DataFrame) -> DataFrame:
+    return orphans.agg(
         F.count(F.lit(1)).alias("orphan_keys"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("orphan_rows"))
 
 
-def _unique_check(df, s, plan, table, schema) -> DataFrame:
-    meta = _row(s, check_name(s, plan))
-    cols = s.column.split(",")
-    summ = unique_summary(df, cols)
+def unique_check(summary: DataFrame, s: CheckSpec, name: str, table: str, schema: str) -> DataFrame:
+    """RUL2's check row from (duplicate_keys, duplicate_rows)."""
     v = F.col("duplicate_keys")
-    return summ.select(_check_struct(
-        meta, table, schema, _status(v > 0, s.severity), F.lit(0), v, v,
+    return summary.select(_check_struct(
+        _row(s, name), table, schema, _status(v > 0, s.severity), F.lit(0), v, v,
         F.format_string(f"unique on {s.column}: %d duplicated values in %d rows",
                         v, F.col("duplicate_rows"))).alias("c")).select("c.*")
 
 
-def _fk_check(df, s, plan, table, schema, tables: TableSet) -> DataFrame:
-    meta = _row(s, check_name(s, plan))
-    ref_name = s.params.get("reference_table")
-    ref_col = s.params.get("reference_column")
-    ref = tables.reference(ref_name, schema)
-    summ = orphan_summary(df, s.column, ref, ref_col)
+def fk_check(orphans: DataFrame, s: CheckSpec, name: str, table: str, schema: str) -> DataFrame:
+    """RUL9's check row from the orphan keys with their rows."""
+    target = f"{s.params.get('reference_table')}.{s.params.get('reference_column')}"
     v = F.col("orphan_rows")
-    return summ.select(_check_struct(
-        meta, table, schema, _status(v > 0, s.severity), F.lit(f"{ref_name}.{ref_col}"),
+    return orphan_summary(orphans).select(_check_struct(
+        _row(s, name), table, schema, _status(v > 0, s.severity), F.lit(target),
         F.col("orphan_keys"), v,
-        F.format_string(f"{s.column} -> {ref_name}.{ref_col}: %d orphan rows, %d keys",
+        F.format_string(f"{s.column} -> {target}: %d orphan rows, %d keys",
                         v, F.col("orphan_keys"))).alias("c")).select("c.*")
 
 
-def run_rule_query(spark: SparkSession, df: DataFrame, sql: str) -> DataFrame:
-    """RUL7 query form: ``{table}`` in the query is the checked DataFrame,
-    passed as a query argument (no global temp view is created or
-    replaced); the query returns the failing rows."""
-    return spark.sql(sql, table=df)
+_PLACE = re.compile(r"\{([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)\}")
+
+
+def bind_query(df: DataFrame, sql: str, tables: TableSet | None, schema: str) -> tuple[str, dict[str, DataFrame]]:
+    """RUL7: a rule's query with each ``{name}`` or ``{schema.name}`` in it
+    bound to a governed table. ``{table}`` is the checked table; a bare name is
+    looked for in the contract's schema, then in ``public``. Braces of any other
+    kind are text. An unknown table is a RuleError."""
+    bound: dict[str, DataFrame] = {}
+    names: dict[str, str] = {}
+    parts = _PLACE.split(sql)
+    for i, part in enumerate(parts):
+        if i % 2 == 0:
+            parts[i] = part.replace("{", "{{").replace("}", "}}")
+            continue
+        if part not in names:
+            found = df if part == "table" else tables.reference(part, schema) if tables is not None else None
+            if found is None:
+                raise RuleError(f"custom_sql names {part}, which is no governed table")
+            names[part] = f"t{len(names)}"
+            bound[names[part]] = found
+        parts[i] = "{" + names[part] + "}"
+    return "".join(parts), bound
+
+
+def run_rule_query(spark: SparkSession, df: DataFrame, sql: str, tables: TableSet | None = None,
+                   schema: str = "public") -> DataFrame:
+    """RUL7 query form: the failing rows. Tables are passed as query arguments
+    (no temporary view is created or replaced)."""
+    text, bound = bind_query(df, sql, tables, schema)
+    return spark.sql(text, **bound) if bound else spark.sql(sql)  # without arguments braces are not read
 
 
 def _fk_unavailable(s: CheckSpec, plan: list[CheckSpec], tables: TableSet | None, schema: str) -> dict | None:
@@ -425,13 +499,12 @@ def _fk_unavailable(s: CheckSpec, plan: list[CheckSpec], tables: TableSet | None
     return None
 
 
-def _custom_query_check(spark, df, s, plan, table, schema) -> DataFrame:
+def query_check(spark, df, s: CheckSpec, name: str, table: str, schema: str, tables: TableSet | None) -> DataFrame:
     """RUL7: any row returned by the rule's query is a failure."""
-    meta = _row(s, check_name(s, plan))
-    failing = run_rule_query(spark, df, s.params["sql"])
+    failing = run_rule_query(spark, df, s.params["sql"], tables, schema)
     v = F.col("n")
     return failing.agg(F.count(F.lit(1)).alias("n")).select(_check_struct(
-        meta, table, schema, _status(v > 0, s.severity), F.lit(0), v, v,
+        _row(s, name), table, schema, _status(v > 0, s.severity), F.lit(0), v, v,
         F.format_string("custom query returned %d failing rows", v)).alias("c")).select("c.*")
 
 
@@ -471,14 +544,22 @@ class Part:
     rows: DataFrame
 
 
-def _parts(spark: SparkSession, df: DataFrame, plan: list[CheckSpec], static: list[dict], table: str,
-           schema: str, tables: TableSet | None, as_of) -> list[Part]:
-    """The data checks of a plan: one aggregate for the row-level rules and
-    freshness, one grouped count per key, one anti-join per foreign key, one
-    job per query. What cannot be judged joins ``static`` as an ERROR row.
-    The plan is the same at every size."""
-    fused: list[CheckSpec] = []
-    parts: list[Part] = []
+@dataclass
+class Split:
+    """A plan's data checks by how they run: in the table's one aggregate, on
+    keys with their counts, or as a query of their own."""
+
+    plan: list[CheckSpec]
+    fused: list[CheckSpec]
+    keyed: list[CheckSpec]
+    whole: list[CheckSpec]
+
+
+def split_plan(spark: SparkSession, df: DataFrame, plan: list[CheckSpec], static: list[dict], schema: str,
+               tables: TableSet | None) -> Split:
+    """The data checks of a plan that can be judged on this table; the others
+    join ``static`` as ERROR rows."""
+    out = Split(plan, [], [], [])
     for s in plan:
         name = check_name(s, plan)
         error = None
@@ -489,24 +570,47 @@ def _parts(spark: SparkSession, df: DataFrame, plan: list[CheckSpec], static: li
         elif s.check_type == "custom_sql" and not {"sql", "expression"} & set(s.params):
             error = "custom_sql needs parameters.expression or parameters.sql"
         else:
-            error = _rule_error(spark, df, s)
+            error = _rule_error(spark, df, s, tables, schema)
         if error:
             static.append({**_row(s, name), "status": "error", "message": error})
         elif s.check_type == "unique":
-            parts.append(Part([s], _unique_check(df, s, plan, table, schema)))
+            out.keyed.append(s)
         elif s.check_type == "referential_integrity":
             if gone := _fk_unavailable(s, plan, tables, schema):
                 static.append(gone)
             else:
-                parts.append(Part([s], _fk_check(df, s, plan, table, schema, tables)))
+                out.keyed.append(s)
         elif s.check_type == "custom_sql" and "sql" in s.params:
-            parts.append(Part([s], _custom_query_check(spark, df, s, plan, table, schema)))
+            out.whole.append(s)
         else:
-            fused.append(s)
-    if fused:
-        parts.insert(0, Part(fused, _fused(df, fused, plan, table, schema, as_of)))
+            out.fused.append(s)
+    return out
+
+
+def static_checks(spark: SparkSession, static: list[dict], table: str, schema: str) -> DataFrame:
+    return _static_rows(spark, [{**r, "table_name": table, "schema_name": schema} for r in static])
+
+
+def _parts(spark: SparkSession, df: DataFrame, plan: list[CheckSpec], static: list[dict], table: str,
+           schema: str, tables: TableSet | None, as_of) -> list[Part]:
+    """The data checks of a plan: one aggregate for the row-level rules and
+    freshness, one grouped count per key, one anti-join per foreign key, one
+    job per query. What cannot be judged joins ``static`` as an ERROR row.
+    The plan is the same at every size."""
+    split = split_plan(spark, df, plan, static, schema, tables)
+    parts: list[Part] = []
     if static:
-        parts.insert(0, Part([], _static_rows(spark, [{**r, "table_name": table, "schema_name": schema} for r in static])))
+        parts.append(Part([], static_checks(spark, static, table, schema)))
+    if split.fused:
+        parts.append(Part(split.fused, _fused(df, split.fused, plan, table, schema, as_of)))
+    for s in split.keyed:
+        if s.check_type == "unique":
+            rows = unique_check(unique_summary(df, s.column.split(",")), s, check_name(s, plan), table, schema)
+        else:
+            ref = tables.reference(s.params["reference_table"], schema)
+            rows = fk_check(orphan_keys(df, s.column, ref, s.params["reference_column"]), s, check_name(s, plan), table, schema)
+        parts.append(Part([s], rows))
+    parts += [Part([s], query_check(spark, df, s, check_name(s, plan), table, schema, tables)) for s in split.whole]
     return parts
 
 
@@ -597,7 +701,7 @@ def violations(df: DataFrame, rule: dict, tables: TableSet | None = None,
         return (df.agg(F.count(F.lit(1)).alias("row_count"))
                   .filter(F.col("row_count") < mc).withColumn("min_count", F.lit(mc).cast("bigint")))
     if t == "custom_sql" and "sql" in spec.params:
-        return run_rule_query(df.sparkSession, df, spec.params["sql"])
+        return run_rule_query(df.sparkSession, df, spec.params["sql"], tables)
     pred = row_predicate_failures(df, spec)
     keep = list(dict.fromkeys(list(key_columns) + ([spec.column] if spec.column else [])))
     return df.filter(pred).select(*keep) if keep else df.filter(pred)
