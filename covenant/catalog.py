@@ -247,7 +247,7 @@ def q_rule_odd_parameters(spark, sf):
 # ------------------------------------------------------------- freshness
 from covenant.operators import freshness as FR  # noqa: E402
 from covenant.operators import results as R  # noqa: E402
-from covenant.sources.tables import read_table, table_exists  # noqa: E402
+from covenant.sources.tables import BASE_TABLES, read_table, table_path  # noqa: E402
 
 FRESH_OUT = ["table_name", "schema_name", "timestamp_column", "last_updated_at",
              "max_delay_minutes", "actual_delay_minutes", "status", "is_within_sla", "message"]
@@ -534,7 +534,7 @@ def q_contract_lint(spark, sf):
 @register("check_plan", O.with_ctes(O.REGISTRY, body=O.PLAN_BODY))
 def q_check_plan(spark, sf):
     return P.plan_many(RG.contracts_from_part(spark, sf)).select(
-        "table_name", "schema_name", "check_type", "column", "params", "severity", "origin", "seq")
+        "table_name", "schema_name", "check_type", "column", "params", "severity", "origin", "seq", "check_name")
 
 
 @register("contract_summary", O.with_ctes(O.REGISTRY, body="""
@@ -933,22 +933,6 @@ def q_contract_directory(spark, sf):
         "table_name", "schema_name", "version", F.size("columns").alias("column_count"), F.size("quality_rules").alias("rule_count"))
 
 
-@register("table_probe", """
-SELECT * FROM (VALUES ('orders', true), ('lineitem', true), ('shipments', false)) AS t(table_name, found)""")
-def q_table_probe(spark, sf):
-    """SRC4/JOIN5: existence of Parquet tables, asked of their file system."""
-    return local_rows(spark, [(t, table_exists(spark, t, sf)) for t in ("orders", "lineitem", "shipments")], "table_name string, found boolean")
-
-
-@register("column_metadata", """
-SELECT * FROM (VALUES (1, 'order_id', 'bigint'), (2, 'customer_id', 'bigint'), (3, 'order_date', 'timestamp_ntz'),
-  (4, 'total_amount', 'decimal'), (5, 'status', 'string'), (6, 'created_at', 'timestamp_ntz'), (7, 'updated_at', 'timestamp_ntz'),
-  (8, 'version', 'int')) AS t(ordinal_position, column_name, data_type)""")
-def q_column_metadata(spark, sf):
-    """SRC5 from a table's own schema."""
-    return RG.column_metadata(spark, FX.raw_orders(spark, sf), "orders").select("ordinal_position", "column_name", "data_type")
-
-
 @register("materialised_summary", O.with_ctes(
     O.RAW_ORDERS, O.RAW_CUSTOMERS, O.STG_ORDERS, O.STG_CUSTOMERS, O.FCT_ORDER_SUMMARY,
     body="SELECT country, count(*) AS customers, CAST(sum(total_orders) AS BIGINT) AS orders FROM fct_order_summary GROUP BY country"))
@@ -987,3 +971,247 @@ SELECT table_name, schema_name, check_name, check_type, "column", status, severi
 FROM all_checks"""))
 def q_run_payload_checks(spark, sf):
     return G.payload_checks(_pipeline(spark, sf)["runs"]).drop("run_id")
+
+
+# ------------------------------------------------------------ keys, columns, queries
+
+_FRACTIONAL = "customer_id + CASE WHEN customer_id % 3 = 0 THEN 0.6 ELSE 0 END"
+
+
+def _fractional_references(spark, sf) -> TableSet:
+    """Customers whose every third key has a fraction, as double, decimal and text."""
+    key = FX.raw_customers(spark, sf).select((F.col("customer_id") + F.when(F.col("customer_id") % 3 == 0, F.lit(0.6)).otherwise(F.lit(0))).alias("k"))
+    return TableSet({"by_double": key.select(F.col("k").cast("double").alias("customer_id")),
+                     "by_decimal": key.select(F.col("k").cast("decimal(20,2)").alias("customer_id")),
+                     "by_text": key.select(F.col("k").cast("string").alias("customer_id"))})
+
+
+@register("rule_fk_key_types", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, body="""
+, gone AS (SELECT customer_id, count(*) AS n FROM raw_orders o WHERE customer_id IS NOT NULL AND NOT EXISTS
+             (SELECT 1 FROM raw_customers c WHERE c.customer_id = o.customer_id AND c.customer_id % 3 <> 0) GROUP BY customer_id)
+SELECT r.t AS expected_value, CAST((SELECT sum(n) FROM gone) AS BIGINT) AS violations, CAST((SELECT count(*) FROM gone) AS VARCHAR) AS actual_value
+FROM (VALUES ('by_double.customer_id'), ('by_decimal.customer_id'), ('by_text.customer_id')) AS r(t)"""))
+def q_rule_fk_key_types(spark, sf):
+    """JOIN4/RUL9: 3.6 is no match for 3, whatever the type that holds it."""
+    rules = [{"rule_type": "referential_integrity", "column": "customer_id", "parameters": {"reference_table": t, "reference_column": "customer_id"}}
+             for t in ("by_double", "by_decimal", "by_text")]
+    out = C.evaluate_rules(spark, FX.raw_orders(spark, sf), "orders", rules, _fractional_references(spark, sf))
+    return out.select("expected_value", "violations", "actual_value")
+
+
+@register("contract_upsert_columns", O.with_ctes(O.REGISTRY, body=f"""
+, cur AS (SELECT table_name, schema_name, owner, concat('kept for ', table_name) AS note FROM reg_top
+          UNION ALL SELECT concat('n_', lower(n_name)), 'legacy', 'archive', 'old' FROM nation),
+inc AS (SELECT table_name, schema_name, concat(owner, '!') AS owner, 'data' AS team FROM reg_top
+        UNION ALL SELECT concat('s_', CAST(s_suppkey AS VARCHAR)), 'staging', s_name, 'supply' FROM supplier)
+SELECT coalesce(i.table_name, c.table_name) AS table_name, coalesce(i.schema_name, c.schema_name) AS schema_name,
+       CASE WHEN i.table_name IS NOT NULL THEN i.owner ELSE c.owner END AS owner, c.note, i.team,
+       CASE WHEN i.table_name IS NOT NULL AND c.table_name IS NOT NULL THEN 'updated'
+            WHEN i.table_name IS NOT NULL THEN 'inserted' ELSE 'kept' END AS action
+FROM cur c FULL OUTER JOIN inc i ON c.table_name = i.table_name AND c.schema_name = i.schema_name"""))
+def q_contract_upsert_columns(spark, sf):
+    """SINK1: the store has a column that the batch lacks, and the other way round."""
+    reg = RG.contracts_from_part(spark, sf).select("table_name", "schema_name", "owner")
+    cur = reg.withColumn("note", F.concat(F.lit("kept for "), "table_name")).unionByName(
+        _legacy(spark, sf).select("table_name", "schema_name", "owner", F.lit("old").alias("note")))
+    inc = reg.withColumn("owner", F.concat("owner", F.lit("!"))).withColumn("team", F.lit("data")).unionByName(
+        _new_from_supplier(spark, sf).select("table_name", "schema_name", "owner", F.lit("supply").alias("team")))
+    return RG.upsert(cur, inc, AS_OF).select("table_name", "schema_name", "owner", "note", "team", "action")
+
+
+@register("registry_two_writers", O.with_ctes(O.REGISTRY, body="""
+SELECT table_name, schema_name, owner, '1.10.0' AS version FROM reg_top
+UNION ALL SELECT concat('n_', lower(n_name)), 'legacy', 'archive', '0.9.0' FROM nation
+UNION ALL SELECT concat('s_', CAST(s_suppkey AS VARCHAR)), 'staging', s_name, '1.0.0' FROM supplier"""))
+def q_registry_two_writers(spark, sf):
+    """SINK1/SINK4: a writer commits while another makes its version; the
+    second one's commit fails, it goes again on the new version, and both stay."""
+    root = PL.new_folder(spark)
+    reg = RG.contracts_from_part(spark, sf).select("table_name", "schema_name", "owner", "version")
+    RG.change_snapshot(spark, root, lambda _: RG.upsert(reg.limit(0), reg.unionByName(_legacy(spark, sf)), T0).drop("action"))
+    seen = []
+
+    def slow(stored):
+        if not seen:  # the other writer is quicker, once
+            RG.change_snapshot(spark, root, lambda now: RG.upsert(now, _new_from_supplier(spark, sf), AS_OF).drop("action"))
+        seen.append(1)
+        return RG.upsert(stored, reg.withColumn("version", F.lit("1.10.0")), AS_OF).drop("action")
+
+    RG.change_snapshot(spark, root, slow)
+    return RG.read_snapshot(spark, root).select("table_name", "schema_name", "owner", "version")
+
+
+_TABLE_QUERIES = [
+    "SELECT o.order_id FROM {table} o JOIN {sales.customers} c ON o.customer_id = c.customer_id WHERE o.order_date < c.created_at",
+    "SELECT c.customer_id FROM {sales.customers} c LEFT ANTI JOIN {table} o ON o.customer_id = c.customer_id",
+    "SELECT e.event_id FROM {events} e LEFT ANTI JOIN {sales.customers} c ON e.user_id = c.customer_id WHERE e.props <> '{\"k\": 1}'",
+    "SELECT 1 FROM {table} t JOIN {warehouse.stock} s ON t.order_id = s.order_id",
+]
+
+
+@register("rule_custom_sql_tables", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, body="""
+SELECT 1 AS seq, CAST(count(*) AS BIGINT) AS violations, CASE WHEN count(*) > 0 THEN 'failed' ELSE 'passed' END AS status,
+       concat('custom query returned ', count(*), ' failing rows') AS message
+FROM raw_orders o JOIN raw_customers c ON o.customer_id = c.customer_id WHERE o.order_date < c.created_at
+UNION ALL SELECT 2, count(*), CASE WHEN count(*) > 0 THEN 'failed' ELSE 'passed' END, concat('custom query returned ', count(*), ' failing rows')
+FROM raw_customers c WHERE NOT EXISTS (SELECT 1 FROM raw_orders o WHERE o.customer_id = c.customer_id)
+UNION ALL SELECT 3, count(*), CASE WHEN count(*) > 0 THEN 'failed' ELSE 'passed' END, concat('custom query returned ', count(*), ' failing rows')
+FROM events e WHERE props <> '{"k": 1}' AND NOT EXISTS (SELECT 1 FROM raw_customers c WHERE c.customer_id = e.user_id)
+UNION ALL SELECT 4, NULL, 'error', 'custom_sql names warehouse.stock, which is no governed table'"""))
+def q_rule_custom_sql_tables(spark, sf):
+    """RUL7 over several governed tables, by schema and name; an unknown one is one ERROR check."""
+    tables = TableSet({"sales.customers": FX.raw_customers(spark, sf), "events": read_table(spark, sf, "events")})
+    rules = [{"rule_type": "custom_sql", "parameters": {"sql": q}} for q in _TABLE_QUERIES]
+    return C.evaluate_rules(spark, FX.raw_orders(spark, sf), "orders", rules, tables).select("seq", "violations", "status", "message")
+
+
+@register("metrics_capture_if_none", f"SELECT *, CAST(1 AS BIGINT) AS captures FROM ({ORACLE_SQL['governance_snapshot']})")
+def q_metrics_capture_if_none(spark, sf):
+    """TOP3: asked twice of an empty metrics folder; the first captures."""
+    from covenant.plans.workspace import Workspace
+    ws = Workspace(spark, PL.new_folder(spark), inventory=RG.inventory_from_data(spark, sf))
+    RG.commit_snapshot(RG.contracts_from_part(spark, sf), ws.registry_root)
+    _log(spark, sf).withColumn("run_date", F.to_date("executed_at")).write.partitionBy("run_date").parquet(ws.log_path)
+    ws.current_metrics(AS_OF)
+    return ws.current_metrics(AS_OF).withColumn("captures", F.lit(ws._metrics().count()))
+
+
+# ------------------------------------------------------------ new data only, footers, quarantine
+from covenant.operators import quarantine as QU  # noqa: E402
+from covenant.plans.incremental import IncrementalChecks  # noqa: E402
+from covenant.sources import footers as FT  # noqa: E402
+from covenant.streaming import stateful as SS  # noqa: E402
+
+
+@register("incremental_checks", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, body=f"""
+SELECT *, CAST(1 AS BIGINT) AS files_read FROM ({O.contract_oracle("orders", AS_OF)})"""))
+def q_incremental_checks(spark, sf):
+    """RUL1-9/GOV11 on new data only: a first run reads the first versions of
+    all orders; the second reads the one file that came since, and its checks
+    are those of the whole table."""
+    orders, folder = FX.raw_orders(spark, sf), PL.new_folder(spark)
+    run = IncrementalChecks(spark, sample_contract("orders"), folder, PL.new_folder(spark), governed(spark, sf))
+    orders.filter("version = 1").write.parquet(folder)
+    run.run(AS_OF)
+    orders.filter("version <> 1").coalesce(1).write.mode("append").parquet(folder)
+    second = run.run(AS_OF)
+    return second.checks.select(*CHECK_OUT).withColumn("files_read", F.lit(second.files_read).cast("long"))
+
+
+@register("freshness_from_statistics", O.with_ctes(O.RAW_ORDERS, body="SELECT *, CAST(0 AS BIGINT) AS files_scanned FROM (" + "\nUNION ALL\n".join([
+    _fresh_sql("raw_orders", "updated_at", 720, "orders"), _fresh_sql("events", "ts", 10080, "events"),
+    _fresh_sql("lineitem", "l_shipdate", 1440, "lineitem")]) + ")"))
+def q_freshness_from_statistics(spark, sf):
+    """AGG3/CHK3 from Parquet footers: no file is scanned."""
+    folder = PL.new_folder(spark)
+    FX.raw_orders(spark, sf).write.parquet(folder)
+    items = [(folder, sample_contract("orders"))] + [
+        (table_path(sf, t), {"table_name": t, "columns": [{"name": c}], "freshness": {"timestamp_column": c, "max_delay_minutes": m}})
+        for t, c, m in (("events", "ts", 10080), ("lineitem", "l_shipdate", 1440))]
+    parts = [FT.freshness_from_footers(spark, path, c, AS_OF).select(*FRESH_OUT, "files_scanned") for path, c in items]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _given(spark, sf):
+    """The given tables and two that do not exist, with their paths."""
+    return local_rows(spark, [("main", t, table_path(sf, t)) for t in (*BASE_TABLES, "shipments", "stock")], "table_schema string, table_name string, path string")
+
+
+@register("catalog_scan", O.with_ctes(O.GIVEN_COLUMNS, body="""
+SELECT table_schema, table_name, true AS found, ordinal_position, column_name, data_type FROM given_cols
+UNION ALL SELECT 'main', t, false, NULL, NULL, NULL FROM (VALUES ('shipments'), ('stock')) AS v(t)"""))
+def q_catalog_scan(spark, sf):
+    """SRC4/SRC5: existence and columns of all tables of a registry from their footers."""
+    return FT.catalog_scan(spark, _given(spark, sf)).select("table_schema", "table_name", "found", "ordinal_position", "column_name", "data_type")
+
+
+#: (table, columns with their contract types) of the given tables; some do not hold
+_GIVEN_CONTRACTS = {
+    "orders": [("o_orderkey", "integer"), ("o_totalprice", "decimal"), ("o_orderdate", "timestamp"), ("o_clerk", "string")],
+    "events": [("event_id", "integer"), ("ts", "timestamp"), ("event_type", "string"), ("value", "float")],
+    "documents": [("doc_id", "integer"), ("text", "text"), ("lang", "uuid")],
+    "shipments": [("shipped_at", "timestamp")],
+}
+
+
+@register("catalog_contract_checks", O.with_ctes(O.REGISTRY, O.CATALOG, O.GIVEN_COLUMNS, body="""
+, exp(table_name, "column", contract_type) AS (VALUES """ + ", ".join(f"('{t}', '{c}', '{k}')" for t, cs in _GIVEN_CONTRACTS.items() for c, k in cs) + """),
+j AS (SELECT e.*, g.data_type FROM exp e LEFT JOIN given_cols g ON g.table_name = e.table_name AND g.column_name = e."column" WHERE e.table_name <> 'shipments')
+SELECT 'shipments' AS table_name, 'main' AS schema_name, 'table_exists' AS check_type, NULL AS "column", 'failed' AS status, NULL AS expected_value, NULL AS actual_value
+UNION ALL SELECT table_name, 'main', 'column_exists', "column", CASE WHEN data_type IS NULL THEN 'failed' ELSE 'passed' END, NULL, NULL FROM j
+UNION ALL SELECT table_name, 'main', 'column_type', "column",
+  CASE WHEN EXISTS (SELECT 1 FROM accepted a WHERE a.contract_type = j.contract_type AND a.data_type = j.data_type) THEN 'passed' ELSE 'failed' END,
+  contract_type, data_type FROM j WHERE data_type IS NOT NULL"""))
+def q_catalog_contract_checks(spark, sf):
+    """CHK1/CHK2/CHK5/SRC6: contracts against the catalog that the footers give."""
+    docs = [{"table_name": t, "schema_name": "main", "columns": [{"name": c, "type": k} for c, k in cs]} for t, cs in _GIVEN_CONTRACTS.items()]
+    scan = RG.materialise(FT.catalog_scan(spark, _given(spark, sf)), PL.new_folder(spark))
+    return RG.schema_checks_many(spark, contracts_df(spark, docs), scan.filter("found"), scan.filter("found"))
+
+
+_ORDER_RULES = [RULES[n][1] for n in ("not_null", "unique", "accepted_values", "min_value", "max_value", "custom_sql", "referential_integrity")]
+_BROKEN = """
+marked AS (
+  SELECT o.*, concat_ws(',', CASE WHEN order_id IS NULL THEN 'not_null_order_id' END,
+    CASE WHEN order_id IN (SELECT order_id FROM raw_orders WHERE order_id IS NOT NULL GROUP BY order_id HAVING count(*) > 1) THEN 'unique_order_id' END,
+    CASE WHEN status NOT IN ('cancelled', 'completed', 'pending', 'refunded') THEN 'accepted_values_status' END,
+    CASE WHEN total_amount < 0 THEN 'min_value_total_amount' END, CASE WHEN total_amount > 400000 THEN 'max_value_total_amount' END,
+    CASE WHEN NOT (abs(total_amount) < 450000) THEN 'custom_sql' END,
+    CASE WHEN customer_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM raw_customers c WHERE c.customer_id = o.customer_id) THEN 'referential_integrity_customer_id' END) AS rules
+  FROM raw_orders o)"""
+
+
+def _quarantined(spark, sf) -> str:
+    path = PL.new_folder(spark)
+    QU.write_split(QU.tag(FX.raw_orders(spark, sf), _ORDER_RULES, governed(spark, sf)), path)
+    return path
+
+
+@register("quarantine_rows", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _BROKEN, body="SELECT order_id, customer_id, version, status, rules FROM marked WHERE rules <> ''"))
+def q_quarantine_rows(spark, sf):
+    """VIO1: the failed rows of all rules in one pass, each with the rules that it breaks."""
+    rows = QU.read_split(spark, _quarantined(spark, sf), passed=False)
+    return rows.select("order_id", "customer_id", "version", "status", F.array_join(QU.BROKEN, ",").alias("rules"))
+
+
+@register("quarantine_counts", O.with_ctes(O.RAW_ORDERS, O.RAW_CUSTOMERS, _BROKEN, body="""
+SELECT rule, count(*) AS n_rows FROM (SELECT unnest(string_split(rules, ',')) AS rule FROM marked WHERE rules <> '') GROUP BY rule
+UNION ALL SELECT 'passed', count(*) FROM marked WHERE rules = '' UNION ALL SELECT 'failed', count(*) FROM marked WHERE rules <> ''"""))
+def q_quarantine_counts(spark, sf):
+    """Rows per broken rule, and passed and failed rows (together: all rows)."""
+    path = _quarantined(spark, sf)
+    failed, passed = QU.read_split(spark, path, False), QU.read_split(spark, path, True)
+    total = [d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("rule"), "n_rows") for n, d in (("failed", failed), ("passed", passed))]
+    return QU.broken_counts(failed).unionByName(total[0]).unionByName(total[1])
+
+
+def _landed(spark, sf, files: int) -> str:
+    """The events as they land: one file after the other."""
+    folder = PL.new_folder(spark)
+    read_table(spark, sf, "events").repartition(files, "event_id").write.parquet(folder)
+    return folder
+
+
+@register("stream_unique_gate", """
+SELECT CAST(count(*) AS BIGINT) AS duplicate_keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id, event_type HAVING count(*) > 1)""")
+def q_stream_unique_gate(spark, sf):
+    """STR1/RUL2 across micro-batches: keyed state finds duplicates in different files."""
+    folder = _landed(spark, sf, 4)
+    q, sink = SS.start_unique_gate(spark, folder, read_table(spark, sf, "events").schema, "events", ["user_id", "event_type"],
+                                   base_dir=PL.new_folder(spark), max_files_per_trigger=2)
+    q.awaitTermination()
+    return SS.duplicate_totals(spark, sink, ["user_id", "event_type"]).select("duplicate_keys", "duplicate_rows")
+
+
+@register("stream_reference_gate", """
+SELECT user_id, count(*) AS n_rows FROM events WHERE user_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 0 AND c_custkey = user_id) GROUP BY user_id""")
+def q_stream_reference_gate(spark, sf):
+    """STR1/RUL9 on a stream: events of users who are no customers in credit."""
+    folder = _landed(spark, sf, 4)
+    customers = read_table(spark, sf, "customer").filter("c_acctbal > 0")
+    q, sink = SS.start_reference_gate(spark, folder, read_table(spark, sf, "events").schema, "events", "user_id", lambda: customers, "c_custkey",
+                                      base_dir=PL.new_folder(spark), max_files_per_trigger=2)
+    q.awaitTermination()
+    return SS.open_orphans(spark, sink, "user_id", customers, "c_custkey")

@@ -78,3 +78,8 @@ def to_utc_timestamp_ntz(x) -> Column:
     zoned = text.rlike(r"([Zz]|[+-][0-9]{2}:?[0-9]{2}|[A-Za-z]{3,})$") & text.rlike(r"[0-9][T ][0-9]")
     shifted = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
     return F.when(zoned, shifted).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def slug(name: Column | str) -> Column:
+    """FN13: blanks become ``_``, in lower case."""
+    return F.lower(F.replace(F.col(name) if isinstance(name, str) else name, F.lit(" "), F.lit("_")))

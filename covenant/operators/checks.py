@@ -663,7 +663,7 @@ def evaluate_rules(spark: SparkSession, df: DataFrame, table: str, rules: Sequen
     contract = normalise({"table_name": table, "schema_name": schema, "columns": [], "quality_rules": list(rules)})
     plan = []
     for i, r in enumerate(contract["quality_rules"], start=1):
-        cols = _rule_columns_of(r)
+        cols = rule_columns(r)
         plan.append(CheckSpec(i, r["rule_type"], ",".join(cols) if cols else None, dict(r["parameters"]), r["severity"]))
     return reduce(DataFrame.unionByName, [p.rows for p in _parts(spark, df, name_plan(plan), [], table, schema, tables, as_of)])
 
@@ -687,7 +687,7 @@ def violations(df: DataFrame, rule: dict, tables: TableSet | None = None,
     * row_count_min: one row with the count when below the minimum.
     """
     r = normalise({"table_name": "t", "columns": [], "quality_rules": [rule]})["quality_rules"][0]
-    cols = _rule_columns_of(r)
+    cols = rule_columns(r)
     spec = CheckSpec(1, r["rule_type"], ",".join(cols) if cols else None, r["parameters"],
                      r["severity"])
     t = spec.check_type
@@ -707,7 +707,7 @@ def violations(df: DataFrame, rule: dict, tables: TableSet | None = None,
     return df.filter(pred).select(*keep) if keep else df.filter(pred)
 
 
-def _rule_columns_of(rule: dict) -> list[str]:
+def rule_columns(rule: dict) -> list[str]:
     cols = (rule.get("parameters") or {}).get("columns")
     if cols:
         return list(cols)

@@ -47,11 +47,12 @@ def _static(spark, table, schema, column, max_delay, status, message, as_of) ->
 
 
 def freshness_result(spark: SparkSession, df: DataFrame | None, contract: dict,
-                     as_of=None) -> DataFrame:
+                     as_of=None, last_row: DataFrame | None = None) -> DataFrame:
     """CHK3 for one table: skipped (no SLA), error (bad column name, missing
     table or column), failed (no rows / null max, or delay > max), passed.
     The status and ``is_within_sla`` both use the unrounded delay (Q6); the
-    message (FN10) shows it rounded to one place (FN8)."""
+    message (FN10) shows it rounded to one place (FN8). ``last_row`` gives the
+    latest time (one row, ``last_updated_at``) where it is known without a scan."""
     c = normalise(contract)
     table, schema = c["table_name"], c["schema_name"]
     f = c.get("freshness")
@@ -71,7 +72,7 @@ def freshness_result(spark: SparkSession, df: DataFrame | None, contract: dict,
     last = F.col("last_updated_at")
     delay = minutes_between(now, last)
     within = last.isNotNull() & (delay <= F.lit(mx))
-    agg = df.agg(F.max(F.col(col)).cast("timestamp_ntz").alias("last_updated_at"))
+    agg = df.agg(F.max(F.col(col)).cast("timestamp_ntz").alias("last_updated_at")) if last_row is None else last_row
     return agg.select(
         F.lit(table).alias("table_name"), F.lit(schema).alias("schema_name"),
         F.lit(col).alias("timestamp_column"), last.alias("last_updated_at"),

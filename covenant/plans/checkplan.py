@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covenant.functions.text import slug
 from covenant.plans.contracts import normalise
 
 # plan origins in plan order: schema checks, implicit checks, declared rules, freshness
@@ -88,14 +89,16 @@ def plan_contract(contract: dict) -> list[CheckSpec]:
 
 
 def _base_name(spec: CheckSpec) -> str:
-    return spec.check_type if not spec.column else f"{spec.check_type}_{spec.column.replace(',', '_')}"
+    """FN13: the name of a check has no blanks and is in lower case."""
+    name = spec.check_type if not spec.column else f"{spec.check_type}_{spec.column.replace(',', '_')}"
+    return name.replace(" ", "_").lower()
 
 
 def name_plan(plan: list[CheckSpec]) -> list[CheckSpec]:
     """Names for the checks of a plan; checks that would share one get their place."""
-    count = Counter((s.check_type, s.column) for s in plan)
+    count = Counter(map(_base_name, plan))
     for s in plan:
-        s.name = _base_name(s) if count[(s.check_type, s.column)] == 1 else f"{_base_name(s)}_{s.seq}"
+        s.name = _base_name(s) if count[_base_name(s)] == 1 else f"{_base_name(s)}_{s.seq}"
     return plan
 
 
@@ -111,7 +114,7 @@ def plan_many(contracts: DataFrame) -> DataFrame:
     """PLAN1/PLAN2 as one DataFrame job over a contract registry.
 
     Output: table_name, schema_name, check_type, column, params, severity,
-    origin, seq; the same plan as ``plan_contract`` gives. Works per contract
+    origin, seq, check_name; the same plan as ``plan_contract`` gives. Works per contract
     (grouped by table), so the registry may hold any number of contracts."""
     keys = ["table_name", "schema_name"]
 
@@ -163,4 +166,8 @@ def plan_many(contracts: DataFrame) -> DataFrame:
         F.when(F.col(f"__o_{o}") == 1, F.lit(o)) for o in ORIGINS])).drop(*[f"__o_{o}" for o in ORIGINS])
     from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy(F.col("first"))
-    return merged.withColumn("seq", F.row_number().over(w)).drop("first")
+    numbered = merged.withColumn("seq", F.row_number().over(w)).drop("first")
+    base = slug(F.concat_ws("_", "check_type", F.replace(F.col("column"), F.lit(","), F.lit("_"))))
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys, "check_name"))
+    place = F.when(same > 1, F.concat(F.lit("_"), F.col("seq").cast("string"))).otherwise("")
+    return numbered.withColumn("check_name", base).withColumn("check_name", F.concat("check_name", place))

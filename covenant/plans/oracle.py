@@ -342,9 +342,10 @@ merged AS (
          CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'error' ELSE 'warning' END AS severity,
          string_agg(origin, '+' ORDER BY grp, pos, sub) AS origin
   FROM plan_rows GROUP BY table_name, schema_name, check_type, "column", params)
-SELECT table_name, schema_name, check_type, "column", params, severity, origin,
-       CAST(row_number() OVER (PARTITION BY table_name, schema_name ORDER BY first_key) AS INTEGER) AS seq
-FROM merged)"""
+SELECT table_name, schema_name, check_type, "column", params, severity, origin, seq,
+       concat(base, CASE WHEN count(*) OVER (PARTITION BY table_name, schema_name, base) > 1 THEN concat('_', seq) ELSE '' END) AS check_name
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY table_name, schema_name ORDER BY first_key) AS INTEGER) AS seq,
+             lower(replace(concat_ws('_', check_type, "column"), ' ', '_')) AS base FROM merged))"""
 
 
 CATALOG = f"""
@@ -406,3 +407,13 @@ UNION ALL
 SELECT table_name, schema_name, 'column_type', "column",
        CASE WHEN EXISTS (SELECT 1 FROM accepted a WHERE a.contract_type = j.contract_type AND a.data_type = j.data_type)
             THEN 'passed' ELSE 'failed' END, contract_type, data_type FROM j WHERE data_type IS NOT NULL)"""
+
+
+#: the columns of the given tables as the engine names their types, from the database's own catalog
+GIVEN_COLUMNS = """
+given_cols AS (
+  SELECT 'main' AS table_schema, table_name, CAST(column_index AS INTEGER) AS ordinal_position, column_name,
+         CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float'
+              WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END AS data_type
+  FROM duckdb_columns() WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+                                             'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations'))"""

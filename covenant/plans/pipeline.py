@@ -104,13 +104,22 @@ def run_contracts(spark: SparkSession, contracts: Iterable[dict], tables: TableS
             pending[pool.submit(_check_table, spark, doc, tables, f"{path}/part={i}", as_of)] = i
         collect(wait(pending).done)
     if not times:
-        empty = error_rows(spark, {"table_name": "", "columns": []}, [], "").limit(0)
-        return empty.withColumn("contract_version", F.lit("")).withColumn("run_id", F.lit(run_id)).withColumn("duration_seconds", F.lit(0.0))
+        return _no_checks(spark, run_id)
     durations = local_rows(spark, times, "part int, duration_seconds double")
     checks = spark.read.parquet(path).withColumn("run_id", F.lit(run_id))
     return checks.join(durations, "part", "left").drop("part")
 
 
+def _no_checks(spark: SparkSession, run_id: str) -> DataFrame:
+    empty = error_rows(spark, {"table_name": "", "columns": []}, [], "").limit(0)
+    return empty.withColumn("contract_version", F.lit("")).withColumn("run_id", F.lit(run_id)).withColumn("duration_seconds", F.lit(0.0))
+
+
+def empty_log(spark: SparkSession) -> DataFrame:
+    """A run log without rows."""
+    return R.log_rows(_no_checks(spark, "")).drop("failed_check_names").withColumn("run_date", F.to_date("executed_at"))
+
+
 def governance_run(spark: SparkSession, contracts: Iterable[dict], tables: TableSet,
                    inventory: DataFrame, registry: DataFrame, as_of=None,
                    out_dir: str | None = None, run_id: str | None = None) -> dict[str, DataFrame]:

@@ -11,6 +11,7 @@ mapping) and otherwise through the session catalog (``schema.table``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from covenant.operators import governance as G
 from covenant.operators.results import read_log
 from covenant.operators.freshness import freshness_many, stale_tables
 from covenant.plans.contracts import CONTRACT_SCHEMA, contracts_df, read_contract_files, row_to_doc
-from covenant.plans.pipeline import governance_run
+from covenant.plans.pipeline import empty_log, governance_run
 from covenant.session import ensure_checkpoint_dir
 from covenant.sources import registry as RG
 from covenant.sources.tables import TableSet
@@ -61,7 +62,9 @@ class Workspace:
     # ----------------------------------------------------------- registry
     def contracts(self) -> DataFrame:
         """SRC8: the current registry (empty when nothing is registered)."""
-        snap = RG.read_snapshot(self.spark, self.registry_root)
+        return self._or_none(RG.read_snapshot(self.spark, self.registry_root))
+
+    def _or_none(self, snap: DataFrame | None) -> DataFrame:
         if snap is None:
             return contracts_df(self.spark, []).withColumn(
                 "created_at", F.lit(None).cast("timestamp_ntz")).withColumn(
@@ -74,10 +77,15 @@ class Workspace:
         version, action) per contract."""
         inc = contracts if isinstance(contracts, DataFrame) else contracts_df(self.spark, list(contracts))
         inc = RG.valid_contracts(inc.select(*[f.name for f in CONTRACT_SCHEMA.fields]))
-        merged = RG.upsert(self.contracts(), inc, as_of)
-        RG.commit_snapshot(merged.drop("action"), self.registry_root)
+        merged = []
+
+        def change(stored: DataFrame | None) -> DataFrame:
+            merged[:] = [RG.upsert(self._or_none(stored), inc, as_of)]
+            return merged[0].drop("action")
+
+        RG.change_snapshot(self.spark, self.registry_root, change)
         # the previous snapshot stays readable, so this re-reads the same input
-        return merged.select(*KEYS, "version", "action")
+        return merged[0].select(*KEYS, "version", "action")
 
     def sync_directory(self, path: str, as_of=None) -> DataFrame:
         """SRC9 + SINK1: register every valid contract document (YAML or
@@ -95,9 +103,15 @@ class Workspace:
         """SINK2: remove one contract (new snapshot); returns (table, schema,
         deleted) computed against the snapshot it replaced."""
         keys = local_rows(self.spark, [(table_name, schema_name)], "table_name string, schema_name string")
-        remaining, report = RG.delete(self.contracts(), keys)
-        RG.commit_snapshot(remaining, self.registry_root)
-        return report
+        reports = []
+
+        def change(stored: DataFrame | None) -> DataFrame:
+            remaining, report = RG.delete(self._or_none(stored), keys)
+            reports[:] = [report]
+            return remaining
+
+        RG.change_snapshot(self.spark, self.registry_root, change)
+        return reports[0]
 
     # ------------------------------------------------------------- checks
     def _lookup(self, held: TableSet, schema: str, name: str) -> DataFrame | None:
@@ -147,7 +161,8 @@ class Workspace:
 
     # ------------------------------------------------------------ reports
     def log(self) -> DataFrame:
-        return read_log(self.spark, self.log_path)
+        """The run log (empty before the first run)."""
+        return read_log(self.spark, self.log_path) if self._exists(self.log_path) else empty_log(self.spark)
 
     def recent_results(self, limit: int = G.V.RECENT_RESULTS_LIMIT, table_name: str | None = None) -> DataFrame:
         return G.recent_results(self.log(), limit, table_name)
@@ -169,18 +184,22 @@ class Workspace:
         """GOV4 + SINK4: compute and append a metrics snapshot."""
         inventory = self.inventory if self.inventory is not None else self._inventory_of()
         snap = G.governance_snapshot(inventory, self.contracts(), self.log(), as_of)
-        snap.withColumn("capture_date", F.to_date("captured_at")) \
-            .write.mode("append").partitionBy("capture_date").parquet(self.metrics_path)
-        return self.spark.read.parquet(self.metrics_path).drop("capture_date")
+        # a folder of its own: two captures at a time do not share a write
+        (snap.withColumn("capture_date", F.to_date("captured_at")).withColumn("capture", F.lit(f"c-{uuid.uuid4().hex}"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("capture_date", "capture").parquet(self.metrics_path))
+        return self._metrics()
+
+    def _metrics(self) -> DataFrame:
+        return self.spark.read.parquet(self.metrics_path).drop("capture_date", "capture")
 
     def current_metrics(self, as_of=None) -> DataFrame:
         """TOP3: the latest snapshot; captured first when there is none."""
         if not self._exists(self.metrics_path):
             self.capture_snapshot(as_of)
-        return G.latest_snapshot(self.spark.read.parquet(self.metrics_path).drop("capture_date"))
+        return G.latest_snapshot(self._metrics())
 
     def trends(self, days: int = G.V.TREND_DAYS, as_of=None) -> DataFrame:
         """GOV5: snapshots of the last ``days`` days, oldest first."""
         if not self._exists(self.metrics_path):
             return self.capture_snapshot(as_of).limit(0)
-        return G.trend(self.spark.read.parquet(self.metrics_path), days, as_of).drop("capture_date")
+        return G.trend(self._metrics(), days, as_of)

@@ -13,6 +13,13 @@ size grows with the input.
 
 from __future__ import annotations
 
+import os
+import random
+import time
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -239,7 +246,8 @@ def required_columns(contracts: DataFrame) -> DataFrame:
 def upsert(current: DataFrame, incoming: DataFrame, as_of=None) -> DataFrame:
     """SINK1: register contracts on (table_name, schema_name). Updated rows
     keep ``created_at`` and get ``updated_at = as_of``; new rows get both;
-    untouched rows stay as they were. A full outer join on the keys (both
+    untouched rows stay as they were. Columns that only one side has stay too:
+    a stored column that the batch lacks keeps its values. A full outer join on the keys (both
     sides hash-partitioned on them). The caller writes the result as a new
     snapshot and switches to it (never overwrite the table being read)."""
     from covenant.operators.latest import latest_per_key
@@ -258,20 +266,24 @@ def upsert(current: DataFrame, incoming: DataFrame, as_of=None) -> DataFrame:
         order = [F.lit(0)]
     tie = [("owner", "asc", "last")] if "owner" in inc.columns else []
     inc = latest_per_key(inc, KEYS, order, tie)
-    data_cols = [c for c in inc.columns if c not in KEYS]
-    c = cur.select(*KEYS, *[F.col(x).alias(f"c_{x}") for x in data_cols + ["created_at", "updated_at"]],
-                   F.lit(True).alias("_in_cur"))
-    i = inc.select(*KEYS, *[F.col(x).alias(f"i_{x}") for x in data_cols], F.lit(True).alias("_in_inc"))
-    j = c.join(i, KEYS, "full")
-    matched = F.col("_in_cur") & F.col("_in_inc")
+    # columns of both sides: what the store holds and the batch lacks stays, what
+    # only the batch has is null in rows that it does not touch
+    stamps = ["created_at", "updated_at"]
+    types = {f.name: f.dataType for f in (*inc.schema.fields, *cur.schema.fields)}
+    data_cols = [c for c in dict.fromkeys([*cur.columns, *inc.columns]) if c not in KEYS + stamps]
+
+    def side(df: DataFrame, mark: str, names: list[str]) -> DataFrame:
+        held = [(F.col(x) if x in df.columns else F.lit(None).cast(types[x])).alias(f"{mark}_{x}") for x in names]
+        return df.select(*KEYS, *held, F.lit(True).alias(f"_in_{mark}"))
+
+    j = side(cur, "c", data_cols + stamps).join(side(inc, "i", data_cols), KEYS, "full")
+    came = F.col("_in_i").isNotNull()
     return j.select(
         *KEYS,
-        *[F.when(F.col("_in_inc").isNotNull(), F.col(f"i_{x}")).otherwise(F.col(f"c_{x}")).alias(x)
-          for x in data_cols],
+        *[(F.when(came, F.col(f"i_{x}")).otherwise(F.col(f"c_{x}")) if x in inc.columns else F.col(f"c_{x}")).alias(x) for x in data_cols],
         F.coalesce(F.col("c_created_at"), now).alias("created_at"),
-        F.when(F.col("_in_inc").isNotNull(), now).otherwise(F.col("c_updated_at")).alias("updated_at"),
-        F.when(matched, "updated").when(F.col("_in_inc").isNotNull(), "inserted")
-         .otherwise("kept").alias("action"))
+        F.when(came, now).otherwise(F.col("c_updated_at")).alias("updated_at"),
+        F.when(came & F.col("_in_c"), "updated").when(came, "inserted").otherwise("kept").alias("action"))
 
 
 def delete(current: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -393,17 +405,6 @@ def list_contracts(contracts: DataFrame) -> DataFrame:
     return contracts.orderBy("table_name", "schema_name")
 
 
-def column_metadata(spark: SparkSession, df: DataFrame, table_name: str,
-                    schema_name: str = "public") -> DataFrame:
-    """SRC5: (ordinal, name, type, nullable) of a DataFrame, in the catalog's
-    column layout; metadata only."""
-    from covenant.operators.checks import spark_type_name
-    rows = [(schema_name, table_name, i + 1, f.name, spark_type_name(f.dataType), f.nullable)
-            for i, f in enumerate(df.schema.fields)]
-    return local_rows(spark, rows, "table_schema string, table_name string, ordinal_position int, "
-                                   "column_name string, data_type string, is_nullable boolean")
-
-
 def materialise(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """SINK5: write a model as a table (Parquet) and read it back, so later
     jobs start from the files instead of re-running the model. Write to a
@@ -413,7 +414,7 @@ def materialise(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-# ------------------------------------------------- versioned registry snapshots
+# ------------------------------------------------- versioned snapshots
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -421,33 +422,95 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+class Conflict(RuntimeError):
+    """Another writer committed the version that this one meant to."""
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file that is not there yet; False if it is. One of
+    several writers succeeds. On a local file system a finished file is
+    linked to the name (fails if it exists); elsewhere the store's own
+    exclusive create decides."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p.getParent()):
+        fs.mkdirs(p.getParent())
+    if fs.getScheme() == "file":
+        target = p.toUri().getPath()
+        own = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}"
+        with open(own, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(own, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(own)
+        return True
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as exc:
+        if fs.exists(p):
+            return False
+        raise exc
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    return True
+
+
+def _commits(spark: SparkSession, root: str) -> dict[int, str]:
+    """Version -> data folder of the commits below ``root``. A commit file that
+    is empty (its writer died between creating and filling it) counts as a
+    version that holds nothing new: it is passed over in reading."""
+    fs, p = _fs(spark, f"{root.rstrip('/')}/_commits")
+    out = {}
+    if fs.exists(p):
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if name.isdigit():
+                stream = fs.open(st.getPath())
+                out[int(name)] = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+                stream.close()
+    return out
+
+
 def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed snapshot versions under ``root`` (``v=<n>/_SUCCESS``)."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and name[2:].isdigit() and fs.exists(
-                spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest committed registry snapshot (None when there is none)."""
-    v = snapshot_versions(spark, root)
-    return spark.read.parquet(f"{root.rstrip('/')}/v={v[-1]}") if v else None
-
-
-def commit_snapshot(df: DataFrame, root: str) -> int:
-    """Write the next registry version beside the current one. Readers keep
-    using the version they resolved; the new one becomes visible once its
-    ``_SUCCESS`` marker exists, so a registry is never overwritten while it
-    is read (SINK1's 'write to a new path, then switch')."""
-    spark = df.sparkSession
-    v = snapshot_versions(spark, root)
-    nxt = (v[-1] + 1) if v else 1
-    df.write.mode("error").parquet(f"{root.rstrip('/')}/v={nxt}")
-    return nxt
+    """Committed snapshot versions under ``root``."""
+    return sorted(v for v, folder in _commits(spark, root).items() if folder)
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """The newest committed snapshot, or that of a version (None when there is none)."""
+    commits = {v: f for v, f in _commits(spark, root).items() if f and (version is None or v == version)}
+    return spark.read.parquet(f"{root.rstrip('/')}/{commits[max(commits)]}") if commits else None
+
+
+def commit_snapshot(df: DataFrame, root: str, after: int | None = None) -> int:
+    """Write a snapshot beside the others and commit it as the next version:
+    the one after ``after`` (the version that ``df`` was made from; 0: none),
+    else after the newest. Readers keep the version that they resolved; the new
+    one is visible once its commit file exists. If another writer committed
+    that version first, nothing is changed and Conflict is raised."""
+    spark, root = df.sparkSession, root.rstrip("/")
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(f"{root}/{folder}")
+    version = (max(_commits(spark, root), default=0) if after is None else after) + 1
+    if not put_if_absent(spark, f"{root}/_commits/{version:020d}", folder):
+        fs, p = _fs(spark, f"{root}/{folder}")
+        fs.delete(p, True)  # written by this call, and nothing refers to it
+        raise Conflict(f"version {version} of {root} was committed by another writer")
+    return version
+
+
+def change_snapshot(spark: SparkSession, root: str, change: Callable[[DataFrame | None], DataFrame], tries: int = 20) -> int:
+    """SINK1/SINK2/SINK4 with several writers: read the newest version, commit
+    ``change`` of it as the next; if another writer was first, do it again on what
+    that one wrote. No change is lost, and each sees those before it."""
+    for i in range(tries):
+        base = max(_commits(spark, root), default=0)
+        try:
+            return commit_snapshot(change(read_snapshot(spark, root)), root, after=base)
+        except Conflict:
+            if i + 1 == tries:
+                raise
+            time.sleep(random.uniform(0, 0.05 * 2 ** min(i, 6)))
+    raise Conflict(root)

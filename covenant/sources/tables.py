@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -38,6 +39,13 @@ def table_exists(spark: SparkSession, name: str, sf_dir: str | None = None) -> b
     return path_exists(spark, table_path(sf_dir, name)) if sf_dir is not None else spark.catalog.tableExists(name)
 
 
+def data_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, modified) of the Parquet files of a folder, listed by
+    Spark; their contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", "length", F.unix_micros("modificationTime").alias("modified"))
+
+
 DEFAULT_SCHEMA = "public"
 
 

@@ -4,8 +4,8 @@
 fused row-level rules on each micro-batch -> check rows and a run-log row
 per batch, written to ``<sink>/batch_id=<id>`` and ``<runs>/batch_id=<id>``
 with overwrite, so a replayed batch (same id after a failure) replaces its
-own output instead of duplicating it. Uniqueness and foreign keys look
-across batches and stay batch jobs.
+own output instead of duplicating it. Uniqueness and foreign keys look across
+batches: ``stateful`` has gates for them.
 
 A gate's folder, ``<base_dir>/gate-<table>``, holds its checkpoint, checks and
 runs: a gate started again on it goes on after the last batch. The default
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from covenant.operators.checks import evaluate_rules
+from covenant.operators.quarantine import read_split, tag, write_split
 from covenant.operators.results import rollup_runs
 from covenant.session import ensure_checkpoint_dir
 
@@ -34,8 +35,10 @@ STREAMABLE = ("not_null", "accepted_values", "min_value", "max_value", "regex_ma
 def start_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType, table: str,
                     rules: Sequence[dict], glob: str = "*.parquet", base_dir: str | None = None,
                     available_now: bool = True, max_files_per_trigger: int | None = None,
-                    check_interval_minutes: int | None = None):
-    """Start the gate; returns (query, sink_path).
+                    check_interval_minutes: int | None = None, quarantine: bool = False):
+    """Start the gate; returns (query, sink_path). With ``quarantine`` the rows of
+    each batch go on as well, below ``rows`` beside the sink: passed and failed
+    ones apart, the failed with the rules that they break (``gate_rows``).
 
     ``available_now`` processes what has landed and stops; otherwise the
     gate keeps running with one micro-batch every ``check_interval_minutes``
@@ -45,7 +48,7 @@ def start_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType,
     if bad:
         raise ValueError(f"rules that span batches cannot run on a stream: {bad}")
     root = f"{(base_dir or ensure_checkpoint_dir(spark)).rstrip('/')}/gate-{table}"
-    sink, runs, ckpt = f"{root}/log", f"{root}/runs", f"{root}/checkpoint"
+    sink, runs, rows, ckpt = f"{root}/log", f"{root}/runs", f"{root}/rows", f"{root}/checkpoint"
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -56,6 +59,8 @@ def start_rule_gate(spark: SparkSession, source_dir: str, schema: T.StructType,
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         checks = evaluate_rules(batch.sparkSession, batch, table, gated)
+        if quarantine:
+            write_split(tag(batch, rules), f"{rows}/batch_id={batch_id}")
         # the folder name carries the batch id (read back as a partition column)
         checks.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         written = batch.sparkSession.read.parquet(f"{sink}/batch_id={batch_id}")
@@ -80,6 +85,11 @@ def gate_totals(spark: SparkSession, sink: str) -> DataFrame:
         F.col("rows_checked").cast("bigint").alias("violations")))
 
 
+def gate_rows(spark: SparkSession, sink: str, passed: bool) -> DataFrame:
+    """The passed or failed rows of a gate with quarantine, with their batch_id."""
+    return read_split(spark, f"{sink.rpartition('/')[0]}/rows", passed)
+
+
 def gate_runs(spark: SparkSession, sink: str) -> DataFrame:
     """The run-log rows of a gate, one per micro-batch."""
     return spark.read.parquet(f"{sink.rpartition('/')[0]}/runs")

@@ -7,7 +7,7 @@ from decimal import Decimal
 from covenant.operators.checks import evaluate_contract, spark_type_name, type_matches
 from covenant.plans.checkplan import check_name, plan_contract
 from covenant.plans.contracts import ACCEPTED_SPARK_TYPES, COLUMN_TYPES, contracts_df, sample_contract
-from covenant.sources.registry import column_metadata, get_contract, required_columns
+from covenant.sources.registry import get_contract, required_columns
 from covenant.sources.tables import TableSet
 
 AS_OF = "2024-02-01 00:00:00"
@@ -72,10 +72,3 @@ def test_lookups_that_find_nothing_and_required_columns(spark):
     rc = {r["table_name"]: r for r in required_columns(reg).collect()}
     assert rc["customers"]["required_columns"] == ["customer_id", "email", "country", "updated_at"]
     assert rc["orders"]["primary_key_columns"] == ["order_id"]
-
-
-def test_column_metadata_in_ordinal_order(spark):
-    df = spark.createDataFrame([(1, "a")], "b long, a string")
-    rows = column_metadata(spark, df, "t").collect()
-    assert [(r["ordinal_position"], r["column_name"], r["data_type"]) for r in rows] == \
-        [(1, "b", "bigint"), (2, "a", "string")]
