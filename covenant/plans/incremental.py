@@ -99,8 +99,10 @@ class IncrementalChecks:
         self.root = f"{root.rstrip('/')}/states/{self.contract['schema_name']}.{self.contract['table_name']}"
 
     def _known(self, path: str) -> DataFrame | None:
-        """State files of all finished runs."""
-        return self.spark.read.option("mergeSchema", "false").parquet(f"{path}/run=*") if path_exists(self.spark, path) else None
+        """States of all finished runs."""
+        fs, p = _fs(self.spark, f"{path}/run=*/_SUCCESS")
+        runs = [st.getPath().getParent().toString() for st in fs.globStatus(p) or []]
+        return self.spark.read.option("mergeSchema", "false").parquet(*runs) if runs else None
 
     def _files(self) -> DataFrame:
         return data_files(self.spark, self.folder).toDF(*FILE)

@@ -30,10 +30,14 @@ _COLUMNS = "table_schema string, table_name string, file string, n_rows long, or
 
 
 def _open(path: str):
-    """(file system, path in it) of a URI or a local path."""
+    """(file system, path in it) of a path as Spark writes it (not URL-encoded)."""
+    from urllib.parse import quote
+
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@")) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def listed(tables: DataFrame) -> DataFrame:
@@ -138,7 +142,8 @@ def latest_values(files: DataFrame, column: str) -> DataFrame:
         for g in range(meta.num_row_groups):
             chunk = meta.row_group(g).column(place[0])
             stats = chunk.statistics
-            if stats is not None and stats.has_null_count and stats.null_count == meta.row_group(g).num_rows:
+            n = meta.row_group(g).num_rows
+            if not n or stats is not None and stats.has_null_count and stats.null_count == n:
                 continue
             if stats is None or not stats.has_min_max:
                 return False, None
