@@ -1215,3 +1215,25 @@ def q_stream_reference_gate(spark, sf):
                                       base_dir=PL.new_folder(spark), max_files_per_trigger=2)
     q.awaitTermination()
     return SS.open_orphans(spark, sink, "user_id", customers, "c_custkey")
+
+
+from covenant.operators.bloom import large_orphans  # noqa: E402
+
+
+@register("rule_fk_large_reference", """
+SELECT o_orderkey, count(*) AS n_rows FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30) GROUP BY o_orderkey""")
+def q_rule_fk_large_reference(spark, sf):
+    """JOIN4/RUL9 against a table larger than the one that refers to it, block
+    filters before the shuffle: orders without a line of more than 30 pieces."""
+    return large_orphans(read_table(spark, sf, "orders"), "o_orderkey", read_table(spark, sf, "lineitem").filter("l_quantity > 30"), "l_orderkey")
+
+
+@register("log_compaction", O.with_ctes(_LOG, body=f"SELECT {_SUMMARY} FROM ({_LATEST})"))
+def q_log_compaction(spark, sf):
+    """SINK3: the latest runs of a log whose older run folders were compacted and dropped."""
+    path = PL.new_folder(spark)
+    rows = _log(spark, sf).withColumn("run_date", F.to_date("executed_at")).withColumn("run", F.format_string("run-%d", F.pmod("run_id", F.lit(3))))
+    rows.repartition("run_date", "run").write.partitionBy("run_date", "run").parquet(path)
+    R.compact_log(spark, path, "2024-01-20")
+    R.drop_compacted(spark, path)
+    return G.latest_per_table(R.read_log(spark, path)).select(*G.SUMMARY_COLUMNS)

@@ -13,9 +13,10 @@ Counting rules kept from the reference (Q1-Q3):
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covenant.operators.checks import CONTRACT_ERROR
@@ -107,8 +108,80 @@ def append_log(rows: DataFrame, path: str) -> None:
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "run").parquet(path))
 
 
-def read_log(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("run")
+def _compacted(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the newest compaction of a log."""
+    from covenant.sources import registry as RG
+
+    found = {v: f for v, f in RG.commits(spark, f"{path.rstrip('/')}/_compacted").items() if f}
+    return [f"{path.rstrip('/')}/_compacted/{found[max(found)]}"] if found else []
+
+
+def _log_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows in run folders that no compaction holds, rows of the compaction that
+    no later write of their run replaced), with ``run``; the first also with the
+    name of the file."""
+    folders = _compacted(spark, path)
+    if not folders:
+        return spark.read.parquet(path).withColumn("source_file", F.col("_metadata.file_name")), None
+    done = spark.read.parquet(*folders)
+    rows = spark.read.schema(done.drop("source_file").schema).option("basePath", path).parquet(path)
+    live = rows.withColumn("source_file", F.col("_metadata.file_name")).join(
+        done.select("run_date", "run", "source_file").distinct(), ["run_date", "run", "source_file"], "left_anti")
+    return live, done.join(live.select("run_date", "run").distinct(), ["run_date", "run"], "left_anti")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log's rows, whether their run's folder was compacted or not."""
+    live, done = _log_parts(spark, path)
+    if done is None:
+        return live.drop("run", "source_file")
+    names = [c for c in live.columns if c not in ("run", "source_file")]
+    return live.select(*names).unionByName(done.select(*names))
+
+
+def compact_log(spark: SparkSession, path: str, before, files: int = 1) -> int:
+    """SINK3 compaction: the runs of all dates before ``before`` as few files; the
+    number of compactions of this log so far.
+
+    The rows are written beside the log with the name of the file that each came
+    from, then one commit makes all readers take them instead of those files. A
+    reader that listed the log before goes on with the files that it saw; they
+    stay until ``drop_compacted``. A run that is written again later stands in new
+    files and replaces its compacted rows. Of two compactions at a time, the
+    later one to commit goes again on what the other left."""
+    from covenant.sources import registry as RG
+
+    root, path = f"{path.rstrip('/')}/_compacted", path.rstrip("/")
+    while True:
+        base = max(RG.commits(spark, root), default=0)
+        live, done = _log_parts(spark, path)
+        old = live.filter(F.col("run_date") < F.lit(str(before)).cast("date"))
+        rows = old if done is None else old.unionByName(done.select(*old.columns))
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.repartition(files, "run_date", "run").sortWithinPartitions("run_date", "run").write.parquet(f"{root}/{folder}")
+        if RG.put_if_absent(spark, f"{root}/_commits/{base + 1:020d}", folder):
+            return base + 1
+
+
+def drop_compacted(spark: SparkSession, path: str) -> int:
+    """Delete the files that the newest compaction holds, and older compactions;
+    their number. For when no reader from before the compaction is left."""
+    from covenant.sources import registry as RG
+
+    folders = _compacted(spark, path)
+    if not folders:
+        return 0
+    held = spark.read.parquet(*folders).select("run_date", "run", "source_file").distinct()
+    fs, root = RG._fs(spark, path)
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = 0
+    for r in held.toLocalIterator():
+        n += bool(fs.delete(Path(root, f"run_date={r['run_date']}/run={r['run']}/{r['source_file']}"), False))
+    keep = {f.rpartition("/")[2] for f in folders}
+    for st in fs.listStatus(Path(root, "_compacted")):
+        if st.getPath().getName().startswith("data-") and st.getPath().getName() not in keep:
+            fs.delete(st.getPath(), True)
+    return n
 
 
 class Stopwatch:

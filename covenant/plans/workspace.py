@@ -33,8 +33,9 @@ KEYS = ["table_name", "schema_name"]
 class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None,
                  tables: TableSet | Mapping[str, DataFrame] | None = None,
-                 inventory: DataFrame | None = None, definitions: str | None = None):
+                 inventory: DataFrame | None = None, definitions: str | None = None, check_timeout_seconds: float | None = None):
         self.definitions = definitions
+        self.check_timeout_seconds = check_timeout_seconds
         self.spark = spark
         self.root = root.rstrip("/") if root else f"{ensure_checkpoint_dir(spark).rstrip('/')}/covenant-workspace"
         held = tables if isinstance(tables, TableSet) else TableSet(dict(tables or {}))
@@ -131,7 +132,8 @@ class Workspace:
         ``alerts`` are this call's, ``report``/``snapshot`` cover the whole log."""
         inventory = self.inventory if self.inventory is not None else self._inventory_of()
         return governance_run(self.spark, self._docs(contracts if contracts is not None else self.contracts()),
-                              self.tables, inventory, self.contracts(), as_of, out_dir=self.root)
+                              self.tables, inventory, self.contracts(), as_of, out_dir=self.root,
+                              timeout_seconds=self.check_timeout_seconds)
 
     def resolve(self, table_name: str, schema_name: str = "public", as_of=None) -> DataFrame:
         """SRC7: the registered contract, else the one in the ``definitions``

@@ -31,6 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.scheduler.mode", "FAIR")  # the checks of a table are a pool
         .config("spark.driver.memory", os.environ.get("COVENANT_DRIVER_MEMORY", "12g"))
         # no Python call-site capture per DataFrame call (an error-message aid
         # that costs several JVM round trips for every function call)

@@ -457,7 +457,7 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def _commits(spark: SparkSession, root: str) -> dict[int, str]:
+def commits(spark: SparkSession, root: str) -> dict[int, str]:
     """Version -> data folder of the commits below ``root``. A commit file that
     is empty (its writer died between creating and filling it) counts as a
     version that holds nothing new: it is passed over in reading."""
@@ -475,13 +475,13 @@ def _commits(spark: SparkSession, root: str) -> dict[int, str]:
 
 def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     """Committed snapshot versions under ``root``."""
-    return sorted(v for v, folder in _commits(spark, root).items() if folder)
+    return sorted(v for v, folder in commits(spark, root).items() if folder)
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
     """The newest committed snapshot, or that of a version (None when there is none)."""
-    commits = {v: f for v, f in _commits(spark, root).items() if f and (version is None or v == version)}
-    return spark.read.parquet(f"{root.rstrip('/')}/{commits[max(commits)]}") if commits else None
+    found = {v: f for v, f in commits(spark, root).items() if f and (version is None or v == version)}
+    return spark.read.parquet(f"{root.rstrip('/')}/{found[max(found)]}") if found else None
 
 
 def commit_snapshot(df: DataFrame, root: str, after: int | None = None) -> int:
@@ -493,7 +493,7 @@ def commit_snapshot(df: DataFrame, root: str, after: int | None = None) -> int:
     spark, root = df.sparkSession, root.rstrip("/")
     folder = f"data-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(f"{root}/{folder}")
-    version = (max(_commits(spark, root), default=0) if after is None else after) + 1
+    version = (max(commits(spark, root), default=0) if after is None else after) + 1
     if not put_if_absent(spark, f"{root}/_commits/{version:020d}", folder):
         fs, p = _fs(spark, f"{root}/{folder}")
         fs.delete(p, True)  # written by this call, and nothing refers to it
@@ -506,7 +506,7 @@ def change_snapshot(spark: SparkSession, root: str, change: Callable[[DataFrame
     ``change`` of it as the next; if another writer was first, do it again on what
     that one wrote. No change is lost, and each sees those before it."""
     for i in range(tries):
-        base = max(_commits(spark, root), default=0)
+        base = max(commits(spark, root), default=0)
         try:
             return commit_snapshot(change(read_snapshot(spark, root)), root, after=base)
         except Conflict:
