@@ -6,10 +6,13 @@ block, and the text gets the language with the fewest bytes. The prediction is r
 best language is nearly as short.
 
 Fitting reads a bounded sample: per language at most ``SAMPLE_DOCS`` labelled
-documents in the order of a hash of the identifier, ``SAMPLE_BYTES`` of each.
+documents in the order of a hash of the identifier; of a text with more than
+``PIECES * PIECE`` letters, so many pieces from hashed places anywhere in it.
 Texts of ``LONG`` characters come first and shorter ones fill up the sample, so
-a language that has short texts only is learned too.
-Predicting reads every byte of every text.
+a language that has short texts only is learned too. More than
+``MAX_LANGUAGES`` labels are an error: each text is encoded once per language, so
+a column that holds anything else than languages would cost that many times.
+Predicting reads every byte of every text, all at one level of compression.
 
 Nulls and ties: a null text, and a text without a letter, is ``und`` with
 score 0 and is rejected; rows without a label are not learned from; equal
@@ -26,12 +29,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import hash_sample, on_workers, pylist, slices
 
-SAMPLE_DOCS, SAMPLE_BYTES = 64, 1600
+SAMPLE_DOCS, PIECES, PIECE = 64, 4, 400
+MAX_LANGUAGES = 256
 #: characters of a text that is learned from first; shorter ones fill up a language's sample
 LONG = 200
-BLOCK, LEVEL, MARGIN = 8192, 6, 0.002
-#: texts of fewer bytes get the longer match search of a higher level
-SHORT, SHORT_LEVEL = 1024, 12
+BLOCK, LEVEL, MARGIN = 8192, 12, 0.002
 
 #: what is encoded: lower-case letters, with a blank for anything else in ASCII
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -47,16 +49,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
+def pieces(text: Column, seed: Column) -> Column:
+    """What is learned of a text: its letters, or pieces of them from hashed places."""
+    said = F.trim(F.regexp_replace(text, r"\P{L}+", " "))
+    room = F.char_length(said) - PIECE + 1
+    some = [F.substr(said, F.pmod(F.xxhash64(seed, F.lit(i)), room).cast("int") + 1, F.lit(PIECE)) for i in range(PIECES)]
+    return F.when(F.char_length(said) <= PIECES * PIECE, said).otherwise(F.concat_ws("\n", *some))
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """language -> dictionary content, learned from the rows that are not held out."""
-    head = F.substring("text", 1, sample_bytes)
-    # a text that starts with that much else counts from its first letter
-    lettered = F.when(head.rlike(r"\p{L}"), head).otherwise(F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, sample_bytes))
-    train = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    train = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    if train.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"the labels hold more than {MAX_LANGUAGES} languages")
     kind = F.concat(F.when(F.length("text") >= LONG, "+").otherwise("-"), F.col("lang"))
-    some = train.select("lang", "doc_id", kind.alias("kind"), lettered.alias("text")).filter("text <> ''")
+    chosen = hash_sample(train.withColumn("kind", kind), ["doc_id", "text"], sample_docs, "kind")
+    some = chosen.select("lang", "kind", "_rank", pieces(F.col("text"), F.xxhash64("doc_id", "text")).alias("text"))
     # of each language the long texts come first
-    rows = sorted(hash_sample(some, ["doc_id", "text"], sample_docs, "kind").collect(), key=lambda r: (r["lang"], r["kind"], r["_rank"]))
+    rows = sorted(some.collect(), key=lambda r: (r["lang"], r["kind"], r["_rank"]))
     parts: dict[str, list[bytes]] = {}
     for r in rows:
         own = parts.setdefault(r["lang"], [])
@@ -66,28 +76,26 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
 
 
 @functools.lru_cache(maxsize=4)
-def _compressors(model: tuple[tuple[str, bytes], ...], level: int, short_level: int = SHORT_LEVEL):
-    """(language, compressor) for each language, for long and for short texts."""
-    out: tuple[list, list] = [], []
-    for kept, wanted, size in zip(out, (level, short_level), (BLOCK, SHORT)):
-        for lang, content in model:
-            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters.from_level(
-                wanted, dict_size=len(content), source_size=size, write_content_size=False, write_checksum=False, write_dict_id=False)
-            held.precompute_compress(compression_params=how)
-            kept.append((lang, zstandard.ZstdCompressor(dict_data=held, compression_params=how)))
+def _compressors(model: tuple[tuple[str, bytes], ...], level: int) -> list:
+    """(language, compressor) for each language."""
+    out = []
+    for lang, content in model:
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(
+            level, dict_size=len(content), source_size=BLOCK, write_content_size=False, write_checksum=False, write_dict_id=False)
+        held.precompute_compress(compression_params=how)
+        out.append((lang, zstandard.ZstdCompressor(dict_data=held, compression_params=how)))
     return out
 
 
 def classify(text: str | None, compressors, block: int = BLOCK, margin: float = MARGIN) -> tuple[str, float, bool]:
     """(language, score, rejected). The score is the share of bytes saved
     against the second best language."""
-    long, short = compressors
-    if not long or not text or not any(map(str.isalpha, text)):
+    if not compressors or not text or not any(map(str.isalpha, text)):
         return "und", 0.0, True
     raw = letters(text)
     parts = [raw[i:i + block] for i in range(0, len(raw), block)]
-    sizes = [(sum(len(c.compress(p)) for p in parts), lang) for lang, c in (short if len(raw) < SHORT else long)]
+    sizes = [(sum(len(c.compress(p)) for p in parts), lang) for lang, c in compressors]
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     (best, lang), (second, _) = sorted(sizes)[:2]

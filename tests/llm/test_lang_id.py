@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from covenant.llm import lang_id as L
 
 
@@ -15,13 +17,61 @@ def test_held_out_accuracy(spark):
     assert sum(r["rejected"] for r in out) <= 0.03 * len(out)
 
 
-def test_nothing_held_out_is_learned(spark, documents):
+def test_accuracy_by_length(spark):
+    """One level for every length; held-out documents of sf0.1."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = L.predict(docs.select("lang", "text", L.held_out().alias("h"), docs.text.alias("t")).filter("h"), L.fit(docs), ("lang", "t")).collect()
+    right = {True: [], False: []}
+    for r in out:
+        n = len(L.letters(r["t"] or ""))
+        if n:
+            right[n < 60].append(r["lang"] == r["lang_pred"])
+    assert sum(right[False]) / len(right[False]) >= 0.98 and sum(right[True]) / len(right[True]) >= 0.75
+
+
+def test_every_prediction_equals_a_plain_encoder(documents):
+    """The same dictionaries, each text's blocks encoded one by one."""
+    import zstandard
+
     model = L.fit(documents)
-    for r in documents.filter(L.held_out()).select("text").collect():
-        start = L.letters(r["text"][:300])
-        if len(start) > 200:
-            own = documents.filter((~L.held_out()) & documents.text.startswith(r["text"][:300])).count()
-            assert own or not any(start in content for content in model.values())
+    out = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"], r["rejected"]) for r in L.predict(documents.withColumn("copy", documents.text), model, ("doc_id", "copy")).withColumnRenamed("copy", "text").collect()}
+    how = {k: zstandard.ZstdCompressionParameters.from_level(L.LEVEL, dict_size=len(v), source_size=L.BLOCK, write_content_size=False, write_checksum=False, write_dict_id=False) for k, v in model.items()}
+    for r in documents.collect():
+        raw = L.letters(r["text"] or "")
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert out[r["doc_id"], r["text"]] == ("und", 0.0, True)
+            continue
+        sizes = []
+        for k, v in model.items():
+            encoder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how[k])
+            sizes.append((sum(len(encoder.compress(raw[i:i + L.BLOCK])) for i in range(0, len(raw), L.BLOCK)), k))
+        (best, lang), (second, _) = sorted(sizes)[:2]
+        assert out[r["doc_id"], r["text"]] == (lang, 1 - best / second, 1 - best / second < L.MARGIN)
+
+
+def test_a_sample_is_taken_from_anywhere_in_a_text(spark):
+    """The language stands behind a long head of something else."""
+    head = "zz " * 4000
+    rows = [(10_000_000 + i, head + f"ovo je poruka broj {i} o vremenu i moru " * 200, "hr") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert b"vremenu" in L.fit(df)["hr"]
+
+
+def test_too_many_labels_are_an_error(spark):
+    df = spark.range(30_000).selectExpr("id as doc_id", "'words' as text", "concat('l', id % 10000) as lang")
+    with pytest.raises(ValueError, match="more than 256"):
+        L.fit(df)
+
+
+def test_nothing_held_out_is_learned(spark, documents):
+    """What differs between the documents comes from those that are not held out."""
+    marked = documents.selectExpr("doc_id", "concat('word', doc_id, 'x ', text) as text", "lang").filter("length(text) < 1500")
+    marked = marked.selectExpr("doc_id", "translate(text, '0123456789', 'abcdefghij') as text", "lang")
+    held = {r["doc_id"] for r in marked.filter(L.held_out()).collect()}
+    digits = str.maketrans("0123456789", "abcdefghij")
+    learned = b" ".join(L.fit(marked).values()).split()
+    words = {r["doc_id"]: f"word{r['doc_id']}x".translate(digits).encode() for r in marked.collect()}
+    assert not any(words[d] in learned for d in held) and any(words[d] in learned for d in words if d not in held)
 
 
 def test_odd_rows(odd, documents):
