@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -69,41 +70,54 @@ def write(pages: DataFrame, path: str, segment_chars: int = SEGMENT_CHARS, chunk
     digest = F.concat(F.lit("sha1:"), _base32(F.col("_sha1")))
     rows = records(pages).withColumn("_row", F.monotonically_increasing_id().cast("string")).withColumn("_digest", digest)
     rows = rows.withColumn("_record", _urn(F.concat_ws("/", F.lit("record"), "_id", "_digest", "_row")))
-    size = F.char_length("_html")
-    starts = F.when(size > 0, F.sequence(F.lit(1), size, F.lit(chunk_chars))).otherwise(F.array().cast("array<int>"))
-    piece = lambda a: F.substring(F.col("_html"), a, F.lit(chunk_chars))
-    chunks = F.array_join(F.transform(starts, lambda a: F.concat(F.hex(F.octet_length(piece(a)).cast("long")), F.lit(_CRLF), piece(a), F.lit(_CRLF))), "")
-    http = F.lit(_CRLF.join(("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Transfer-Encoding: chunked", "", "")))
-    # a revisit has the headers alone
-    block = F.concat(http, F.when(F.col("type") == "revisit", "").otherwise(F.concat(chunks, F.lit("0" + _CRLF + _CRLF))))
-    rows = rows.withColumn("_block", block).drop("_html").withColumn("_total", F.octet_length("_block"))
-    length = F.char_length("_block")
-    rows = rows.withColumn("_at", F.explode(F.sequence(F.lit(1), length, F.lit(segment_chars))))
-    number = ((F.col("_at") - 1) / segment_chars).cast("int") + 1
-    part, last = F.substring(F.col("_block"), F.col("_at"), F.lit(segment_chars)), F.col("_at") + segment_chars > length
-    head = lambda name, value: F.concat(F.lit(f"{_CRLF}{name}: "), value.cast("string"))
-    first, split = number == 1, length > segment_chars
-    fields = F.concat(
-        F.lit("WARC/1.1"),
-        head("WARC-Type", F.when(first, F.col("type")).otherwise("continuation")),
-        head("WARC-Record-ID", F.when(first, F.col("_record")).otherwise(_urn(F.concat_ws("/", F.lit("segment"), "_record", number)))),
-        head("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        head("WARC-Target-URI", F.regexp_replace("_url", r"[\r\n]", "%0A")),
-        head("WARC-Page-ID", F.col("_id")),
-        head("WARC-Payload-Digest", F.col("_digest")),
-        F.when(F.col("type") == "revisit", F.concat(
-            head("WARC-Refers-To-Page-ID", F.col("refers_to")),
-            head("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
-        F.when(split, head("WARC-Segment-Number", number)).otherwise(""),
-        F.when(split & ~first, head("WARC-Segment-Origin-ID", F.col("_record"))).otherwise(""),
-        F.when(split & last, head("WARC-Segment-Total-Length", F.col("_total"))).otherwise(""),
-        head("Content-Type", F.lit("application/http; msgtype=response")),
-        head("Content-Length", F.octet_length(part)),
-        F.lit(_CRLF * 2))
-    (rows.select(F.concat(fields, part).alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip")
+    rows = rows.withColumn("_url", F.regexp_replace("_url", r"[\r\n]", "%0A")).select("_id", "_url", "_html", "_digest", "_record", "type", "refers_to")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The records of each page, a page at a time."""
+        for batch in batches:
+            columns = [batch.column(c) for c in ("_id", "_url", "_html", "_digest", "_record", "type", "refers_to")]
+            held, size = [], 0
+            for i in range(batch.num_rows):
+                for line in archived(*(c[i].as_py() for c in columns), segment_chars, chunk_chars):
+                    held.append(line)
+                    size += len(line)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+
+    (on_workers(rows, lines, "value string").write.option("lineSep", _CRLF * 2).option("compression", "gzip")
      .option("maxRecordsPerFile", file_records).text(path))
 
 
+def archived(page_id: int, url: str, html: str, digest: str, record: str, kind: str, refers_to: int | None,
+             segment_chars: int = SEGMENT_CHARS, chunk_chars: int = CHUNK_CHARS) -> Iterator[str]:
+    """The records of one page: the first, and continuations where the block is
+    longer than a segment. Each character is copied a fixed number of times."""
+    # a revisit has the headers alone
+    pieces = [] if kind == "revisit" else [html[a:a + chunk_chars] for a in range(0, len(html), chunk_chars)]
+    chunks = [f"{len(p.encode()):X}{_CRLF}{p}{_CRLF}" for p in pieces]
+    http = _CRLF.join(("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Transfer-Encoding: chunked", "", ""))
+    block = "".join([http, *chunks, "" if kind == "revisit" else f"0{_CRLF}{_CRLF}"])
+    total, split = len(block.encode()), len(block) > segment_chars
+    for number, at in enumerate(range(0, len(block), segment_chars), 1):
+        part, first = block[at:at + segment_chars], number == 1
+        own = uuid.UUID(hashlib.md5(f"segment/{record}/{number}".encode()).hexdigest())
+        fields = [("WARC-Type", kind if first else "continuation"), ("WARC-Record-ID", record if first else f"<urn:uuid:{own}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
+                  ("WARC-Target-URI", url), ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", digest)]
+        if kind == "revisit":
+            fields += [("WARC-Refers-To-Page-ID", refers_to), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        if split:
+            fields.append(("WARC-Segment-Number", number))
+            if not first:
+                fields.append(("WARC-Segment-Origin-ID", record))
+            if at + segment_chars >= len(block):
+                fields.append(("WARC-Segment-Total-Length", total))
+        fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(part.encode()))]
+        yield "".join(["WARC/1.1", *[f"{_CRLF}{k}: {v}" for k, v in fields], _CRLF * 2, part])
+
+
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of each record of an archive, plain or
     gzip (one member or many)."""

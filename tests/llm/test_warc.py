@@ -84,3 +84,21 @@ def test_chunk_framing():
     assert W.unchunked(b"3\r\nab") == (b"", False)
     assert W.unchunked(b"") == (b"", False)
     assert W.unchunked(b"zz\r\n") == (b"", False)
+
+
+def test_a_page_takes_time_in_proportion(spark):
+    """32 million characters: written in segments, read back whole."""
+    import time
+
+    html = "<p>ünd so weiter</p>\r\n" * (32_000_000 // 22)
+    times = []
+    for part in (html[: len(html) // 8], html):
+        t0 = time.perf_counter()
+        n = sum(len(x) for x in W.archived(1, "u", part, "sha1:X", "<urn:uuid:x>", "response", None))
+        times.append(time.perf_counter() - t0)
+        assert n > len(part)
+    assert times[1] < 8 * 4 * max(times[0], 0.05)
+    df = spark.createDataFrame([(1, "u", html)], SCHEMA)
+    t0 = time.perf_counter()
+    assert got(W.round_trip(df)) == brute([(1, "u", html)])
+    assert time.perf_counter() - t0 < 60
