@@ -26,6 +26,8 @@ from .common import staged
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS, SEED = 3, 20
 RANGE_ROWS = 4096
+#: ranges whose sums one task adds up
+RANGE_BLOCK = 4096
 
 
 def words(text: str = "text") -> Column:
@@ -71,8 +73,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = M
     (repetitions), part (words of one more) and taken, with the ``keep``
     columns. ``weights`` (source, weight) replaces the cycle 1, 2, 3; a source
     that it leaves out has weight 0."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), words().alias("size"), *keep).withColumn("_u", unit), "sizes")
+    # the text too: rows without an identifier, or with the same, are dealt as well
+    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source").cast("string"), F.col("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), words().alias("size"), *keep, unit.alias("_u")), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     if weights is None:
         weighted = cycled_weights(per_source)
@@ -86,11 +89,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = M
     rows = rows.withColumn("_k", _key("source")).withColumn("_range", F.floor(F.col("_u") * F.lit(float(ranges))))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     filled = water_fill(weighted, float(total), max_epochs).select(_key("source").alias("_k"), "source_size", "target", whole.alias("whole"))
-    before = F.sum("_sum").over(Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    places = (rows.groupBy("_k", "_range").agg(F.sum("size").alias("_sum"))
-              .withColumn("_before", F.coalesce(before, F.lit(0))).join(filled, "_k")
+    # sums run over blocks of ranges, then over the ranges of a block, so that no
+    # task sees all ranges of a source
+    block = F.floor(F.col("_range") / RANGE_BLOCK)
+    sums = staged(rows.groupBy("_k", "_range").agg(F.sum("size").alias("_sum")).withColumn("_block", block), "range-sums")
+    ahead = F.sum("_sum").over(Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = sums.groupBy("_k", "_block").agg(F.sum("_sum").alias("_sum")).select("_k", "_block", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = F.sum("_sum").over(Window.partitionBy("_k", "_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    places = (sums.join(blocks, ["_k", "_block"]).withColumn("_before", F.col("_ahead") + F.coalesce(inside, F.lit(0))).join(filled, "_k")
               .withColumn("_rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
-    placed = rows.join(staged(places.drop("_sum"), "ranges"), ["_k", "_range"])
+    placed = rows.join(staged(places.drop("_sum", "_block", "_ahead"), "ranges"), ["_k", "_range"])
     order = Window.partitionBy("_k", "_range").orderBy("_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_rest") - start))

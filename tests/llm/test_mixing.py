@@ -78,3 +78,26 @@ def test_given_weights(spark, documents):
     weights = spark.createDataFrame([("src1", 1.0), ("src2", 3.0)], "source string, weight double")
     out = M.mix(documents, weights).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()
     assert sum(r["target"] > 0 for r in out) == 2
+
+
+def test_rows_without_identifiers_are_dealt_over_ranges(spark, monkeypatch):
+    """40,000 null ids of one source stand in many ranges, and the sums over
+    ranges in two steps are those in one."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one").alias("source"), F.concat(F.lit("words "), F.col("id").cast("string")).alias("text"))
+    df = df.unionByName(spark.range(10).select(F.col("id").alias("doc_id"), F.lit("two").alias("source"), F.lit("a few words").alias("text")))
+    seen = []
+    real = M.staged
+    monkeypatch.setattr(M, "staged", lambda d, name: seen.append((name, real(d, name))) or seen[-1][1])
+
+    def taken(block):
+        seen.clear()
+        monkeypatch.setattr(M, "RANGE_BLOCK", block)
+        return sorted(r["taken"] for r in M.mix(df).collect())
+
+    whole = taken(4096)
+    ranges = next(d for name, d in seen if name == "ranges")
+    assert ranges.filter("_range >= 0").count() >= 9
+    assert taken(2) == whole
+    assert abs(sum(whole) - 80_030) <= 2  # two is taken three times, one has the rest
