@@ -9,11 +9,12 @@ the words before it), and a pair of weights per pair of neighbouring types joins
 Dynamic programming over segments of at most ``MAX_TOKENS`` tokens chooses
 boundaries and types together. A segment may only hold an entity if it has a
 digit or an at sign, so stretches of plain words can have but one labelling,
-and the program runs on the windows around such tokens.
+and the program runs on the windows around such tokens, as a stream: of a window
+of any length only some thousand tokens are held.
 
 It is trained by conditional likelihood on a bounded sample: ``SAMPLE_DOCS``
-documents with a digit or at sign, by hash of the identifier, of which the
-first ``SAMPLE_CHARS`` characters; their labels are the base spans and keys
+documents by hash of the identifier, of which ``SAMPLE_CHARS`` characters from a
+hashed place anywhere in the text, with a digit or at sign in them; their labels are the base spans and keys
 that are assigned to a name such as token or password. What cannot be of a type
 (an address without four parts, a card that fails its checksum, a phone number
 of eight digits) has no weight for it. Prediction covers
@@ -111,38 +112,60 @@ _ANCHOR = re.compile(r"[0-9@]")
 _CONTEXT = 4
 #: beyond so many tokens a window ends where it may
 _WINDOW = 256
+#: tokens that are decoded at a time, and tokens that a candidate's first one looks ahead
+PART, _AHEAD = 4096, MAX_TOKENS + 3
 
 
-def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token places around digits and at signs; the stretches between hold no
+def parts(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
+    """Token places around digits and at signs, in pieces of about ``PART``
+    (tokens, whether the window ends with them); the stretches between hold no
     entity. A window only ends at a blank beside a token with letters, which no
     candidate crosses, some tokens after the last anchor; these tokens lead the
-    next window, as what stands before it."""
+    next window, as what stands before it. A text dense in figures is one window
+    of any length."""
     if not _ANCHOR.search(text):
         return
     tokens: list[tuple[int, int]] = []
+    held = 0  # tokens of this window in earlier pieces
     idle, some, wordy = 0, False, False
     for m in _TOKEN.finditer(text):
         here = bool(_ANCHOR.search(m[0]))
         was, wordy = wordy, m[0][0].isalpha()
         if idle >= _CONTEXT and tokens and m.start() > tokens[-1][1] and (was or wordy):
-            if some and (len(tokens) >= _WINDOW or idle >= MAX_TOKENS):
-                yield tokens
-                some = False
+            if some and (held + len(tokens) >= _WINDOW or idle >= MAX_TOKENS):
+                yield tokens, True
+                some, held = False, 0
             if not some:
                 tokens = tokens[-_CONTEXT:]
+        if len(tokens) >= PART + _CONTEXT:  # the last ones stay, for the next window to begin with
+            if some:
+                yield tokens[:-_CONTEXT], False
+                held += len(tokens) - _CONTEXT
+                tokens = tokens[-_CONTEXT:]
+            else:  # plain words without a place to end: what lies this far back touches no candidate
+                tokens = tokens[-_AHEAD:]
         tokens.append((m.start(), m.end()))
         some, idle = some or here, 0 if here else idle + 1
     if some:
-        yield tokens
+        yield tokens, True
+
+
+def windows(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The windows of ``parts``, each as a whole."""
+    held: list[tuple[int, int]] = []
+    for tokens, ends in parts(text):
+        held += tokens
+        if ends:
+            yield held
+            held = []
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def candidates(text: str, tokens: list[tuple[int, int]], first: int = 0, last: int | None = None) -> list[tuple[int, int]]:
     """Segments (first token, token after the last) that may be an entity: not
     longer than the bound, whole at both ends, with a digit or at sign.
     Blanks may only stand between tokens without letters, of which there have to
     be seven digits, or four parts between dots, and 19 digits at most once
-    there is a blank."""
+    there is a blank. Only segments whose first token is in [first, last)."""
     out = []
     marks = [text[a:b] for a, b in tokens]
     anchored = [bool(_ANCHOR.search(m)) for m in marks]
@@ -150,7 +173,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
     solid = [m[0].isalnum() for m in marks]
     wordy = [x and d < len(m) for m, x, d in zip(marks, solid, digits)]
     tight = [i + 1 < len(tokens) and tokens[i][1] == tokens[i + 1][0] for i in range(len(tokens))]
-    for i in range(len(tokens)):
+    for i in range(first, len(tokens) if last is None else last):
         if not solid[i] and marks[i] not in "+(" or i and tight[i - 1] and (solid[i - 1] or marks[i - 1] in ".-_@+%/"):
             continue  # inside a run that has begun before
         seen = letters = blank = at = False
@@ -247,34 +270,101 @@ class SemiMarkov:
 
     def best(self, text: str, tokens: list[tuple[int, int]]) -> list[Span]:
         """The best labelling of a window."""
-        segs = candidates(text, tokens)
-        if not segs:
+        stream = Decoder(self, text)
+        return [*stream.feed(tokens), *stream.end()]
+
+    def found(self, text: str) -> Iterator[Span]:
+        """The best labelling of each window of a text, as it becomes certain."""
+        stream = Decoder(self, text)
+        for tokens, ends in parts(text):
+            yield from stream.feed(tokens)
+            if ends:
+                yield from stream.end()
+                stream = Decoder(self, text)
+
+
+class Decoder:
+    """The dynamic program over one window, a piece at a time. A segment spans
+    at most MAX_TOKENS tokens, so only that many rows of values go on. Links back
+    are kept from the last place that all labellings still open have in common:
+    what lies before it is certain and is given out."""
+
+    def __init__(self, model: SemiMarkov, text: str):
+        self.model, self.text = model, text
+        self.tokens: list[tuple[int, int]] = []
+        self.base = 0  # place of the first token held
+        self.seeded = self.done = 0  # first tokens whose candidates are known; places whose values are
+        start = np.full(len(TYPES) + 1, -np.inf)
+        start[0] = 0
+        self.value = {0: start}
+        self.back: dict[int, list] = {0: [None] * (len(TYPES) + 1)}
+        self.ending: dict[int, list] = {}
+        self.certain = (0, 0)  # a node of every open labelling
+
+    def feed(self, tokens: list[tuple[int, int]]) -> list[Span]:
+        self.tokens += tokens
+        size = self.base + len(self.tokens)
+        if size - _AHEAD <= self.seeded:
             return []
-        scores = self.scores(text, tokens, segs) - CAUTION
-        ending: dict[int, list[int]] = {}
-        for s in np.flatnonzero(scores.max(1) > -20).tolist():
-            ending.setdefault(segs[s][1], []).append(s)
-        n, types = len(tokens), len(TYPES)
-        value = np.full((n + 1, types + 1), -np.inf)
-        value[0, 0] = 0
-        back: list[list[tuple[int, int, int] | None]] = [[None] * (types + 1) for _ in range(n + 1)]
-        for end in range(1, n + 1):
-            step = value[end - 1] + self.pairs[:, 0]
+        self._seed(size - _AHEAD)
+        self._forward(self.seeded)
+        live = [(p, k) for p in self.value for k in range(len(TYPES) + 1) if self.value[p][k] > -np.inf]
+        return self._settle(live)
+
+    def end(self) -> list[Span]:
+        size = self.base + len(self.tokens)
+        self._seed(size)
+        self._forward(size)
+        return self._settle([(size, int(self.value[size].argmax()))])
+
+    def _seed(self, to: int) -> None:
+        """Candidates that begin before the token at ``to``, with their scores."""
+        segs = candidates(self.text, self.tokens, self.seeded - self.base, to - self.base)
+        if segs:
+            scores = self.model.scores(self.text, self.tokens, segs) - CAUTION
+            for s in np.flatnonzero(scores.max(1) > -20).tolist():
+                i, j = segs[s]
+                self.ending.setdefault(self.base + j, []).append((self.base + i, scores[s], self.tokens[i][0], self.tokens[j - 1][1]))
+        self.seeded = to
+        drop = to - _CONTEXT - 1 - self.base
+        if drop > 0:
+            self.tokens, self.base = self.tokens[drop:], self.base + drop
+
+    def _forward(self, to: int) -> None:
+        pairs, types = self.model.pairs, len(TYPES)
+        for end in range(self.done + 1, to + 1):
+            row, links = np.full(types + 1, -np.inf), [None] * (types + 1)
+            step = self.value[end - 1] + pairs[:, 0]
             prior = int(step.argmax())
-            value[end, 0], back[end][0] = step[prior], (end - 1, prior, -1)
-            for s in ending.get(end, ()):
-                start = segs[s][0]
-                step = value[start][:, None] + self.pairs[:, 1:] + scores[s]
+            row[0], links[0] = step[prior], (end - 1, prior, None)
+            for start, score, a, b in self.ending.pop(end, ()):
+                step = self.value[start][:, None] + pairs[:, 1:] + score
                 prior = step.argmax(0)
                 for t in range(types):
-                    if step[prior[t], t] > value[end, t + 1]:
-                        value[end, t + 1], back[end][t + 1] = step[prior[t], t], (start, int(prior[t]), s)
-        out, at, kind = [], n, int(value[n].argmax())
-        while at:
-            start, prior, s = back[at][kind]
-            if s >= 0:
-                out.append((TYPES[kind - 1], tokens[segs[s][0]][0], tokens[segs[s][1] - 1][1]))
-            at, kind = start, prior
+                    if step[prior[t], t] > row[t + 1]:
+                        row[t + 1], links[t + 1] = step[prior[t], t], (start, int(prior[t]), (TYPES[t], a, b))
+            self.value[end], self.back[end] = row, links
+            self.value.pop(end - MAX_TOKENS, None)
+        self.done = max(self.done, to)
+
+    def _settle(self, live: list[tuple[int, int]]) -> list[Span]:
+        """The spans up to the last node that all labellings from the ``live``
+        nodes have in common."""
+        nodes = set(live)
+        while len(nodes) > 1:  # all of them lead back to the certain node
+            top = max(nodes)
+            nodes.remove(top)
+            nodes.add(self.back[top[0]][top[1]][:2])
+        node = nodes.pop()
+        out, at = [], node
+        while at != self.certain:
+            link = self.back[at[0]][at[1]]
+            if link[2] is not None:
+                out.append(link[2])
+            at = link[:2]
+        for place in [p for p in self.back if p < node[0]]:
+            del self.back[place]
+        self.certain = node
         return out[::-1]
 
 
@@ -368,7 +458,9 @@ def train(texts: list[str], epochs: int = EPOCHS) -> SemiMarkov | None:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> SemiMarkov | None:
-    some = docs.select("doc_id", F.substring(whole_text(), 1, sample_chars).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    text = whole_text()
+    place = F.pmod(F.xxhash64("doc_id", F.char_length(text)), F.greatest(F.char_length(text) - sample_chars + 1, F.lit(1))).cast("int") + 1
+    some = docs.select("doc_id", F.substr(text, place, F.lit(sample_chars)).alias("text")).filter(F.col("text").rlike("[0-9@]"))
     rows = hash_sample(some, ["doc_id", "text"], sample_docs).orderBy("_rank").collect()
     return train([r["text"] for r in rows])
 
@@ -378,7 +470,7 @@ def spans(text: str, model: SemiMarkov | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if model is None:
         return base, base
-    found = [x for tokens in windows(text) for x in model.best(text, tokens)]
+    found = list(model.found(text))
     if not found:
         return base, base
     taken = sorted((a, b) for _, a, b in base)
