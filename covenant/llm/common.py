@@ -82,11 +82,12 @@ def shuffle_files_dropped(spark: SparkSession):
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
+    """``df`` written to the shared folder and read again (zstd: these tables
+    hold whole texts, and lie there until the cluster's retention deletes them)."""
     spark = df.sparkSession
     path = scratch(spark, name)
     with shuffle_files_dropped(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
