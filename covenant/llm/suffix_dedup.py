@@ -6,14 +6,17 @@ earlier: in a document with a smaller identifier, or before it in the same one.
 1. Anchors. Of the ``k``-byte strings inside a window of ``length`` bytes, the
    leftmost with the least hash is the window's anchor, so equal windows have
    the same anchor at the same place, and each window belongs to one anchor.
-   The consecutive windows of one anchor make a segment. Task by task, equal
-   segments fold into their first; of a segment that meets others under the
-   same anchor hash, only one row per task goes on to say so. So a passage in a
-   third of all documents costs a row per record batch in one partition.
-2. Under each anchor hash, later copies of a whole segment are removed (equal
-   by two independent 64-bit hashes), and segments that differ are left for
-   step 3; all others are unique, as their windows occur nowhere else.
-3. Suffix sort. Of the segments left, the suffixes that start at the anchor and
+   The consecutive windows of one anchor make a segment. Batch by batch, equal
+   segments (hashes first, then their bytes) fold into their first; of a segment
+   that meets others under the same anchor hash, only one row per batch goes on
+   to say so. So a passage in a third of all documents costs a row per record
+   batch in one partition, which reads its rows as a stream.
+2. Under each anchor hash, segments of equal content hash are left for a
+   comparison of their bytes, and segments that differ for the suffix sort; all
+   others are unique, as their windows occur nowhere else.
+3. Comparison: segments that equal an earlier one byte by byte are removed. Of
+   a collision of hashes, one segment of each content is sorted as well.
+4. Suffix sort. Of the segments left, the suffixes that start at the anchor and
    the reversed prefixes that end there are merge-sorted. Prefix polynomial
    hashes give the common extension of two of them by binary search, so a
    comparison takes logarithmic time; the extensions between neighbours in the
@@ -21,8 +24,9 @@ earlier: in a document with a smaller identifier, or before it in the same one.
    a sort of the bytes themselves. Two windows are equal when the extensions
    on both sides cover them; of equal windows the earliest stays. Anchors with
    over ``HOT`` segments are split: each window becomes a segment of its own
-   under its own hash, and copies fold task by task before they are dealt.
-4. A document's removed windows are joined into runs.
+   under its own hash, copies fold task by task before they are dealt, and the
+   bytes of the others are compared as in step 3.
+5. A document's removed windows are joined into runs.
 
 Nulls and ties: a null text counts as empty, a null identifier sorts first.
 Rows that repeat an identifier are the parts of one document, in the order of
@@ -87,10 +91,10 @@ class PrefixHash:
         return lo
 
 
-def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K, bits: int = 64) -> tuple[np.ndarray, ...]:
     """For each segment of the pieces that end at ``ends``: anchor hash, content
-    hash, piece, first window, number of windows, and the anchor's distance
-    from the first window. No window crosses the end of a piece."""
+    hash (of ``bits`` bits), piece, first window, number of windows, and the anchor's
+    distance from the first window. No window crosses the end of a piece."""
     if len(data) < length:
         return (np.zeros(0, np.int64),) * 6
     first, second = PrefixHash(data, _P), PrefixHash(data, _Q)
@@ -115,6 +119,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
     start, count, anchor = window[cuts], np.diff(cuts, append=len(window)), place[cuts]
     off = anchor - start
     content = _stir(second.of(start, count + length - 1)) ^ _stir(off.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + count.astype(np.uint64))
+    content >>= np.uint64(64 - bits)
     return grams[anchor].view(np.int64), content.view(np.int64), np.searchsorted(ends, start, "right"), start, count, off
 
 
@@ -124,11 +129,13 @@ def pieces(text: bytes, length: int = LENGTH, size: int = PIECE) -> Iterator[tup
         yield a, np.frombuffer(text, np.uint8, min(len(text) - a, size + length - 1), a)
 
 
-#: kinds of rows: windows to remove; a segment that may be unique; a segment
-#: to sort; a segment to sort that tells the others under its anchor hash
-_GONE, _ALONE, _SORT, _SIGN = 0, 1, 2, 3
-#: key is the anchor hash where rows have to meet, else it spreads them; size
-#: holds kind, number of windows and the anchor's distance
+#: kinds of rows: windows to remove; a segment that may be unique; a segment to
+#: sort; a segment to sort that tells the others under its anchor hash; a segment
+#: to compare with others of its content hash; a single window to compare
+_GONE, _ALONE, _SORT, _SIGN, _CHECK, _WINDOW = 0, 1, 2, 3, 4, 5
+#: key is the hash where rows have to meet, else it spreads them; s is the content
+#: hash, and after step 2 the anchor hash; size holds kind, number of windows and
+#: the anchor's distance
 _FIELDS = "key long, s long, doc long, pos long, size long"
 _NAMES = ["key", "s", "doc", "pos", "size"]
 
@@ -170,11 +177,18 @@ def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [key, s, doc, pos, size >> 48, (size >> 16) & 0xFFFFFFFF, size & 0xFFFF]
 
 
-def _folded(h, s, doc, pos, n, off) -> Iterator[pa.RecordBatch]:
-    """The segments of one record batch, equal ones folded into the first."""
+def _folded(texts: list[bytes], length: int, h, s, doc, pos, n, off, which) -> Iterator[pa.RecordBatch]:
+    """The segments of one record batch, equal ones folded into the first.
+    Segments of equal hashes and other bytes are kept as different ones."""
     order = np.lexsort((pos, doc, s, h))
-    h, s, doc, pos, n, off = (x[order] for x in (h, s, doc, pos, n, off))
+    h, s, doc, pos, n, off, which = (x[order] for x in (h, s, doc, pos, n, off, which))
     new_h, new_s = _runs(h), _runs(h, s)
+    first = np.maximum.accumulate(np.where(new_s, np.arange(len(h)), 0))
+    at, end = pos & ((1 << _PART) - 1), (pos & ((1 << _PART) - 1)) + n + length - 1
+    later = np.flatnonzero(~new_s)
+    mine, other = (zip(which[i].tolist(), at[i].tolist(), end[i].tolist()) for i in (later, first[later]))
+    same = [texts[t][a:b] == texts[u][c:d] for (t, a, b), (u, c, d) in zip(mine, other)]
+    new_s[later] = ~np.array(same, bool)
     group = np.cumsum(new_h) - 1
     shared = np.bincount(group, new_s)[group] > 1
     if not new_s.all():
@@ -186,44 +200,48 @@ def _folded(h, s, doc, pos, n, off) -> Iterator[pa.RecordBatch]:
         yield _batch(_spread(doc[near], pos[near]), h[near], doc[near], pos[near], _size(_SORT, n[near], off[near]))
 
 
-def anchored(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def anchored(rows: DataFrame, length: int = LENGTH, k: int = K, bits: int = 64) -> DataFrame:
     """Step 1 for rows (doc, part, text)."""
 
     def run(batches):
         for batch in batches:
-            found, held, docs, parts, i = [], [], pylist(batch, "doc"), pylist(batch, "part"), 0
+            found, held, texts, docs, parts = [], [], [], pylist(batch, "doc"), pylist(batch, "part")
             for some in slices(batch, "text", PIECE):
                 for text in utf8(some, "text"):
+                    i = len(texts)
+                    texts.append(text)
                     for a, data in pieces(text, length):
-                        held.append((docs[i], (parts[i] << _PART) + a, data))
+                        held.append((i, docs[i], (parts[i] << _PART) + a, data))
                         if len(data) >= PIECE:
-                            found.append(_together(held, length, k))
+                            found.append(_together(held, length, k, bits))
                             held = []
-                    i += 1
                 if held:
-                    found.append(_together(held, length, k))
+                    found.append(_together(held, length, k, bits))
                     held = []
             columns = [np.concatenate(c) for c in zip(*found)] if found else []
             if columns and len(columns[0]):
-                yield from _folded(*columns)
+                yield from _folded(texts, length, *columns)
 
     return on_workers(rows, run, _FIELDS)
 
 
-def _together(held, length: int, k: int) -> tuple[np.ndarray, ...]:
-    data = np.concatenate([d for _, _, d in held])
-    ends = np.cumsum([len(d) for _, _, d in held])
-    h, s, which, start, n, off = segments(data, ends, length, k)
-    docs = np.array([d for d, _, _ in held], np.int64)
-    base = np.array([p - e + len(d) for (_, p, d), e in zip(held, ends.tolist())], np.int64)
-    return h, s, docs[which], start + base[which], n, off
+def _together(held, length: int, k: int, bits: int) -> tuple[np.ndarray, ...]:
+    data = np.concatenate([d for *_, d in held])
+    ends = np.cumsum([len(d) for *_, d in held])
+    h, s, which, start, n, off = segments(data, ends, length, k, bits)
+    texts = np.array([i for i, *_ in held], np.int64)
+    docs = np.array([d for _, d, _, _ in held], np.int64)
+    base = np.array([p - e + len(d) for (_, _, p, d), e in zip(held, ends.tolist())], np.int64)
+    return h, s, docs[which], start + base[which], n, off, texts[which]
 
 
 def _whole_runs(batches) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal keys from batches sorted by key."""
+    """Tables of whole runs of equal keys from batches sorted by key, and
+    ``None`` for a batch without rows."""
     held = []
     for batch in batches:
         if not batch.num_rows:
+            yield None
             continue
         key = batch.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
@@ -237,34 +255,83 @@ def _whole_runs(batches) -> Iterator[pa.Table]:
 
 
 def told(marked: DataFrame) -> DataFrame:
-    """Step 2: windows to remove, and segments to sort (anchor hash in s). A
-    run has a row per record batch of the documents at most, and is held whole."""
-    dealt = marked.repartition("key").sortWithinPartitions("key")
+    """Step 2: windows to remove, segments to compare (content hash in key,
+    anchor hash in s) and segments to sort (anchor hash in s). Rows of an
+    anchor hash are a stream: of those read before, only the first of the
+    content hash at hand is held."""
+    dealt = marked.repartition("key").sortWithinPartitions("key", "s", "doc", "pos")
 
     def run(batches):
-        for some in _whole_runs(batches):
-            key, s, doc, pos, kind, n, off = _unpacked(some.to_batches()[0])
+        held, known, sorted_, compared_ = None, False, False, False
+        for batch in batches:
+            key, s, doc, pos, kind, n, off = _unpacked(batch)
             passed = (kind == _GONE) | (kind == _SORT)
             if passed.any():
                 yield _batch(key[passed], s[passed], doc[passed], pos[passed], _size(kind[passed], n[passed], off[passed]))
-            h, s, doc, pos, kind, n, off = (x[~passed] for x in (key, s, doc, pos, kind, n, off))
-            if not len(h):
+            rows = [x[~passed] for x in (key, s, doc, pos, kind, n, off)]
+            if not len(rows[0]):
                 continue
-            order = np.lexsort((pos, doc, s, h))
-            h, s, doc, pos, kind, n, off = (x[order] for x in (h, s, doc, pos, kind, n, off))
+            if held is not None:
+                rows = [np.concatenate([[x], y]) for x, y in zip(held, rows)]
+            h, s, doc, pos, kind, n, off = rows
             new_h, new_s = _runs(h), _runs(h, s)
-            group = np.cumsum(new_h) - 1
-            shared = ((np.bincount(group, new_s) > 1) | (np.bincount(group, kind == _SIGN) > 0))[group]
-            copy = ~new_s & (kind == _ALONE)
-            if copy.any():
-                yield _gone(doc[copy], pos[copy], n[copy])
-            left = ~copy & shared
-            if left.any():
-                yield _batch(_spread(doc[left], pos[left]), h[left], doc[left], pos[left], _size(_SORT, n[left], off[left]))
+            group, run_ = np.cumsum(new_h) - 1, np.cumsum(new_s) - 1
+            meets = (np.bincount(group, new_s) > 1) | (np.bincount(group, kind == _SIGN) > 0)
+            meets[0] |= known and held is not None
+            copied = np.bincount(run_) > 1
+            check, sort = ~new_s | copied[run_], new_s & meets[group]
+            # the row held has been given out before, as what it was then
+            check[0] &= not (held is not None and compared_)
+            sort[0] &= not (held is not None and sorted_)
+            if check.any():
+                yield _batch(s[check], h[check], doc[check], pos[check], _size(_CHECK, n[check], off[check]))
+            if sort.any():
+                yield _batch(_spread(doc[sort], pos[sort]), h[sort], doc[sort], pos[sort], _size(_SORT, n[sort], off[sort]))
+            last = int(np.flatnonzero(new_s)[-1])
+            carried = last == 0 and held is not None
+            known = bool(meets[-1])
+            compared_, sorted_ = bool(copied[-1]) or (carried and compared_), known
+            held = [int(x[last]) for x in rows]
 
     return on_workers(dealt, run, _FIELDS)
 
 
+class Equal:
+    """Rows sorted by (kind, key, doc, pos): which equal an earlier one of their
+    key byte by byte. Of a key, one row for each content is held."""
+
+    def __init__(self):
+        self.key, self.firsts = None, {}
+
+    def _clash(self) -> list[tuple]:
+        return [row for row in self.firsts.values()] if self.key and self.key[0] == _CHECK and len(self.firsts) > 1 else []
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Windows to remove; segments of different content under one hash, to sort."""
+        gone, clash = [], []
+        rows = zip(*(pylist(batch, c) for c in [*_NAMES, "bytes"]))
+        for key, s, doc, pos, size, piece in rows:
+            if (size >> 48, key) != self.key:
+                clash += self._clash()
+                self.key, self.firsts = (size >> 48, key), {}
+            if piece in self.firsts:
+                gone.append((doc, pos, (size >> 16) & 0xFFFFFFFF))
+            else:
+                self.firsts[piece] = s, doc, pos, size
+        if gone:
+            yield _gone(*(np.array(c, np.int64) for c in zip(*gone)))
+        yield from self._sorted(clash)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self._sorted(self._clash())
+
+    @staticmethod
+    def _sorted(clash) -> Iterator[pa.RecordBatch]:
+        if clash:
+            s, doc, pos, size = (np.array(c, np.int64) for c in zip(*clash))
+            yield _batch(_spread(doc, pos), s, doc, pos, (size & ((1 << 48) - 1)) | (_SORT << 48))
+
+
 def merge_order(hashes: PrefixHash, data: np.ndarray, place: np.ndarray, limit: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge sort, group by group, of the suffixes that start at ``place`` and
     have ``limit`` bytes; rows of a group stand together. Also each suffix's
@@ -360,13 +427,16 @@ def repeats(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray,
     return np.concatenate(out_doc), np.concatenate(out_pos)
 
 
-def compared(rows: DataFrame, to_sort: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Step 3: windows to remove among the segments to sort."""
-    some = to_sort.select(F.col("s").alias("h"), "doc", "pos", "size")
-    many = staged(some.groupBy("h").count().filter(F.col("count") > hot).select("h", F.lit(True).alias("hot")), "hot")
-    flagged = salted_left_join(some, many, ["h"], F.col("pos")).select("doc", F.shiftright("pos", _PART).alias("part"), F.struct(
-        "h", "pos", "size", F.coalesce("hot", F.lit(False)).alias("hot")).alias("seg"))
-    per_doc = flagged.groupBy("doc", "part").agg(F.collect_list("seg").alias("segs"))
+def compared(rows: DataFrame, left: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """Steps 3 and 4: windows to remove among the segments left to compare and
+    to sort; segments whose hashes collide are returned as ones to sort."""
+    kind = F.shiftright("size", 48)
+    some = left.select("key", F.col("s").alias("h"), "doc", "pos", "size")
+    to_sort = some.filter(kind == _SORT)
+    many = staged(to_sort.groupBy("h").count().filter(F.col("count") > hot).select("h", F.lit(True).alias("hot")), "hot")
+    flagged = salted_left_join(to_sort, many, ["h"], F.col("pos")).select("key", "h", "doc", "pos", "size", F.coalesce("hot", F.lit(False)).alias("hot"))
+    flagged = flagged.unionAll(some.filter(kind == _CHECK).select("*", F.lit(False).alias("hot")))
+    per_doc = flagged.groupBy("doc", F.shiftright("pos", _PART).alias("part")).agg(F.collect_list(F.struct("key", "h", "pos", "size", "hot")).alias("segs"))
     texts = rows.join(per_doc, ["doc", "part"]).select("doc", "text", "segs")
     fields, names = _FIELDS + ", bytes binary", [*_NAMES, "bytes"]
 
@@ -380,7 +450,8 @@ def compared(rows: DataFrame, to_sort: DataFrame, length: int = LENGTH, hot: int
                     for seg in segs:
                         start, n = seg["pos"] & ((1 << _PART) - 1), (seg["size"] >> 16) & 0xFFFFFFFF
                         if not seg["hot"]:
-                            out.append((seg["h"], 0, doc, seg["pos"], seg["size"], text[start:start + n + length - 1]))
+                            key = seg["key"] if seg["size"] >> 48 == _CHECK else seg["h"]
+                            out.append((key, seg["h"], doc, seg["pos"], seg["size"], text[start:start + n + length - 1]))
                             continue
                         for i in range(n):
                             piece, own = text[start + i:start + i + length], (doc, seg["pos"] + i)
@@ -392,22 +463,33 @@ def compared(rows: DataFrame, to_sort: DataFrame, length: int = LENGTH, hot: int
                                 gone.append(max(old, own))
                 for piece, (doc, pos) in single.items():
                     key = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                    out.append((key, 0, doc, pos, (_SORT << 48) | (1 << 16), piece))
+                    out.append((key, 0, doc, pos, (_WINDOW << 48) | (1 << 16), piece))
                 if gone:
                     g = _gone(*(np.array(c, np.int64) for c in zip(*((d, p, 1) for d, p in gone))))
                     yield pa.RecordBatch.from_arrays([*g.columns, pa.nulls(g.num_rows, pa.binary())], names=names)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(zip(*out))], names=names)
 
-    dealt = on_workers(texts, cut, fields).repartition("key").sortWithinPartitions("key")
+    dealt = on_workers(texts, cut, fields).repartition("key").sortWithinPartitions(kind, "key", "doc", "pos")
 
     def compare(batches):
-        for some in _whole_runs(batches):
+        equal, found = Equal(), []
+
+        def sorts():
+            for whole in batches:
+                at = whole.column("size").to_numpy() >> 48
+                if (at == _GONE).any():
+                    found.append(whole.select(_NAMES).filter(pa.array(at == _GONE)))
+                if (at >= _CHECK).any():
+                    found.extend(equal.add(whole.filter(pa.array(at >= _CHECK))))
+                yield whole.filter(pa.array(at == _SORT))
+
+        for some in _whole_runs(sorts()):
+            yield from found
+            found.clear()
+            if some is None:
+                continue
             whole = some.to_batches()[0]
-            passed = _unpacked(whole)[4] == _GONE
-            if passed.any():
-                yield whole.select(_NAMES).filter(pa.array(passed))
-            whole = whole.filter(pa.array(~passed))
             key, _, doc, pos, _, n, off = _unpacked(whole)
             new = np.flatnonzero(_runs(key))
             a = 0
@@ -418,6 +500,8 @@ def compared(rows: DataFrame, to_sort: DataFrame, length: int = LENGTH, hot: int
                 if len(found_doc):
                     yield _gone(found_doc, found_pos, np.ones(len(found_doc), np.int64))
                 a = b
+        yield from found
+        yield from equal.end()
 
     return on_workers(dealt, compare, _FIELDS)
 
@@ -450,8 +534,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: b
     rows = parted(docs)
     marks = staged(told(anchored(rows, length, k)), "marks")
     kind = F.shiftright("size", 48)
-    more = staged(compared(rows, marks.filter(kind == _SORT), length), "compared")
-    gone = marks.filter(kind == _GONE).unionAll(more)
+    more = staged(compared(rows, marks.filter(kind != _GONE), length), "compared")
+    gone = marks.filter(kind == _GONE).unionAll(more.filter(kind == _GONE))
+    clash = more.filter(kind == _SORT)
+    if not clash.isEmpty():  # with all that they share an anchor hash with
+        under = marks.filter(kind == _SORT).join(clash.select("s").distinct(), "s", "left_semi").select(*_NAMES)
+        again = under.unionAll(clash).dropDuplicates(["s", "doc", "pos", "size"])
+        gone = gone.unionAll(staged(compared(rows, again, length), "clashes"))
     start = F.col("pos").bitwiseAND(F.lit((1 << _PART) - 1))
     per_doc = gone.groupBy("doc", F.shiftright("pos", _PART).alias("part")).agg(
         F.collect_list(F.struct(start.alias("a"), F.shiftright("size", 16).bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"))).alias("gone"))

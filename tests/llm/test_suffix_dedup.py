@@ -52,6 +52,32 @@ def test_short_strings_and_hot_anchors(spark, monkeypatch, letters, hot):
     assert got(S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows, 8)
 
 
+@pytest.mark.parametrize("bits,hot", [(0, 512), (2, 512), (2, 3), (6, 512)])
+def test_colliding_content_hashes_keep_the_bytes(spark, monkeypatch, bits, hot):
+    """With content hashes of a few bits, segments of different bytes meet as
+    equal ones, in a record batch, across tasks and beyond hot anchors."""
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("abc ") for _ in range(rng.choice([0, 8, 9, 30, 90])))) for i in range(50)]
+    rows += [(100 + i, rows[rng.randrange(50)][1]) for i in range(30)]
+    monkeypatch.setattr(S.deduplicated, "__defaults__", (8, 3, False))
+    monkeypatch.setattr(S.anchored, "__defaults__", (8, 3, bits))
+    monkeypatch.setattr(S.compared, "__defaults__", (8, hot))
+    assert got(S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute(rows, 8)
+
+
+def test_rows_of_an_anchor_are_a_stream(spark):
+    """One copied segment and one anchor with many segments, in batches of a few rows."""
+    rng = random.Random(2)
+    line = "the same line stands in every one of the documents, and what stands around it is other text. " * 2
+    rows = [(i, line if i % 2 else "".join(rng.choice("xyz") for _ in range(150)) + line + str(i)) for i in range(60)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert got(S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))) == brute(rows, S.LENGTH)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_merge_order_against_sorted_bytes():
     random.seed(5)
     texts = [bytes(random.choice(b"ab") for _ in range(random.randint(1, 30))) for _ in range(300)]
