@@ -6,10 +6,12 @@ largest inner products are the nearest neighbours. Vectors are keyed by their
 nearest pivot and the distance to it, range-sorted by that key, and cut into
 annuli of at most ``ANNULUS_ROWS`` vectors.
 
-Queries are blocked in the same order. A block of queries meets the annuli of
-a pivot that the triangle inequality leaves open, from the sorted middle
-outwards; the k-th best score so far closes annuli whose bound lies below it.
-The first scores come from the sample that the pivots are taken from.
+Queries are cut into tiles in the same order. A tile of up to ``TILE_ROWS``
+queries meets the annuli of a pivot that the triangle inequality leaves open,
+from the sorted middle outwards; the k-th best score so far closes annuli, for
+each query of its own, whose bound lies below it. The first scores come from
+the sample that the pivots are taken from. An annulus is sent to a tile once,
+and a tile's queries to each task that has some of its annuli.
 
 Fitting reads a bounded sample (``SAMPLE`` vectors, by hash of the identifier)
 for at most ``PIVOTS`` pivots; every vector is indexed and the result is exact.
@@ -27,13 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import hash_sample, on_workers, pylist, staged
 
 PIVOTS, SAMPLE = 64, 2048
 ANNULUS_ROWS, QUERY_ROWS = 2048, 256
-SHARDS = 16
+#: queries that a task holds at once (and the bytes of their vectors) while annuli pass by
+TILE_ROWS, TILE_BYTES = 1 << 16, 32 << 20
+#: tasks that share a tile's annuli, at least; and about the annuli of one such task
+SHARDS, SHARD_ANNULI = 16, 1024
 #: scores are whole numbers; beyond this product of lengths floats may round
 _EXACT = float(2 ** 52)
 #: no score; its negative is a long too
@@ -165,8 +171,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
     dim, square, most = vectors.agg(F.max(F.size("x")), F.max(norm), F.max(top)).first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = max(dim, queries.agg(F.max(F.size("x"))).first()[0] or 0)
-    reach, kind = float(np.sqrt(square)), stored(most)
+    query_dim, query_most = queries.agg(F.max(F.size("x")), F.max(top)).first()
+    dim = max(dim, query_dim or 0)
+    reach, kind, query_kind = float(np.sqrt(square)), stored(most), stored(query_most or 0.0)
     centres, sample_ids, sample_x = fit(vectors, dim, pivots, sample)
     annuli = staged(indexed(vectors, centres, square, kind).withColumn("annulus", F.monotonically_increasing_id()), "annuli")
 
@@ -182,10 +189,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in q], pa.binary()), pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1)), pa.array(best.floor())], names=["id", "x", "pivot", "far", "floor"])
 
     told = staged(on_workers(queries, first, "id long, x binary, pivot int, far double, floor long"), "told")
-    dealt = told.repartitionByRange("pivot", "far", "id").sortWithinPartitions("pivot", "far", "id")
+    tile_rows = max(QUERY_ROWS, min(TILE_ROWS, TILE_BYTES // (8 * dim + 1)))
+    tiles = -(-told.count() // tile_rows)
+    dealt = told.repartitionByRange(max(1, tiles), "pivot", "far", "id").sortWithinPartitions("pivot", "far", "id")
 
     def block(batches):
-        """Blocks of neighbouring queries with the annulus that each pivot's vectors have to lie in."""
+        """Blocks of neighbouring queries, their tile, and for each pivot where its vectors have to lie."""
+        seen = 0
         for batch in batches:
             for a in range(0, batch.num_rows, QUERY_ROWS):
                 part = batch.slice(a, QUERY_ROWS)
@@ -196,37 +206,52 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
                 room = (q * q).sum(1) + square - 2 * floor.astype(float)
                 radius = np.where(floor == _NONE, np.inf, np.sqrt(np.maximum(room, 0)) + 1e-6 * (1 + reach))
                 spans = [{"pivot": p, "from": float((d[:, p] - radius).min()), "to": float((d[:, p] + radius).max()), "mid": float(d[:, p].mean())} for p in range(len(centres))]
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([raw], pa.binary()), pa.array([floor.tobytes()], pa.binary()),
-                                                  pa.array([spans], pa.list_(pa.struct([("pivot", pa.int32()), ("from", pa.float64()), ("to", pa.float64()), ("mid", pa.float64())])))], names=["qids", "qs", "floors", "spans"])
-
-    blocks = staged(on_workers(dealt, block, "qids binary, qs binary, floors binary, spans array<struct<pivot:int,from:double,to:double,mid:double>>").withColumn("block", F.monotonically_increasing_id()), "blocks")
-    # a pivot may hold any share of the vectors: its annuli are dealt over several tasks
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SHARDS)]))
-    spans = blocks.select("block", F.explode("spans").alias("s")).select("block", salts.alias("salt"), F.col("s.pivot").alias("pivot"), F.col("s.from").alias("from"), F.col("s.to").alias("to"), F.col("s.mid").alias("mid"))
-    rings = annuli.select("annulus", "pivot", "lo", "hi", F.pmod(F.xxhash64("annulus"), F.lit(SHARDS)).cast("int").alias("salt"))
-    open_ = rings.join(spans, ["pivot", "salt"]).filter("hi >= `from` and lo <= `to`").select(
-        "annulus", "block", F.greatest(F.col("lo") - F.col("mid"), F.col("mid") - F.col("hi"), F.lit(0.0)).alias("gap"))
-    pairs = open_.join(annuli, "annulus").join(blocks.drop("spans"), "block").withColumn("shard", F.pmod(F.xxhash64("annulus"), F.lit(SHARDS)))
-    work = pairs.repartition("block", "shard").sortWithinPartitions("block", "shard", "gap", "annulus")
+                tile = TaskContext.get().partitionId() << 32 | seen // tile_rows
+                seen += part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int64()), pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([q.astype(query_kind).tobytes()], pa.binary()), pa.array([floor.tobytes()], pa.binary()),
+                                                  pa.array([spans], pa.list_(pa.struct([("pivot", pa.int32()), ("from", pa.float64()), ("to", pa.float64()), ("mid", pa.float64())])))], names=["tile", "ids", "xs", "floors", "spans"])
+
+    blocks = staged(on_workers(dealt, block, "tile long, ids binary, xs binary, floors binary, spans array<struct<pivot:int,from:double,to:double,mid:double>>"), "blocks")
+    # the annuli that are open to a tile are dealt over several tasks, more of them the more annuli there are
+    shards = max(SHARDS, -(-annuli.count() // SHARD_ANNULI))
+    spans = blocks.select("tile", F.explode("spans").alias("s")).groupBy("tile", F.col("s.pivot").alias("pivot")).agg(
+        F.min("s.from").alias("from"), F.max("s.to").alias("to"), F.avg("s.mid").alias("mid"))
+    spans = spans.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rings = annuli.select("annulus", "pivot", "lo", "hi", F.pmod(F.xxhash64("annulus"), F.lit(shards)).cast("int").alias("shard"))
+    open_ = rings.join(spans, ["pivot", "shard"]).filter("hi >= `from` and lo <= `to`").select(
+        "annulus", "tile", "shard", F.greatest(F.col("lo") - F.col("mid"), F.col("mid") - F.col("hi"), F.lit(0.0)).alias("gap"))
+    # a tile's queries go to each of its shards once, an annulus to each tile once
+    sent = open_.join(annuli, "annulus").select("tile", "shard", "gap", "annulus", "pivot", "lo", "hi", "ids", "xs", F.lit(None).cast("binary").alias("floors"))
+    asked = blocks.join(open_.select("tile", "shard").distinct(), "tile").select(
+        "tile", "shard", F.lit(-1.0).alias("gap"), *[F.lit(None).cast(t).alias(c) for c, t in (("annulus", "long"), ("pivot", "int"), ("lo", "double"), ("hi", "double"))], "ids", "xs", "floors")
+    work = asked.unionAll(sent).repartition("tile", "shard").sortWithinPartitions("tile", "shard", "gap", "annulus")
 
     def expand(batches) -> Iterator[pa.RecordBatch]:
-        """Annuli of a block from the nearest outwards."""
-        own = best = q = d = floor = both = None
+        """The queries of a tile first, then its annuli from the nearest outwards."""
+        own, held = None, []
+        best = q = d = floor = both = None
 
         def done():
-            rows = [(int(best.query_ids[i]), int(v), int(s)) for i in range(len(best.query_ids)) for v, s in zip(best.ids[i], best.scores[i]) if s != _NONE and s >= floor[i]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "vec_id", "score"]) if rows else None
+            if best is None:
+                return
+            for a in range(0, len(q), QUERY_ROWS):
+                rows = [(int(best.query_ids[i]), int(v), int(s)) for i in range(a, min(a + QUERY_ROWS, len(q))) for v, s in zip(best.ids[i], best.scores[i]) if s != _NONE and s >= floor[i]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("block", "shard", "pivot", "lo", "hi")}
-                if own != (row["block"], row["shard"]):
-                    if best is not None and (out := done()) is not None:
-                        yield out
-                    own = (row["block"], row["shard"])
-                    ids = np.frombuffer(batch.column("qids")[i].as_py(), np.int64)
-                    q = np.frombuffer(batch.column("qs")[i].as_py()).reshape(len(ids), dim)
-                    floor = np.frombuffer(batch.column("floors")[i].as_py(), np.int64)
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if own != (row["tile"], row["shard"]):
+                    yield from done()
+                    own, held, best = (row["tile"], row["shard"]), [], None
+                if row["floors"] is not None:
+                    held.append((row["ids"], row["xs"], row["floors"]))
+                    continue
+                if best is None:
+                    ids, xs, floors = (b"".join(c) for c in zip(*held))
+                    ids, floor, held = np.frombuffer(ids, np.int64), np.frombuffer(floors, np.int64), []
+                    q = np.frombuffer(xs, query_kind).reshape(len(ids), dim).astype(float)
                     d, best = distances(q, np.zeros(len(q)), centres), Best(ids, k)
                     both = (q * q).sum(1) + square
                 # triangle inequality: |q - x| is at least the gap between the distances to the pivot
@@ -235,11 +260,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
                 bound = (both - gap * gap) / 2
                 rows = np.flatnonzero(bound >= np.maximum(best.floor(), floor) - 0.5)
                 if len(rows):
-                    vec = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                    x = np.frombuffer(batch.column("xs")[i].as_py(), kind).reshape(len(vec), dim).astype(float)
-                    best.add(rows, products(q[rows], x), vec)
-        if best is not None and (out := done()) is not None:
-            yield out
+                    vec = np.frombuffer(row["ids"], np.int64)
+                    x = np.frombuffer(row["xs"], kind).reshape(len(vec), dim).astype(float)
+                    for a in range(0, len(rows), QUERY_ROWS):
+                        some = rows[a:a + QUERY_ROWS]
+                        best.add(some, products(q[some], x), vec)
+        yield from done()
 
     found = on_workers(work, expand, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -32,6 +32,8 @@ def test_embeddings(spark):
 def test_small_annuli_ties_and_odd_vectors(spark, monkeypatch, rows):
     monkeypatch.setattr(T.indexed, "__defaults__", (rows,))
     monkeypatch.setattr(T, "QUERY_ROWS", 3)
+    monkeypatch.setattr(T, "TILE_ROWS", 7)
+    monkeypatch.setattr(T, "SHARD_ANNULI", 5)
     rng = np.random.default_rng(4)
     data = [(int(i), [float(c) for c in rng.integers(-2, 3, 3) / 4]) for i in range(300)]
     data += [(400, None), (420, [1.0, None, 0.0]), (440, [float("nan"), 0.0, 1.0]), (460, [float("inf"), 0.0, 1.0]), (480, [1.0]), (500, []), (None, [1.0, 1.0, 1.0])]
@@ -51,3 +53,16 @@ def test_empty_and_few(spark):
     assert got(spark.createDataFrame([], schema), 20) == set()
     assert got(spark.createDataFrame([(0, [1.0]), (3, [2.0])], schema), 20) == {(0, 1, 3, 64 * 128)}
     assert got(spark.createDataFrame([(0, [1.0])], schema), 20) == set()
+
+
+def test_one_tile_and_many(spark, monkeypatch):
+    """Queries in one tile, or in tiles of one block, find the same."""
+    rng = np.random.default_rng(6)
+    data = [(i, [float(c) for c in rng.normal(i % 5, 0.3, 4)]) for i in range(400)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(T.indexed, "__defaults__", (16,))
+    exp = brute(data, 6)
+    assert got(df, 6) == exp
+    monkeypatch.setattr(T, "QUERY_ROWS", 2)
+    monkeypatch.setattr(T, "TILE_BYTES", 1)
+    assert got(df, 6) == exp
