@@ -272,19 +272,25 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_B
 
 
 def grouped(rows: DataFrame, value: Column, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, component, least): each fingerprint of ``rows`` once, its
-    component's smallest fingerprint, and the least ``value`` of its own rows."""
-    distinct = staged(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(value).alias("least")), "distinct")
+    """(fp, component, least, n, linked): each fingerprint of ``rows`` once, its
+    component's smallest fingerprint, the least ``value`` of its own rows, how
+    many these are, and whether another fingerprint is in its component."""
+    distinct = staged(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(value).alias("least"), F.count("*").alias("n")), "distinct")
     found = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("node", "fp")
-    return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least", "n", F.col("component").isNotNull().alias("linked"))
 
 
 def labelled(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``rows`` (_id, _fp, ...) with _component."""
-    own = staged(grouped(rows, F.col("_id"), max_bits), "components")
-    least = own.groupBy("component").agg(F.min("least").alias("_component"))
-    named = salted_left_join(own.select("component", F.col("fp").alias("_fp")), least, ["component"], F.col("_fp")).drop("component")
-    return salted_left_join(rows, named, ["_fp"], F.col("_id"))
+    """``rows`` (_id, _fp, ...) with _component. Only fingerprints that are
+    linked or have several rows are joined; a row alone is its own component."""
+    own = staged(grouped(rows, F.col("_id"), max_bits).filter("linked OR n > 1"), "components")
+    linked = own.filter("linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("_component"))
+    named = salted_left_join(linked.select("component", F.col("fp").alias("_fp")), least, ["component"], F.col("_fp")).drop("component")
+    named = named.unionByName(own.filter("NOT linked").select(F.col("fp").alias("_fp"), F.col("least").alias("_component")))
+    # spread by place, not by identifier: that may be null or the same in all copies
+    out = salted_left_join(rows, named, ["_fp"], F.monotonically_increasing_id())
+    return out.withColumn("_component", F.coalesce("_component", "_id"))
 
 
 def representatives(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from covenant.llm import simhash as H
+from covenant.llm.common import salted_left_join
 
 
 def reference_fingerprint(text):
@@ -154,3 +156,20 @@ def test_search_steps_are_bounded():
     finally:
         H.GrayIndex = plain
     assert len(steps) == len(list(H.forest(codes, 4)))
+
+
+def test_only_groups_are_joined(spark, monkeypatch):
+    """Rows alone take no part in the joins; a hot group without identifiers is spread."""
+    joined = []
+
+    def watched(big, small, keys, spread, salts=16):
+        joined.append((keys, small.count(), big.select(F.pmod(F.xxhash64(spread), F.lit(salts)).alias("s")).distinct().count()))
+        return salted_left_join(big, small, keys, spread, salts)
+
+    monkeypatch.setattr(H, "salted_left_join", watched)
+    alone = [(i, " ".join(random.Random(i).choices([f"w{j}" for j in range(500)], k=100))) for i in range(50)]
+    rows = alone + [(None, "one two three four five six")] * 60 + [(70, "red green blue"), (71, "red green blue")]
+    out = got(H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == brute(rows)
+    keys, small, salts = joined[-1]
+    assert keys == ["_fp"] and small == 2 and salts > 8
