@@ -11,8 +11,9 @@ The tokens are written to the shared folder once (the range sampling then
 does not tokenize again) as 16-bit integers where the vocabulary allows.
 
 Nulls and ties: a null text counts as empty and yields the end id alone; equal
-keys are ordered by identifier, place and a hash of the tokens; rows that repeat
-an identifier are packed one by one. Other columns are ignored. An empty table
+keys are ordered by identifier, start, a hash of the tokens and the place in the
+written table, so rows that repeat identifier and text may lie in several ranges;
+rows that repeat an identifier are packed one by one. Other columns are ignored. An empty table
 gives an empty result.
 """
 from __future__ import annotations
@@ -37,15 +38,16 @@ DIMS, BITS = 4, 6
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str | None):
-    """The byte-level BPE of ``byte_bpe_50k.json``. Its ranks file holds the
-    same vocabulary; that reader is several times as fast (a test compares
-    the two)."""
+    """The byte-level BPE of ``byte_bpe_50k.json``, and the same merges on a text
+    as one piece. Its ranks file holds the same vocabulary; that reader is
+    several times as fast (a test compares the two)."""
     import public_tokenizers as tokenizers
     import tiktoken
 
     with open(path or tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return [tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            for name, pattern in (("own", tokenizers.PATTERN), ("whole", "(?s:.+)"))]
 
 
 #: the regex engine of tiktoken gives up in a run of some 1,000,000 blanks
@@ -58,15 +60,15 @@ def _long_run(blanks: int) -> re.Pattern:
     return re.compile(f"(?<!{_BLANKS}){_BLANKS}{{{blanks}}}{_BLANKS}*")
 
 
-def encode(enc, text: str, blanks: int = LONG_BLANKS) -> list[int]:
+def encode(encoders, text: str, blanks: int = LONG_BLANKS) -> list[int]:
     """The ids of ``text``. A run of ``blanks`` or more is one piece of the
     pattern, but for its last character where other text follows."""
-    ids, at = [], 0
+    (enc, whole), ids, at = encoders, [], 0
     if len(text) >= blanks:
         for run in _long_run(blanks).finditer(text):
             end = run.end() - (run.end() < len(text))
             ids += enc.encode_ordinary(text[at:run.start()])
-            ids += enc._encode_single_piece(text[run.start():end].encode())
+            ids += whole.encode_ordinary(text[run.start():end])
             at = end
     return ids + enc.encode_ordinary(text[at:])
 
@@ -113,19 +115,21 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, dims: int = DIMS, bits: int = BITS) -> DataFrame:
     """Blocks of documents: doc_id, start, the document's tokens n (the end id
-    included), ids (16-bit little-endian), curve key."""
+    included), ids (little-endian, of ``width`` bytes), curve key."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
     def run(batches):
-        enc = _encoder(tokenizer)
-        signs = _directions(enc.n_vocab + 1, dims)
-        end = np.array([end_id], "<u2")
-        names = ["doc_id", "start", "n", "ids", "curve"]
+        encoders = _encoder(tokenizer)
+        n_vocab = encoders[0].n_vocab
+        signs = _directions(n_vocab + 1, dims)
+        width = 2 if max(n_vocab, end_id) < 1 << 16 else 4
+        end = np.array([end_id], f"<u{width}")
+        names = ["doc_id", "start", "n", "ids", "width", "curve"]
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 points, blocks = [], []
                 for k, (doc, text) in enumerate(zip(pylist(part, "doc_id"), pylist(part, "text"))):
-                    own = np.array(encode(enc, text), "<u2")
+                    own = np.array(encode(encoders, text), end.dtype)
                     points.append(signs[own].mean(0) if len(own) else np.zeros(dims, np.float32))
                     own = np.concatenate([own, end])
                     blocks += [(doc, a, len(own), own[a:a + BLOCK].tobytes(), k) for a in range(0, len(own), BLOCK)]
@@ -133,24 +137,24 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
                 cells = np.clip((np.tanh(np.array(points) * 4) + 1) / 2 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
                 curve = hilbert_key(cells, bits)
                 doc, start, n, ids, k = zip(*blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(curve[list(k)])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), width, np.int32)), pa.array(curve[list(k)])], names=names)
 
-    return on_workers(rows, run, "doc_id long, start long, n long, ids binary, curve long")
+    return on_workers(rows, run, "doc_id long, start long, n long, ids binary, width int, curve long")
 
 
 def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. ``sequence_id`` is unique, not gapless."""
-    tokens = staged(tokenized(docs, tokenizer, end_id), "tokens")
-    order = ["curve", "doc_id", "start", F.xxhash64("ids")]
+    tokens = staged(tokenized(docs, tokenizer, end_id).withColumn("place", F.monotonically_increasing_id()), "tokens")
+    order = ["curve", "doc_id", "start", F.xxhash64("ids"), "place"]
     dealt = tokens.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
         number, fill = TaskContext.get().partitionId() << 36, 0
         for batch in batches:
             out: list[tuple] = []
-            for doc, start, n, raw in zip(*(pylist(batch, c) for c in ("doc_id", "start", "n", "ids"))):
-                ids, at = np.frombuffer(raw, "<u2").astype("<u4"), 0
+            for doc, start, n, raw, width in zip(*(pylist(batch, c) for c in ("doc_id", "start", "n", "ids", "width"))):
+                ids, at = np.frombuffer(raw, f"<u{width}").astype("<u4"), 0
                 while at < len(ids):
                     length = min(sequence - fill, len(ids) - at)
                     out.append((doc, start + at, length, zlib.crc32(ids[at:at + length]), n, number, fill))

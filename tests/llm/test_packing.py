@@ -56,7 +56,7 @@ def test_empty(empty):
 def test_the_two_readers_of_the_vocabulary_agree(corpus, encode):
     enc = P._encoder(None)
     for text in [t for _, t in corpus] + ["<|endoftext|> a", "  \n\n x", "a" * 3000, "漢字 😀 ß", "\x00\x01", "don't  we'll"]:
-        assert enc.encode_ordinary(text) + [0] == encode(text)
+        assert P.encode(enc, text) + [0] == encode(text)
 
 
 def test_hilbert_neighbours_touch():
@@ -90,3 +90,16 @@ def test_runs_of_blanks_are_cut_as_the_pattern_does(encode):
     for run in runs:
         for text in (run, f"a{run}", f"{run}b", f"a {run}b", f"a{run}. {run}'s{run}漢{run}1", f"{run}<|endoftext|>{run} x"):
             assert P.encode(enc, text, 5) + [0] == P.encode(enc, text, 1 << 30) + [0] == encode(text)
+
+
+def test_repeated_rows_fill_several_ranges(spark, encode):
+    """Rows equal in all columns are no single range."""
+    rows = [(None, "the same words again and again " * 20)] * 3000
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # so small ranges stay apart
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        out, _ = check(spark.createDataFrame(rows, "doc_id long, text string"), encode)
+    finally:
+        spark.conf.set(setting, old)
+    assert len({r["sequence_id"] >> 36 for r in out}) > 2
