@@ -224,7 +224,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
     sent = open_.join(annuli, "annulus").select("tile", "shard", "gap", "annulus", "pivot", "lo", "hi", "ids", "xs", F.lit(None).cast("binary").alias("floors"))
     asked = blocks.join(open_.select("tile", "shard").distinct(), "tile").select(
         "tile", "shard", F.lit(-1.0).alias("gap"), *[F.lit(None).cast(t).alias(c) for c, t in (("annulus", "long"), ("pivot", "int"), ("lo", "double"), ("hi", "double"))], "ids", "xs", "floors")
-    work = asked.unionAll(sent).repartition("tile", "shard").sortWithinPartitions("tile", "shard", "gap", "annulus")
+    # little to read but much to compute: a stated number of partitions, which small sizes do not merge
+    parts = min(max(1, tiles) * shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    work = asked.unionAll(sent).repartition(parts, "tile", "shard").sortWithinPartitions("tile", "shard", "gap", "annulus")
 
     def expand(batches) -> Iterator[pa.RecordBatch]:
         """The queries of a tile first, then its annuli from the nearest outwards."""
