@@ -338,14 +338,17 @@ def schema_checks_many(spark: SparkSession, contracts: DataFrame, inventory: Dat
     loop). Contract columns are flagged with table existence by one left
     join against the inventory's distinct table keys, then left-joined to
     the catalog's columns on (schema, table, column); a missing table yields
-    one failed ``table_exists`` row. The accepted-type table is fixed-size,
-    so its broadcast is bounded."""
+    one failed ``table_exists`` row. Inventory and catalog grow with the
+    warehouse, and their sizes before they are built are guesses (a compressed
+    file's, not counting exploded columns): both joins are merge joins, never a
+    broadcast through the driver. The accepted-type table is fixed-size, so its
+    broadcast is bounded."""
     tables = (inventory.select(F.col("table_schema").alias("schema_name"), "table_name").distinct()
               .withColumn("_exists", F.lit(True)))
     exp = contracts.select(F.lower("table_name").alias("table_name"), "schema_name",
                            F.explode_outer("columns").alias("c")).select(
         *KEYS, F.lower(F.col("c.name")).alias("column"), F.col("c.type").alias("contract_type"))
-    flagged = exp.join(tables, KEYS, "left")
+    flagged = exp.join(tables.hint("merge"), KEYS, "left")
     missing = flagged.filter(F.col("_exists").isNull()).select(*KEYS).distinct().select(
         *KEYS, F.lit("table_exists").alias("check_type"), F.lit(None).cast("string").alias("column"),
         F.lit("failed").alias("status"), F.lit(None).cast("string").alias("expected_value"),
@@ -353,7 +356,7 @@ def schema_checks_many(spark: SparkSession, contracts: DataFrame, inventory: Dat
     act = columns.select(F.col("table_schema").alias("schema_name"), "table_name",
                          F.col("column_name").alias("column"), "data_type")
     j = (flagged.filter(F.col("_exists") & F.col("column").isNotNull()).drop("_exists")
-         .join(act, KEYS + ["column"], "left"))
+         .join(act.hint("merge"), KEYS + ["column"], "left"))
     ok_types = accepted_types(spark).withColumn("_ok", F.lit(True))
     j = j.join(F.broadcast(ok_types), ["contract_type", "data_type"], "left")
     checks = j.select(*KEYS, "column", "contract_type", "data_type", F.explode(F.array(

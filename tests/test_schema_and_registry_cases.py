@@ -7,7 +7,7 @@ from decimal import Decimal
 from covenant.operators.checks import evaluate_contract, spark_type_name, type_matches
 from covenant.plans.checkplan import check_name, plan_contract
 from covenant.plans.contracts import ACCEPTED_SPARK_TYPES, COLUMN_TYPES, contracts_df, sample_contract
-from covenant.sources.registry import get_contract, required_columns
+from covenant.sources.registry import get_contract, missing_columns_many, required_columns, schema_checks_many
 from covenant.sources.tables import TableSet
 
 AS_OF = "2024-02-01 00:00:00"
@@ -72,3 +72,23 @@ def test_lookups_that_find_nothing_and_required_columns(spark):
     rc = {r["table_name"]: r for r in required_columns(reg).collect()}
     assert rc["customers"]["required_columns"] == ["customer_id", "email", "country", "updated_at"]
     assert rc["orders"]["primary_key_columns"] == ["order_id"]
+
+
+def warehouse(spark):
+    """Contracts a and b, an inventory that lacks b, and the columns of a but one."""
+    docs = [{"table_name": t, "schema_name": "s", "columns": [{"name": "id", "type": "integer"}, {"name": "note", "type": "string"}]} for t in ("a", "b")]
+    inventory = spark.createDataFrame([("s", "a"), ("s", "a")], "table_schema string, table_name string")
+    columns = spark.createDataFrame([("s", "a", "id", "double")], "table_schema string, table_name string, column_name string, data_type string")
+    return contracts_df(spark, docs), inventory, columns
+
+
+def broadcasts(df):
+    """Broadcasts of the plan before it runs."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_inventory_and_catalog_are_not_broadcast_in_schema_checks(spark):
+    out = schema_checks_many(spark, *warehouse(spark))
+    assert broadcasts(out) == 1  # the accepted types, a fixed table
+    assert sorted((r["table_name"], r["check_type"], r["column"], r["status"]) for r in out.fillna("", ["column"]).collect()) == [
+        ("a", "column_exists", "id", "passed"), ("a", "column_exists", "note", "failed"), ("a", "column_type", "id", "failed"), ("b", "table_exists", "", "failed")]
