@@ -374,13 +374,14 @@ def schema_checks_many(spark: SparkSession, contracts: DataFrame, inventory: Dat
 
 
 def missing_columns_many(contracts: DataFrame, columns: DataFrame) -> DataFrame:
-    """CHK8 at scale: expected contract columns absent from the catalog."""
+    """CHK8 at scale: expected contract columns absent from the catalog. Merge
+    joins, as in ``schema_checks_many``: the catalog is never broadcast."""
     exp = contracts.select(F.lower("table_name").alias("table_name"), "schema_name",
                            F.explode("columns").alias("c")).select(
         *KEYS, F.lower(F.col("c.name")).alias("column_name"))
     act = columns.select(F.col("table_schema").alias("schema_name"), "table_name", "column_name")
     tables = act.select(*KEYS).distinct()
-    return (exp.join(tables, KEYS, "left_semi").join(act, KEYS + ["column_name"], "left_anti")
+    return (exp.join(tables.hint("merge"), KEYS, "left_semi").join(act.hint("merge"), KEYS + ["column_name"], "left_anti")
                .withColumnRenamed("column_name", "missing_column"))
 
 

@@ -92,3 +92,10 @@ def test_inventory_and_catalog_are_not_broadcast_in_schema_checks(spark):
     assert broadcasts(out) == 1  # the accepted types, a fixed table
     assert sorted((r["table_name"], r["check_type"], r["column"], r["status"]) for r in out.fillna("", ["column"]).collect()) == [
         ("a", "column_exists", "id", "passed"), ("a", "column_exists", "note", "failed"), ("a", "column_type", "id", "failed"), ("b", "table_exists", "", "failed")]
+
+
+def test_catalog_is_not_broadcast_for_missing_columns(spark):
+    contracts, _, columns = warehouse(spark)
+    out = missing_columns_many(contracts, columns)
+    assert broadcasts(out) == 0
+    assert [tuple(r) for r in out.collect()] == [("a", "s", "note")]
