@@ -18,11 +18,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covenant.operators.checks import CONTRACT_ERROR
 from covenant.plans import vocabulary as V
+from covenant.sources.tables import data_files
 
 RUN_KEYS = ("run_id", "table_name", "schema_name")
+#: a compaction makes one file, by one task, of so many bytes of files
+COMPACTED_FILE_BYTES = 32 << 20
 
 
 def overall_status(failed: Column, warning: Column, errors: Column | None = None,
@@ -139,9 +143,19 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return live.select(*names).unionByName(done.select(*names))
 
 
-def compact_log(spark: SparkSession, path: str, before, files: int = 1) -> int:
+def _compaction_bytes(spark: SparkSession, path: str, before) -> int:
+    """Bytes of the files that a compaction reads, or some more: run folders that
+    an earlier compaction holds and that are not dropped yet count too."""
+    day = F.regexp_extract("path", "run_date=([^/]+)/", 1).try_cast("date")
+    parts = [data_files(spark, path).filter(day < F.lit(str(before)).cast("date")), *[data_files(spark, f) for f in _compacted(spark, path)]]
+    return sum(p.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] for p in parts)
+
+
+def compact_log(spark: SparkSession, path: str, before, files: int | None = None) -> int:
     """SINK3 compaction: the runs of all dates before ``before`` as few files; the
-    number of compactions of this log so far.
+    number of compactions of this log so far. Without ``files`` there is a file for
+    each ``COMPACTED_FILE_BYTES`` read, so a task's share does not grow with the log;
+    rows are dealt by all plain columns, so one large run is shared out too.
 
     The rows are written beside the log with the name of the file that each came
     from, then one commit makes all readers take them instead of those files. A
@@ -157,8 +171,10 @@ def compact_log(spark: SparkSession, path: str, before, files: int = 1) -> int:
         live, done = _log_parts(spark, path)
         old = live.filter(F.col("run_date") < F.lit(str(before)).cast("date"))
         rows = old if done is None else old.unionByName(done.select(*old.columns))
+        plain = [f.name for f in rows.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+        n = files or -(-_compaction_bytes(spark, path, before) // COMPACTED_FILE_BYTES) or 1
         folder = f"data-{uuid.uuid4().hex}"
-        rows.repartition(files, "run_date", "run").sortWithinPartitions("run_date", "run").write.parquet(f"{root}/{folder}")
+        rows.repartition(n, *plain).sortWithinPartitions("run_date", "run").write.parquet(f"{root}/{folder}")
         if RG.put_if_absent(spark, f"{root}/_commits/{base + 1:020d}", folder):
             return base + 1
 

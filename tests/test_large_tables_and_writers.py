@@ -113,6 +113,29 @@ def test_compaction_while_reading(spark, tmp_path):
     assert state() == after and G.latest_per_table(R.read_log(spark, path).withColumns({c: F.lit(0) for c in G.SUMMARY_COLUMNS if c not in R.read_log(spark, path).columns})).count() == 2
 
 
+def test_compaction_of_a_large_run_is_shared_out(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    R.append_log(log_of(spark, "r0", 1, 4000).coalesce(1), path)
+    R.append_log(log_of(spark, "r1", 2, 10), path)
+
+    def state():
+        return sorted(map(str, R.read_log(spark, path).select("run_id", "table_name", "executed_at", "run_date").collect()))
+
+    before = state()
+    size = max(f.stat().st_size for f in (tmp_path / "log").rglob("*.parquet"))
+    monkeypatch.setattr(R, "COMPACTED_FILE_BYTES", size // 3)
+    R.compact_log(spark, path, "2024-01-03")
+    assert state() == before
+    per_file = [spark.read.parquet(str(f)).count() for f in (tmp_path / "log" / "_compacted").rglob("*.parquet")]
+    assert sum(per_file) == 4010 and max(per_file) < 2000
+    monkeypatch.setattr(R, "COMPACTED_FILE_BYTES", 1 << 30)
+    R.drop_compacted(spark, path)
+    R.compact_log(spark, path, "2024-01-03")
+    R.drop_compacted(spark, path)
+    assert state() == before
+    assert len(list((tmp_path / "log" / "_compacted").rglob("*.parquet"))) == 1
+
+
 def test_a_slow_table_is_cut_off_and_the_others_run(spark, tmp_path):
     slow = {"table_name": "slow", "columns": [{"name": "id", "type": "integer"}],
             "quality_rules": [{"rule_type": "custom_sql", "parameters": {"expression": "aggregate(sequence(1, cast(2000000 + id as int)), 0L, (a, x) -> a + x) > 0"}}]}
