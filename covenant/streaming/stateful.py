@@ -5,7 +5,9 @@
   checkpoint), so a second row of a key is found however many batches later it
   comes. Rows are folded to (key, count, latest time) in each record batch before
   the shuffle, so a hot key ships one row a record batch. A key that has more than
-  one row writes (rows before, rows now) for each batch that adds to it.
+  one row writes (rows before, rows now) for each batch that adds to it. The state
+  is kept by bucket, a remainder of the key's hash: a batch calls Python and the
+  state store once for each bucket that it touches, not for each key.
   Without ``horizon_minutes`` state is kept for ever and totals equal the batch
   rule. With it, a watermark on the time column lets go of keys that were not
   seen for that long in event time: duplicates farther apart, and rows later than
@@ -27,9 +29,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from covenant.operators.checks import key_counts, orphans_of
@@ -37,35 +41,63 @@ from covenant.session import ensure_checkpoint_dir
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_N, _TS = "n_folded", "ts_folded"
+_N, _TS, _UNTIL, _BUCKET = "n_folded", "ts_folded", "until_folded", "bucket_folded"
+#: keys with equal remainders of their hash share one value of the state; a gate's
+#: checkpoint holds this number, so it stays
+BUCKETS = 4096
 
 
 class KeyCounts(StatefulProcessor):
-    """Rows seen of each key; says how many there were and are when there is
-    more than one."""
+    """Rows seen of each key of a bucket; says of keys with new rows how many there
+    were and are when there is more than one. The keys of a bucket are one value of
+    the state, an Arrow table of (key parts, n, until)."""
 
-    def __init__(self, keys: Sequence[str], horizon_ms: int | None):
-        self.keys, self.horizon_ms = list(keys), horizon_ms
+    def __init__(self, keys: T.StructType, horizon_ms: int | None):
+        self.keys, self.horizon_ms = keys.names, horizon_ms
+        # times as the record batches of a group have them: without a zone
+        kinds = [pa.timestamp("us") if isinstance(f.dataType, T.TimestampType) else to_arrow_type(f.dataType) for f in keys]
+        self.typed = pa.schema([*zip(self.keys, kinds), (_N, pa.int64()), (_UNTIL, pa.int64())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "n bigint, until bigint")
+        self.seen = handle.getValueState("seen", "entries binary")
+
+    def _held(self) -> pa.Table:
+        found = self.seen.get()
+        return self.typed.empty_table() if found is None else pa.ipc.open_stream(bytes(found[0])).read_all()
+
+    def _hold(self, entries: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.typed) as out:
+            out.write_table(entries.select(self.typed.names).cast(self.typed).combine_chunks())
+        self.seen.update((sink.getvalue().to_pybytes(),))
+        if self.horizon_ms is not None:  # the first that can be let go of
+            self.handle.registerTimer(pc.min(entries[_UNTIL]).as_py())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before, until = self.seen.get() if self.seen.exists() else (0, 0)
-        now = before
+        held = self._held()
+        parts = [held.append_column("before", held[_N])]
         for part in rows:
-            now += int(part[_N].sum())
-            if self.horizon_ms is not None:
-                until = max(until, int(part[_TS].max().timestamp() * 1000) + self.horizon_ms)
-        self.seen.update((now, until))
-        if self.horizon_ms is not None:
-            self.handle.registerTimer(until)
-        if now > 1:
-            yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key)}, "rows_before": [before], "rows_now": [now]})
+            until = 0 if self.horizon_ms is None else part[_TS].fillna(pd.Timestamp(0)).astype("datetime64[ms]").astype("int64") + self.horizon_ms
+            came = pa.Table.from_pandas(part[[*self.keys, _N]].assign(**{_UNTIL: until}), self.typed, preserve_index=False)
+            parts.append(came.append_column("before", pa.array([None] * came.num_rows, pa.int64())))
+        # a key without new rows has one entry, the held one
+        all_of = pa.concat_tables(parts).group_by(self.keys).aggregate([(_N, "sum"), (_UNTIL, "max"), ("before", "sum"), ([], "count_all")])
+        all_of = all_of.rename_columns({f"{_N}_sum": _N, f"{_UNTIL}_max": _UNTIL})
+        self._hold(all_of)
+        before = pc.fill_null(all_of["before_sum"], 0)
+        told = all_of.select(self.keys).append_column("rows_before", before).append_column("rows_now", all_of[_N])
+        told = told.filter(pc.and_(pc.greater(all_of[_N], before), pc.greater(all_of[_N], 1)))
+        if told.num_rows:
+            yield told.to_pandas()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists() and self.seen.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+        held, at = self._held(), expiredTimerInfo.getExpiryTimeInMs()
+        over = pc.or_(pc.less_equal(held[_UNTIL], at), pc.less(held[_UNTIL], timerValues.getCurrentWatermarkInMs()))
+        kept = held.filter(pc.invert(over))
+        if kept.num_rows:
+            self._hold(kept)
+        else:
             self.seen.clear()
         return iter(())
 
@@ -128,13 +160,13 @@ def start_unique_gate(spark: SparkSession, source_dir: str, schema: T.StructType
     sink = f"{root}/log"
     ts = F.col(time_column).cast("timestamp") if horizon_minutes is not None else F.lit(None).cast("timestamp")
     rows = _stream(spark, source_dir, schema, glob, max_files_per_trigger).select(*columns, ts.alias(_TS)).dropna("any", subset=list(columns))
-    few = folded(rows, columns)
+    few = folded(rows, columns).withColumn(_BUCKET, F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)))
     if horizon_minutes is not None:
         few = few.withWatermark(_TS, f"{int(horizon_minutes)} minutes")
     out = T.StructType([*[schema[c] for c in columns], T.StructField("rows_before", T.LongType()), T.StructField("rows_now", T.LongType())])
     horizon_ms = None if horizon_minutes is None else int(horizon_minutes) * 60_000
-    counted = few.groupBy(*columns).transformWithStateInPandas(
-        KeyCounts(columns, horizon_ms), out, "Update", "None" if horizon_minutes is None else "EventTime")
+    counted = few.groupBy(_BUCKET).transformWithStateInPandas(
+        KeyCounts(T.StructType([schema[c] for c in columns]), horizon_ms), out, "Update", "None" if horizon_minutes is None else "EventTime")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")

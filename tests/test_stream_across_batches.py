@@ -2,6 +2,7 @@
 replays, late references, horizons."""
 import os
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,30 @@ def test_horizon_lets_go_of_old_keys(spark, tmp_path):
     assert tuple(total) == (1, 2, 1)  # key 1 within the hour; key 2 came back after it was let go
 
 
+def test_state_is_asked_once_a_bucket(spark, tmp_path, monkeypatch):
+    """Keys of several types in few buckets: each keeps its own count and its own horizon."""
+    monkeypatch.setattr(S, "BUCKETS", 3)
+    schema = "k long, part string, day date, amount decimal(12,2), at timestamp, ts timestamp_ntz"
+    rows = [[(i, f"p{i % 7}", T0.date(), Decimal(i) / 4, T0, T0 + timedelta(minutes=60 * b + i % 50)) for i in range(b, 400, b + 1)] for b in range(3)]
+    for b, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{b}"))
+    keys = ["k", "part", "day", "amount", "at"]
+    whole = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    flat = str(tmp_path / "flat")
+    for b in range(3):
+        whole.filter(F.col("_metadata.file_path").contains(f"/b{b}/")).coalesce(1).write.mode("append").parquet(flat)
+    state = []
+    for name, more in (("all", {}), ("near", {"time_column": "ts", "horizon_minutes": 10_000})):
+        q, sink = S.start_unique_gate(spark, flat, whole.schema, "t", keys, base_dir=str(tmp_path / name), max_files_per_trigger=1, **more)
+        q.awaitTermination()
+        total = S.duplicate_totals(spark, sink, keys).first()
+        assert tuple(total)[:2] == tuple(C.unique_summary(whole, keys).first()) and total["keys_across_batches"] == total["duplicate_keys"] > 200
+        log = spark.read.parquet(sink)
+        assert log.filter("rows_now <= rows_before or rows_now < 2").count() == 0
+        state.append(max(p["numRowsTotal"] for x in q.recentProgress for p in x["stateOperators"]))
+    assert state[0] == 3
+
+
 def test_horizon_needs_a_time(spark, tmp_path):
     with pytest.raises(ValueError):
         S.start_unique_gate(spark, str(tmp_path), spark.createDataFrame([], SCHEMA).schema, "t", ["k"], horizon_minutes=5)
