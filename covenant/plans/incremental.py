@@ -29,11 +29,14 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covenant.functions.literals import local_rows
 from covenant.operators import checks as C
@@ -135,11 +138,14 @@ class IncrementalChecks:
         # the metadata column gives the path URL-encoded (but for plus signs)
         path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
         rows = listed.withColumns(dict(zip(FILE, (path, F.col("_metadata.file_size"), F.unix_micros("_metadata.file_modification_time")))))
+        # a file's number stands for its name in what is shuffled and grouped
+        number = F.broadcast(local_rows(spark, [(*t, i) for i, t in enumerate(todo)], "__path string, __length long, __modified long, __file long"))
         for columns in sorted({k for s in split.keyed if (k := _key_group(s))}):
             parts = columns.split(",")
-            keys = [F.col(p).alias(f"key{i}") for i, p in enumerate(parts)]
-            counted = rows.select(*FILE, *keys).dropna("any", subset=[f"key{i}" for i in range(len(parts))])
-            counted.groupBy(*FILE, *[f"key{i}" for i in range(len(parts))]).agg(F.count(F.lit(1)).alias("n")).withColumn("run_id", F.lit(run)) \
+            names = [f"key{i}" for i in range(len(parts))]
+            keyed = rows.select(*FILE, *[F.col(p).alias(k) for p, k in zip(parts, names)]).dropna("any", subset=names)
+            counted = _counted(_folded(keyed.join(number, FILE).select("__file", *names)), ["__file", *names])
+            counted.join(number, "__file").select(*FILE, *names, "n").withColumn("run_id", F.lit(run)) \
                 .write.mode("overwrite").parquet(f"{home}/keys/{_folder(columns)}/run={run}")
         state = rows.groupBy(*FILE).agg(F.count(F.lit(1)).alias("__n"), *_state_aggs(df, split.fused))
         # a file without rows has a state too, or it would be read again each time
@@ -183,8 +189,10 @@ class IncrementalChecks:
         kept = self._known(f"{home}/keys/{_folder(spec.column)}") if counting is not None else None
         if kept is None:
             return df.select(*parts).dropna("any").groupBy(*parts).agg(F.count(F.lit(1)).alias("n_rows"))
-        named = kept.join(counting, [*FILE, "run_id"], "left_semi")
-        return named.groupBy(*[F.col(f"key{i}").alias(p) for i, p in enumerate(parts)]).agg(F.sum("n").alias("n_rows"))
+        # a list of files: broadcast, or the keys of one large file would meet it in one task
+        named = kept.join(F.broadcast(counting), [*FILE, "run_id"], "left_semi")
+        sums = _counted(named, [f"key{i}" for i in range(len(parts))])
+        return sums.select(*[F.col(f"key{i}").alias(p) for i, p in enumerate(parts)], F.col("n").alias("n_rows"))
 
     def vacuum(self) -> int:
         """Rewrite the states of present files as one run each and drop the
@@ -209,6 +217,31 @@ class IncrementalChecks:
         return self._known(f"{home}/rows").count()
 
 
+#: types that Arrow groups by
+_FOLDS = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """(columns, number of rows ``n``) for each record batch: a hot key ships one row
+    a record batch, and a task holds one batch, whatever the number of keys."""
+    columns = rows.columns
+    if not all(isinstance(f.dataType, _FOLDS) for f in rows.schema):
+        return rows.withColumn("n", F.lit(1).cast("long"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.Table.from_batches([batch]).group_by(columns).aggregate([([], "count_all")])
+            yield from out.select([*columns, "count_all"]).rename_columns([*columns, "n"]).combine_chunks().to_batches()
+
+    return rows.mapInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("n", T.LongType())]))
+
+
+def _counted(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Sums of ``n`` by ``columns``. Dealt out first: nearly all keys are unique, so a
+    map side that aggregates would hold the keys of its whole file to drop few."""
+    return rows.select(*columns, "n").repartition(*columns).groupBy(*columns).agg(F.sum("n").alias("n"))
+
+
 def _folder(columns: str) -> str:
     return hashlib.sha256(columns.encode()).hexdigest()[:16]
 

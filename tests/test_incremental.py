@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from covenant.operators import checks as C
+from covenant.plans import incremental as I
 from covenant.plans.incremental import IncrementalChecks
 from covenant.sources.tables import TableSet
 
@@ -125,3 +126,27 @@ def test_files_without_rows(spark, tmp_path, parents):
     same_as_whole(spark, run, folder, parents)
     assert job.run(T0).files_read == 0
     assert run.checks.filter(F.col("check_type") == "row_count_min").count() == 2
+
+
+def test_a_file_of_many_keys_is_not_held_by_the_task_that_reads_it(spark):
+    rows = spark.range(0, 30_000, 1, 1).select(F.lit(0).cast("long").alias("__file"), F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).alias("key0"))
+    few = I._folded(rows)
+    assert 10_000 < few.count() < 10_100  # the hot key: a row for each record batch
+    sums = I._counted(few, ["__file", "key0"])
+    plan = sums._jdf.queryExecution().sparkPlan().toString()
+    sums.collect()
+    executed = sums._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "HashAggregate" in plan and "HashAggregate" not in executed.split("Exchange hashpartitioning")[-1]
+    got = {r["key0"]: r["n"] for r in sums.collect()}
+    assert len(got) == 10_001 and got[7] == 20_000 and got[20_000] == 1
+
+
+def test_keys_that_arrow_does_not_group(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    contract = {"table_name": "t", "columns": [{"name": "pair", "type": "string"}], "quality_rules": [{"rule_type": "unique", "column": "pair"}]}
+    job = IncrementalChecks(spark, contract, folder, str(tmp_path / "root"))
+    for _ in range(2):
+        spark.sql("SELECT struct(id % 5 AS a, 'x' AS b) AS pair FROM range(4)").coalesce(1).write.mode("append").parquet(folder)
+        run = job.run(T0)
+    found = run.checks.filter("check_type = 'unique'").first()
+    assert (run.files_read, found["violations"], found["message"]) == (1, 4, "unique on pair: 4 duplicated values in 8 rows")
